@@ -1,9 +1,13 @@
 """The registered queries of the training-data operators, and SQL where SQL can express one over whole tables."""
 
+from lattica.llm.chat import op2_chat_formatting
 from lattica.llm.mixing import op3_source_mixing
+from lattica.llm.quality import op4_quality_rules
 
 QUERIES = {
+    "op2_chat_formatting": op2_chat_formatting,
     "op3_source_mixing": op3_source_mixing,
+    "op4_quality_rules": op4_quality_rules,
 }
 
 ORACLES: dict[str, str] = {}
