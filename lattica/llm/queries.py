@@ -1,13 +1,19 @@
 """The registered queries of the training-data operators, and SQL where SQL can express one over whole tables."""
 
 from lattica.llm.chat import op2_chat_formatting
+from lattica.llm.fingerprints import op6_fingerprints
 from lattica.llm.mixing import op3_source_mixing
+from lattica.llm.packing import op10_packing
 from lattica.llm.quality import op4_quality_rules
+from lattica.llm.token_output import op8_token_output
 
 QUERIES = {
     "op2_chat_formatting": op2_chat_formatting,
     "op3_source_mixing": op3_source_mixing,
     "op4_quality_rules": op4_quality_rules,
+    "op6_fingerprints": op6_fingerprints,
+    "op8_token_output": op8_token_output,
+    "op10_packing": op10_packing,
 }
 
 ORACLES: dict[str, str] = {}
