@@ -2,6 +2,7 @@
 
 from lattica.llm.chat import op2_chat_formatting
 from lattica.llm.fingerprints import op6_fingerprints
+from lattica.llm.language import op9_language_id
 from lattica.llm.mixing import op3_source_mixing
 from lattica.llm.packing import op10_packing
 from lattica.llm.quality import op4_quality_rules
@@ -13,6 +14,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op6_fingerprints": op6_fingerprints,
     "op8_token_output": op8_token_output,
+    "op9_language_id": op9_language_id,
     "op10_packing": op10_packing,
 }
 
