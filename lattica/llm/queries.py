@@ -4,11 +4,13 @@ from lattica.llm.chat import op2_chat_formatting
 from lattica.llm.fingerprints import op6_fingerprints
 from lattica.llm.language import op9_language_id
 from lattica.llm.mixing import op3_source_mixing
+from lattica.llm.ngram_join import op1_ngram_jaccard_join
 from lattica.llm.packing import op10_packing
 from lattica.llm.quality import op4_quality_rules
 from lattica.llm.token_output import op8_token_output
 
 QUERIES = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_chat_formatting": op2_chat_formatting,
     "op3_source_mixing": op3_source_mixing,
     "op4_quality_rules": op4_quality_rules,
