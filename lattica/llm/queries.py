@@ -7,6 +7,7 @@ from lattica.llm.mixing import op3_source_mixing
 from lattica.llm.ngram_join import op1_ngram_jaccard_join
 from lattica.llm.packing import op10_packing
 from lattica.llm.quality import op4_quality_rules
+from lattica.llm.substring_dedup import op7_substring_dedup
 from lattica.llm.token_output import op8_token_output
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_source_mixing": op3_source_mixing,
     "op4_quality_rules": op4_quality_rules,
     "op6_fingerprints": op6_fingerprints,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_token_output": op8_token_output,
     "op9_language_id": op9_language_id,
     "op10_packing": op10_packing,
