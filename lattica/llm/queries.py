@@ -3,6 +3,7 @@
 from lattica.llm.chat import op2_chat_formatting
 from lattica.llm.fingerprints import op6_fingerprints
 from lattica.llm.language import op9_language_id
+from lattica.llm.lm import op5_lm_scoring
 from lattica.llm.mixing import op3_source_mixing
 from lattica.llm.ngram_join import op1_ngram_jaccard_join
 from lattica.llm.packing import op10_packing
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_chat_formatting": op2_chat_formatting,
     "op3_source_mixing": op3_source_mixing,
     "op4_quality_rules": op4_quality_rules,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_fingerprints": op6_fingerprints,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_token_output": op8_token_output,
