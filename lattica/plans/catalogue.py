@@ -1,4 +1,11 @@
 """Queries and their DuckDB counterparts, by name."""
 
-QUERIES = {}
-ORACLES = {}
+from lattica.plans import queries
+from lattica.plans.oracles import ORACLES
+
+#: Queries without SQL: numpy eigenvalues, and models fitted in tasks.
+WITHOUT_SQL = ("net_eigen", "net_features_all", "wf_simple", "wf_nested_rolling", "wf_nested_expanding")
+
+QUERIES = {name: getattr(queries, name) for name in (*ORACLES, *WITHOUT_SQL)}
+
+__all__ = ["ORACLES", "QUERIES", "WITHOUT_SQL"]
