@@ -3,18 +3,49 @@ sources to target weights, packing."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lattica.llm.common import materialize
+from lattica.llm.language import fit, keep_identified, training
 from lattica.llm.mixing import mixed_documents
+from lattica.llm.ngram_join import keep_one
+from lattica.llm.packing import digest, pack
+from lattica.llm.substring_dedup import without_passages
 
 
-def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as the mix of sources takes them."""
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the model knows; those without one, or hardly any, go."""
+    return keep_identified(docs, fit(training(docs)))
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of similar ones, that of the least doc_id."""
+    return keep_one(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that earlier ones hold."""
+    return without_passages(docs)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as the mix of sources takes them: whole, in part, or repeated."""
     return mixed_documents(docs)
 
 
-STAGES = [("mixing", mixing)]
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of sequences of 1024 tokens."""
+    return digest(pack(docs, public_tokenizers.path("byte_bpe_50k.json")))
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("n-gram Jaccard join", ngram_jaccard_join),
+    ("substring dedup", substring_dedup),
+    ("mixing sources to target weights", source_mixing),
+    ("packing", packing),
+]
 
 #: Viterbi decoding, alignment and subword tokenizers aren't SQL; tests hold run() against brute force.
 ORACLE_SQL = None
