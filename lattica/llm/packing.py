@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.llm.common import documents, materialize
-from lattica.llm.tokens import Encoder
+from lattica.llm.tokens import encoder as shared_encoder
 
 #: Up to so many partitions (16 bytes each) their first places are broadcast; beyond, joined.
 BROADCAST_ROWS = 1_000_000
@@ -26,7 +26,7 @@ def tokenized(docs: DataFrame, path: str, kind: str, end_id: int) -> DataFrame:
     before it in the partition that read it. Ids are little-endian, of 2 or 4 bytes."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, kind)
+        encoder = shared_encoder(path, kind)
         end, width = np.array([end_id], encoder.dtype).tobytes(), encoder.dtype.itemsize
         pid, at = TaskContext.get().partitionId(), 0
         for batch in batches:
@@ -60,7 +60,7 @@ def pack(docs: DataFrame, path: str, kind: str = "byte", end_id: int = 0, length
     are ignored.
     """
     placed = with_base(tokenized(docs, path, kind, end_id), "n")
-    width = Encoder(path, kind).dtype.str
+    width = shared_encoder(path, kind).dtype.str
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm.common import documents, materialize
 from lattica.llm.packing import with_base
-from lattica.llm.tokens import Encoder
+from lattica.llm.tokens import encoder as shared_encoder
 
 #: Header of a shard: magic, bytes of a symbol, base (first nonterminal), rules, documents, symbols.
 HEADER = struct.Struct("<4sHIIIQ")
@@ -135,7 +135,7 @@ def write_shards(docs: DataFrame, path: str, kind: str = "word", end_id: int = 2
     and sorted; a task cuts its range into shards of about shard_tokens ids."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, kind)
+        encoder = shared_encoder(path, kind)
         vocabulary = encoder.tokenizer.get_vocab_size()
         end = np.array([end_id], encoder.dtype).tobytes()
         pid, shard, at = TaskContext.get().partitionId(), 0, 0

@@ -8,56 +8,86 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from collections.abc import Iterable
+from functools import lru_cache
 
 import numpy as np
 
 #: White space that the byte-level pattern treats in runs, other than single spaces and line ends inside a text.
 _RUNS = re.compile(r"[^\S \n]|\s[ ]|\s\n|\A\s|\s\Z|\x00|[\x1c-\x1f]")
+#: A full stop or comma between a letter and white space is a piece of its own.
+_STOPS = re.compile(r"(?<=[A-Za-z])([.,])(?=[ \n]|\Z)")
+_STOPS_RAW = re.compile(rb"(?<=[a-z])([.,])(?=[ \t\n\r\x0b\x0c]|\Z)")
+#: Letters below stay letters, one each, when they are lower-cased.
+_LATIN_END = "İ"
+
+
+def byte_letters() -> dict[int, int]:
+    """How byte-level BPE writes bytes: those that print as themselves, the others as the characters from 256 on in turn."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
+
+
+class _Units(dict):
+    """unit -> ids as bytes; made when first asked for. Dropped when it holds `limit` units, which bounds its memory and
+    changes no result."""
+
+    def __init__(self, tokenizer, kind: str, dtype: np.dtype, limit: int):
+        self.tokenizer, self.model, self.kind, self.dtype, self.limit = tokenizer, tokenizer.model, kind, dtype, limit
+        self.letters = byte_letters()
+
+    def __missing__(self, unit) -> bytes:
+        if len(self) >= self.limit:
+            self.clear()
+        text = unit.decode() if self.kind == "word" else unit
+        word = text.removeprefix(" ")
+        if word.isalpha() and max(word) < _LATIN_END:
+            # A word of Latin letters is one piece: the model alone does, on its letters as bytes.
+            if self.kind == "word":
+                text = unicodedata.normalize("NFC", text.lower())
+            ids = [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))]
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        self[unit] = out = np.array(ids, self.dtype).tobytes()
+        return out
 
 
 class Encoder:
     """Ids of texts as little-endian bytes, of 2 bytes an id for a vocabulary of up to 65,536 ids, or else 4.
 
     kind "byte": byte-level BPE. A word takes the space before it; a unit is a word with it, or a line end.
-    kind "word": BPE with word ends that drops white space; a unit is a word.
-    The cache of units is dropped when it holds `limit` units, which bounds its memory and changes no result.
+    kind "word": BPE with word ends, in lower case, that drops white space; a unit is a word.
     """
 
-    def __init__(self, path: str, kind: str, limit: int = 400_000):
+    def __init__(self, path: str, kind: str, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kind, self.limit = Tokenizer.from_file(path), kind, limit
+        self.tokenizer, self.kind = Tokenizer.from_file(path), kind
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.cache: dict = {}
-
-    def _pack(self, encodings: list) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in encodings]
-
-    def _units(self, text: str) -> list | None:
-        if self.kind == "word":
-            return text.encode().split()
-        if _RUNS.search(text):
-            return None
-        return text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00") if text else []
+        self.cache = _Units(self.tokenizer, kind, self.dtype, limit)
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """A null text counts as empty."""
-        out = []
+        get, out = self.cache.__getitem__, []
         for text in texts:
-            units = self._units(text or "")
-            if units is None:
-                out.append(self._pack([self.tokenizer.encode(text, add_special_tokens=False)])[0])
+            if self.kind == "word":
+                units = _STOPS_RAW.sub(rb" \1", (text or "").encode().lower()).split()
+            elif not text:
+                units = []
+            elif _RUNS.search(text):
+                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes())
                 continue
-            cache = self.cache
-            if missing := set(units).difference(cache):
-                if len(cache) > self.limit:
-                    cache.clear()
-                    missing = set(units)
-                missing = list(missing)
-                plain = [x.decode() for x in missing] if self.kind == "word" else missing
-                cache.update(zip(missing, self._pack(self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)), strict=True))
-            out.append(b"".join(map(cache.__getitem__, units)))
+            else:
+                units = _STOPS.sub("\x00\\1", text).replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
+            out.append(b"".join(map(get, filter(None, units))))
         return out
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str, kind: str) -> Encoder:
+    """A process's encoder, which keeps its units from task to task."""
+    return Encoder(path, kind)
