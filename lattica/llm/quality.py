@@ -44,7 +44,7 @@ def votes() -> list[Column]:
         rule((capitals > 0.005) & (capitals < 0.15), (capitals > 0.5) | (F.col("n_letters") < F.col("n_words"))),
         rule(stops > 0.6, (stops < 0.2) & (F.col("n_words") >= 20)),
         rule(shouts < 0.02, shouts > 0.2),
-        rule(letters > 0.92, letters < 0.85),
+        rule(letters > 0.93, letters < 0.895),
     ]
 
 
