@@ -65,10 +65,10 @@ class Model:
         language is alike for all."""
         word = letters(token)
         if not word:
-            return np.zeros(len(self.langs), np.float32), False
+            return np.zeros(max(len(self.langs), 1), np.float32), False
         open_to = self.scripts.get(script(word))
         if open_to is None:
-            return np.zeros(len(self.langs), np.float32), True
+            return np.zeros(max(len(self.langs), 1), np.float32), True
         found = [self.table.get(f, self.floor) for f in features(word)]
         total = np.sum(found, axis=0) / math.sqrt(len(found))
         return (total - np.where(open_to, 0, OUTSIDE)).astype(np.float32), True
