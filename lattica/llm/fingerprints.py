@@ -56,17 +56,26 @@ def containment(a: Column, b: Column, k: int = K) -> Column:
     return F.when(F.size(a) == 0, 1.0).otherwise(F.least(common / distinct_count(a, k), F.lit(1.0)))
 
 
+def packed(s: Column) -> Column:
+    """A sketch as bytes: 6 for each hash, big-endian."""
+    return F.unhex(F.array_join(F.transform(s, lambda h: F.lpad(F.hex(h), BITS // 4, "0")), ""))
+
+
+def unpacked(raw: Column) -> Column:
+    """The inverse of packed."""
+    digits, n = F.hex(raw), BITS // 4
+    whole = F.transform(F.sequence(F.lit(0), F.greatest(F.length(digits) / n - 1, F.lit(0)).cast("int")), lambda i: F.conv(F.substr(digits, i * n + 1, F.lit(n)), 16, 10).cast("long"))
+    return F.when(F.length(raw) > 0, whole).otherwise(F.array().cast("array<bigint>"))
+
+
 def encoded(s: Column) -> Column:
-    """A sketch as text: base64 of its hashes, 6 bytes each, big-endian."""
-    return F.base64(F.unhex(F.array_join(F.transform(s, lambda h: F.lpad(F.hex(h), BITS // 4, "0")), "")))
+    """A sketch as text: base64 of its bytes."""
+    return F.base64(packed(s))
 
 
 def decoded(s: Column) -> Column:
     """The inverse of encoded."""
-    raw = F.hex(F.unbase64(s))
-    n = BITS // 4
-    whole = F.transform(F.sequence(F.lit(0), F.greatest(F.length(raw) / n - 1, F.lit(0)).cast("int")), lambda i: F.conv(F.substr(raw, i * n + 1, F.lit(n)), 16, 10).cast("long"))
-    return F.when(F.length(s) > 0, whole).otherwise(F.array().cast("array<bigint>"))
+    return unpacked(F.unbase64(s))
 
 
 def fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
@@ -115,11 +124,12 @@ def op6_fingerprints(spark, sf_dir: str) -> DataFrame:
         texts = texts.dropDuplicates(["row_key"])
     wanted = links.select(F.col("next_key").alias("row_key"), F.col("row_key").alias("for_key"), F.floor(F.col("n_chars") / 3).cast("int").alias("take"))
     lent = texts.join(wanted, "row_key")
-    lent = lent.select(F.col("for_key"), "take", F.substr("text", F.lit(1), F.col("take")).alias("lent"), encoded(sketch(F.col("text"))).alias("next_sketch"))
+    # next_doc_id keeps both sides' columns, and so their exchange, the same.
+    lent = lent.select("for_key", "take", F.col("doc_id").alias("next_doc_id"), F.substr("text", F.lit(1), F.col("take")).alias("lent"), packed(sketch(F.col("text"))).alias("next_sketch"))
     pairs = texts.join(lent.withColumnRenamed("for_key", "row_key"), "row_key")
     edited = F.concat(F.substr("text", F.lit(1), F.length("text") - F.col("take")), F.col("lent"))
-    pairs = pairs.select("doc_id", F.length("text").cast("long").alias("n_chars"), sketch(F.col("text")).alias("own"), edited.alias("edited"), "next_sketch")
-    pairs = pairs.select("doc_id", "n_chars", "own", F.sha2("edited", 256).alias("edited_sha256"), sketch(F.col("edited")).alias("changed"), decoded(F.col("next_sketch")).alias("other"))
+    pairs = pairs.select("doc_id", F.length("text").cast("long").alias("n_chars"), sketch(F.col("text")).alias("own"), edited.alias("edited"), "next_sketch", "next_doc_id")
+    pairs = pairs.select("doc_id", "n_chars", "own", F.sha2("edited", 256).alias("edited_sha256"), sketch(F.col("edited")).alias("changed"), unpacked(F.col("next_sketch")).alias("other"), "next_doc_id")
     return pairs.select(
         "doc_id",
         "n_chars",
@@ -128,4 +138,5 @@ def op6_fingerprints(spark, sf_dir: str) -> DataFrame:
         encoded(F.col("changed")).alias("edited_fingerprint"),
         resemblance(F.col("own"), F.col("changed")).alias("near_edited"),
         resemblance(F.col("own"), F.col("other")).alias("near_next"),
+        "next_doc_id",
     )
