@@ -59,7 +59,7 @@ class Words:
         return self.hashes(at, at)
 
 
-def chunks(texts: list[str | None], size: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def chunks(texts: list[str | None], size: int = 3_500_000) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about `size` characters each, at least a text."""
     first = total = 0
     for k, text in enumerate(texts):
