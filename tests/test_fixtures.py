@@ -273,3 +273,11 @@ def test_configuration():
 
 def test_nan_is_null(spark):
     assert [r.x for r in nan_to_null(spark.createDataFrame([(float("nan"),), (1.0,)], "x double")).collect()] == [None, 1.0]
+
+
+def test_entry_has_a_row_a_date(spark):
+    import __spark_entry__
+
+    rows = __spark_entry__.entry(spark).collect()
+    assert rows and len({r.date for r in rows}) == len(rows)
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
