@@ -69,13 +69,29 @@ class EliasFano:
         value |= np.where(bit > 0, self.low[word + 1] << ((np.uint64(64) - bit) & np.uint64(63)), np.uint64(0))
         return value & np.uint64((1 << self.width) - 1)
 
+    def _between(self, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the first key with high bits `top` and of the first with more: after the zeros before and behind them. The
+        second zero is mostly in the first one's word."""
+        k = np.maximum(top - 1, 0)
+        word = np.searchsorted(self.zeros, k.astype(np.uint32), side="right") - 1
+        empty, nth = ~self.high[word], k - self.zeros[word]
+        lo = np.where(top > 0, word * 64 + _in_word(empty, nth) - k, 0)
+        nth += top - k
+        hi = word * 64 + _in_word(empty, nth) - top
+        far = np.flatnonzero(nth >= np.bitwise_count(empty))
+        hi[far] = self._after_zero(top[far])
+        return lo, hi
+
     def successor(self, keys: np.ndarray) -> np.ndarray:
         """Place of the first key that is as great, or n: the pointers of the key's high bits bound it, and a search of the low
         bits between them finds it."""
-        top = (keys >> np.uint64(self.width)).astype(np.int64)
+        return self._search(keys)[0]
+
+    def _search(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(successors, places of the first keys with greater high bits)."""
         low = keys & np.uint64((1 << self.width) - 1)
-        hi = self._after_zero(top)
-        lo = np.where(top > 0, self._after_zero(np.maximum(top - 1, 0)), 0)
+        lo, end = self._between((keys >> np.uint64(self.width)).astype(np.int64))
+        hi = end.copy()
         open_ = np.flatnonzero(lo < hi)
         while len(open_):
             mid = (lo[open_] + hi[open_]) >> 1
@@ -83,14 +99,14 @@ class EliasFano:
             lo[open_] = np.where(below, mid + 1, lo[open_])
             hi[open_] = np.where(below, hi[open_], mid)
             open_ = open_[lo[open_] < hi[open_]]
-        return lo
+        return lo, end
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Places of keys, -1 where a key isn't there."""
-        if not self.n:
-            return np.full(len(keys), -1, np.int64)
-        at = self.successor(keys)
-        top = (keys >> np.uint64(self.width)).astype(np.int64)
-        inside = at < self._after_zero(top)
-        held = self._low(np.where(inside, at, 0)) == keys & np.uint64((1 << self.width) - 1)
-        return np.where(inside & held, at, -1)
+        out = np.full(len(keys), -1, np.int64)
+        if self.n:
+            at, end = self._search(keys)
+            inside = np.flatnonzero(at < end)
+            held = inside[self._low(at[inside]) == keys[inside] & np.uint64((1 << self.width) - 1)]
+            out[held] = at[held]
+        return out

@@ -23,7 +23,7 @@ ORDER, MIN_COUNT, DISCOUNT = 3, 2, 0.75
 #: Hash of the end token; a word hashes to it once in 2 ** 64.
 END = np.uint64(0x0E0E0E0E0E0E0E0E)
 #: Entries of counts in a bucket, about, and characters of text that are taken at a time.
-BUCKET, CHARS = 2_000_000, 6_000_000
+BUCKET, CHARS = 2_000_000, 3_500_000
 #: Probabilities are kept as steps of log10, 255 of them over 10.
 STEPS = 25.5
 #: Marks a shard within the files that Spark writes; a random value.
@@ -75,8 +75,8 @@ class Shard:
 class Level:
     """A level's files, which Spark brings to each executor and workers map; what is read of them is in the page cache."""
 
-    def __init__(self, name: str, sizes: list[tuple[int, int]], bounds: list[int]):
-        self.name = name
+    def __init__(self, files: list[str], sizes: list[tuple[int, int]], bounds: list[int]):
+        self.files = files
         #: first node of each shard, and first context (level 1: hash)
         self.bounds = np.array(bounds, np.uint64)
         n = dict(sizes)
@@ -89,8 +89,8 @@ class Level:
     @cached_property
     def shards(self) -> dict[int, Shard]:
         found = {}
-        for path in sorted(Path(SparkFiles.get(self.name)).glob("*.parquet")):
-            with path.open("rb") as f:
+        for name in self.files:
+            with Path(SparkFiles.get(name)).open("rb") as f:
                 mapped = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
             at = mapped.find(MAGIC)
             while at >= 0:
@@ -112,17 +112,22 @@ class Level:
             if shard := self.shards.get(int(k)):
                 yield order[e - z : e], shard, int(self.before[k])
 
-    def find(self, contexts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(nodes or -1, log10 of their probability, their counts) of words in contexts."""
-        node, prob, count = np.full(len(words), -1, np.int64), np.zeros(len(words)), np.zeros(len(words), np.int64)
-        for rows, shard, before in self._each(contexts):
-            at = shard.keys.find((contexts[rows] - np.uint64(shard.first)) * np.uint64(shard.words) + words[rows])
-            hit = at >= 0
-            rows, at = rows[hit], at[hit]
-            node[rows], count[rows] = before + at, shard.count[at]
-            if len(shard.prob):
-                prob[rows] = shard.prob[at] / -STEPS
-        return node, prob, count
+    def find(self, contexts: np.ndarray, words: np.ndarray, n_words: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(nodes or -1, log10 of their probability, their counts) of words in contexts. Each distinct pair is looked up once, in
+        order, so that neighbours in memory are read one after the other."""
+        keys, back = np.unique(contexts * np.uint64(n_words) + words, return_inverse=True)
+        node, prob, count = np.full(len(keys), -1, np.int64), np.zeros(len(keys)), np.zeros(len(keys), np.int64)
+        cuts = np.append(np.searchsorted(keys, self.bounds * np.uint64(n_words)), len(keys))
+        for k in np.flatnonzero(np.diff(cuts)):
+            if shard := self.shards.get(int(k)):
+                part = slice(cuts[k], cuts[k + 1])
+                at = shard.keys.find(keys[part] - np.uint64(shard.first * n_words))
+                hit = np.flatnonzero(at >= 0)
+                rows, at = hit + cuts[k], at[hit]
+                node[rows], count[rows] = self.before[k] + at, shard.count[at]
+                if len(shard.prob):
+                    prob[rows] = shard.prob[at] / -STEPS
+        return node[back], prob[back], count[back]
 
     def backoff(self, contexts: np.ndarray) -> np.ndarray:
         out = np.zeros(len(contexts))
@@ -145,10 +150,9 @@ class Trie:
         return np.log10((count + 1) / (self.train_tokens + self.n_words + 1))
 
     def word_ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids or -1, counts) of word hashes; each distinct one is looked up once."""
-        distinct, back = np.unique(hashes, return_inverse=True)
-        ids, _, count = self.levels[0].find(distinct, np.zeros(len(distinct), np.uint64))
-        return ids[back], count[back]
+        """(ids or -1, counts) of word hashes."""
+        ids, _, count = self.levels[0].find(hashes, np.zeros(len(hashes), np.uint64))
+        return ids, count
 
     def walk(self, ids: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """For levels 2 and on: (context nodes, nodes, log10 probabilities, counts) of each token's n-gram, -1 for those that
@@ -158,7 +162,7 @@ class Trie:
         for level in self.levels[1:]:
             node, prob, count = np.full(len(ids), -1, np.int64), np.zeros(len(ids)), np.zeros(len(ids), np.int64)
             known = np.flatnonzero((above >= 0) & (ids >= 0))
-            node[known], prob[known], count[known] = level.find(above[known].astype(np.uint64), ids[known].astype(np.uint64))
+            node[known], prob[known], count[known] = level.find(above[known].astype(np.uint64), ids[known].astype(np.uint64), self.n_words)
             yield above, node, prob, count
             above = np.r_[np.int64(-1), node[:-1]]
             above[first] = -1
@@ -169,7 +173,7 @@ class Trie:
         out = base
         for level, (above, node, prob, _) in zip(self.levels[1:], self.walk(ids, first), strict=True):
             weight = np.zeros(len(ids))
-            there = np.flatnonzero(above >= 0)
+            there = np.flatnonzero((above >= 0) & (node < 0))
             weight[there] = level.backoff(above[there].astype(np.uint64))
             out = np.where(node >= 0, prob, out + weight)
         return out
@@ -226,13 +230,15 @@ def _level(blocks: DataFrame, build, bounds: list[int], min_count: int) -> Level
 
     spark = blocks.sparkSession
     built = blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(shards, "shard long, n long, total long, blob binary")
-    name = f"trie-{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark)}/lattica/{name}"
+    path = f"{shared_dir(spark)}/lattica/trie-{uuid.uuid4().hex}"
     # Plain pages hold each shard's bytes as they are, to be mapped.
     built.write.options(**{"compression": "none", "parquet.enable.dictionary": "false", "parquet.bloom.filter.enabled": "false"}).parquet(path)
-    rows = spark.read.schema(built.schema).parquet(path).select("shard", "n", "total").collect()  # a row a shard
-    spark.sparkContext.addFile(path, recursive=True)
-    level = Level(name, [(r["shard"], r["n"]) for r in rows], bounds)
+    table = spark.read.schema(built.schema).parquet(path)
+    rows = table.select("shard", "n", "total").collect()  # a row a shard
+    files = sorted(table.inputFiles())
+    for file in files:
+        spark.sparkContext.addFile(file)
+    level = Level([x.rsplit("/", 1)[-1] for x in files], [(r["shard"], r["n"]) for r in rows], bounds)
     level.total = sum(r["total"] for r in rows)
     return level
 
@@ -346,11 +352,9 @@ def _below(trie: Trie, context: np.ndarray, word: np.ndarray, first: int, last:
         mine = np.flatnonzero((distinct >= before) & (distinct < before + len(s.count)))
         if len(mine):
             last_word[mine] = keys_of(s.keys)[(distinct[mine] - np.uint64(before)).astype(np.int64)] % np.uint64(s.words)
-    tail = last_word[back]
-    ids = [tail]
     if len(trie.levels) > 2:
         raise ValueError("n-grams of up to three words")
-    _, prob, _ = trie.levels[1].find(ids[0], word)
+    _, prob, _ = trie.levels[1].find(last_word[back], word, trie.n_words)
     return total, 10**prob
 
 
