@@ -14,15 +14,17 @@ from functools import lru_cache
 
 import numpy as np
 
-#: White space that the byte-level pattern treats in runs, other than single spaces and line ends inside a text.
-_RUNS = re.compile(r"[^\S \n]|\s[ ]|\s\n|\A\s|\s\Z|\x00|[\x1c-\x1f]")
-#: A full stop or comma between a letter and white space is a piece of its own.
-_STOPS = re.compile(r"(?<=[A-Za-z])([.,])(?=[ \n]|\Z)")
-_STOPS_RAW = re.compile(rb"(?<=[a-z])([.,])(?=[ \t\n\r\x0b\x0c]|\Z)")
+#: White space that the byte-level pattern treats in runs, other than spaces and line ends; and the mark of a cut.
+_OTHER = re.compile("[\x00-\x09\x0b-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Letters below stay letters, one each, when they are lower-cased.
 _LATIN_END = "İ"
 
 
+def in_runs(text: str) -> bool:
+    """Whether white space stands in other places than alone between words."""
+    return any(x in text for x in ("  ", " \n", "\n ", "\n\n")) or text[0] in " \n" or text[-1] in " \n" or _OTHER.search(text) is not None
+
+
 def byte_letters() -> dict[int, int]:
     """How byte-level BPE writes bytes: those that print as themselves, the others as the characters from 256 on in turn."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -43,6 +45,11 @@ class _Units(dict):
             self.clear()
         text = unit.decode() if self.kind == "word" else unit
         word = text.removeprefix(" ")
+        if word[-1:] in (".", ",") and word[:-1].isalpha():
+            # A full stop or comma after a word is a piece of its own.
+            out = self[unit[:-1]] + self[unit[-1:]]
+            self[unit] = out
+            return out
         if word.isalpha() and max(word) < _LATIN_END:
             # A word of Latin letters is one piece: the model alone does, on its letters as bytes.
             if self.kind == "word":
@@ -61,7 +68,7 @@ class Encoder:
     kind "word": BPE with word ends, in lower case, that drops white space; a unit is a word.
     """
 
-    def __init__(self, path: str, kind: str, limit: int = 600_000):
+    def __init__(self, path: str, kind: str, limit: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -75,14 +82,14 @@ class Encoder:
         get, out = self.cache.__getitem__, []
         for text in texts:
             if self.kind == "word":
-                units = _STOPS_RAW.sub(rb" \1", (text or "").encode().lower()).split()
+                units = (text or "").encode().lower().split()
             elif not text:
                 units = []
-            elif _RUNS.search(text):
+            elif in_runs(text):
                 out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes())
                 continue
             else:
-                units = _STOPS.sub("\x00\\1", text).replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
+                units = text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
             out.append(b"".join(map(get, filter(None, units))))
         return out
 
