@@ -4,10 +4,11 @@ switching penalty labels the words of mixed texts."""
 from __future__ import annotations
 
 import math
+import uuid
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,8 @@ def script(word: str) -> str:
 
 def letters(token: str) -> str:
     """A token's letters in lower case."""
-    return "".join(filter(str.isalpha, token.lower()))
+    low = token.lower()
+    return low if low.isalpha() else "".join(filter(str.isalpha, low))
 
 
 def features(word: str) -> list[str]:
@@ -55,23 +57,70 @@ def features(word: str) -> list[str]:
 @dataclass
 class Model:
     langs: list[str]
-    #: feature -> log-probabilities by language.
-    table: dict[str, np.ndarray]
-    floor: np.ndarray
+    #: feature -> row of log-probabilities by language; the last row is that of unknown features.
+    index: dict[str, int]
+    matrix: np.ndarray
     scripts: dict[str, np.ndarray]
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
-    def score(self, token: str) -> tuple[np.ndarray, bool]:
-        """Scores by language, and whether the token has letters. A token without has none; a word in a script of no
+    def scores(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of tokens by language, and whether each has letters. A token without has zeros; a word in a script of no
         language is alike for all."""
-        word = letters(token)
-        if not word:
-            return np.zeros(max(len(self.langs), 1), np.float32), False
-        open_to = self.scripts.get(script(word))
-        if open_to is None:
-            return np.zeros(max(len(self.langs), 1), np.float32), True
-        found = [self.table.get(f, self.floor) for f in features(word)]
-        total = np.sum(found, axis=0) / math.sqrt(len(found))
-        return (total - np.where(open_to, 0, OUTSIDE)).astype(np.float32), True
+        words = [letters(t) for t in tokens]
+        get, unknown = self.index.get, len(self.index)
+        rows: list[int] = []
+        size = np.zeros(len(words), np.int64)
+        for i, word in enumerate(words):
+            if word:
+                found = features(word)
+                rows += [get(f, unknown) for f in found]
+                size[i] = len(found)
+        out = np.zeros((len(words), max(len(self.langs), 1)), np.float32)
+        some = np.flatnonzero(size)
+        if len(some) and self.langs:
+            first = (np.cumsum(size) - size)[some]
+            out[some] = np.add.reduceat(self.matrix[rows], first, 0) / np.sqrt(size[some])[:, None]
+            kind = [script(words[i]) for i in some]
+            names = sorted(set(kind))
+            outside = np.array([np.where(self.scripts[k], 0, OUTSIDE) if k in self.scripts else np.full(len(self.langs), np.nan) for k in names])
+            out[some] -= outside[[names.index(k) for k in kind]]
+            out[np.isnan(out)] = 0
+        return out, size > 0
+
+
+class Scorer:
+    """A process's scores of tokens under a model, kept from task to task. The cache is dropped at `limit` tokens, which bounds
+    its memory and changes no result."""
+
+    def __init__(self, model: Model, limit: int):
+        self.model, self.limit = model, limit
+        self.cache: dict[str, int] = {}
+        self.table, self.lettered = model.scores([])
+
+    def rows(self, tokens: list[list[str]]) -> list[np.ndarray]:
+        """Rows of the tables for each text's tokens."""
+        seen = set().union(*tokens)
+        missing = seen.difference(self.cache)
+        if missing and len(self.cache) > self.limit:
+            self.cache.clear()
+            self.table, self.lettered, missing = self.table[:0], self.lettered[:0], seen
+        if missing:
+            missing = list(missing)
+            self.cache.update(zip(missing, range(len(self.cache), len(self.cache) + len(missing)), strict=True))
+            table, lettered = self.model.scores(missing)
+            self.table, self.lettered = np.concatenate([self.table, table]), np.concatenate([self.lettered, lettered])
+        return [np.fromiter(map(self.cache.__getitem__, x), np.int64, len(x)) for x in tokens]
+
+
+_scorers: dict[str, Scorer] = {}
+
+
+def scorer(model: Model, limit: int) -> Scorer:
+    """This process's scorer of a model; those of other models go."""
+    if model.key not in _scorers:
+        _scorers.clear()
+        _scorers[model.key] = Scorer(model, limit)
+    return _scorers[model.key]
 
 
 def fit(labelled: DataFrame, max_docs: int = MAX_TRAINING_DOCS, max_features: int = MAX_FEATURES) -> Model:
@@ -101,16 +150,15 @@ def fit(labelled: DataFrame, max_docs: int = MAX_TRAINING_DOCS, max_features: in
     top = whole.orderBy(F.col("feature").startswith("@").desc(), F.col("total").desc(), "feature").limit(max_features).collect()
     langs = sorted({x for row in top for x in row["by"]})
     if not langs:
-        return Model([], {}, np.zeros(0), {})
+        return Model([], {}, np.zeros((1, 0), np.float32), {})
     matrix = {row["feature"]: np.array([row["by"].get(x, 0) for x in langs], float) for row in top}
     in_script = {f[1:]: n for f, n in matrix.items() if f[0] == "@"}
     words = sum(in_script.values())
-    table = {f: n for f, n in matrix.items() if f[0] != "@"}
-    sums = sum(table.values()) if table else np.ones(len(langs))
-    size = 0.5 * (len(table) + 1)
-    table = {f: np.log((n + 0.5) / (sums + size)).astype(np.float32) for f, n in table.items()}
+    names = [f for f in matrix if f[0] != "@"]
+    counts = np.array([matrix[f] for f in names] or np.zeros((0, len(langs))))
+    logs = np.log((np.vstack([counts, np.zeros(len(langs))]) + 0.5) / (counts.sum(0) + 0.5 * (len(names) + 1))).astype(np.float32)
     scripts = {s: n >= LEAST_SHARE * words for s, n in in_script.items()}
-    return Model(langs, table, np.log(0.5 / (sums + size)).astype(np.float32), {s: x for s, x in scripts.items() if x.any()})
+    return Model(langs, dict(zip(names, range(len(names)), strict=True)), logs, {s: x for s, x in scripts.items() if x.any()})
 
 
 def viterbi(scores: np.ndarray, sizes: np.ndarray, switch: float) -> np.ndarray:
@@ -150,7 +198,7 @@ def spans_of(label: np.ndarray) -> list[tuple[int, int, int]]:
     return list(zip(at.tolist(), np.diff(np.r_[at, len(label)]).tolist(), label[at].tolist(), strict=True))
 
 
-def identify(docs: DataFrame, model: Model, switch: float = SWITCH, max_cache: int = 300_000) -> DataFrame:
+def identify(docs: DataFrame, model: Model, switch: float = SWITCH, max_cache: int = 600_000) -> DataFrame:
     """docs (doc_id, text) with lang_pred, score and spans: array of (start, len, lang) in words cut at white space.
 
     lang_pred has most of the words with letters; score is their share, times how clearly they beat the other
@@ -164,30 +212,13 @@ def identify(docs: DataFrame, model: Model, switch: float = SWITCH, max_cache: i
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value
         n_langs = max(len(model.langs), 1)
-        cache: dict[str, int] = {}
-        table = np.zeros((0, n_langs), np.float32)
-        lettered = np.zeros(0, bool)
-
-        def rows_of(tokens: list[list[str]]) -> list[np.ndarray]:
-            nonlocal table, lettered
-            seen = set().union(*tokens) if tokens else set()
-            missing = seen.difference(cache)
-            if missing and len(cache) > max_cache:
-                cache.clear()
-                table, lettered, missing = table[:0], lettered[:0], seen
-            if missing:
-                missing = list(missing)
-                cache.update(zip(missing, range(len(cache), len(cache) + len(missing)), strict=True))
-                scored = [model.score(x) for x in missing]
-                table = np.concatenate([table, np.stack([s for s, _ in scored])])
-                lettered = np.concatenate([lettered, np.array([x for _, x in scored])])
-            return [np.fromiter(map(cache.__getitem__, x), np.int64, len(x)) for x in tokens]
+        scores_of = scorer(model, max_cache)
 
         def chunk(ids: pa.Array, tokens: list[list[str]]) -> pa.RecordBatch:
-            rows = rows_of(tokens)
+            rows = scores_of.rows(tokens)
             sizes = np.array([len(x) for x in rows], np.int64)
             flat = np.concatenate([*rows, np.zeros(0, np.int64)])
-            scores, has = table[flat], lettered[flat]
+            scores, has = scores_of.table[flat], scores_of.lettered[flat]
             label = viterbi(scores, sizes, switch)
             langs, out, spans = model.langs, [], []
             for end, n in zip(np.cumsum(sizes), sizes, strict=True):
