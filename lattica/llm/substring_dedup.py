@@ -23,6 +23,8 @@ MIN_WORDS, IDENTITY = 50, 0.8
 GAP = 0.25
 #: Words that an end is extended over without a match before it stops, and the widest gap that is aligned.
 DROP, WIDEST = 8, 64
+#: Words of a gap without a match over which two passages aren't one.
+CUT = 24
 #: Seeds in a bucket, about.
 BUCKET = 1_000_000
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
@@ -163,28 +165,93 @@ def _extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return to, int((a[:to] == b[:to]).sum())
 
 
-def align(path: list[tuple[int, int, int]], mine: np.ndarray, other: np.ndarray) -> tuple[int, int, int, int, int] | None:
-    """A chain aligned over the words of both documents: (start, words, other start, other words, matches). Segments are
-    checked word by word, gaps aligned, ends extended. None: not a passage."""
-    x, y, _ = path[0]
+def runs(path: list[tuple[int, int, int]], mine: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(runs, same): a chain as its longest runs of equal words (start, other start, words), and the words that the
+    alignment matches in the gap after each but the last."""
+    found: list[list[int]] = []
+    for x, y, n in path:
+        if found:  # what overlaps the segment before is counted once
+            shift = max(found[-1][0] + found[-1][2] - x, found[-1][1] + found[-1][2] - y, 0)
+            x, y, n = x + shift, y + shift, n - shift
+        if n <= 0:
+            continue
+        edge = np.flatnonzero(np.diff(np.r_[False, mine[x : x + n] == other[y : y + n], False]))
+        found += [[x + int(i), y + int(i), int(j - i)] for i, j in edge.reshape(-1, 2)]
+    same = []
+    for k in range(len(found) - 1):
+        (a, b, m), (x, y, _) = found[k : k + 2]
+        gap, of_gap = mine[a + m : x], other[b + m : y]
+        n = min(len(gap), len(of_gap))
+        differ = np.flatnonzero(gap[:n] != of_gap[:n])
+        ahead = int(differ[0]) if len(differ) else n
+        n -= ahead
+        differ = np.flatnonzero(gap[len(gap) - n :][::-1] != of_gap[len(of_gap) - n :][::-1])
+        behind = int(differ[0]) if len(differ) else n
+        found[k][2] += ahead
+        found[k + 1] = [x - behind, y - behind, found[k + 1][2] + behind]
+        same.append(_same(gap[ahead : len(gap) - behind], of_gap[ahead : len(of_gap) - behind]))
+    return np.array(found, np.int64).reshape(-1, 3), np.array(same, np.int64)
+
+
+def align(path: list[tuple[int, int, int]], mine: np.ndarray, other: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """The passages (start, words, other start, other words, matches) of a chain, aligned over the words of both documents.
+    Segments are checked word by word, gaps aligned, ends extended. A chain that isn't a passage as a whole gives its
+    longest stretches that are; one with a gap of over CUT words is cut there if both sides are passages."""
     u, v, n = path[-1]
     if u + n > len(mine) or v + n > len(other):
+        return []
+    run, same = runs(path, mine, other)
+    if not len(run):
+        return []
+    start, of_start = run[:, 0], run[:, 1]
+    stop, of_stop = start + run[:, 2], of_start + run[:, 2]
+    total = np.cumsum(run[:, 2]) + np.r_[0, np.cumsum(same)]  # matches up to each run's end
+    base = total - run[:, 2]
+    lost = np.maximum(start[1:] - stop[:-1], of_start[1:] - of_stop[:-1]) - same
+
+    def passage(i: int, j: int) -> tuple[int, int, int, int, int] | None:
+        """Runs i to j with ends extended, or as they are if only that has the identity."""
+        x, y, at, of, matched = int(start[i]), int(of_start[i]), int(stop[j]), int(of_stop[j]), int(total[j] - base[i])
+        left, before = _extend(mine[:x][::-1], other[:y][::-1])
+        right, after = _extend(mine[at:], other[of:])
+        for l, b, r, a in ((left, before, right, after), (0, 0, 0, 0)):
+            n, of_n, m = at - x + l + r, of - y + l + r, matched + a + b
+            if n >= MIN_WORDS and m >= IDENTITY * max(n, of_n):
+                return x - l, n, y - l, of_n, m
         return None
-    matched, at, of = 0, x, y
-    for a, b, m in path:
-        if a < at or b < of:  # what overlaps the segment before is counted once
-            shift = max(at - a, of - b)
-            a, b, m = a + shift, b + shift, m - shift
-            if m <= 0:
-                continue
-        matched += _same(mine[at:a], other[of:b]) + int((mine[a : a + m] == other[b : b + m]).sum())
-        at, of = a + m, b + m
-    left, before = _extend(mine[:x][::-1], other[:y][::-1])
-    right, after = _extend(mine[at:], other[of:])
-    x, y, at, of, matched = x - left, y - left, at + right, of + right, matched + before + after
-    if at - x < MIN_WORDS or matched < IDENTITY * max(at - x, of - y):
-        return None
-    return x, at - x, y, of - y, matched
+
+    def longest(i: int, j: int) -> Iterator[tuple[int, int]]:
+        """Stretches of runs i to j with the identity, those with most matches first."""
+        ranked = []
+        for k in range(i, j + 1):
+            matched = total[k : j + 1] - base[k]
+            good = matched >= IDENTITY * np.maximum(stop[k : j + 1] - start[k], of_stop[k : j + 1] - of_start[k])
+            good &= matched >= MIN_WORDS // 4
+            if good.any():
+                to = int(np.flatnonzero(good)[-1])
+                ranked.append((-int(matched[to]), k, k + to))
+        return ((k, to) for _, k, to in sorted(ranked))
+
+    out, todo = [], [(0, len(run) - 1)]
+    while todo:
+        i, j = todo.pop()
+        if i > j:
+            continue
+        found = passage(i, j)
+        if not found:
+            for k, to in longest(i, j):
+                if passage(k, to):
+                    todo += [(k, to), (i, k - 1), (to + 1, j)]
+                    break
+            continue
+        wide = i + np.flatnonzero(lost[i:j] > CUT)
+        for k in wide[np.argsort(-lost[wide], kind="stable")].tolist():
+            if passage(i, k) and passage(k + 1, j):
+                todo += [(i, k), (k + 1, j)]
+                break
+        else:
+            out.append(found)
+    return out
 
 
 def seed_links(docs: DataFrame) -> DataFrame:
@@ -309,8 +376,8 @@ def passages(docs: DataFrame) -> DataFrame:
                     for t in (mine, other):
                         if t not in known:
                             known[t] = Words([t]).words()
-                    if found := align([tuple(x) for x in np.frombuffer(path, np.int32).reshape(-1, 3).tolist()], known[mine], known[other]):
-                        out.append((doc, found[0], found[1], of, *found[2:]))
+                    for x, n, *rest in align([tuple(x) for x in np.frombuffer(path, np.int32).reshape(-1, 3).tolist()], known[mine], known[other]):
+                        out.append((doc, x, n, of, *rest))
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(7)], ["doc_id", "start", "n_words", "of_doc_id", "of_start", "of_n_words", "matched"])
 
     found = both.mapInArrow(aligned, "doc_id long, start long, n_words long, of_doc_id long, of_start long, of_n_words long, matched long").distinct()

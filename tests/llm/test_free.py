@@ -161,6 +161,21 @@ def test_chains_equal_brute_force():
         assert abs(score - max(best.values())) < 1e-9
 
 
+@pytest.mark.parametrize("gap, of_gap", [(30, 30), (40, 40), (70, 70), (150, 150), (0, 70), (150, 0)])
+def test_passages_around_a_gap_are_all_found(gap, of_gap):
+    p = fixtures.prose(740, 200).split()
+    mine = fixtures.prose(741, 30).split() + p[:100] + fixtures.prose(742, gap).split() + p[100:] + fixtures.prose(743, 30).split()
+    other = p[:100] + fixtures.prose(744, of_gap).split() + p[100:]
+    path = [(30, 0, 100), (130 + gap, 100 + of_gap, 100)]
+    got = sorted(substring_dedup.align(path, Words([" ".join(mine)]).words(), Words([" ".join(other)]).words()))
+    covered = set().union(*(range(x, x + n) for x, n, *_ in got))
+    assert len(got) == 2 and covered >= {*range(30, 130), *range(130 + gap, 230 + gap)} and len(covered) <= 206
+    # an exact passage within a segment that has too few equal words
+    loose = [w if i < 60 or i % 2 else "x" for i, w in enumerate(p)]
+    ((x, n, *_),) = substring_dedup.align([(0, 0, 200)], Words([" ".join(loose)]).words(), Words([" ".join(p)]).words())
+    assert x == 0 and n >= 60
+
+
 def test_documents_without_passages(spark):
     docs = fixtures.documents(spark, extra=True)
     out = substring_dedup.without_passages(docs)
