@@ -275,7 +275,8 @@ def seed_links(docs: DataFrame) -> DataFrame:
             texts, ids, keys = (batch.column(c) for c in range(3))
             texts, ids, keys = texts.to_pylist(), ids.to_numpy(), keys.to_numpy()
             for a, b in chunks(texts):
-                new = a + np.unique(keys[a:b], return_index=True)[1]
+                order = a + np.lexsort((ids[a:b], keys[a:b]))  # of equal texts the least doc_id gives the seeds
+                new = order[np.r_[True, np.diff(keys[order]) != 0]]
                 entry = seeds([texts[i] for i in new], ids[new])
                 yield rows(0, ids[a:b], ids[a:b], np.array([len((t or "").encode().split()) for t in texts[a:b]]), keys[a:b], np.zeros(b - a, np.int64))
                 firsts, links = matches(entry)

@@ -176,6 +176,13 @@ def test_passages_around_a_gap_are_all_found(gap, of_gap):
     assert x == 0 and n >= 60
 
 
+def test_least_of_equal_texts_gives_the_seeds_of_unsorted_rows(spark):
+    p, copy = fixtures.prose(750, 60), fixtures.prose(751, 40)
+    rows = [(10, copy + " " + p), (3, copy + " " + p), (5, p + " " + fixtures.prose(752, 40))]
+    got = substring_dedup.passages(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)).collect()
+    assert {(r.doc_id, r.of_doc_id) for r in got} == {(5, 3), (10, 3)}
+
+
 def test_documents_without_passages(spark):
     docs = fixtures.documents(spark, extra=True)
     out = substring_dedup.without_passages(docs)
