@@ -16,11 +16,13 @@ from lattica.llm.common import documents, materialize
 from lattica.llm.shingles import Words, chunks, mix
 
 #: Words of a seed, and of the window that chooses one: equal runs of SEED + WINDOW - 1 words share one.
-SEED, WINDOW = 6, 10
+SEED, WINDOW = 4, 2
 #: Least words of a passage, and least share of its words that the other document has too.
 MIN_WORDS, IDENTITY = 50, 0.8
 #: What a word of a gap costs, in words of seeds.
-GAP = 0.25
+GAP = 0.1
+#: Least words that the segments of a chain hold, and that it spans, before it is aligned.
+HELD, SPAN = 12, 16
 #: Words that an end is extended over without a match before it stops, and the widest gap that is aligned.
 DROP, WIDEST = 8, 64
 #: Words of a gap without a match over which two passages aren't one.
@@ -59,6 +61,20 @@ def seeds(texts: list[str | None], doc_ids: np.ndarray) -> np.ndarray:
     return out
 
 
+def packed(entry: np.ndarray) -> bytes:
+    """Entries by column, which compresses well in order of document and place."""
+    return b"".join(entry[c].tobytes() for c in ENTRY.names)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    n, at = len(data) // ENTRY.itemsize, 0
+    out = np.empty(n, ENTRY)
+    for c in ENTRY.names:
+        out[c] = np.frombuffer(data, ENTRY[c], n, at)
+        at += n * ENTRY[c].itemsize
+    return out
+
+
 def matches(entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(firsts, links): of the entries of each hash the first by document and place, and links to it from the other documents."""
     entry = entry[np.lexsort((entry["pos"], entry["doc"], entry["h"]))]
@@ -137,6 +153,13 @@ def chain(parts: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]
     return out
 
 
+def candidates(pos: np.ndarray, of_pos: np.ndarray) -> list[list[tuple[int, int, int]]]:
+    """The chains of the matches of two documents that are worth an alignment."""
+    if len(pos) * SEED < HELD:
+        return []
+    return [x for x in chain(segments(pos, of_pos)) if sum(n for *_, n in x) >= HELD and x[-1][0] + x[-1][2] - x[0][0] >= SPAN]
+
+
 def _same(a: np.ndarray, b: np.ndarray) -> int:
     """Words of a gap that an alignment matches: the longest common subsequence, of narrow gaps."""
     if not len(a) or not len(b):
@@ -218,7 +241,19 @@ def align(path: list[tuple[int, int, int]], mine: np.ndarray, other: np.ndarray)
             n, of_n, m = at - x + l + r, of - y + l + r, matched + a + b
             if n >= MIN_WORDS and m >= IDENTITY * max(n, of_n):
                 return x - l, n, y - l, of_n, m
-        return None
+        # Too short: the nearest equal words beyond the ends with which it is long enough and has the identity.
+        x, y, at, of, matched = x - left, y - left, at + right, of + right, matched + before + after
+        need = MIN_WORDS - (at - x)
+        if need <= 0 or need > MIN_WORDS // 2:
+            return None
+        far = need + DROP
+        a, b = min(far, x, y), min(far, len(mine) - at, len(other) - of)
+        left, right = (np.flatnonzero(np.r_[True, e]) for e in (mine[x - a : x][::-1] == other[y - a : y][::-1], mine[at : at + b] == other[of : of + b]))
+        more, at_left, at_right = min(((l + r, k, q) for k, l in enumerate(left.tolist()) for q, r in enumerate(right.tolist()) if l + r >= need and matched + k + q >= IDENTITY * (max(at - x, of - y) + l + r)), default=(0, 0, 0))
+        if not more:
+            return None
+        l = int(left[at_left])
+        return x - l, at - x + more, y - l, of - y + more, matched + at_left + at_right
 
     def longest(i: int, j: int) -> Iterator[tuple[int, int]]:
         """Stretches of runs i to j with the identity, those with most matches first."""
@@ -282,17 +317,17 @@ def seed_links(docs: DataFrame) -> DataFrame:
                 firsts, links = matches(entry)
                 yield rows(1, links[0], *links)
                 bucket = (mix(firsts["h"]) % np.uint64(buckets)).astype(np.int64)
-                firsts = firsts[np.argsort(bucket, kind="stable")]
+                firsts = firsts[np.lexsort((firsts["pos"], firsts["doc"], bucket))]
                 used, n = np.unique(bucket, return_counts=True)
                 cut = np.cumsum(n)
-                yield rows(2, used, data=[firsts[e - z : e].tobytes() for e, z in zip(cut, n, strict=True)])
+                yield rows(2, used, data=[packed(firsts[e - z : e]) for e, z in zip(cut, n, strict=True)])
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
         now = None
 
         def close() -> pa.RecordBatch:
-            links = matches(np.frombuffer(b"".join(held), ENTRY))[1]
+            links = matches(np.concatenate([*held, np.zeros(0, ENTRY)]))[1]
             return rows(1, links[0], *links)
 
         for batch in batches:
@@ -303,7 +338,7 @@ def seed_links(docs: DataFrame) -> DataFrame:
                 if parts[i] != now:
                     yield close()
                     held, now = [], parts[i]
-                held.append(batch.column("data")[int(i)].as_py())
+                held.append(unpacked(batch.column("data")[int(i)].as_py()))
         if held:
             yield close()
 
@@ -313,7 +348,7 @@ def seed_links(docs: DataFrame) -> DataFrame:
 
 
 def _chains(links: DataFrame) -> DataFrame:
-    """doc, of, path: chains of the links of each pair of documents, of MIN_WORDS / 2 words or more. A document's links are
+    """doc, of, path: candidates of the links of each pair of documents. A document's links are
     as many as its seeds, a few times over."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,14 +358,10 @@ def _chains(links: DataFrame) -> DataFrame:
             cut = np.flatnonzero(np.r_[True, (np.diff(x[0]) != 0) | (np.diff(x[2]) != 0)])
             docs, ofs, paths = [], [], []
             for a, b in zip(cut, np.r_[cut[1:], x.shape[1]], strict=True):
-                parts = segments(x[1, a:b], x[3, a:b])
-                if sum(n for *_, n in parts) < MIN_WORDS // 4:
-                    continue
-                for path in chain(parts):
-                    if path[-1][0] + path[-1][2] - path[0][0] >= MIN_WORDS // 2:
-                        docs.append(int(x[0, a]))
-                        ofs.append(int(x[2, a]))
-                        paths.append(np.array(path, np.int32).tobytes())
+                for path in candidates(x[1, a:b], x[3, a:b]):
+                    docs.append(int(x[0, a]))
+                    ofs.append(int(x[2, a]))
+                    paths.append(np.array(path, np.int32).tobytes())
             return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(ofs, pa.int64()), pa.array(paths, pa.binary())], ["doc", "of", "path"])
 
         for batch in batches:

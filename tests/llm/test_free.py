@@ -176,6 +176,20 @@ def test_passages_around_a_gap_are_all_found(gap, of_gap):
     assert x == 0 and n >= 60
 
 
+@pytest.mark.parametrize("n, every, least", [(51, 10, 0.95), (52, 7, 0.8), (60, 5, 0.8), (60, 7, 0.95), (100, 5, 0.9), (100, 7, 0.95), (100, 10, 0.95), (200, 5, 0.95), (200, 10, 0.95)])
+def test_seeds_find_fuzzy_passages(n, every, least):
+    rng = np.random.default_rng(5)
+    found = 0
+    for _ in range(40):
+        p = [f"w{x}" for x in rng.integers(0, 10**9, n)]
+        q = [f"x{rng.integers(0, 10**9)}" if i % every == every // 2 else w for i, w in enumerate(p)]
+        of, mine = (" ".join([*(f"r{x}" for x in rng.integers(0, 10**9, 50)), *t, *(f"r{x}" for x in rng.integers(0, 10**9, 50))]) for t in (p, q))
+        links = substring_dedup.matches(substring_dedup.seeds([of, mine], np.array([1, 2])))[1]
+        paths = substring_dedup.candidates(links[1], links[3])
+        found += any(m >= n - 8 for path in paths for _, m, *_ in substring_dedup.align(path, Words([mine]).words(), Words([of]).words()))
+    assert found >= least * 40
+
+
 def test_least_of_equal_texts_gives_the_seeds_of_unsorted_rows(spark):
     p, copy = fixtures.prose(750, 60), fixtures.prose(751, 40)
     rows = [(10, copy + " " + p), (3, copy + " " + p), (5, p + " " + fixtures.prose(752, 40))]
