@@ -33,6 +33,7 @@ _WORD = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 
 ENTRY = np.dtype([("h", "<u8"), ("doc", "<i8"), ("pos", "<i4")])
 LINK = ["doc", "pos", "of", "of_pos"]
+SPANS = "array<struct<start:bigint,n_words:bigint>>"
 
 
 def seeds(texts: list[str | None], doc_ids: np.ndarray) -> np.ndarray:
@@ -76,14 +77,14 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 def matches(entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(firsts, links): of the entries of each hash the first by document and place, and links to it from the other documents."""
+    """(firsts, links): of the entries of each hash the first by document and place, and links to it from the other documents, with the hash."""
     entry = entry[np.lexsort((entry["pos"], entry["doc"], entry["h"]))]
     begins = np.r_[True, entry["h"][1:] != entry["h"][:-1]] if len(entry) else np.zeros(0, bool)
     firsts = entry[begins]
     of = firsts[np.cumsum(begins) - 1]
     other = of["doc"] != entry["doc"]
     e, of = entry[other], of[other]
-    return firsts, np.stack([e["doc"], e["pos"].astype(np.int64), of["doc"], of["pos"].astype(np.int64)])
+    return firsts, np.stack([e["doc"], e["pos"].astype(np.int64), of["doc"], of["pos"].astype(np.int64), e["h"].view(np.int64)])
 
 
 class Fenwick:
@@ -291,18 +292,19 @@ def align(path: list[tuple[int, int, int]], mine: np.ndarray, other: np.ndarray)
 
 def seed_links(docs: DataFrame) -> DataFrame:
     """A written table of two kinds of rows of docs (doc_id, text). 0: doc = doc_id, of = hash of the text, pos = words. 1: a link
-    (doc, pos, of, of_pos): the seed at pos of doc is at of_pos of the document `of`, which has the lower doc_id.
+    (doc, pos, of, of_pos, h): the seed at pos of doc is at of_pos of the document `of`, which has the lower doc_id; h is its hash.
 
     A task links what its chunk of texts shares and sends on one entry a seed, in a block for each bucket of hashes; equal
     texts of a chunk count once. So a seed that very many documents hold gives few entries to its bucket."""
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(64, int(chars / 5 * 2 / (WINDOW + 1) / BUCKET))
-    schema = "kind int, part long, doc long, pos long, of long, of_pos long, data binary"
-    names = ["kind", "part", *LINK, "data"]
+    schema = "kind int, part long, doc long, pos long, of long, of_pos long, h long, data binary"
+    names = ["kind", "part", *LINK, "h", "data"]
 
     def rows(kind: int, part: np.ndarray, *link: np.ndarray, data: list | None = None) -> pa.RecordBatch:
         n = len(part)
-        link = [pa.array(x, pa.int64()) for x in link] or [pa.nulls(n, pa.int64())] * 4
+        link = [pa.array(x, pa.int64()) for x in link] or []
+        link += [pa.nulls(n, pa.int64())] * (5 - len(link))
         return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(part), *link, pa.array(data, pa.binary()) if data is not None else pa.nulls(n, pa.binary())], names)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -381,19 +383,61 @@ def _chains(links: DataFrame) -> DataFrame:
     return rows.mapInArrow(each, "doc long, of long, path binary")
 
 
-def passages(docs: DataFrame) -> DataFrame:
-    """Passages of docs (doc_id, text) that documents with lower doc_ids have too: doc_id, start, n_words, of_doc_id, of_start,
-    of_n_words, matched (words in order). Places are in words, cut at ASCII white space; A-Z match a-z.
+def _holders(links: DataFrame, found: DataFrame) -> DataFrame:
+    """h, doc, pos, open: the places of seeds that several documents hold, in stretches of such seeds that are long enough
+    for a passage. open: a document before has the seed too, and no passage found covers the stretch there."""
+    mine = links.select("doc", "pos", "h", F.lit(True).alias("later"))
+    places = mine.union(links.select("of", "of_pos", "h", F.lit(False))).groupBy("doc", "pos").agg(F.first("h").alias("h"), F.max("later").alias("later"))
+    places = places.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("pos", "h", "later"))).alias("at"))
+    spans = found.groupBy("doc_id").agg(F.collect_set(F.struct("start", "n_words")).alias("spans"))
+    rows = places.join(spans, F.col("doc") == F.col("doc_id"), "left").select("doc", "at", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
-    A passage has MIN_WORDS words or more and IDENTITY of them in common. It links a document to the first that holds
-    its seeds, not to all, so that a passage in n documents gives about n rows. A document whose whole text another
-    has, is a passage of the one with the least doc_id.
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, doc in enumerate(batch.column("doc").to_pylist()):
+                at = batch.column("at").slice(k, 1).flatten()
+                pos, h, later = (at.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+                covered = np.zeros(int(pos[-1]) + SEED, bool)
+                for s in batch.column("spans")[k].as_py():
+                    covered[s["start"] : s["start"] + s["n_words"]] = True
+                free = ~covered[pos]
+                keep, wanted = np.zeros(len(pos), bool), np.zeros(len(pos), bool)
+                for mask, out in ((np.ones(len(pos), bool), keep), (free, wanted)):
+                    i = np.flatnonzero(mask)
+                    if len(i):
+                        cut = np.r_[True, np.diff(pos[i]) > SEED + WINDOW]
+                        run = np.cumsum(cut) - 1
+                        stop = np.flatnonzero(np.r_[cut[1:], True])
+                        out[i] = (pos[i][stop] + SEED + 2 * WINDOW >= pos[i][cut] + MIN_WORDS)[run]
+                n = int(keep.sum())
+                yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(np.full(n, doc, np.int64)), pa.array(pos[keep].astype(np.int64)), pa.array((wanted & later)[keep])], ["h", "doc", "pos", "open"])
+
+    return rows.mapInArrow(each, "h long, doc long, pos long, open boolean")
+
+
+def _earlier(holders: DataFrame, least: int) -> DataFrame:
+    """Links of open places to holders of the seed in the documents `least` to 2 * least - 1 before theirs."""
 
-    Null and short texts have no passage. A null doc_id takes no part. Rows that repeat a doc_id are one document.
-    Other columns are ignored.
-    """
-    table = seed_links(docs)
-    paths = materialize(_chains(table.where("kind = 1")), "substring-chains")
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, before = None, []  # (document, its first place) of the hash so far
+        for batch in batches:
+            out: list[tuple[int, int, int, int]] = []
+            for h, doc, pos, open_ in zip(*(batch.column(c).to_pylist() for c in ("h", "doc", "pos", "open")), strict=True):
+                if h != now:
+                    now, before = h, []
+                if not before or before[-1][0] != doc:
+                    before.append((doc, pos))
+                if open_ and (to := len(before) - 1 - least) >= 0:
+                    out += [(doc, pos, *x) for x in before[max(0, to - least + 1) : to + 1]]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(4)], LINK)
+
+    rows = holders.join(holders.where("open").select("h").distinct(), "h", "left_semi")
+    return rows.select("h", "doc", "pos", "open").repartition("h").sortWithinPartitions("h", "doc", "pos").mapInArrow(each, "doc long, pos long, of long, of_pos long")
+
+
+def _aligned(docs: DataFrame, chains: DataFrame) -> DataFrame:
+    """The passages of chains."""
+    paths = materialize(chains, "substring-chains")
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), "text")
     both = paths.join(texts.select(F.col("id").alias("doc"), F.col("text").alias("mine")), "doc")
     both = both.join(texts.select(F.col("id").alias("of"), F.col("text").alias("other")), "of").select("doc", "of", "path", "mine", "other")
@@ -412,14 +456,45 @@ def passages(docs: DataFrame) -> DataFrame:
                         out.append((doc, x, n, of, *rest))
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(7)], ["doc_id", "start", "n_words", "of_doc_id", "of_start", "of_n_words", "matched"])
 
-    found = both.mapInArrow(aligned, "doc_id long, start long, n_words long, of_doc_id long, of_start long, of_n_words long, matched long").distinct()
+    return both.mapInArrow(aligned, "doc_id long, start long, n_words long, of_doc_id long, of_start long, of_n_words long, matched long").distinct()
+
+
+def _copies(table: DataFrame) -> DataFrame:
+    """Whole texts that a document before has too, as passages."""
     rows = table.where(f"kind = 0 AND pos >= {MIN_WORDS}").select("doc", F.col("of").alias("text_key"), F.col("pos").alias("n"))
     least = rows.groupBy("text_key").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    copies = rows.join(least, "text_key").where("doc > least").select(
+    return rows.join(least, "text_key").where("doc > least").select(
         F.col("doc").alias("doc_id"), F.lit(0).cast("long").alias("start"), F.col("n").alias("n_words"), F.col("least").alias("of_doc_id"),
         F.lit(0).cast("long").alias("of_start"), F.col("n").alias("of_n_words"), F.col("n").alias("matched"),
     )
-    return materialize(found.union(copies).distinct(), "substring-passages")
+
+
+def passages(docs: DataFrame) -> DataFrame:
+    """Passages of docs (doc_id, text) that documents with lower doc_ids have too: doc_id, start, n_words, of_doc_id, of_start,
+    of_n_words, matched (words in order). Places are in words, cut at ASCII white space; A-Z match a-z.
+
+    A passage has MIN_WORDS words or more and IDENTITY of them in common. It links a document to the first that holds
+    its seeds, and where that gives no passage to those between, so that a passage in n documents gives about n rows. A document whose whole text another
+    has, is a passage of the one with the least doc_id.
+
+    Null and short texts have no passage. A null doc_id takes no part. Rows that repeat a doc_id are one document.
+    Other columns are ignored.
+    """
+    table = seed_links(docs)
+    links = table.where("kind = 1")
+    found = _aligned(docs, _chains(links))
+    copies = _copies(table)
+    found = materialize(found.union(copies).distinct(), "substring-passages")
+    # Seeds whose first holders are many documents that hold parts of a passage: pair what stays open with the holders
+    # before, 1, 2 to 3, 4 to 7, ... documents back, until none is open or has such a holder.
+    least = 1
+    while True:
+        holders = materialize(_holders(links, found), "substring-holders")
+        more = materialize(_earlier(holders, least), "substring-links")
+        if more.isEmpty():
+            return found
+        found = materialize(found.union(_aligned(docs, _chains(more))).distinct(), "substring-passages")
+        least *= 2
 
 
 def without_passages(docs: DataFrame) -> DataFrame:

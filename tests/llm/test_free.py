@@ -190,6 +190,18 @@ def test_seeds_find_fuzzy_passages(n, every, least):
     assert found >= least * 40
 
 
+def test_passages_whose_seeds_have_many_first_holders(spark):
+    p = fixtures.prose(760, 60).split()
+    fill = lambda k, words: " ".join([*fixtures.prose(770 + k, 40).split(), *words, *fixtures.prose(790 + k, 40).split()])
+    # each part of the passage has other holders before the two that have all of it, at varied distance
+    parts = [p[a : a + 16] for a in range(0, 60, 12)]
+    rows = [(k, fill(k, parts[k % 5])) for k in range(10)] + [(10, fill(10, p))]
+    rows += [(11 + k, fill(11 + k, parts[k])) for k in range(4)] + [(15, fill(15, p))]
+    got = substring_dedup.passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {(r.doc_id, r.of_doc_id) for r in got} == {(15, 10)}
+    assert got[0].start <= 40 and got[0].start + got[0].n_words >= 100
+
+
 def test_least_of_equal_texts_gives_the_seeds_of_unsorted_rows(spark):
     p, copy = fixtures.prose(750, 60), fixtures.prose(751, 40)
     rows = [(10, copy + " " + p), (3, copy + " " + p), (5, p + " " + fixtures.prose(752, 40))]
