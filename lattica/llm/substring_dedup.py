@@ -431,8 +431,17 @@ def _earlier(holders: DataFrame, least: int) -> DataFrame:
                     out += [(doc, pos, *x) for x in before[max(0, to - least + 1) : to + 1]]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(4)], LINK)
 
-    rows = holders.join(holders.where("open").select("h").distinct(), "h", "left_semi")
-    return rows.select("h", "doc", "pos", "open").repartition("h").sortWithinPartitions("h", "doc", "pos").mapInArrow(each, "doc long, pos long, of long, of_pos long")
+    rows = holders.repartition("h").sortWithinPartitions("h", "doc", "pos")
+    return rows.mapInArrow(each, "doc long, pos long, of long, of_pos long")
+
+
+def _still_open(holders: DataFrame, found: DataFrame) -> DataFrame:
+    """holders with open only where no passage found covers the place, of the hashes that have an open place."""
+    spans = found.select(F.col("doc_id").alias("doc"), "start", (F.col("start") + F.col("n_words")).alias("stop"))
+    wanted = holders.where("open").select("doc", "pos", "h").alias("w").join(spans.alias("s"), F.expr("w.doc = s.doc AND w.pos >= s.start AND w.pos < s.stop"), "left_anti")
+    wanted = materialize(wanted.withColumn("still", F.lit(True)), "substring-open")
+    rows = holders.select("h", "doc", "pos").join(wanted.select("h").distinct(), "h", "left_semi")
+    return rows.join(wanted, ["h", "doc", "pos"], "left").select("h", "doc", "pos", F.coalesce("still", F.lit(False)).alias("open"))
 
 
 def _aligned(docs: DataFrame, chains: DataFrame) -> DataFrame:
@@ -487,13 +496,17 @@ def passages(docs: DataFrame) -> DataFrame:
     found = materialize(found.union(copies).distinct(), "substring-passages")
     # Seeds whose first holders are many documents that hold parts of a passage: pair what stays open with the holders
     # before, 1, 2 to 3, 4 to 7, ... documents back, until none is open or has such a holder.
-    least = 1
+    holders = materialize(_holders(links, found), "substring-holders")
+    holders = materialize(holders.join(holders.where("open").select("h").distinct(), "h", "left_semi"), "substring-holders")
+    all_found, least = found, 1
     while True:
-        holders = materialize(_holders(links, found), "substring-holders")
         more = materialize(_earlier(holders, least), "substring-links")
         if more.isEmpty():
-            return found
-        found = materialize(found.union(_aligned(docs, _chains(more))).distinct(), "substring-passages")
+            return materialize(all_found.distinct(), "substring-passages") if least > 1 else found
+        found = materialize(_aligned(docs, _chains(more)), "substring-passages")
+        all_found = all_found.union(found)
+        if not found.isEmpty():
+            holders = materialize(_still_open(holders, found), "substring-holders")
         least *= 2
 
 
