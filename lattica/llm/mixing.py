@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.llm.common import WORD, in_order, materialize, n_words
@@ -123,19 +123,19 @@ def mix(docs: DataFrame, n_shards: int = 16, max_repeat: int = 3, blocks: int =
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs as the mix takes them, with docs' columns: a row for each run of words that an epoch takes of a document
-    (whole documents in whole epochs). text is that run with its own white space; n_chars, if there, is its length.
-    The other columns are the document's."""
+    """docs as the mix takes them, with docs' columns: a row for each run of words that a shard takes of a document in an
+    epoch, in order of shards and, within a shard, of place; a large shard goes on over several partitions. text is that
+    run with its own white space; n_chars, if there, is its length. The other columns are the document's."""
     plan = mix(docs, **options).select("doc_id", "pieces")
     # Equal rows are interchangeable: each takes one of the plans for its id.
     plan = plan.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.size("pieces"), F.xxhash64(F.to_json(F.struct("pieces"))))))
     size = n_words(F.col("text"))
     rows = docs.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id").orderBy(size)))
-    # Neighbouring pieces of an epoch join to one run.
-    runs = """aggregate(array_sort(transform(pieces, x -> named_struct('epoch', x.epoch, 'start', x.start, 'len', x.len))),
-        cast(array() AS ARRAY<STRUCT<epoch: BIGINT, start: BIGINT, len: BIGINT>>),
-        (a, x) -> if(size(a) > 0 AND element_at(a, -1).epoch = x.epoch AND element_at(a, -1).start + element_at(a, -1).len = x.start,
-            concat(slice(a, 1, size(a) - 1), array(named_struct('epoch', x.epoch, 'start', element_at(a, -1).start, 'len', element_at(a, -1).len + x.len))),
+    # Neighbouring pieces of an epoch that one shard draws join to one run, at the place of its first.
+    runs = """aggregate(array_sort(transform(pieces, x -> named_struct('shard', x.shard, 'epoch', x.epoch, 'start', x.start, 'len', x.len, 'place', x.place))),
+        cast(array() AS ARRAY<STRUCT<shard: INT, epoch: BIGINT, start: BIGINT, len: BIGINT, place: BIGINT>>),
+        (a, x) -> if(size(a) > 0 AND element_at(a, -1).shard = x.shard AND element_at(a, -1).epoch = x.epoch AND element_at(a, -1).start + element_at(a, -1).len = x.start,
+            concat(slice(a, 1, size(a) - 1), array(named_struct('shard', x.shard, 'epoch', x.epoch, 'start', element_at(a, -1).start, 'len', element_at(a, -1).len + x.len, 'place', element_at(a, -1).place))),
             concat(a, array(x))))"""
     plan = plan.withColumn("_runs", F.expr(runs)).where(F.size("_runs") > 0).drop("pieces")
     joined = rows.alias("d").join(plan.alias("p"), F.expr("d.doc_id <=> p.doc_id AND d._k = p._k")).select("d.*", "p._runs")
@@ -146,10 +146,15 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.orderBy("_run.shard", "_run.place", "doc_id", "_run.epoch", "_run.start").select(*docs.columns)
+
+
+def by_shard(pieces: str, n_shards: int = 16) -> Column:
+    """Words that each shard takes."""
+    return F.expr(f"transform(sequence(0, {n_shards - 1}), s -> aggregate(filter({pieces}, x -> x.shard = s), 0L, (a, x) -> a + x.len))")
 
 
 def op3_source_mixing(spark, sf_dir: str) -> DataFrame:
     mixed = mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
     taken = F.aggregate("pieces", F.lit(0).cast("long"), lambda a, x: a + x["len"])
-    return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.size("pieces").alias("n_pieces"))
+    return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.size("pieces").alias("n_pieces"), by_shard("pieces").alias("taken_by_shard"))

@@ -135,6 +135,28 @@ def test_mixed_documents_hold_the_words_of_the_mix(spark):
     assert all(r.text in texts[r.doc_id] and r.n_chars == len(r.text) for r in rows)
 
 
+def test_mixed_documents_come_by_shard_and_in_order_of_place(spark, tmp_path):
+    docs = fixtures.documents(spark).where("doc_id < 24").dropDuplicates(["doc_id"])
+    texts = {r.doc_id: WORD.findall(r.text) for r in docs.collect()}
+    want = []
+    for r in mixing.mix(docs).collect():
+        runs = []
+        for p in sorted(r.pieces, key=lambda p: (p.shard, p.epoch, p.start)):
+            if runs and runs[-1][0] == p.shard and runs[-1][2] == p.epoch and runs[-1][3] + runs[-1][4] == p.start:
+                runs[-1][4] += p.len
+            else:
+                runs.append([p.shard, p.place, p.epoch, p.start, p.len, r.doc_id])
+        want += runs
+    want = [(i, texts[i][a : a + n]) for _, _, _, a, n, i in sorted(want)]
+    got = [(r.doc_id, WORD.findall(r.text)) for r in mixing.mixed_documents(docs).collect()]
+    assert len({i for i, _ in got}) > 5 and got == want
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = mixing.op3_source_mixing(spark, str(tmp_path)).collect()
+    assert all(sum(r.taken_by_shard) == r.taken for r in rows)
+    shards = np.array([r.taken_by_shard for r in rows]).sum(0)
+    assert len(shards) == 16 and (shards > 0).all()
+
+
 def test_escapes_are_reversible(spark):
     texts = ["", "\\", "<|end|>", "\\<|", "<\\|turn|>", "<<|||>", "\\\\|", "a<|says|>b\\|"]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", chat.escape(F.col("t")).alias("e"))
