@@ -1,11 +1,20 @@
 """Substring dedup by collinear chaining: shared k-mer seeds are joined, ordered matches chained with gap costs through a Fenwick
-tree, and chains aligned, so that fuzzy passages are found."""
+tree, and chains aligned, so that fuzzy passages are found.
+
+Each shared seed of a document is linked to one holder: the first of the chunk of texts, and that to the first of all. Where
+a passage's seeds are on one diagonal of an earlier document, the chain with it gives the passage. Where they aren't (their
+first holders hold parts of it, or the document is the first itself), the windows of MIN_WORDS words there are keyed
+whole, and each key's documents are linked to its first. Followed from holder to holder, both ways end for all documents
+with one passage at the same window keys, so no document with an exact passage stays without a partner for it.
+"""
 
 from __future__ import annotations
 
 import re
+import uuid
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain as both_of
 
 import numpy as np
 import pyarrow as pa
@@ -13,78 +22,106 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.common import documents, materialize
-from lattica.llm.shingles import Words, chunks, mix
+from lattica.llm.shingles import Words, chunks, mix, powers
 
-#: Words of a seed, and of the window that chooses one: equal runs of SEED + WINDOW - 1 words share one.
+#: Words of a seed, and k-mers of the window that chooses one: of WINDOW neighbours one is a seed.
 SEED, WINDOW = 4, 2
 #: Least words of a passage, and least share of its words that the other document has too.
 MIN_WORDS, IDENTITY = 50, 0.8
+#: How far the seeds of a window key lie apart: all but the outermost of a passage of more than MIN_WORDS words, whose
+#: choice depends on what stands around it.
+REACH = MIN_WORDS + 1 - SEED - 2 * (WINDOW - 1)
+#: Words that a window key vouches for.
+WHOLE = REACH - (WINDOW - 1) + SEED
 #: What a word of a gap costs, in words of seeds.
 GAP = 0.1
-#: Least words that the segments of a chain hold, and that it spans, before it is aligned.
+#: Least words that the segments of a chain hold, and that it spans, before it is aligned: three seeds or more. They set
+#: how sensitive the search for fuzzy passages is (see the README); exact ones are far above.
 HELD, SPAN = 12, 16
-#: Words that an end is extended over without a match before it stops, and the widest gap that is aligned.
-DROP, WIDEST = 8, 64
+#: Words that an end is extended over without a match before it stops.
+DROP = 8
 #: Words of a gap without a match over which two passages aren't one.
 CUT = 24
 #: Seeds in a bucket, about.
-BUCKET = 1_000_000
+BUCKET = 700_000
+#: Up to so many ids of documents are broadcast; beyond, joined.
+BROADCAST_IDS = 500_000
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 
-ENTRY = np.dtype([("h", "<u8"), ("doc", "<i8"), ("pos", "<i4")])
-LINK = ["doc", "pos", "of", "of_pos"]
-SPANS = "array<struct<start:bigint,n_words:bigint>>"
+#: A shared seed: at pos of doc, and at of_pos of the document `of`, the same or of a lower id. h: 48 bits of its hash.
+LINK = np.dtype([("doc", "<i8"), ("pos", "<i8"), ("of", "<i8"), ("of_pos", "<i8"), ("h", "<u8")])
+_HASH_BITS = 48
 
 
-def seeds(texts: list[str | None], doc_ids: np.ndarray) -> np.ndarray:
-    """The minimizers of texts as entries: of each window of WINDOW k-mers the one with the least hash."""
+def seeds(texts: list[str | None], doc_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(seeds, words by text): the minimizers of texts as links to themselves, of each window of WINDOW k-mers the one
+    with the least hash."""
     w = Words(texts)
     n = np.maximum(w.n_words - SEED + 1, 0)
     end = np.cumsum(n)
     at = np.repeat(w.first - (end - n), n) + np.arange(n.sum())
     h = w.hashes(at, at + SEED - 1)
-    last = np.repeat(end, n)
-    least, size = h.copy(), 1
-    while size < WINDOW:  # least hash from each k-mer on, over doubling spans within its text
-        step = min(size, WINDOW - size)
-        ahead = np.minimum(np.arange(len(h)) + step, last - 1)
-        least, size = np.minimum(least, least[ahead]), size + step
-    # A k-mer is chosen if it is the least of a window that holds it, that is, of the window from one of the k-mers before it.
-    begin = np.repeat(end - n, n)
-    chosen = np.zeros(len(h), bool)
+    begin, last = np.repeat(end - n, n), np.repeat(end, n)
     places = np.arange(len(h))
+    chosen = np.zeros(len(h), bool)
+    # A k-mer is chosen if it is the least of a window that holds it, that is, of the window from one of the k-mers before it.
     for back in range(WINDOW):
         start = np.maximum(places - back, begin)
-        chosen |= least[start] == h
-    out = np.empty(int(chosen.sum()), ENTRY)
+        least = h[start]
+        for ahead in range(1, WINDOW):
+            least = np.minimum(least, h[np.minimum(start + ahead, last - 1)])
+        chosen |= least == h
+    out = np.empty(int(chosen.sum()), LINK)
     text = np.repeat(np.arange(len(n)), n)[chosen]
     out["h"], out["doc"], out["pos"] = h[chosen], doc_ids[text], at[chosen] - w.first[text]
-    return out
-
-
-def packed(entry: np.ndarray) -> bytes:
-    """Entries by column, which compresses well in order of document and place."""
-    return b"".join(entry[c].tobytes() for c in ENTRY.names)
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    n, at = len(data) // ENTRY.itemsize, 0
-    out = np.empty(n, ENTRY)
-    for c in ENTRY.names:
-        out[c] = np.frombuffer(data, ENTRY[c], n, at)
-        at += n * ENTRY[c].itemsize
-    return out
-
-
-def matches(entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(firsts, links): of the entries of each hash the first by document and place, and links to it from the other documents, with the hash."""
-    entry = entry[np.lexsort((entry["pos"], entry["doc"], entry["h"]))]
-    begins = np.r_[True, entry["h"][1:] != entry["h"][:-1]] if len(entry) else np.zeros(0, bool)
-    firsts = entry[begins]
-    of = firsts[np.cumsum(begins) - 1]
-    other = of["doc"] != entry["doc"]
-    e, of = entry[other], of[other]
-    return firsts, np.stack([e["doc"], e["pos"].astype(np.int64), of["doc"], of["pos"].astype(np.int64), e["h"].view(np.int64)])
+    out["of"], out["of_pos"] = out["doc"], out["pos"]
+    return out, w.n_words
+
+
+def packed(link: np.ndarray, flags: np.ndarray | None = None) -> bytes:
+    """Links in order of document and place as differences, byte by byte in turn, which compresses well."""
+    doc = link["doc"]
+    columns = [np.diff(doc, prepend=doc[:1]), link["pos"], doc - link["of"], link["pos"] - link["of_pos"], link["h"]]
+    width = (8, 5, 8, 5, _HASH_BITS // 8)
+    raw = [np.int64(doc[0] if len(doc) else 0).tobytes()]
+    raw += [np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8)[:, :w].T).tobytes() for c, w in zip(columns, width, strict=True)]
+    return b"".join(raw if flags is None else [*raw, flags.astype(np.uint8).tobytes()])
+
+
+def unpacked(data: bytes, with_flags: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    width = (8, 5, 8, 5, _HASH_BITS // 8)
+    n = (len(data) - 8) // (sum(width) + with_flags)
+    at, found = 8, []
+    for w in width:
+        raw = np.zeros((n, 8), np.uint8)
+        raw[:, :w] = np.frombuffer(data, np.uint8, n * w, at).reshape(w, n).T
+        found.append(raw.view("<i8")[:, 0])
+        at += n * w
+    out = np.empty(n, LINK)
+    out["doc"] = np.frombuffer(data, "<i8", 1)[0] + np.cumsum(found[0])
+    out["pos"], out["of"], out["h"] = found[1], out["doc"] - found[2], found[4].view(np.uint64)
+    # five bytes of a difference of either sign
+    out["of_pos"] = found[1] - ((found[3] << 24) >> 24)
+    return out, np.frombuffer(data, np.uint8, n, at).astype(bool) if with_flags else None
+
+
+def firsts_and_followers(entry: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(firsts, followed, followers): the rows of the first entry of each hash by document and place, whether others follow
+    it, and those others linked to it."""
+    order = np.lexsort((entry["pos"], entry["doc"], entry["h"]))
+    h = entry["h"][order]
+    begins = np.r_[True, h[1:] != h[:-1]] if len(h) else np.zeros(0, bool)
+    firsts = order[begins]
+    followers = entry[order[~begins]]
+    of = entry[firsts[np.cumsum(begins) - 1][~begins]]
+    followers["of"], followers["of_pos"] = of["doc"], of["pos"]
+    return firsts, np.diff(np.r_[np.flatnonzero(begins), len(h)]) > 1, followers
+
+
+def matches(entry: np.ndarray) -> np.ndarray:
+    """The links of entries of several documents to other documents, of one chunk."""
+    followers = firsts_and_followers(entry)[2]
+    return followers[followers["doc"] != followers["of"]]
 
 
 class Fenwick:
@@ -109,14 +146,14 @@ class Fenwick:
         return found
 
 
-def segments(pos: np.ndarray, of_pos: np.ndarray) -> list[tuple[int, int, int]]:
-    """Matches joined along diagonals where they touch or overlap within a window: (start, other start, length)."""
+def segments(pos: np.ndarray, of_pos: np.ndarray, n: int = SEED) -> list[tuple[int, int, int]]:
+    """Matches of n words joined along diagonals where they touch or overlap within a window: (start, other start, length)."""
     order = np.lexsort((pos, pos - of_pos))
     pos, of_pos = pos[order], of_pos[order]
-    cut = np.r_[True, (np.diff(pos - of_pos) != 0) | (np.diff(pos) > WINDOW + SEED)]
+    cut = np.r_[True, (np.diff(pos - of_pos) != 0) | (np.diff(pos) > WINDOW + n)]
     at = np.flatnonzero(cut)
     stop = np.r_[at[1:], len(pos)] - 1
-    return sorted(zip(pos[at].tolist(), of_pos[at].tolist(), (pos[stop] - pos[at] + SEED).tolist(), strict=True))
+    return sorted(zip(pos[at].tolist(), of_pos[at].tolist(), (pos[stop] - pos[at] + n).tolist(), strict=True))
 
 
 def chain(parts: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
@@ -154,25 +191,29 @@ def chain(parts: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]
     return out
 
 
-def candidates(pos: np.ndarray, of_pos: np.ndarray) -> list[list[tuple[int, int, int]]]:
-    """The chains of the matches of two documents that are worth an alignment."""
-    if len(pos) * SEED < HELD:
+def candidates(pos: np.ndarray, of_pos: np.ndarray, n: int = SEED) -> list[list[tuple[int, int, int]]]:
+    """The chains of the matches of n words of two documents that are worth an alignment."""
+    if len(pos) * n < HELD:
         return []
-    return [x for x in chain(segments(pos, of_pos)) if sum(n for *_, n in x) >= HELD and x[-1][0] + x[-1][2] - x[0][0] >= SPAN]
+    return [x for x in chain(segments(pos, of_pos, n)) if sum(m for *_, m in x) >= HELD and x[-1][0] + x[-1][2] - x[0][0] >= SPAN]
 
 
 def _same(a: np.ndarray, b: np.ndarray) -> int:
-    """Words of a gap that an alignment matches: the longest common subsequence, of narrow gaps."""
-    if not len(a) or not len(b):
+    """Words of a gap that an alignment matches: the longest common subsequence, by bits of a number for the words of a."""
+    common = np.intersect1d(a, b)
+    if not len(common):
         return 0
     if len(a) == len(b) and (equal := int((a == b).sum())) >= len(a) - 2:
         return equal
-    if max(len(a), len(b)) > WIDEST:
-        return len(np.intersect1d(a, b)) // 2
-    row = np.zeros(len(b) + 1, np.int64)
-    for x in a:
-        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (b == x)))
-    return int(row[-1])
+    at: dict[int, int] = {}
+    for i, x in enumerate(a[np.isin(a, common)].tolist()):
+        at[x] = at.get(x, 0) | 1 << i
+    m = int(np.isin(a, common).sum())
+    full = open_ = (1 << m) - 1
+    for x in b[np.isin(b, common)].tolist():
+        hit = open_ & at[x]
+        open_ = ((open_ + hit) | (open_ - hit)) & full
+    return m - open_.bit_count()
 
 
 def _extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
@@ -290,22 +331,117 @@ def align(path: list[tuple[int, int, int]], mine: np.ndarray, other: np.ndarray)
     return out
 
 
-def seed_links(docs: DataFrame) -> DataFrame:
-    """A written table of two kinds of rows of docs (doc_id, text). 0: doc = doc_id, of = hash of the text, pos = words. 1: a link
-    (doc, pos, of, of_pos, h): the seed at pos of doc is at of_pos of the document `of`, which has the lower doc_id; h is its hash.
+def through_first(link: np.ndarray) -> np.ndarray:
+    """Links in order of document and place, those of a document to its own first place of a seed led on to where that
+    is linked to."""
+    doc = np.cumsum(np.r_[True, link["doc"][1:] != link["doc"][:-1]]) << 40 if len(link) else np.zeros(0, np.int64)
+    again = np.flatnonzero((link["doc"] == link["of"]) & (link["pos"] != link["of_pos"]))
+    line, wanted = doc + link["pos"], doc[again] + link["of_pos"][again]
+    at = np.minimum(np.searchsorted(line, wanted), len(line) - 1)
+    there = line[at] == wanted
+    for c in ("of", "of_pos"):
+        link[c][again[there]] = link[c][at[there]]
+    return link
+
+
+def window_keys(link: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, keys): of links in order of document and place, those at which a window of shared seeds begins, without a
+    gap, that isn't on one diagonal of another document; and a hash of the window's seeds and their distances."""
+    n = len(link)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    doc, pos = link["doc"], link["pos"]
+    same_doc = doc[1:] == doc[:-1]
+    on = np.r_[False, same_doc & (np.diff(pos) <= WINDOW)]
+    run = np.cumsum(~on) - 1
+    last = np.flatnonzero(np.r_[~on[1:], True])[run]
+    line = (np.cumsum(np.r_[True, ~same_doc]) << 40) + pos
+    stop = np.searchsorted(line, line + REACH, side="right") - 1
+    diagonal = pos - link["of_pos"]
+    turns = np.cumsum(np.r_[False, (link["of"][1:] != link["of"][:-1]) | (diagonal[1:] != diagonal[:-1])])
+    wanted = (pos[last] >= pos + REACH - (WINDOW - 1)) & ((turns[stop] != turns) | (link["of"] == doc))
+    at = np.flatnonzero(wanted)
+    # Sums over the seeds after the first of each window, each with its distance from the one before.
+    inner = mix(link["h"] ^ (np.diff(pos, prepend=0).astype(np.uint64) << np.uint64(_HASH_BITS)))
+    up, down = powers(_STEP, n), powers(pow(_STEP, -1, 1 << 64), n)
+    sums = np.r_[np.uint64(0), np.cumsum(inner * up)]
+    return at, mix((sums[stop[at] + 1] - sums[at + 1]) * down[at] + mix(link["h"][at]))
+
+
+_STEP = 0x9E3779B97F4A7C15
+_ROW = "kind int, part long, doc long, of long, n long, data binary"
+#: Kinds of rows. COPY: doc has the text of `of`, of n words. TEXT: doc is the first of its chunk with the text of hash `of`. SEEDS:
+#: a bucket's seeds. LINKS: shared seeds of the documents of a part. PAIR: the chains of doc with `of`. WINDOW: doc has a
+#: window of key `of` at n. SAME: doc has at n a window that the document `of` has at part.
+COPY, TEXT, SEEDS, LINKS, PAIR, WINDOW_KEY, SAME = range(7)
+
+
+def _rows(kind: int, size: int, **columns) -> pa.RecordBatch:
+    columns["kind"] = np.full(size, kind, np.int32)
+    types = {"kind": pa.int32(), "data": pa.binary()}
+    names = [x.split()[0] for x in _ROW.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(columns[x], types.get(x, pa.int64())) if x in columns else pa.nulls(size, types.get(x, pa.int64())) for x in names], names)
+
+
+def _by_part(kind: int, link: np.ndarray, part: np.ndarray, flags: np.ndarray | None = None) -> pa.RecordBatch:
+    """Links in a packed block for each part."""
+    order = np.lexsort((link["pos"], link["doc"], part))
+    used, n = np.unique(part, return_counts=True)
+    end = np.cumsum(n)
+    data = [packed(link[order[e - z : e]], None if flags is None else flags[order[e - z : e]]) for e, z in zip(end, n, strict=True)]
+    return _rows(kind, len(used), part=used, data=data)
+
+
+def _blocks_of(batches: Iterator[pa.RecordBatch], kind: int, close) -> Iterator[pa.RecordBatch]:
+    """Rows of other kinds as they are; for the blocks of each part of a kind, which come one after the other, close(blocks)."""
+    held: list[bytes] = []
+    now = None
+    for batch in batches:
+        kinds, parts = batch.column("kind").to_numpy(), batch.column("part").to_numpy(zero_copy_only=False)
+        if (kinds != kind).any():
+            yield batch.filter(pa.array(kinds != kind))
+        for i in np.flatnonzero(kinds == kind):
+            if parts[i] != now and held:
+                yield from close(held)
+                held = []
+            now = parts[i]
+            held.append(batch.column("data")[int(i)].as_py())
+    if held:
+        yield from close(held)
+
+
+def _chained(link: np.ndarray, n: int) -> Iterator[tuple[int, int, bytes]]:
+    """(doc, of, chains) of the links of n words between documents."""
+    link = link[np.lexsort((link["pos"], link["of"], link["doc"]))]
+    cut = np.r_[True, (np.diff(link["doc"]) != 0) | (np.diff(link["of"]) != 0)] if len(link) else np.zeros(0, bool)
+    begin = np.flatnonzero(cut)
+    stop = np.r_[begin[1:], len(link)]
+    worth = ((stop - begin) * n >= HELD) & (link["pos"][stop - 1] + n - link["pos"][begin] >= SPAN) if len(link) else []
+    for a, b in zip(begin[worth].tolist(), stop[worth].tolist(), strict=True):
+        paths = candidates(link["pos"][a:b], link["of_pos"][a:b], n)
+        if paths:
+            flat = [len(paths), *map(len, paths), *(v for p in paths for x in p for v in x)]
+            yield int(link["doc"][a]), int(link["of"][a]), np.array(flat, np.int64).tobytes()
+
+
+def _paths(data: bytes) -> list[list[tuple[int, int, int]]]:
+    flat = np.frombuffer(data, np.int64)
+    sizes, rows = flat[1 : 1 + flat[0]], flat[1 + flat[0] :].reshape(-1, 3).tolist()
+    ends = np.cumsum(sizes)
+    return [[tuple(x) for x in rows[e - z : e]] for e, z in zip(ends, sizes, strict=True)]
+
+
+def shared_seeds(docs: DataFrame) -> DataFrame:
+    """A written table of rows (see COPY and on) of docs (doc_id, text): copies, chained pairs, and window keys.
 
     A task links what its chunk of texts shares and sends on one entry a seed, in a block for each bucket of hashes; equal
-    texts of a chunk count once. So a seed that very many documents hold gives few entries to its bucket."""
+    texts of a chunk count once. So a seed that very many documents hold gives few entries to its bucket. Blocks of links
+    then meet by document, as many for each as it has seeds."""
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    buckets = max(64, int(chars / 5 * 2 / (WINDOW + 1) / BUCKET))
-    schema = "kind int, part long, doc long, pos long, of long, of_pos long, h long, data binary"
-    names = ["kind", "part", *LINK, "h", "data"]
+    buckets = max(64, int(chars / 6 * 2 / (WINDOW + 1) / BUCKET))
 
-    def rows(kind: int, part: np.ndarray, *link: np.ndarray, data: list | None = None) -> pa.RecordBatch:
-        n = len(part)
-        link = [pa.array(x, pa.int64()) for x in link] or []
-        link += [pa.nulls(n, pa.int64())] * (5 - len(link))
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(part), *link, pa.array(data, pa.binary()) if data is not None else pa.nulls(n, pa.binary())], names)
+    def part_of(x: np.ndarray) -> np.ndarray:
+        return (mix(x.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -313,216 +449,155 @@ def seed_links(docs: DataFrame) -> DataFrame:
             texts, ids, keys = texts.to_pylist(), ids.to_numpy(), keys.to_numpy()
             for a, b in chunks(texts):
                 order = a + np.lexsort((ids[a:b], keys[a:b]))  # of equal texts the least doc_id gives the seeds
-                new = order[np.r_[True, np.diff(keys[order]) != 0]]
-                entry = seeds([texts[i] for i in new], ids[new])
-                yield rows(0, ids[a:b], ids[a:b], np.array([len((t or "").encode().split()) for t in texts[a:b]]), keys[a:b], np.zeros(b - a, np.int64))
-                firsts, links = matches(entry)
-                yield rows(1, links[0], *links)
-                bucket = (mix(firsts["h"]) % np.uint64(buckets)).astype(np.int64)
-                firsts = firsts[np.lexsort((firsts["pos"], firsts["doc"], bucket))]
-                used, n = np.unique(bucket, return_counts=True)
-                cut = np.cumsum(n)
-                yield rows(2, used, data=[packed(firsts[e - z : e]) for e, z in zip(cut, n, strict=True)])
-
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        now = None
-
-        def close() -> pa.RecordBatch:
-            links = matches(np.concatenate([*held, np.zeros(0, ENTRY)]))[1]
-            return rows(1, links[0], *links)
-
+                new = np.r_[True, np.diff(keys[order]) != 0]
+                first = order[new]
+                entry, n_words = seeds([texts[i] for i in first], ids[first])
+                text = np.cumsum(new) - 1
+                copy = ~new & (ids[order] != ids[first][text]) & (n_words[text] >= MIN_WORDS)
+                at = order[copy]
+                yield _rows(COPY, len(at), part=ids[at], doc=ids[at], of=ids[first][text[copy]], n=n_words[text[copy]])
+                whole = n_words >= MIN_WORDS
+                yield _rows(TEXT, int(whole.sum()), part=ids[first][whole], doc=ids[first][whole], of=keys[first][whole], n=n_words[whole])
+                found, followed, followers = firsts_and_followers(entry)
+                # Within its bucket an entry keeps 48 bits of its hash.
+                found = entry[found]
+                yield _by_part(SEEDS, found, part_of(found["h"]), followed)
+                yield _by_part(LINKS, followers, part_of(followers["doc"]))
+
+    def close_bucket(held: list[bytes]) -> Iterator[pa.RecordBatch]:
+        both = [unpacked(x, True) for x in held]
+        entry, marks = np.concatenate([x for x, _ in both]), np.concatenate([x for _, x in both])
+        found, followed, followers = firsts_and_followers(entry)
+        # A seed that one chunk alone has is shared if it was followed there.
+        link = np.concatenate([entry[found[followed | marks[found]]], followers])
+        yield _by_part(LINKS, link, part_of(link["doc"]))
+
+    def close_part(held: list[bytes]) -> Iterator[pa.RecordBatch]:
+        link = np.concatenate([unpacked(x)[0] for x in held])
+        link = through_first(link[np.lexsort((link["pos"], link["doc"]))])
+        pairs = list(_chained(link[link["doc"] != link["of"]], SEED))
+        doc, of, data = zip(*pairs, strict=True) if pairs else ((), (), ())
+        yield _rows(PAIR, len(pairs), doc=np.array(doc, np.int64), of=np.array(of, np.int64), data=list(data))
+        # Windows: each key's first document in the part goes on, the others are linked to it.
+        at, key = window_keys(link)
+        order = np.lexsort((at, key))  # at is in order of document and place
+        at, key = at[order], key[order]
+        new = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
+        mine = link[at]
+        of = mine[new][np.cumsum(new) - 1]
+        other = of["doc"] != mine["doc"]
+        yield _rows(WINDOW_KEY, int((~other).sum()), doc=mine["doc"][~other], of=key[~other].view(np.int64), n=mine["pos"][~other])
+        yield _rows(SAME, int(other.sum()), doc=mine["doc"][other], n=mine["pos"][other], of=of["doc"][other], part=of["pos"][other])
+
+    rows = docs.where("doc_id IS NOT NULL").select("text", F.col("doc_id").cast("long"), F.xxhash64("text"))
+    dealt = rows.mapInArrow(blocks, _ROW).repartition("kind", "part").sortWithinPartitions("kind", "part")
+    linked = dealt.mapInArrow(lambda x: _blocks_of(x, SEEDS, close_bucket), _ROW).repartition("kind", "part").sortWithinPartitions("kind", "part")
+    return materialize(linked.mapInArrow(lambda x: _blocks_of(x, LINKS, close_part), _ROW), "substring-seeds")
+
+
+def _window_pairs(table: DataFrame) -> DataFrame:
+    """The chains of documents with equal windows: doc, of, data. Each key's first document by id gets the others' links."""
+
+    def to_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, doc, pos = None, 0, 0  # of the first of the key so far
         for batch in batches:
-            kinds, parts = batch.column("kind").to_numpy(), batch.column("part").to_numpy()
-            if (kinds < 2).any():
-                yield batch.filter(pa.array(kinds < 2))
-            for i in np.flatnonzero(kinds == 2):
-                if parts[i] != now:
-                    yield close()
-                    held, now = [], parts[i]
-                held.append(unpacked(batch.column("data")[int(i)].as_py()))
-        if held:
-            yield close()
-
-    rows_in = docs.where("doc_id IS NOT NULL").select("text", F.col("doc_id").cast("long"), F.xxhash64("text"))
-    dealt = rows_in.mapInArrow(blocks, schema).repartition("kind", "part").sortWithinPartitions("kind", "part")
-    return materialize(dealt.mapInArrow(groups, schema).drop("data", "part"), "substring-seeds")
-
-
-def _chains(links: DataFrame) -> DataFrame:
-    """doc, of, path: candidates of the links of each pair of documents. A document's links are
-    as many as its seeds, a few times over."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail: np.ndarray | None = None
-
-        def solve(x: np.ndarray) -> pa.RecordBatch:
-            cut = np.flatnonzero(np.r_[True, (np.diff(x[0]) != 0) | (np.diff(x[2]) != 0)])
-            docs, ofs, paths = [], [], []
-            for a, b in zip(cut, np.r_[cut[1:], x.shape[1]], strict=True):
-                for path in candidates(x[1, a:b], x[3, a:b]):
-                    docs.append(int(x[0, a]))
-                    ofs.append(int(x[2, a]))
-                    paths.append(np.array(path, np.int32).tobytes())
-            return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(ofs, pa.int64()), pa.array(paths, pa.binary())], ["doc", "of", "path"])
+            of, ids, at = (batch.column(c).to_numpy() for c in ("of", "doc", "n"))
+            new = np.r_[key is None or of[0] != key, of[1:] != of[:-1]] if len(of) else np.zeros(0, bool)
+            group = np.cumsum(new)  # 0: the key goes on from the batch before
+            firsts, places = np.r_[doc, ids[new]], np.r_[pos, at[new]]
+            if len(of):
+                key, doc, pos = of[-1], firsts[group[-1]], places[group[-1]]
+            other = ids != firsts[group]
+            yield _rows(SAME, int(other.sum()), doc=ids[other], n=at[other], of=firsts[group][other], part=places[group][other])
+
+    def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail = np.zeros(0, LINK)
+        for batch in both_of(batches, [None]):
+            link = np.zeros(0 if batch is None else batch.num_rows, LINK)
+            if batch is not None:
+                for name, c in (("doc", "doc"), ("pos", "n"), ("of", "of"), ("of_pos", "part")):
+                    link[name] = batch.column(c).to_numpy()
+            link = np.concatenate([tail, link])
+            change = np.flatnonzero((np.diff(link["doc"]) != 0) | (np.diff(link["of"]) != 0))
+            to = len(link) if batch is None else int(change[-1]) + 1 if len(change) else 0
+            tail = link[to:]
+            pairs = list(_chained(link[:to], WHOLE))
+            doc, of, data = zip(*pairs, strict=True) if pairs else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(of, pa.int64()), pa.array(data, pa.binary())], ["doc", "of", "data"])
+
+    keys = table.where(f"kind = {WINDOW_KEY}").select("of", "doc", "n").repartition("of").sortWithinPartitions("of", "doc", "n")
+    same = table.where(f"kind = {SAME}").union(keys.mapInArrow(to_first, _ROW)).select("doc", "n", "of", "part")
+    return same.repartition("doc", "of").sortWithinPartitions("doc", "of", "n").mapInArrow(chained, "doc long, of long, data binary")
 
-        for batch in batches:
-            x = np.stack([batch.column(c).to_numpy() for c in LINK])
-            x = x if tail is None else np.concatenate([tail, x], 1)
-            if not x.shape[1]:
-                continue
-            change = np.flatnonzero((np.diff(x[0]) != 0) | (np.diff(x[2]) != 0))
-            to = int(change[-1]) + 1 if len(change) else 0
-            tail = x[:, to:]
-            if to:
-                yield solve(x[:, :to])
-        if tail is not None and tail.shape[1]:
-            yield solve(tail)
-
-    rows = links.select(*LINK).repartition("doc", "of").sortWithinPartitions("doc", "of", "pos")
-    return rows.mapInArrow(each, "doc long, of long, path binary")
-
-
-def _holders(links: DataFrame, found: DataFrame) -> DataFrame:
-    """h, doc, pos, open: the places of seeds that several documents hold, in stretches of such seeds that are long enough
-    for a passage. open: a document before has the seed too, and no passage found covers the stretch there."""
-    mine = links.select("doc", "pos", "h", F.lit(True).alias("later"))
-    places = mine.union(links.select("of", "of_pos", "h", F.lit(False))).groupBy("doc", "pos").agg(F.first("h").alias("h"), F.max("later").alias("later"))
-    places = places.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("pos", "h", "later"))).alias("at"))
-    spans = found.groupBy("doc_id").agg(F.collect_set(F.struct("start", "n_words")).alias("spans"))
-    rows = places.join(spans, F.col("doc") == F.col("doc_id"), "left").select("doc", "at", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, doc in enumerate(batch.column("doc").to_pylist()):
-                at = batch.column("at").slice(k, 1).flatten()
-                pos, h, later = (at.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-                covered = np.zeros(int(pos[-1]) + SEED, bool)
-                for s in batch.column("spans")[k].as_py():
-                    covered[s["start"] : s["start"] + s["n_words"]] = True
-                free = ~covered[pos]
-                keep, wanted = np.zeros(len(pos), bool), np.zeros(len(pos), bool)
-                for mask, out in ((np.ones(len(pos), bool), keep), (free, wanted)):
-                    i = np.flatnonzero(mask)
-                    if len(i):
-                        cut = np.r_[True, np.diff(pos[i]) > SEED + WINDOW]
-                        run = np.cumsum(cut) - 1
-                        stop = np.flatnonzero(np.r_[cut[1:], True])
-                        out[i] = (pos[i][stop] + SEED + 2 * WINDOW >= pos[i][cut] + MIN_WORDS)[run]
-                n = int(keep.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(np.full(n, doc, np.int64)), pa.array(pos[keep].astype(np.int64)), pa.array((wanted & later)[keep])], ["h", "doc", "pos", "open"])
-
-    return rows.mapInArrow(each, "h long, doc long, pos long, open boolean")
-
-
-def _earlier(holders: DataFrame, least: int) -> DataFrame:
-    """Links of open places to holders of the seed in the documents `least` to 2 * least - 1 before theirs."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, before = None, []  # (document, its first place) of the hash so far
-        for batch in batches:
-            out: list[tuple[int, int, int, int]] = []
-            for h, doc, pos, open_ in zip(*(batch.column(c).to_pylist() for c in ("h", "doc", "pos", "open")), strict=True):
-                if h != now:
-                    now, before = h, []
-                if not before or before[-1][0] != doc:
-                    before.append((doc, pos))
-                if open_ and (to := len(before) - 1 - least) >= 0:
-                    out += [(doc, pos, *x) for x in before[max(0, to - least + 1) : to + 1]]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(4)], LINK)
-
-    rows = holders.repartition("h").sortWithinPartitions("h", "doc", "pos")
-    return rows.mapInArrow(each, "doc long, pos long, of long, of_pos long")
-
-
-def _still_open(holders: DataFrame, found: DataFrame) -> DataFrame:
-    """holders with open only where no passage found covers the place, of the hashes that have an open place."""
-    spans = found.select(F.col("doc_id").alias("doc"), "start", (F.col("start") + F.col("n_words")).alias("stop"))
-    wanted = holders.where("open").select("doc", "pos", "h").alias("w").join(spans.alias("s"), F.expr("w.doc = s.doc AND w.pos >= s.start AND w.pos < s.stop"), "left_anti")
-    wanted = materialize(wanted.withColumn("still", F.lit(True)), "substring-open")
-    rows = holders.select("h", "doc", "pos").join(wanted.select("h").distinct(), "h", "left_semi")
-    return rows.join(wanted, ["h", "doc", "pos"], "left").select("h", "doc", "pos", F.coalesce("still", F.lit(False)).alias("open"))
-
-
-def _aligned(docs: DataFrame, chains: DataFrame) -> DataFrame:
-    """The passages of chains."""
-    paths = materialize(chains, "substring-chains")
+
+def _copies(table: DataFrame) -> DataFrame:
+    """Whole texts that a document before has too: doc, of, n. The first of each chunk is a copy of the first of all."""
+    texts = table.where(f"kind = {TEXT}").select("doc", F.col("of").alias("text_key"), "n")
+    least = texts.groupBy("text_key").agg(F.min("doc").alias("of"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    return table.where(f"kind = {COPY}").select("doc", "of", "n").union(texts.join(least, "text_key").where("doc > of").select("doc", "of", "n"))
+
+
+def _aligned(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The passages of chained pairs (doc, of, data)."""
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), "text")
-    both = paths.join(texts.select(F.col("id").alias("doc"), F.col("text").alias("mine")), "doc")
-    both = both.join(texts.select(F.col("id").alias("of"), F.col("text").alias("other")), "of").select("doc", "of", "path", "mine", "other")
+    wanted = materialize(pairs.select(F.col("doc").alias("id")).union(pairs.select("of")).distinct(), "substring-wanted")
+    texts = texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "id", "left_semi")
+    both = pairs.join(texts.select(F.col("id").alias("doc"), F.col("text").alias("mine")), "doc")
+    both = both.join(texts.select(F.col("id").alias("of"), F.col("text").alias("other")), "of").select("doc", "of", "data", "mine", "other")
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 128):
-                part = batch.slice(lo, 128).to_pydict()
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64).to_pydict()
                 known: dict[str, np.ndarray] = {}
                 out = []
-                for doc, of, path, mine, other in zip(*part.values(), strict=True):
+                for doc, of, data, mine, other in zip(*part.values(), strict=True):
                     for t in (mine, other):
                         if t not in known:
                             known[t] = Words([t]).words()
-                    for x, n, *rest in align([tuple(x) for x in np.frombuffer(path, np.int32).reshape(-1, 3).tolist()], known[mine], known[other]):
-                        out.append((doc, x, n, of, *rest))
+                    found = {x for path in _paths(data) for x in align(path, known[mine], known[other])}
+                    out += [(doc, x, n, of, *rest) for x, n, *rest in found]
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(7)], ["doc_id", "start", "n_words", "of_doc_id", "of_start", "of_n_words", "matched"])
 
-    return both.mapInArrow(aligned, "doc_id long, start long, n_words long, of_doc_id long, of_start long, of_n_words long, matched long").distinct()
-
-
-def _copies(table: DataFrame) -> DataFrame:
-    """Whole texts that a document before has too, as passages."""
-    rows = table.where(f"kind = 0 AND pos >= {MIN_WORDS}").select("doc", F.col("of").alias("text_key"), F.col("pos").alias("n"))
-    least = rows.groupBy("text_key").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    return rows.join(least, "text_key").where("doc > least").select(
-        F.col("doc").alias("doc_id"), F.lit(0).cast("long").alias("start"), F.col("n").alias("n_words"), F.col("least").alias("of_doc_id"),
-        F.lit(0).cast("long").alias("of_start"), F.col("n").alias("of_n_words"), F.col("n").alias("matched"),
-    )
+    return both.mapInArrow(aligned, "doc_id long, start long, n_words long, of_doc_id long, of_start long, of_n_words long, matched long")
 
 
 def passages(docs: DataFrame) -> DataFrame:
     """Passages of docs (doc_id, text) that documents with lower doc_ids have too: doc_id, start, n_words, of_doc_id, of_start,
     of_n_words, matched (words in order). Places are in words, cut at ASCII white space; A-Z match a-z.
 
-    A passage has MIN_WORDS words or more and IDENTITY of them in common. It links a document to the first that holds
-    its seeds, and where that gives no passage to those between, so that a passage in n documents gives about n rows. A document whose whole text another
-    has, is a passage of the one with the least doc_id.
+    A passage has MIN_WORDS words or more and IDENTITY of them in common. It links a document to one that has it before,
+    and that to another or to none, so a passage in n documents gives about n rows, which connect them. A text that another document
+    has whole is one passage of its words, and links to that document alone.
 
-    Null and short texts have no passage. A null doc_id takes no part. Rows that repeat a doc_id are one document.
-    Other columns are ignored.
+    Null and short texts have no passage, and what a document repeats within itself is none. A null doc_id takes no part. Rows
+    that repeat a doc_id are one document. An empty table gives no row. Other columns are ignored.
     """
-    table = seed_links(docs)
-    links = table.where("kind = 1")
-    found = _aligned(docs, _chains(links))
-    copies = _copies(table)
-    found = materialize(found.union(copies).distinct(), "substring-passages")
-    # Seeds whose first holders are many documents that hold parts of a passage: pair what stays open with the holders
-    # before, 1, 2 to 3, 4 to 7, ... documents back, until none is open or has such a holder.
-    holders = materialize(_holders(links, found), "substring-holders")
-    holders = materialize(holders.join(holders.where("open").select("h").distinct(), "h", "left_semi"), "substring-holders")
-    all_found, least = found, 1
-    while True:
-        more = materialize(_earlier(holders, least), "substring-links")
-        if more.isEmpty():
-            return materialize(all_found.distinct(), "substring-passages") if least > 1 else found
-        found = materialize(_aligned(docs, _chains(more)), "substring-passages")
-        all_found = all_found.union(found)
-        if not found.isEmpty():
-            holders = materialize(_still_open(holders, found), "substring-holders")
-        least *= 2
+    table = shared_seeds(docs)
+    copies = materialize(_copies(table), "substring-copies")
+    pairs = table.where(f"kind = {PAIR}").select("doc", "of", "data").union(_window_pairs(table))
+    pairs = materialize(pairs.join(copies.select("doc"), "doc", "left_anti"), "substring-chains")
+    zero = F.lit(0).cast("long")
+    whole = copies.select("doc", zero, "n", "of", zero, "n", "n")
+    return materialize(_aligned(docs, pairs).union(whole).distinct(), "substring-passages")
 
 
 def without_passages(docs: DataFrame) -> DataFrame:
     """docs without the passages that documents with lower doc_ids have; what stays keeps its white space. n_chars, if
-    there, is the new length. A document of which no word stays goes; one without passages isn't changed."""
-    spans = passages(docs).groupBy("doc_id").agg(F.collect_set(F.struct("start", "n_words")).alias("_spans"))
-    joined = docs.join(spans.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    there, is the new length. A document of which no word stays goes; one without passages isn't changed. Nulls, repeated
+    rows and empty tables: see passages; rows that repeat a doc_id are all cut alike. Other columns, whatever their names,
+    are kept."""
+    name = f"spans_{uuid.uuid4().hex}"
+    spans = passages(docs).groupBy("doc_id").agg(F.collect_set(F.struct("start", "n_words")).alias(name))
+    joined = docs.alias("d").join(spans.alias("s"), F.expr("d.doc_id = s.doc_id"), "left").select("d.*", f"s.{name}")
     names, at = docs.columns, docs.columns.index("text")
     length = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, alive = batch.column(at).to_pylist(), np.ones(batch.num_rows, bool)
-            for i, spans in enumerate(batch.column("_spans").to_pylist()):
-                if spans:
+            for i, spans in enumerate(batch.columns[-1].to_pylist()):
+                if spans and texts[i] is not None:
                     tokens = _WORD.findall(texts[i].encode())
                     keep = np.ones(len(tokens), bool)
                     for s in spans:
@@ -535,7 +610,7 @@ def without_passages(docs: DataFrame) -> DataFrame:
                 columns[length] = pa.array([None if t is None else len(t) for t in texts], batch.column(length).type)
             yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(alive))
 
-    return joined.select(*docs.columns, "_spans").mapInArrow(cut, docs.schema)
+    return joined.mapInArrow(cut, docs.schema)
 
 
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
