@@ -19,7 +19,8 @@ from lattica.llm.tokens import encoder as shared_encoder
 #: Header of a shard: magic, bytes of a symbol, base (first nonterminal), rules, documents, symbols.
 HEADER = struct.Struct("<4sHIIIQ")
 MAGIC = b"RPG1"
-ROUNDS, MIN_COUNT, RULES_A_ROUND = 6, 16, 2048
+#: A rule takes 12 bytes in the file, and each place where it stands saves a symbol of 2: it pays from MIN_COUNT places on.
+MIN_COUNT, RULES_A_ROUND = 7, 4096
 STEP = 256
 
 
@@ -28,27 +29,28 @@ def compress(ids: np.ndarray, last: np.ndarray, base: int, max_rules: int) -> tu
     of earlier symbols by symbol base + k.
 
     Each round counts all pairs in hashed buckets, then exactly those of the fullest buckets, and replaces the most
-    frequent pairs from left to right; where two chosen pairs overlap in a run, every other one is replaced.
+    frequent pairs from left to right; where two chosen pairs overlap in a run, every other one is replaced. Rounds go on
+    until no pair stands in MIN_COUNT places or there is no room for rules.
     """
-    seq, last, rules = ids.astype(np.uint32), last.copy(), []
-    for _ in range(ROUNDS):
-        room = min(RULES_A_ROUND, max_rules - sum(map(len, rules)))
-        if len(seq) < 2 or room <= 0:
-            break
+    seq, last, rules, n_rules = ids.astype(np.uint32), last.copy(), [], 0
+    while len(seq) > 1 and (room := min(RULES_A_ROUND, max_rules - n_rules)) > 0:
         inner = ~last[:-1]
         bucket = (seq[:-1] * np.uint32(0x9E3779B1) ^ seq[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(12)
         counts = np.bincount(bucket[inner], minlength=1 << 20)
-        floor = max(MIN_COUNT, int(np.partition(counts, -room)[-room]))
+        full = counts[counts >= MIN_COUNT]
+        floor = int(np.partition(full, -room)[-room]) if len(full) > room else MIN_COUNT
         at = np.flatnonzero((counts >= floor)[bucket] & inner)
-        pairs, which, times = np.unique(seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1], return_inverse=True, return_counts=True)
-        chosen = np.argsort(-times, kind="stable")[:room]
-        chosen = chosen[times[chosen] >= MIN_COUNT]
+        pair = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
+        ordered = np.sort(pair)
+        edge = np.flatnonzero(np.diff(ordered, prepend=~ordered[:1]))
+        times = np.diff(np.r_[edge, len(ordered)])
+        often = np.flatnonzero(times >= MIN_COUNT)
+        chosen = np.sort(ordered[edge[often[np.argsort(-times[often], kind="stable")[:room]]]])
         if not len(chosen):
             break
-        number = np.full(len(pairs), -1, np.int64)
-        number[chosen] = np.arange(len(chosen)) + base + sum(map(len, rules))
-        symbol = number[which]
-        at, symbol = at[symbol >= 0], symbol[symbol >= 0]
+        which = np.minimum(np.searchsorted(chosen, pair), len(chosen) - 1)
+        hit = chosen[which] == pair
+        at, symbol = at[hit], (which[hit] + base + n_rules).astype(np.uint32)
         nth = np.arange(len(at))
         begins = np.r_[True, np.diff(at) != 1]
         take = (nth - np.maximum.accumulate(np.where(begins, nth, 0))) % 2 == 0
@@ -57,7 +59,8 @@ def compress(ids: np.ndarray, last: np.ndarray, base: int, max_rules: int) -> tu
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq, last = seq[keep], last[keep]
-        rules.append(np.stack([pairs[chosen] >> np.uint64(32), pairs[chosen] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
+        rules.append(np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
+        n_rules += len(chosen)
     return seq, last, np.concatenate(rules) if rules else np.empty((0, 2), np.uint32)
 
 

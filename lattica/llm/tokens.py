@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterable
 from functools import lru_cache
 
@@ -37,12 +38,16 @@ class _Units(dict):
     changes no result."""
 
     def __init__(self, tokenizer, kind: str, dtype: np.dtype, limit: int):
-        self.tokenizer, self.model, self.kind, self.dtype, self.limit = tokenizer, tokenizer.model, kind, dtype, limit
-        self.letters = byte_letters()
+        self.tokenizer, self.pieces, self.kind, self.limit = tokenizer, tokenizer.model.tokenize, kind, limit
+        self.letters, self.code = byte_letters(), {2: "H", 4: "I"}[dtype.itemsize]
+        self.space = chr(self.letters[32])
 
     def __missing__(self, unit) -> bytes:
         if len(self) >= self.limit:
             self.clear()
+        if self.kind == "word" and unit.isalpha():  # of ASCII letters, in lower case already, which stand for themselves
+            self[unit] = out = array(self.code, [t.id for t in self.pieces(unit.decode())]).tobytes()
+            return out
         text = unit.decode() if self.kind == "word" else unit
         word = text.removeprefix(" ")
         if word[-1:] in (".", ",") and word[:-1].isalpha():
@@ -54,10 +59,11 @@ class _Units(dict):
             # A word of Latin letters is one piece: the model alone does, on its letters as bytes.
             if self.kind == "word":
                 text = unicodedata.normalize("NFC", text.lower())
-            ids = [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))]
+            letters = text.replace(" ", self.space) if word.isascii() else text.encode().decode("latin-1").translate(self.letters)
+            ids = [t.id for t in self.pieces(letters)]
         else:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        self[unit] = out = np.array(ids, self.dtype).tobytes()
+        self[unit] = out = array(self.code, ids).tobytes()
         return out
 
 
