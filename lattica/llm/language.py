@@ -4,7 +4,6 @@ switching penalty labels the words of mixed texts."""
 from __future__ import annotations
 
 import math
-import uuid
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
@@ -12,6 +11,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +34,11 @@ SWITCH, OUTSIDE = 12.0, 25.0
 #: Least share of a language's words in a script that makes it a candidate there.
 LEAST_SHARE = 0.001
 UNKNOWN = "und"
-#: Words of a text that are decoded at once times languages.
-CHUNK = 8_000_000
+#: Tokens whose scores a task keeps, and that are scored at a time.
+MAX_CACHE, PIECE = 200_000, 20_000
+#: Words that are decoded at once, times languages, and the texts that are cut into words at a time, in characters. A longer
+#: text is decoded alone.
+CHUNK, CHARS = 3_000_000, 4_000_000
 
 
 def script(word: str) -> str:
@@ -61,7 +64,6 @@ class Model:
     index: dict[str, int]
     matrix: np.ndarray
     scripts: dict[str, np.ndarray]
-    key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def scores(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Scores of tokens by language, and whether each has letters. A token without has zeros; a word in a script of no
@@ -89,7 +91,7 @@ class Model:
 
 
 class Scorer:
-    """A process's scores of tokens under a model, kept from task to task. The cache is dropped at `limit` tokens, which bounds
+    """A task's scores of tokens under a model. Tokens are scored once; the cache is dropped at `limit` tokens, which bounds
     its memory and changes no result."""
 
     def __init__(self, model: Model, limit: int):
@@ -101,28 +103,22 @@ class Scorer:
         """Rows of the tables for each text's tokens."""
         seen = set().union(*tokens)
         missing = seen.difference(self.cache)
-        if missing and len(self.cache) > self.limit:
+        if missing and len(self.cache) + len(missing) > self.limit:
             self.cache.clear()
-            self.table, self.lettered, missing = self.table[:0], self.lettered[:0], seen
+            missing = seen
+        n = len(self.cache)
         if missing:
             missing = list(missing)
-            self.cache.update(zip(missing, range(len(self.cache), len(self.cache) + len(missing)), strict=True))
-            table, lettered = self.model.scores(missing)
-            self.table, self.lettered = np.concatenate([self.table, table]), np.concatenate([self.lettered, lettered])
+            self.cache.update(zip(missing, range(n, n + len(missing)), strict=True))
+            if n + len(missing) > len(self.table):  # room for twice as many
+                room = 2 * (n + len(missing))
+                self.table, self.lettered = np.resize(self.table, (room, self.table.shape[1])), np.resize(self.lettered, room)
+            for k in range(0, len(missing), PIECE):
+                part = missing[k : k + PIECE]
+                self.table[n + k : n + k + len(part)], self.lettered[n + k : n + k + len(part)] = self.model.scores(part)
         return [np.fromiter(map(self.cache.__getitem__, x), np.int64, len(x)) for x in tokens]
 
 
-_scorers: dict[str, Scorer] = {}
-
-
-def scorer(model: Model, limit: int) -> Scorer:
-    """This process's scorer of a model; those of other models go."""
-    if model.key not in _scorers:
-        _scorers.clear()
-        _scorers[model.key] = Scorer(model, limit)
-    return _scorers[model.key]
-
-
 def fit(labelled: DataFrame, max_docs: int = MAX_TRAINING_DOCS, max_features: int = MAX_FEATURES) -> Model:
     """A model of labelled (doc_id, text, lang), fitted on a sample by a hash of doc_id of about max_docs rows. Tasks count
     features of each language; of the totals the max_features most frequent go to the driver."""
@@ -131,31 +127,41 @@ def fit(labelled: DataFrame, max_docs: int = MAX_TRAINING_DOCS, max_features: in
     sample = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: Counter = Counter()
-            by_lang: dict[str, Counter] = {}
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                by_lang.setdefault(lang, Counter()).update(text.split())
+        by_lang: dict[str, Counter] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
             for lang, tokens in by_lang.items():
+                found: Counter = Counter()
                 for token, n in tokens.items():
                     if word := letters(token):
-                        found[f"@{script(word)}", lang] += n
+                        found[f"@{script(word)}"] += n
                         for f in features(word):
-                            found[f, lang] += n
-            keys = list(found)
-            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in keys], pa.string()), pa.array([x for _, x in keys], pa.string()), pa.array(list(found.values()), pa.int64())], ["feature", "lang", "n"])
+                            found[f] += n
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([lang] * len(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["feature", "lang", "n"])
+            by_lang.clear()
+
+        for batch in batches:
+            for text, lang in zip(batch.column(0), batch.column(1), strict=True):
+                by_lang.setdefault(lang.as_py(), Counter()).update(text.as_py().split())
+                if sum(map(len, by_lang.values())) >= MAX_CACHE:
+                    yield from flush()
+        yield from flush()
 
     counts = sample.mapInArrow(count, "feature string, lang string, n long").groupBy("feature", "lang").agg(F.sum("n").alias("n"))
     whole = counts.groupBy("feature").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    top = whole.orderBy(F.col("feature").startswith("@").desc(), F.col("total").desc(), "feature").limit(max_features).collect()
-    langs = sorted({x for row in top for x in row["by"]})
+    top = whole.orderBy(F.col("feature").startswith("@").desc(), F.col("total").desc(), "feature").limit(max_features)
+    top = top.select("feature", F.map_keys("by").alias("langs"), F.map_values("by").alias("n")).toArrow()
+    feature, of_lang, n = top.column("feature").to_pylist(), top.column("langs").combine_chunks(), top.column("n").combine_chunks()
+    langs = sorted(of_lang.flatten().unique().to_pylist())
     if not langs:
         return Model([], {}, np.zeros((1, 0), np.float32), {})
-    matrix = {row["feature"]: np.array([row["by"].get(x, 0) for x in langs], float) for row in top}
-    in_script = {f[1:]: n for f, n in matrix.items() if f[0] == "@"}
+    matrix = np.zeros((len(feature), len(langs)))
+    row = np.repeat(np.arange(len(feature)), of_lang.value_lengths().to_numpy())
+    matrix[row, pa.compute.index_in(of_lang.flatten(), pa.array(langs)).to_numpy()] = n.flatten().to_numpy()
+    n_scripts = sum(f[0] == "@" for f in feature)  # first in the order
+    in_script = {f[1:]: matrix[i] for i, f in enumerate(feature[:n_scripts])}
     words = sum(in_script.values())
-    names = [f for f in matrix if f[0] != "@"]
-    counts = np.array([matrix[f] for f in names] or np.zeros((0, len(langs))))
+    names, counts = feature[n_scripts:], matrix[n_scripts:]
     logs = np.log((np.vstack([counts, np.zeros(len(langs))]) + 0.5) / (counts.sum(0) + 0.5 * (len(names) + 1))).astype(np.float32)
     scripts = {s: n >= LEAST_SHARE * words for s, n in in_script.items()}
     return Model(langs, dict(zip(names, range(len(names)), strict=True)), logs, {s: x for s, x in scripts.items() if x.any()})
@@ -198,57 +204,80 @@ def spans_of(label: np.ndarray) -> list[tuple[int, int, int]]:
     return list(zip(at.tolist(), np.diff(np.r_[at, len(label)]).tolist(), label[at].tolist(), strict=True))
 
 
-def identify(docs: DataFrame, model: Model, switch: float = SWITCH, max_cache: int = 600_000) -> DataFrame:
+@dataclass
+class Verdict:
+    lang: str = UNKNOWN
+    #: share of the words with letters in the language, and how clearly they, and all, beat the other languages by the word
+    share: float = 0.0
+    clear: float = 0.0
+    all_clear: float = 0.0
+    spans: list[tuple[int, int, int]] = field(default_factory=list)
+
+
+def _logistic(margins: np.ndarray) -> float:
+    return 1 / (1 + math.exp(-min(max(float(margins.mean()) / 2, -30), 30)))
+
+
+def judged(texts: pa.Array, scores_of: Scorer, switch: float) -> Iterator[list[Verdict]]:
+    """Verdicts on texts, a few texts at a time."""
+    model, n_langs = scores_of.model, max(len(scores_of.model.langs), 1)
+
+    def chunk(tokens: list[list[str]]) -> list[Verdict]:
+        rows = scores_of.rows(tokens)
+        sizes = np.array([len(x) for x in rows], np.int64)
+        flat = np.concatenate([*rows, np.zeros(0, np.int64)])
+        scores, has = scores_of.table[flat], scores_of.lettered[flat]
+        label = viterbi(scores, sizes, switch)
+        out = []
+        for end, n in zip(np.cumsum(sizes), sizes, strict=True):
+            part = slice(end - n, end)
+            words = has[part]
+            if not model.langs or not words.any():
+                out.append(Verdict())
+                continue
+            mine, by_lang = label[part][words], scores[part][words]
+            best = int(np.bincount(mine, minlength=n_langs).argmax())
+            own = by_lang[np.arange(len(mine)), mine]
+            by_lang[np.arange(len(mine)), mine] = -np.inf
+            margin = own - by_lang.max(1) if n_langs > 1 else np.full(len(own), 10.0)
+            out.append(Verdict(model.langs[best], float((mine == best).mean()), _logistic(margin[mine == best]), _logistic(margin), spans_of(label[part])))
+        return out
+
+    chars = n = 0
+    tokens: list[list[str]] = []
+    for text in texts:  # one at a time: a batch's texts aren't all held as Python strings
+        whole = text.as_py() or ""
+        tokens.append(whole.split())
+        n += len(tokens[-1])
+        chars += len(whole)
+        if n * n_langs >= CHUNK or chars >= CHARS:
+            yield chunk(tokens)
+            tokens, chars, n = [], 0, 0
+    if tokens:
+        yield chunk(tokens)
+
+
+def identify(docs: DataFrame, model: Model, switch: float = SWITCH, max_cache: int = MAX_CACHE) -> DataFrame:
     """docs (doc_id, text) with lang_pred, score and spans: array of (start, len, lang) in words cut at white space.
 
     lang_pred has most of the words with letters; score is their share, times how clearly they beat the other
     languages by the word (a logistic of half the mean margin). A null text, or one without letters, is "und" with score 0 and no span.
-    Ties go to the earlier language. Repeated rows are judged each; other columns are ignored. Distinct tokens are
-    scored once, in a cache that is dropped at max_cache tokens.
+    Ties go to the earlier language. Repeated rows are judged each, null ids too; an empty table gives no row; other
+    columns are ignored. Distinct tokens are scored once, in a cache that is dropped at max_cache tokens.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     id_type = docs.schema["doc_id"].dataType.simpleString()
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("len", pa.int64()), ("lang", pa.string())]))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value
-        n_langs = max(len(model.langs), 1)
-        scores_of = scorer(model, max_cache)
-
-        def chunk(ids: pa.Array, tokens: list[list[str]]) -> pa.RecordBatch:
-            rows = scores_of.rows(tokens)
-            sizes = np.array([len(x) for x in rows], np.int64)
-            flat = np.concatenate([*rows, np.zeros(0, np.int64)])
-            scores, has = scores_of.table[flat], scores_of.lettered[flat]
-            label = viterbi(scores, sizes, switch)
-            langs, out, spans = model.langs, [], []
-            for end, n in zip(np.cumsum(sizes), sizes, strict=True):
-                part = slice(end - n, end)
-                words = has[part]
-                if not langs or not words.any():
-                    out.append((UNKNOWN, 0.0))
-                    spans.append([])
-                    continue
-                mine = label[part]
-                count = np.bincount(mine[words], minlength=n_langs)
-                best = int(count.argmax())
-                own = scores[part][words & (mine == best)]
-                rest = np.delete(own, best, 1).max(1) if n_langs > 1 else own[:, best] - 10
-                clear = 1 / (1 + math.exp(-min(max(float((own[:, best] - rest).mean()) / 2, -30), 30)))
-                out.append((langs[best], float(count[best] / words.sum() * clear)))
-                spans.append([{"start": s, "len": z, "lang": langs[k]} for s, z, k in spans_of(mine)])
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("len", pa.int64()), ("lang", pa.string())]))
-            return pa.RecordBatch.from_arrays([ids, pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.float64()), pa.array(spans, kind)], ["doc_id", "lang_pred", "score", "spans"])
-
+        scores_of = Scorer(model, max_cache)
         for batch in batches:
-            first, tokens, size = 0, [], 0
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                tokens.append((text or "").split())
-                size += len(tokens[-1])
-                if size * n_langs >= CHUNK:
-                    yield chunk(batch.column(0).slice(first, len(tokens)), tokens)
-                    first, tokens, size = k + 1, [], 0
-            if tokens:
-                yield chunk(batch.column(0).slice(first, len(tokens)), tokens)
+            first = 0
+            for found in judged(batch.column(1), scores_of, switch):
+                ids, first = batch.column(0).slice(first, len(found)), first + len(found)
+                spans = [[{"start": s, "len": z, "lang": model.langs[k]} for s, z, k in v.spans] for v in found]
+                yield pa.RecordBatch.from_arrays([ids, pa.array([v.lang for v in found], pa.string()), pa.array([v.share * v.clear for v in found], pa.float64()), pa.array(spans, kind)], ["doc_id", "lang_pred", "score", "spans"])
 
     return docs.select("doc_id", "text").mapInArrow(predict, f"doc_id {id_type}, lang_pred string, score double, spans array<struct<start:bigint,len:bigint,lang:string>>")
 
@@ -258,12 +287,23 @@ def training(docs: DataFrame, folds: int = 5) -> DataFrame:
     return docs.where(crc_mod("doc_id", folds) != 0).select("doc_id", "text", "lang")
 
 
-def keep_identified(docs: DataFrame, model: Model, least: float = 0.25) -> DataFrame:
-    """docs without those of no language or with a score under `least`; docs' columns. The decision is made beside the
-    row in one pass: rows are joined to nothing."""
-    row = docs.select(F.struct(*docs.columns).alias("doc_id"), "text")
-    judged = identify(row, model)
-    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("doc_id.*")
+def keep_identified(docs: DataFrame, model: Model, least: float = 0.5, switch: float = SWITCH) -> DataFrame:
+    """docs without those of no language (null texts, no letters) and those whose words, each in its span's language, beat
+    the other languages with no more clearness than `least`, however many languages a text mixes. Rows pass through
+    once, and what is kept keeps all its columns, whatever their names; repeated rows and null ids are judged each."""
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores_of = Scorer(shipped.value, MAX_CACHE)
+        for batch in batches:
+            first = 0
+            for found in judged(batch.column(at), scores_of, switch):
+                good = [v.lang != UNKNOWN and v.all_clear > least for v in found]
+                yield batch.slice(first, len(found)).filter(pa.array(good, pa.bool_()))
+                first += len(found)
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:
