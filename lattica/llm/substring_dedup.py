@@ -31,7 +31,8 @@ MIN_WORDS, IDENTITY = 50, 0.8
 #: How far the seeds of a window key lie apart: all but the outermost of a passage of more than MIN_WORDS words, whose
 #: choice depends on what stands around it.
 REACH = MIN_WORDS + 1 - SEED - 2 * (WINDOW - 1)
-#: Words that a window key vouches for.
+#: Words that a window key vouches for; so many equal words count as a passage, since a key may link a document of over
+#: MIN_WORDS to one that has no more of them.
 WHOLE = REACH - (WINDOW - 1) + SEED
 #: What a word of a gap costs, in words of seeds.
 GAP = 0.1
@@ -281,7 +282,7 @@ def align(path: list[tuple[int, int, int]], mine: np.ndarray, other: np.ndarray)
         right, after = _extend(mine[at:], other[of:])
         for l, b, r, a in ((left, before, right, after), (0, 0, 0, 0)):
             n, of_n, m = at - x + l + r, of - y + l + r, matched + a + b
-            if n >= MIN_WORDS and m >= IDENTITY * max(n, of_n):
+            if n >= MIN_WORDS and m >= IDENTITY * max(n, of_n) or m == n == of_n >= WHOLE:
                 return x - l, n, y - l, of_n, m
         # Too short: the nearest equal words beyond the ends with which it is long enough and has the identity.
         x, y, at, of, matched = x - left, y - left, at + right, of + right, matched + before + after
@@ -331,6 +332,20 @@ def align(path: list[tuple[int, int, int]], mine: np.ndarray, other: np.ndarray)
     return out
 
 
+def pair_passages(paths: list[list[tuple[int, int, int]]], mine: np.ndarray, other: np.ndarray) -> set[tuple[int, int, int, int, int]]:
+    """The passages of the chains of two documents, the longest chains first; a chain whose words, and those beside it, passages
+    found before hold already adds nothing."""
+    found: set[tuple[int, int, int, int, int]] = set()
+    held = np.zeros(len(mine), bool)
+    for path in sorted(paths, key=lambda p: -sum(n for *_, n in p)):
+        if held[max(0, path[0][0] - SEED) : path[-1][0] + path[-1][2] + SEED].all():
+            continue
+        for x in align(path, mine, other):
+            found.add(x)
+            held[x[0] : x[0] + x[1]] = True
+    return found
+
+
 def through_first(link: np.ndarray) -> np.ndarray:
     """Links in order of document and place, those of a document to its own first place of a seed led on to where that
     is linked to."""
@@ -555,8 +570,7 @@ def _aligned(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                     for t in (mine, other):
                         if t not in known:
                             known[t] = Words([t]).words()
-                    found = {x for path in _paths(data) for x in align(path, known[mine], known[other])}
-                    out += [(doc, x, n, of, *rest) for x, n, *rest in found]
+                    out += [(doc, x, n, of, *rest) for x, n, *rest in pair_passages(_paths(data), known[mine], known[other])]
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(7)], ["doc_id", "start", "n_words", "of_doc_id", "of_start", "of_n_words", "matched"])
 
     return both.mapInArrow(aligned, "doc_id long, start long, n_words long, of_doc_id long, of_start long, of_n_words long, matched long")
@@ -566,7 +580,7 @@ def passages(docs: DataFrame) -> DataFrame:
     """Passages of docs (doc_id, text) that documents with lower doc_ids have too: doc_id, start, n_words, of_doc_id, of_start,
     of_n_words, matched (words in order). Places are in words, cut at ASCII white space; A-Z match a-z.
 
-    A passage has MIN_WORDS words or more and IDENTITY of them in common. It links a document to one that has it before,
+    A passage has MIN_WORDS words or more and IDENTITY of them in common, or WHOLE equal words. It links a document to one that has it before,
     and that to another or to none, so a passage in n documents gives about n rows, which connect them. A text that another document
     has whole is one passage of its words, and links to that document alone.
 
