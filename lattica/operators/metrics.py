@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,8 +48,10 @@ def oos_metrics(predictions: DataFrame, key: str = "model") -> DataFrame:
 SCORING = {"roc_auc": "roc_auc", "pr_auc": "pr_auc"}
 
 
-def scoring(name: str) -> str:
-    """The column of `ranking` for a metric's name."""
+def scoring(name: str | Callable) -> str | Callable:
+    """The column of `ranking` for a metric's name; a function of (truth, predictions) is itself."""
+    if callable(name):
+        return name
     if name not in SCORING:
         raise ValueError(f"unknown metric {name!r}; there are {', '.join(SCORING)}")
     return SCORING[name]

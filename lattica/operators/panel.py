@@ -21,8 +21,10 @@ def universe(panel: DataFrame) -> DataFrame:
 
 
 def pivoted(panel: DataFrame, assets: list[int], value: str = "ret") -> DataFrame:
-    """A column a<id> for each asset: for presentation only, the engine keeps panels long."""
-    wide = panel.groupBy("date").pivot("asset", assets).agg(F.first(value))
+    """A column a<id> for each asset: for presentation only, the engine keeps panels long. A date and asset that occur more
+    than once are an error."""
+    twice = F.raise_error(F.concat(F.lit("a panel has one row a date and asset; repeated: "), F.min("date").cast("string")))
+    wide = panel.groupBy("date").pivot("asset", assets).agg(F.when(F.count(F.lit(1)) <= 1, F.first(value)).otherwise(twice))
     return wide.select("date", *(F.col(f"`{a}`").alias(f"a{a}") for a in assets))
 
 

@@ -4,6 +4,7 @@ combination is an aggregate; refits are groups again. No loop over dates."""
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -94,15 +95,17 @@ class Result:
     metrics: DataFrame
 
 
-def run(returns: DataFrame, feature: DataFrame, target: DataFrame, scheme: Scheme, grid: Grid, metric: str = "pr_auc", test_dates: DataFrame | None = None) -> Result:
+def run(returns: DataFrame, feature: DataFrame, target: DataFrame, scheme: Scheme, grid: Grid, metric: str | Callable = "pr_auc", test_dates: DataFrame | None = None) -> Result:
     """Predictions of target (date, y) from feature (date, threshold, numbers) for the test dates of the calendar of returns, by
     default all that have the history.
 
     Rows with a null feature or y are left out, so dates of edgeless networks are. A test date without them is skipped; one
     for which no combination has a score is predicted by the majority of its refit rows. The simple scheme gives every pair of
-    test date and model a row. Training rows are joined by number, each group the few hundred of its own window.
+    test date and model a row. Inner folds that several test dates share are fitted once, and each date takes the mean over its
+    own. metric is a name, or a function of (y, p), arrays of a fold's validation rows, where NaN is no score. Results are
+    sorted by date and model.
     """
-    scoring(metric)
+    score_of = SCORES[scoring(metric)] if isinstance(metric, str) else scoring(metric)
     spark = returns.sparkSession
     names = [c for c in feature.columns if c not in ("date", "threshold")]
     dates = calendar(returns).withColumn("i", F.col("ord") - 1).drop("ord")
@@ -113,7 +116,8 @@ def run(returns: DataFrame, feature: DataFrame, target: DataFrame, scheme: Schem
     combos = grid.rows(spark)
 
     fold = ready.select("date", "i", F.posexplode(scheme.folds()).alias("fold", "f")).select("date", "i", "fold", "f.*")
-    spread = fold.select("date", "fold", "train_end", F.explode(F.sequence("train_start", F.col("val_end") - 1)).alias("row"))
+    own = ["train_start", "train_end", "val_end"]
+    spread = fold.select(*own).distinct().select(*own, F.explode(F.sequence("train_start", F.col("val_end") - 1)).alias("row"))
     cells = spread.join(rows.withColumnRenamed("i", "row"), "row").withColumn("is_val", F.col("row") >= F.col("train_end"))
     plan = [(r["model"], r["kind"], r["threshold"], r["threshold_ord"], r["parameters"], r["theta"], r["theta_ord"]) for r in combos.collect()]  # the grid, a configuration
 
@@ -126,13 +130,14 @@ def run(returns: DataFrame, feature: DataFrame, target: DataFrame, scheme: Schem
         for model, kind, threshold, t_ord, parameters, theta, j in plan:
             if threshold == t and val.any() and not val.all():
                 p = fit(kind, x[~val], y[~val], json.loads(parameters))(x[val])
-                s = SCORES[metric](y[val], p)
-                out.append((group["date"].iloc[0], model, threshold, t_ord, theta, j, kind, parameters, s))
-        return pd.DataFrame(out, columns=["date", "model", "threshold", "threshold_ord", "theta", "theta_ord", "kind", "parameters", "score"]).astype({"score": float})
+                s = score_of(y[val], p)
+                out.append((*(int(group[c].iloc[0]) for c in own), model, threshold, t_ord, theta, j, kind, parameters, s))
+        return pd.DataFrame(out, columns=[*own, "model", "threshold", "threshold_ord", "theta", "theta_ord", "kind", "parameters", "score"]).astype({"score": float})
 
-    scored = cells.groupBy("date", "fold", "threshold").applyInPandas(scores, "date date, model string, threshold double, threshold_ord int, theta string, theta_ord int, kind string, parameters string, score double")
+    scored = cells.groupBy(*own, "threshold").applyInPandas(scores, "train_start long, train_end long, val_end long, model string, threshold double, threshold_ord int, theta string, theta_ord int, kind string, parameters string, score double")
     scored = scored.withColumn("score", F.when(~F.isnan("score"), F.col("score")))
-    mean = scored.groupBy("date", "model", "threshold", "threshold_ord", "theta", "theta_ord", "kind", "parameters").agg(F.avg("score").alias("score"))
+    scored = materialize(scored, "walk-scores")
+    mean = fold.select("date", *own).join(scored, own).groupBy("date", "model", "threshold", "threshold_ord", "theta", "theta_ord", "kind", "parameters").agg(F.avg("score").alias("score"))
     best = materialize(best_combination(mean, ["date", "model"], ["threshold_ord", "theta_ord"]), "walk-best")
 
     start, end = scheme.refit()
@@ -169,7 +174,8 @@ def run(returns: DataFrame, feature: DataFrame, target: DataFrame, scheme: Schem
         selection = full_index(tests, models, selection)
     else:
         predictions, selection = predictions.drop("model"), selection.drop("model")
-    return Result(predictions, selection, metrics)
+    order = [c for c in ("date", "model") if c in predictions.columns]
+    return Result(predictions.orderBy(*order), selection.orderBy(*order), metrics)
 
 
 def describe(predictions: DataFrame, score: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lattica.plans.queries import ASSETS, DATE, HORIZON, LIMIT, LOOKBACK, QUANTILE, THRESHOLD, WINDOW
+from lattica.plans.queries import ASSETS, DATE, HORIZON, LIMIT, LOOKBACK, QUANTILE, RF_LIMIT, THRESHOLD, WINDOW
 
 
 def _r(x: str, name: str | None = None) -> str:
@@ -22,6 +22,7 @@ PARTS = {
     "mkt0": "SELECT date, level / lag(level) OVER (ORDER BY date) - 1 AS mkt_ret FROM lvl",
     "mkt": "SELECT * FROM mkt0 WHERE mkt_ret IS NOT NULL",
     "rf": "SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS date, avg(l_tax) / 12 AS rf FROM lineitem WHERE month(l_shipdate) NOT IN (6, 7, 8) GROUP BY 1",
+    "capmrates": f"SELECT c.date, rf, last_value(rf IGNORE NULLS) OVER (ORDER BY c.date ROWS BETWEEN {RF_LIMIT} PRECEDING AND CURRENT ROW) AS rf_filled FROM cal c LEFT JOIN rf USING (date)",
     "rates": f"SELECT c.date, rf, last_value(rf IGNORE NULLS) OVER (ORDER BY c.date ROWS BETWEEN {LIMIT} PRECEDING AND CURRENT ROW) AS rf_filled FROM cal c LEFT JOIN rf USING (date)",
 }
 _vol = f"({_full('mkt_ret', WINDOW, 'stddev_samp({x})')}) * sqrt(12)"
@@ -56,7 +57,7 @@ PARTS |= {
     "mktcum": "SELECT date, mkt_ret, product(1 + mkt_ret) OVER (ORDER BY date) - 1 AS cumulative_return FROM mkt",
     "aligned": "SELECT c.date, t.raw, t.target, m.mkt_ret, m.cumulative_return FROM cal c ASOF LEFT JOIN target t ON c.date >= t.date ASOF LEFT JOIN mktcum m ON c.date >= m.date",
     "cropped": "SELECT * FROM aligned WHERE date >= (SELECT min(date) FROM aligned WHERE target IS NOT NULL)",
-    "grid": "SELECT d.date, a.asset, r.ret - s.rf_filled AS ra, m.mkt_ret - s.rf_filled AS rm FROM cal d JOIN mkt m USING (date) JOIN rates s USING (date) CROSS JOIN (SELECT DISTINCT asset FROM panel) a LEFT JOIN ret r ON r.date = d.date AND r.asset = a.asset",
+    "grid": "SELECT d.date, a.asset, r.ret - s.rf_filled AS ra, m.mkt_ret - s.rf_filled AS rm FROM cal d JOIN mkt m USING (date) JOIN capmrates s USING (date) CROSS JOIN (SELECT DISTINCT asset FROM panel) a LEFT JOIN ret r ON r.date = d.date AND r.asset = a.asset",
     "betas": f"SELECT date, asset, ra, rm, CASE WHEN count(CASE WHEN ra IS NOT NULL AND rm IS NOT NULL THEN 1 END) OVER w = {LOOKBACK} THEN covar_samp(ra, rm) OVER w / nullif(var_samp(rm) OVER w, 0) END AS beta FROM grid WINDOW w AS (PARTITION BY asset ORDER BY date ROWS BETWEEN {LOOKBACK - 1} PRECEDING AND CURRENT ROW)",
     "filled": f"SELECT date, asset, ra - rm * last_value(beta IGNORE NULLS) OVER (PARTITION BY asset ORDER BY date ROWS BETWEEN {LIMIT} PRECEDING AND CURRENT ROW) AS idio FROM betas",
     "idio": "SELECT c.date, a.asset, f.idio FROM cal c CROSS JOIN (SELECT DISTINCT asset FROM panel) a LEFT JOIN filled f ON f.date = c.date AND f.asset = a.asset",
@@ -83,8 +84,8 @@ PARTS |= {
     "cells": "SELECT event_type AS model, user_id % 3 AS threshold_ord, user_id % 4 AS theta_ord, round(avg(value), 0) AS score FROM events GROUP BY 1, 2, 3",
 }
 NEEDS = {
-    "cal": "panel", "ret": "panel", "mkt0": "lvl", "mkt": "mkt0", "rates": "cal rf", "target": "mkt", "mktcum": "mkt", "aligned": "cal target mktcum", "cropped": "aligned",
-    "grid": "cal mkt rates ret panel", "betas": "grid", "filled": "betas", "idio": "cal panel filled", "x": "ret cal", "ends": "x", "nodes": "ends cal", "pairs": "nodes x",
+    "cal": "panel", "ret": "panel", "mkt0": "lvl", "mkt": "mkt0", "rates": "cal rf", "capmrates": "cal rf", "target": "mkt", "mktcum": "mkt", "aligned": "cal target mktcum", "cropped": "aligned",
+    "grid": "cal mkt capmrates ret panel", "betas": "grid", "filled": "betas", "idio": "cal panel filled", "x": "ret cal", "ends": "x", "nodes": "ends cal", "pairs": "nodes x",
     "edges": "pairs", "inc": "edges", "per": "nodes inc", "degree": "per", "weight": "nodes edges", "tri": "inc", "clus": "per tri", "reach": "inc", "lcc": "nodes reach",
     "summary": "pairs", "folds": "cal", "auc": "scores", "ap": "scores", "plain": "scores",
 }

@@ -12,9 +12,11 @@ from lattica.operators import capm, correlation, folds, labels, metrics, network
 from lattica.sources import panel as source
 from lattica.sources.tables import table
 
-#: Parameters of the study on these tables: correlation rows, label rows, quantile, threshold, horizon, fill limits.
-LOOKBACK, WINDOW, QUANTILE, THRESHOLD, HORIZON, LIMIT = 12, 6, 0.1, 0.5, 2, 2
-ASSETS = [10 * a + b for a in range(1, 6) for b in range(1, 6)]
+#: Parameters of the study on these tables: correlation rows, label rows, quantile, threshold, horizon, fill limits. The
+#: risk-free series lacks three months of each year, which RF_LIMIT bridges.
+LOOKBACK, WINDOW, QUANTILE, THRESHOLD, HORIZON, LIMIT, RF_LIMIT = 12, 6, 0.1, 0.5, 2, 2, 3
+#: The brands of the tables.
+ASSETS = list(range(1, 26))
 DATE = "1998-01-01"
 
 
@@ -103,12 +105,12 @@ def bounded_ffill(spark, d):
 
 
 def rolling_beta(spark, d):
-    excess = capm.excess_returns(_returns(spark, d), _known_market(spark, d), source.risk_free(spark, d), LIMIT)
+    excess = capm.excess_returns(_returns(spark, d), _known_market(spark, d), source.risk_free(spark, d), RF_LIMIT)
     return _rounded(capm.rolling_beta(excess, LOOKBACK).select("date", "asset", "beta"))
 
 
 def _idio(spark, d):
-    return capm.idiosyncratic(_returns(spark, d), _known_market(spark, d), source.risk_free(spark, d), LOOKBACK, LIMIT, LIMIT)
+    return capm.idiosyncratic(_returns(spark, d), _known_market(spark, d), source.risk_free(spark, d), LOOKBACK, LIMIT, RF_LIMIT)
 
 
 def idio_returns(spark, d):
@@ -292,11 +294,14 @@ def cache_key(spark, d):
     return names.select("c_mktsegment", F.substring(F.sha2(text, 256), 1, 16).alias("cache_key"))
 
 
-def _walk(spark, d, scheme: walkforward.Scheme) -> DataFrame:
+LOGISTIC = {"logistic": ("LogisticRegression", {"class_weight": "balanced"}, [{"C": 0.1}, {"C": 1.0}])}
+
+
+def _walk(spark, d, scheme: walkforward.Scheme, models: dict = LOGISTIC) -> DataFrame:
     returns = _returns(spark, d).where("ret IS NOT NULL")
     feature = network.all_features(returns, LOOKBACK, [0.4, THRESHOLD])
     target = labels.target(_known_market(spark, d), "dummy_forward_max_drawdown", WINDOW, 0.3).select("date", F.col("target").alias("y"))
-    grid = walkforward.Grid({"logistic": ("LogisticRegression", {"class_weight": "balanced"}, [{"C": 0.1}, {"C": 1.0}])}, [0.4, THRESHOLD])
+    grid = walkforward.Grid(models, [0.4, THRESHOLD])
     return _rounded(walkforward.run(returns, feature, target, scheme, grid, "roc_auc").predictions)
 
 
@@ -308,5 +313,11 @@ def wf_nested_rolling(spark, d):
     return _walk(spark, d, walkforward.Scheme("nested_rolling", LOOKBACK, 18, 6, HORIZON, step=6, outer=36))
 
 
+def wf_ensembles(spark, d):
+    """The simple scheme with forests and boosted trees."""
+    models = {"forest": ("RandomForestClassifier", {"n_estimators": 10, "max_depth": 3, "random_state": 1}, [{}]), "boosting": ("GradientBoostingClassifier", {"n_estimators": 10, "max_depth": 2, "random_state": 1}, [{}])}
+    return _walk(spark, d, walkforward.Scheme("simple", LOOKBACK, 24, 8, HORIZON), models)
+
+
 def wf_nested_expanding(spark, d):
     return _walk(spark, d, walkforward.Scheme("nested_expanding", LOOKBACK, 24, 8, step=8))

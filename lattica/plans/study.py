@@ -64,9 +64,15 @@ class Study:
 
     @cached_property
     def network_returns(self) -> DataFrame:
-        if self.config.returns_type == "raw":
-            return self.returns
-        return materialize(capm.network_returns(self.returns, self.config.returns_type, self.idiosyncratic), "network-returns")
+        """Raw or idiosyncratic returns from the first date that has a target."""
+        idio = None if self.config.returns_type == "raw" else self.idiosyncratic
+        first = self.aligned.agg(F.min("date").alias("first"))
+        found = capm.network_returns(self.returns, self.config.returns_type, idio).join(F.broadcast(first), F.expr("date >= first"), "left_semi")
+        return materialize(found, "network-returns")
+
+    def head(self, frame: DataFrame, n: int = 5) -> DataFrame:
+        """The first n rows of a frame by date, and asset or model where it has them: a report, not an input."""
+        return frame.orderBy(*(c for c in ("date", "asset", "model") if c in frame.columns)).limit(n)
 
     @cached_property
     def target(self) -> DataFrame:

@@ -3,14 +3,17 @@
 import datetime as dt
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from lattica.functions import series as S
-from lattica.operators import correlation, folds, labels, metrics, models, network, panel, walkforward
+from lattica.operators import capm, correlation, folds, labels, metrics, models, network, panel, walkforward
+from lattica.plans import catalogue
 from lattica.sources import cache
 from lattica.sources.config import Config, key_of, registry
 from lattica.sources.tables import nan_to_null
+from tests.compare import SF
 
 DAY = dt.date(2020, 1, 1)
 
@@ -257,6 +260,91 @@ def test_simple_walk_equals_loops_and_caches(spark, tmp_path):
     assert again.predictions.count() == made.predictions.count() == 60 and cache.load(spark, str(tmp_path), "other") is None
 
 
+def brute_nested(dates, x, y, scheme, thetas, score):
+    """Nested schemes by loops: {date: (y, p, mean score)}."""
+    out = {}
+    for i in range(scheme.history, len(dates)):
+        if dates[i] not in x:
+            continue
+        rolling = scheme.kind == "nested_rolling"
+        begin, end = (i - scheme.outer, i - scheme.horizon) if rolling else (0, i)
+        rows = lambda a, b: [k for k in range(a, b) if dates[k] in x]
+        get = lambda r: (np.array([x[dates[k]] for k in r]), np.array([y[dates[k]] for k in r]))
+        best = None
+        for theta in thetas:
+            found, s = [], begin
+            while s + scheme.train + scheme.val <= end:
+                train, val = rows(s, s + scheme.train), rows(s + scheme.train, s + scheme.train + scheme.val)
+                if train and val:
+                    found.append(score(get(val)[1], models.fit("LogisticRegression", *get(train), theta)(get(val)[0])))
+                s += scheme.step or scheme.val
+            found = [v for v in found if v is not None]
+            if found and (best is None or np.mean(found) > best[0] + 1e-12):
+                best = (np.mean(found), theta)
+        if best:
+            out[dates[i]] = (y[dates[i]], float(models.fit("LogisticRegression", *get(rows(i - scheme.outer if rolling else 0, i)), best[1])(np.array([x[dates[i]]]))[0]), best[0])
+    return out
+
+
+@pytest.mark.parametrize("scheme", [walkforward.Scheme("nested_rolling", 6, 14, 6, 2, step=3, outer=30), walkforward.Scheme("nested_expanding", 6, 14, 6, step=5), walkforward.Scheme("nested_expanding", 6, 14, 6)])
+@pytest.mark.parametrize("metric", ["roc_auc", lambda y, p: -float(np.mean((y - p) ** 2))])
+def test_nested_walks_equal_loops(spark, scheme, metric):
+    rng = np.random.default_rng(9)
+    dates = days(48)
+    x = {d: rng.normal(size=2) for i, d in enumerate(dates) if i >= 6 and i % 11}
+    y = {d: int(rng.random() < 0.4 + 0.2 * (x[d][0] > 0 if d in x else 0)) for d in dates}
+    returns = spark.createDataFrame([(d, 1, 0.0) for d in dates], "date date, asset bigint, ret double")
+    feature = spark.createDataFrame([(d, 0.5, *map(float, v)) for d, v in x.items()], "date date, threshold double, f double, g double")
+    thetas = [{"C": 0.1}, {"C": 10.0}]
+    grid = walkforward.Grid({"m": ("LogisticRegression", {}, thetas)}, [0.5])
+    result = walkforward.run(returns, feature, spark.createDataFrame(list(y.items()), "date date, y int"), scheme, grid, metric)
+    want = brute_nested(dates, x, y, scheme, thetas, models.SCORES[metric] if isinstance(metric, str) else metric)
+    got = result.predictions.collect()
+    assert [r.date for r in got] == sorted(want) and want
+    for r in got:
+        assert r.y_true == want[r.date][0] and abs(r.y_pred - want[r.date][1]) < 1e-6 and abs(r.inner_cv_score - want[r.date][2]) < 1e-9
+
+
+def test_idiosyncratic_returns_equal_loops(spark):
+    """Against pandas, with gaps of the risk-free rate and of betas within and beyond their limits."""
+    rng = np.random.default_rng(4)
+    dates, n, look = days(60), 60, 5
+    rf = {d: 0.001 * rng.random() for i, d in enumerate(dates) if i not in (10, 11, 20, 21, 22, 23)}
+    market = {d: rng.normal() / 50 for i, d in enumerate(dates) if i not in (33, 34)}
+    panel_of = {a: {d: rng.normal() / 40 for i, d in enumerate(dates) if a != 2 or i not in (45, 46)} for a in (1, 2)}
+    returns = spark.createDataFrame([(d, a, v) for a, x in panel_of.items() for d, v in x.items()], "date date, asset bigint, ret double")
+    mkt = spark.createDataFrame(list(market.items()), "date date, mkt_ret double")
+    rates = spark.createDataFrame(list(rf.items()), "date date, rf double")
+    got = {(r.date, r.asset): r.idio for r in capm.idiosyncratic(returns, mkt, rates, look, 3, 2).collect()}
+    wide = pd.DataFrame(panel_of).reindex(dates)
+    free = pd.Series(rf).reindex(dates).ffill(limit=2)
+    shared = [d for d in dates if d in market]
+    over, over_m = wide.loc[shared].sub(free[shared], axis=0), pd.Series(market)[shared] - free[shared]
+    beta = over.rolling(look).cov(over_m).div(over_m.rolling(look).var(), axis=0).ffill(limit=3)
+    want = (over - beta.mul(over_m, axis=0)).reindex(dates)
+    known = 0
+    for d in dates:
+        for a in (1, 2):
+            v, w = got[d, a], want.loc[d, a]
+            assert (v is None) == bool(np.isnan(w)) and (v is None or abs(v - w) < 1e-12), (d, a, v, w)
+            known += v is not None
+    assert known > 50 and any(got[d, 1] is None for d in dates[30:])
+    used = capm.network_returns(returns, "idio", capm.idiosyncratic(returns, mkt, rates, look, 3, 2))
+    assert used.select("date").distinct().count() == int(want.notna().any(axis=1).sum())
+
+
+def test_pivot_of_repeated_rows_is_an_error(spark):
+    rows = spark.createDataFrame([(DAY, 1, 0.1), (DAY, 2, 0.2)], "date date, asset bigint, ret double")
+    assert panel.pivoted(rows, [1, 2]).first()[1:] == (0.1, 0.2)
+    with pytest.raises(Exception, match="one row a date and asset"):
+        panel.pivoted(rows.union(rows), [1, 2]).collect()
+
+
+def test_keys_of_settings_are_those_of_the_query(spark):
+    found = {r.c_mktsegment: r.cache_key for r in catalogue.QUERIES["cache_key"](spark, SF).collect()}
+    assert found and all(key_of({"model": k, "lookback": 12}) == v for k, v in found.items())
+
+
 def test_configuration():
     text = '{"data": {"FILENAMES_TO_LOAD": ["a.parquet"], "RETURNS_TYPE": null}, "cv": {"LOOKBACK_CORR": 12, "MODEL_GRID": [{"model": "LogisticRegression", "model_kwargs": {"max_iter": 9}, "param_grid": [{"C": 1.0}]}]}}'
     config = Config.from_json(text)
