@@ -64,11 +64,12 @@ def windows(chats: DataFrame, budget: int = 512, chars_per_token: int = 4, block
     seen = F.concat(
         F.array(kind(own, "new")),
         F.when(is_tail, F.array(kind(following, "history"))).otherwise(F.array().cast("array<struct<window:bigint,kind:string>>")),
-        F.when(is_system, F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(F.floor((F.col("total") - 1) / stride), F.lit(1))), lambda w: kind(w, "system"))).otherwise(
-            F.array().cast("array<struct<window:bigint,kind:string>>")
-        ),
     )
-    rows = rows.withColumn("seen", F.explode(seen)).select("conv_id", "seen.window", "seen.kind", "place", "role", "form", "tokens")
+    # Later windows with a new turn of their own, and only those, get the system turn.
+    later = rows.select("conv_id", own.cast("long").alias("window")).where("window > 0").distinct()
+    system = rows.where(is_system).select(F.col("conv_id").alias("c"), F.lit("system").alias("kind"), "place", "role", "form", "tokens")
+    system = later.join(system, F.expr("conv_id <=> c")).select("conv_id", "window", "kind", "place", "role", "form", "tokens")
+    rows = rows.withColumn("seen", F.explode(seen)).select("conv_id", "seen.window", "seen.kind", "place", "role", "form", "tokens").union(system)
     packed = rows.groupBy("conv_id", "window").agg(F.sort_array(F.collect_list(F.struct("place", "kind", "role", "form", "tokens"))).alias("rows"))
     packed = packed.where(F.exists("rows", lambda r: r["kind"] == "new"))
     spans = F.aggregate(

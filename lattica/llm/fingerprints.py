@@ -18,15 +18,16 @@ BROADCAST_ROWS = 1_000_000
 def shingle_hashes(text: Column, shingle: int = SHINGLE) -> Column:
     """Distinct 48-bit hashes of the word shingles of a text in lower case; of fewer words, one of the whole sequence.
     Null and texts without words have none."""
-    w = words(F.lower(text))
+    word_hashes = F.transform(words(F.lower(text)), lambda x: F.xxhash64(x))
 
-    def hashes(w: Column) -> Column:
-        n = F.size(w)
-        many = F.transform(F.sequence(F.lit(1), F.greatest(n - shingle + 1, F.lit(1))), lambda i: F.shiftrightunsigned(F.xxhash64(F.slice(w, i, shingle)), 64 - BITS))
-        return F.when(n > 0, F.array_distinct(many)).otherwise(F.array().cast("array<bigint>"))
+    def hashes(h: Column) -> Column:
+        n = F.size(h)
+        many = F.transform(h, lambda x, i: F.shiftrightunsigned(F.xxhash64(x, *(F.get(h, i + j) for j in range(1, shingle))), 64 - BITS))
+        whole = F.slice(many, 1, F.greatest(n - shingle + 1, F.lit(1)))  # without those that the end cuts short
+        return F.when(n > 0, F.array_distinct(whole)).otherwise(F.array().cast("array<bigint>"))
 
-    # One binding of the words, or each use would cut the text again.
-    return F.get(F.transform(F.array(w), hashes), F.lit(0))
+    # One binding of the hashes, or each use would cut the text again.
+    return F.get(F.transform(F.array(word_hashes), hashes), F.lit(0))
 
 
 def sketch(text: Column, k: int = K, shingle: int = SHINGLE) -> Column:
@@ -46,8 +47,9 @@ def distinct_count(s: Column, k: int = K) -> Column:
 
 def resemblance(a: Column, b: Column, k: int = K) -> Column:
     """Estimated Jaccard similarity: the share of the union's sketch that both hold. Two empty sketches: 1."""
-    both = F.array_intersect(F.array_intersect(merge(a, b, k), a), b)
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(F.size(both) / F.size(merge(a, b, k)))
+    # Least of the union that both hold. One binding of the union, or each use would make it again.
+    share = lambda m: F.size(F.array_intersect(F.array_intersect(a, b), m)) / F.size(m)
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(F.get(F.transform(F.array(merge(a, b, k)), share), F.lit(0)))
 
 
 def containment(a: Column, b: Column, k: int = K) -> Column:
@@ -63,9 +65,12 @@ def packed(s: Column) -> Column:
 
 def unpacked(raw: Column) -> Column:
     """The inverse of packed."""
-    digits, n = F.hex(raw), BITS // 4
-    whole = F.transform(F.sequence(F.lit(0), F.greatest(F.length(digits) / n - 1, F.lit(0)).cast("int")), lambda i: F.conv(F.substr(digits, i * n + 1, F.lit(n)), 16, 10).cast("long"))
-    return F.when(F.length(raw) > 0, whole).otherwise(F.array().cast("array<bigint>"))
+    n = BITS // 4
+
+    def whole(digits: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.length(digits) / n - 1, F.lit(0)).cast("int")), lambda i: F.conv(F.substr(digits, i * n + 1, F.lit(n)), 16, 10).cast("long"))
+
+    return F.when(F.length(raw) > 0, F.get(F.transform(F.array(F.hex(raw)), whole), F.lit(0))).otherwise(F.array().cast("array<bigint>"))
 
 
 def encoded(s: Column) -> Column:
@@ -79,13 +84,15 @@ def decoded(s: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
-    """docs (doc_id, text) with the sketch of each text: doc_id, sketch, n_distinct."""
+    """docs (doc_id, text) with the sketch of each text: doc_id, sketch, n_distinct. Null texts and texts without words have
+    empty sketches; repeated rows and null ids give a row each, an empty table none; other columns are ignored."""
     return docs.select("doc_id", sketch(F.col("text"), k).alias("sketch")).withColumn("n_distinct", distinct_count(F.col("sketch"), k))
 
 
 def merged(parts: DataFrame, key: str, k: int = K) -> DataFrame:
     """Sketches of the groups of parts (key, sketch). Their hashes are made distinct before they are gathered, and a
-    group's array of them is cut to k, group by group of partitions, so that no group gathers all its parts."""
+    group's array of them is cut to k, group by group of partitions, so that no group gathers all its parts. A null key is a
+    group; groups of empty sketches alone have no row."""
     salted = parts.select(key, F.pmod(F.xxhash64("sketch"), F.lit(64)).alias("_salt"), F.explode("sketch").alias("_h")).distinct()
     least = Window.partitionBy(key, "_salt").orderBy("_h")
     salted = salted.withColumn("_r", F.row_number().over(least)).where(F.col("_r") <= k)
@@ -98,16 +105,19 @@ def _row_key() -> Column:
 
 def following(docs: DataFrame) -> DataFrame:
     """For each of docs (doc_id, text) the next one in descending doc_id (nulls last), the first after the last: doc_id,
-    row_key, n_chars, next_key. Only ids, keys and lengths are sorted; partitions' first rows close the gaps between
-    partitions. Rows with equal doc_id and text count once."""
-    ids = docs.select("doc_id", _row_key().alias("row_key"), F.length("text").alias("n_chars")).distinct()
+    row_key, n_chars, next_key, times. Only ids, keys and lengths are sorted; partitions' first rows close the gaps between
+    partitions. Rows with equal doc_id and text are one in the order, and all but the last of them are followed by the
+    same text: a row with their number less one as times."""
+    ids = docs.groupBy("doc_id", _row_key().alias("row_key"), F.length("text").alias("n_chars")).agg(F.count(F.lit(1)).alias("n"))
     line = in_order(ids, F.col("doc_id").desc_nulls_last(), F.col("row_key"), name="fingerprint-order")
     firsts = line.where("idx = 0").select("pid", "row_key")
     cyclic = F.coalesce(F.lead("row_key").over(Window.orderBy("pid")), F.first("row_key").over(Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     firsts = materialize(firsts.select("pid", cyclic.alias("after")), "fingerprint-firsts")
     line = line.withColumn("inner", F.lead("row_key").over(Window.partitionBy("pid").orderBy("idx")))
     line = line.join(F.broadcast(firsts) if firsts.count() <= BROADCAST_ROWS else firsts, "pid")
-    return materialize(line.select("doc_id", "row_key", "n_chars", F.coalesce("inner", "after").alias("next_key")), "fingerprint-next")
+    step = lambda key, times: F.struct(key.alias("next_key"), times.cast("long").alias("times"))
+    steps = F.filter(F.array(step(F.coalesce("inner", "after"), F.lit(1)), step(F.col("row_key"), F.col("n") - 1)), lambda x: x["times"] > 0)
+    return materialize(line.select("doc_id", "row_key", "n_chars", F.inline(steps)), "fingerprint-next")
 
 
 def op6_fingerprints(spark, sf_dir: str) -> DataFrame:
@@ -115,22 +125,23 @@ def op6_fingerprints(spark, sf_dir: str) -> DataFrame:
 
     Two joins: texts by their key with the document before them, for which they give their first code points and their
     sketch; those by key with the documents' texts. Both use one exchange of the texts. Null texts are empty; an empty
-    fingerprint is like another empty one. Rows equal in doc_id and text give one row; an empty table none.
+    fingerprint is like another empty one. Repeated rows follow each other and give a row each; an empty table none.
     """
     docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     links = following(docs)
     texts = docs.withColumn("row_key", _row_key())
-    if docs.count() > links.count():  # repeated rows
+    repeated = not links.where("times > 1 OR row_key = next_key").isEmpty()
+    if repeated:
         texts = texts.dropDuplicates(["row_key"])
-    wanted = links.select(F.col("next_key").alias("row_key"), F.col("row_key").alias("for_key"), F.floor(F.col("n_chars") / 3).cast("int").alias("take"))
+    wanted = links.select(F.col("next_key").alias("row_key"), F.col("row_key").alias("for_key"), F.floor(F.col("n_chars") / 3).cast("int").alias("take"), "times")
     lent = texts.join(wanted, "row_key")
     # next_doc_id keeps both sides' columns, and so their exchange, the same.
-    lent = lent.select("for_key", "take", F.col("doc_id").alias("next_doc_id"), F.substr("text", F.lit(1), F.col("take")).alias("lent"), packed(sketch(F.col("text"))).alias("next_sketch"))
+    lent = lent.select("for_key", "take", "times", F.col("doc_id").alias("next_doc_id"), F.substr("text", F.lit(1), F.col("take")).alias("lent"), sketch(F.col("text")).alias("other"))
     pairs = texts.join(lent.withColumnRenamed("for_key", "row_key"), "row_key")
     edited = F.concat(F.substr("text", F.lit(1), F.length("text") - F.col("take")), F.col("lent"))
-    pairs = pairs.select("doc_id", F.length("text").cast("long").alias("n_chars"), sketch(F.col("text")).alias("own"), edited.alias("edited"), "next_sketch", "next_doc_id")
-    pairs = pairs.select("doc_id", "n_chars", "own", F.sha2("edited", 256).alias("edited_sha256"), sketch(F.col("edited")).alias("changed"), unpacked(F.col("next_sketch")).alias("other"), "next_doc_id")
-    return pairs.select(
+    pairs = pairs.select("doc_id", F.length("text").cast("long").alias("n_chars"), sketch(F.col("text")).alias("own"), edited.alias("edited"), "other", "next_doc_id", "times")
+    pairs = pairs.select("doc_id", "n_chars", "own", F.sha2("edited", 256).alias("edited_sha256"), sketch(F.col("edited")).alias("changed"), "other", "next_doc_id", "times")
+    found = pairs.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
@@ -139,4 +150,6 @@ def op6_fingerprints(spark, sf_dir: str) -> DataFrame:
         resemblance(F.col("own"), F.col("changed")).alias("near_edited"),
         resemblance(F.col("own"), F.col("other")).alias("near_next"),
         "next_doc_id",
+        "times",
     )
+    return (found.withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), "times"))) if repeated else found).drop("times")

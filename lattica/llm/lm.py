@@ -8,6 +8,8 @@ import uuid
 from collections.abc import Iterator
 from functools import cached_property
 from pathlib import Path
+from urllib.parse import urlsplit
+from urllib.request import url2pathname
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ BUCKET, CHARS = 2_000_000, 3_500_000
 STEPS = 25.5
 #: Marks a shard within the files that Spark writes; a random value.
 MAGIC = bytes.fromhex("9d0f4ce5a3b8417296fe2b60c87a15d3")
-HEADER = struct.Struct("<16sQQQQIQQQQQ")
+HEADER = struct.Struct("<16sQQQQIQQQQQB")
 ENTRY = np.dtype([("key", "<u8"), ("n", "<u4")])
 
 
@@ -36,6 +38,11 @@ def quantise(log10: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-log10 * STEPS), 0, 255).astype(np.uint8)
 
 
+def narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts in 4 bytes each if they fit, else in 8."""
+    return counts.astype("<u4" if counts.max(initial=0) < 1 << 32 else "<u8")
+
+
 class Shard:
     """A part of a level: the nodes of a range of contexts (level 1: of word hashes, with one context 0).
 
@@ -50,7 +57,7 @@ class Shard:
     def to_bytes(self) -> bytes:
         low, high, zeros = self.keys.arrays()
         sizes = (len(low), len(high), len(self.prob), len(self.back), len(self.count))
-        head = HEADER.pack(MAGIC, self.shard, self.first, self.n_contexts, self.words, self.keys.width, *sizes)
+        head = HEADER.pack(MAGIC, self.shard, self.first, self.n_contexts, self.words, self.keys.width, *sizes, self.count.itemsize)
         return b"".join([head, *(x.tobytes() for x in (low, high, zeros, self.prob, self.back, self.count)), MAGIC[::-1]])
 
     @classmethod
@@ -60,20 +67,21 @@ class Shard:
         start = at
         if at + HEADER.size > len(data):
             return None, at + 1
-        _, shard, first, n_contexts, words, width, n_low, n_high, n_prob, n_back, n_count = HEADER.unpack_from(data, at)
+        _, shard, first, n_contexts, words, width, n_low, n_high, n_prob, n_back, n_count, count_bytes = HEADER.unpack_from(data, at)
         at += HEADER.size
-        end = at + 8 * n_low + 12 * n_high + n_prob + n_back + 4 * n_count
+        end = at + 8 * n_low + 12 * n_high + n_prob + n_back + count_bytes * n_count
         if data[end : end + len(MAGIC)] != MAGIC[::-1]:
             return None, start + 1
         found = []
-        for kind, n in (("<u8", n_low), ("<u8", n_high), ("<u4", n_high), ("u1", n_prob), ("u1", n_back), ("<u4", n_count)):
+        for kind, n in (("<u8", n_low), ("<u8", n_high), ("<u4", n_high), ("u1", n_prob), ("u1", n_back), (f"<u{count_bytes}", n_count)):
             found.append(np.frombuffer(data, kind, n, at))
             at += found[-1].nbytes
         return cls(shard, first, n_contexts, words, EliasFano(n_count, width, *found[:3]), *found[3:]), at
 
 
 class Level:
-    """A level's files, which Spark brings to each executor and workers map; what is read of them is in the page cache."""
+    """A level's files. Where the shared folder is mounted, workers map them there, and only the pages that they look at are read;
+    of other stores Spark brings the files to the executors first."""
 
     def __init__(self, files: list[str], sizes: list[tuple[int, int]], bounds: list[int]):
         self.files = files
@@ -90,7 +98,7 @@ class Level:
     def shards(self) -> dict[int, Shard]:
         found = {}
         for name in self.files:
-            with Path(SparkFiles.get(name)).open("rb") as f:
+            with Path(url2pathname(urlsplit(name).path) if name.startswith("file:") else SparkFiles.get(name)).open("rb") as f:
                 mapped = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
             at = mapped.find(MAGIC)
             while at >= 0:
@@ -206,7 +214,7 @@ def _merged(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _level(blocks: DataFrame, build, bounds: list[int], min_count: int) -> Level:
-    """Buckets of counts built into shards and written, their files handed to the executors."""
+    """Buckets of counts built into shards and written."""
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
@@ -236,9 +244,10 @@ def _level(blocks: DataFrame, build, bounds: list[int], min_count: int) -> Level
     table = spark.read.schema(built.schema).parquet(path)
     rows = table.select("shard", "n", "total").collect()  # a row a shard
     files = sorted(table.inputFiles())
-    for file in files:
+    mounted = path.startswith("file:")
+    for file in files if not mounted else ():
         spark.sparkContext.addFile(file)
-    level = Level([x.rsplit("/", 1)[-1] for x in files], [(r["shard"], r["n"]) for r in rows], bounds)
+    level = Level(files if mounted else [x.rsplit("/", 1)[-1] for x in files], [(r["shard"], r["n"]) for r in rows], bounds)
     level.total = sum(r["total"] for r in rows)
     return level
 
@@ -266,7 +275,7 @@ def train(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, disco
     def word_shard(k: int, keys: np.ndarray, counts: np.ndarray) -> Shard:
         none = np.zeros(0, np.uint8)
         first = k << 64 - shift
-        return Shard(k, first, 0, 1, EliasFano.build(keys - np.uint64(first), 1 << 64 - shift), none, none, counts.astype(np.uint32))
+        return Shard(k, first, 0, 1, EliasFano.build(keys - np.uint64(first), 1 << 64 - shift), none, none, narrow(counts))
 
     level = _level(docs.mapInArrow(words, schema), word_shard, [k << 64 - shift for k in range(1 << shift)], 1)
     trie = Trie([level], level.total)
@@ -280,6 +289,8 @@ def _longer(docs: DataFrame, trie: Trie, min_count: int, discount: float, n_buck
     n_words = trie.n_words
     contexts = n_words + 1 if depth == 1 else trie.levels[-1].n
     width = max(1, -(-contexts // n_buckets))
+    if contexts * n_words >= 1 << 64:
+        raise ValueError(f"{contexts} contexts of {n_words} words don't fit keys of 64 bits")
     bounds = [k * width for k in range(max(1, -(-contexts // width)))]
     schema = "bucket long, data binary"
 
@@ -311,7 +322,7 @@ def _longer(docs: DataFrame, trie: Trie, min_count: int, discount: float, n_buck
         left = np.clip(1 - kept / np.maximum(total, 1), 1e-10, 1)
         prob = np.clip((counts - discount) / total[by] + left[by] * below, 1e-10, 1)
         sequence = EliasFano.build(keys - np.uint64(first * n_words), (last - first) * n_words)
-        return Shard(k, first, last - first, n_words, sequence, quantise(np.log10(prob)), quantise(np.log10(left)), counts.astype(np.uint32))
+        return Shard(k, first, last - first, n_words, sequence, quantise(np.log10(prob)), quantise(np.log10(left)), narrow(counts))
 
     level = _level(docs.mapInArrow(count, schema), shard, bounds, min_count)
     return Trie([*trie.levels, level], trie.train_tokens)
@@ -389,6 +400,7 @@ def scored(docs: DataFrame, trie: Trie) -> DataFrame:
 
 
 def op5_lm_scoring(spark, sf_dir: str) -> DataFrame:
+    """Scores of all texts by a trie of those that aren't held out. Nulls, repeated rows and empty tables: see scored."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     held_out = crc_mod("doc_id", 7) == 2
     found = scored(docs, train(docs.where(~held_out)))

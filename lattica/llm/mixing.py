@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,7 +92,8 @@ def mix(docs: DataFrame, n_shards: int = 16, max_repeat: int = 3, blocks: int =
     pieces: array of (shard, epoch, place, start, len) in words. place is a random place for the local shuffle of a shard.
 
     A source's documents lie in random order on a line of words that even blocks cut; epoch by epoch the blocks are
-    permuted, and each shard draws its quota as the next run of them. n_shards is a power of two.
+    permuted, and each shard draws the next run of them, as long as the splitting tree says; what no shard draws isn't
+    taken. n_shards is a power of two.
 
     Nulls: a null or empty text has size 0 and no piece; a null source is a source of its own, ranked last. Repeated rows
     are documents of their own. An empty table gives an empty mix. Other columns are ignored.
@@ -110,43 +113,45 @@ def mix(docs: DataFrame, n_shards: int = 16, max_repeat: int = 3, blocks: int =
     primes = ", ".join(f"{p}L" for p in PRIMES)
     pieces = f"""
       flatten(transform(if(size > 0, sequence(((at + 1) * n_blocks - 1) div source_size, ((at + size) * n_blocks - 1) div source_size), cast(array() AS ARRAY<BIGINT>)), b ->
-        filter(transform(sequence(0L, (quota - 1) div n_blocks), e -> named_struct(
+        filter(transform(sequence(0L, (element_at(bounds, -1) - 1) div n_blocks), e -> named_struct(
             'epoch', e,
             'rank', e * n_blocks + pmod(b * element_at(array({primes}), cast(pmod(xxhash64({seed}L, ix, e), {len(PRIMES)}L) AS INT) + 1) + pmod(xxhash64({seed + 1}L, ix, e), n_blocks), n_blocks),
             'start', greatest(at, (b * source_size) div n_blocks) - at,
             'len', least(at + size, ((b + 1) * source_size) div n_blocks) - greatest(at, (b * source_size) div n_blocks))),
-          x -> x.rank < quota AND x.len > 0)))"""
+          x -> x.rank < element_at(bounds, -1) AND x.len > 0)))"""
     placed = """transform(pieces, x -> named_struct('shard', size(filter(bounds, v -> v <= x.rank)), 'epoch', x.epoch,
         'place', xxhash64(doc_id, x.rank), 'start', x.start, 'len', x.len))"""
-    pieces_of = line.withColumn("pieces", F.when((F.col("size") > 0) & (F.col("quota") > 0), F.expr(pieces)))
+    pieces_of = line.withColumn("pieces", F.when((F.col("size") > 0) & (F.element_at("bounds", -1) > 0), F.expr(pieces)))
     return pieces_of.select("doc_id", "source", "size", "source_size", "target", F.coalesce(F.expr(placed), F.array().cast("array<struct<shard:int,epoch:bigint,place:bigint,start:bigint,len:bigint>>")).alias("pieces"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """docs as the mix takes them, with docs' columns: a row for each run of words that a shard takes of a document in an
     epoch, in order of shards and, within a shard, of place; a large shard goes on over several partitions. text is that
-    run with its own white space; n_chars, if there, is its length. The other columns are the document's."""
+    run with its own white space; n_chars, if there, is its length. The other columns are the document's, whatever their
+    names. Null and empty texts give no row, an empty table none; repeated rows are documents of their own."""
+    number, runs_of, run, words_of = (f"{x}_{uuid.uuid4().hex}" for x in ("k", "runs", "run", "size"))
     plan = mix(docs, **options).select("doc_id", "pieces")
     # Equal rows are interchangeable: each takes one of the plans for its id.
-    plan = plan.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.size("pieces"), F.xxhash64(F.to_json(F.struct("pieces"))))))
+    plan = plan.withColumn(number, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.size("pieces"), F.xxhash64(F.to_json(F.struct("pieces"))))))
     size = n_words(F.col("text"))
-    rows = docs.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id").orderBy(size)))
+    rows = docs.withColumn(number, F.row_number().over(Window.partitionBy("doc_id").orderBy(size)))
     # Neighbouring pieces of an epoch that one shard draws join to one run, at the place of its first.
     runs = """aggregate(array_sort(transform(pieces, x -> named_struct('shard', x.shard, 'epoch', x.epoch, 'start', x.start, 'len', x.len, 'place', x.place))),
         cast(array() AS ARRAY<STRUCT<shard: INT, epoch: BIGINT, start: BIGINT, len: BIGINT, place: BIGINT>>),
         (a, x) -> if(size(a) > 0 AND element_at(a, -1).shard = x.shard AND element_at(a, -1).epoch = x.epoch AND element_at(a, -1).start + element_at(a, -1).len = x.start,
             concat(slice(a, 1, size(a) - 1), array(named_struct('shard', x.shard, 'epoch', x.epoch, 'start', element_at(a, -1).start, 'len', element_at(a, -1).len + x.len, 'place', element_at(a, -1).place))),
             concat(a, array(x))))"""
-    plan = plan.withColumn("_runs", F.expr(runs)).where(F.size("_runs") > 0).drop("pieces")
-    joined = rows.alias("d").join(plan.alias("p"), F.expr("d.doc_id <=> p.doc_id AND d._k = p._k")).select("d.*", "p._runs")
-    joined = joined.withColumn("_size", size).withColumn("_run", F.explode("_runs"))
+    plan = plan.withColumn(runs_of, F.expr(runs)).where(F.size(runs_of) > 0).drop("pieces")
+    joined = rows.alias("d").join(plan.alias("p"), F.expr(f"d.doc_id <=> p.doc_id AND d.{number} = p.{number}")).select("d.*", f"p.{runs_of}")
+    joined = joined.withColumn(words_of, size).withColumn(run, F.explode(runs_of))
     spaced = F.regexp_extract_all("text", F.lit(rf"({WORD}[\x20\x09-\x0D]*)"), F.lit(1))
-    part = F.array_join(F.slice(spaced, F.col("_run.start") + 1, F.col("_run.len")), "")
-    text = F.when(F.col("_run.len") == F.col("_size"), F.col("text")).otherwise(part)
+    part = F.array_join(F.slice(spaced, F.col(f"{run}.start") + 1, F.col(f"{run}.len")), "")
+    text = F.when(F.col(f"{run}.len") == F.col(words_of), F.col("text")).otherwise(part)
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.orderBy("_run.shard", "_run.place", "doc_id", "_run.epoch", "_run.start").select(*docs.columns)
+    return out.orderBy(f"{run}.shard", f"{run}.place", "doc_id", f"{run}.epoch", f"{run}.start").select(*(f"`{c}`" for c in docs.columns))
 
 
 def by_shard(pieces: str, n_shards: int = 16) -> Column:
@@ -155,6 +160,9 @@ def by_shard(pieces: str, n_shards: int = 16) -> Column:
 
 
 def op3_source_mixing(spark, sf_dir: str) -> DataFrame:
+    """What the shards of the mix hold of every document: taken is the sum over the shards' words. Nulls, repeated rows and
+    empty tables: see mix."""
     mixed = mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
-    taken = F.aggregate("pieces", F.lit(0).cast("long"), lambda a, x: a + x["len"])
-    return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.size("pieces").alias("n_pieces"), by_shard("pieces").alias("taken_by_shard"))
+    mixed = mixed.select("doc_id", "size", "source_size", "target", F.size("pieces").alias("n_pieces"), by_shard("pieces").alias("taken_by_shard"))
+    taken = F.aggregate("taken_by_shard", F.lit(0).cast("long"), lambda a, x: a + x)
+    return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "n_pieces", "taken_by_shard")

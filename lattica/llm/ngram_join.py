@@ -232,9 +232,11 @@ def trees_pairs(nodes: np.ndarray, sizes: np.ndarray, comps: np.ndarray, data: l
     return np.sort(pairs, 1)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int, name: str) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, repeated: bool, nodes: DataFrame, k: int, percent: int, name: str) -> DataFrame:
     """The links among candidate pairs (a, b) of nodes, checked on the whole texts of their representatives, written."""
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    if repeated:  # a representative is one row
+        texts = texts.dropDuplicates(["doc_id", "text_key"])
 
     def with_text(rows: DataFrame, node: str, name: str) -> DataFrame:
         keyed = rows.join(nodes.select(F.col("node").alias(node), "rep"), node)
@@ -356,12 +358,13 @@ def jaccard_classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     nodes = materialize(nodes, "jaccard-nodes")
     pairs = table.where("kind = 1").select("a", "b").union(_hub_pairs(table, nodes, percent)).distinct()
     first = materialize(_bounded(pairs, nodes, percent), "jaccard-pairs")
-    links = _verified(first, docs, nodes, k, percent, "jaccard-links")
+    repeated = not members.groupBy("doc_id", "text_key").count().where("count > 1").isEmpty()
+    links = _verified(first, docs, repeated, nodes, k, percent, "jaccard-links")
     comps = materialize(components(links, "jaccard-stars"), "jaccard-components")
     second = _second_round(table, nodes, comps, percent).distinct().join(first, ["a", "b"], "left_anti")
     second = materialize(second, "jaccard-more-pairs")
     if second.limit(1).count():
-        links = links.union(_verified(second, docs, nodes, k, percent, "jaccard-more-links"))
+        links = links.union(_verified(second, docs, repeated, nodes, k, percent, "jaccard-more-links"))
         comps = materialize(components(links, "jaccard-stars"), "jaccard-components")
     whole = nodes.join(comps, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     least = whole.groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -376,11 +379,15 @@ def similar_documents(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT)
 
 
 def keep_one(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """docs with one document of each class, that of the least doc_id; docs' columns. Texts without words stay."""
+    """docs with one document of each class, that of the least doc_id; docs' columns, whatever their names. Texts without words
+    stay. Of rows that repeat a doc_id and its text one stays, the same in each run."""
     found = similar_documents(docs, k, percent).where("doc_id <=> component_id").select("doc_id", "text_key").distinct()
     met = docs.alias("d").join(found.alias("f"), F.expr("d.doc_id <=> f.doc_id AND xxhash64(d.text) = f.text_key"), "left_semi").select("d.*")
-    repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return met.dropDuplicates(["doc_id", "text"]) if repeated else met
+    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return met
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    one = met.groupBy("doc_id", F.xxhash64("text").alias("key")).agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("row"))
+    return one.select("row.*")
 
 
 def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

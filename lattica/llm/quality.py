@@ -22,8 +22,8 @@ def _ratio(a: str, b: str) -> Column:
     return F.col(a) / F.greatest(F.col(b), F.lit(1))
 
 
-#: name -> vote of a rule on the statistics: 1 good, -1 bad, 0 abstains.
-RULES: dict[str, Column | None] = dict.fromkeys(["symbols", "repeats", "dup_lines", "word_length", "capitals", "stops", "shouts", "letters"])
+#: The rules by name, in order of their votes: 1 good, -1 bad, 0 abstains.
+RULES = ("symbols", "repeats", "dup_lines", "word_length", "capitals", "stops", "shouts", "letters")
 
 
 def votes() -> list[Column]:
