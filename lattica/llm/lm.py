@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm.common import crc_mod, documents, shared_dir
 from lattica.llm.elias_fano import EliasFano
-from lattica.llm.shingles import Words, chunks
+from lattica.llm.shingles import Words, text_chunks
 
 ORDER, MIN_COUNT, DISCOUNT = 3, 2, 0.75
 #: Hash of the end token; a word hashes to it once in 2 ** 64.
@@ -267,9 +267,8 @@ def train(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, disco
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in chunks(texts, CHARS):
-                keys, counts = np.unique(tokens(texts[a:b])[0], return_counts=True)
+            for _, _, texts in text_chunks(batch.column(0), CHARS):
+                keys, counts = np.unique(tokens(texts)[0], return_counts=True)
                 yield _blocks(keys, counts, keys >> np.uint64(64 - shift))
 
     def word_shard(k: int, keys: np.ndarray, counts: np.ndarray) -> Shard:
@@ -296,9 +295,8 @@ def _longer(docs: DataFrame, trie: Trie, min_count: int, discount: float, n_buck
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in chunks(texts, CHARS):
-                hashes, n = tokens(texts[a:b])
+            for _, _, texts in text_chunks(batch.column(0), CHARS):
+                hashes, n = tokens(texts)
                 first = np.cumsum(n) - n
                 ids, times = trie.word_ids(hashes)
                 above = np.r_[np.int64(-1), ids[:-1]]
@@ -384,9 +382,8 @@ def scored(docs: DataFrame, trie: Trie) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in chunks(texts, CHARS):
-                hashes, n = tokens(texts[a:b])
+            for a, b, texts in text_chunks(batch.column(1), CHARS):
+                hashes, n = tokens(texts)
                 first = np.cumsum(n) - n
                 ids, count = trie.word_ids(hashes)
                 base = trie.base(count)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm.common import documents, materialize
 from lattica.llm.components import components
-from lattica.llm.shingles import chunks, mix, sets
+from lattica.llm.shingles import chunks, mix, sets, text_chunks
 
 SHINGLE, PERCENT = 5, 75
 #: Frequent shingles go last in the common order. They are found in a sample, of which nothing but speed depends:
@@ -55,9 +55,8 @@ def frequent(docs: DataFrame, k: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = list(dict.fromkeys(batch.column(0).to_pylist()))
-            for a, b in chunks(texts):
-                h, n = np.unique(np.concatenate([*sets(texts[a:b], k), np.zeros(0, np.uint64)]), return_counts=True)
+            for _, _, texts in text_chunks(batch.column(0)):
+                h, n = np.unique(np.concatenate([*sets(list(dict.fromkeys(texts)), k), np.zeros(0, np.uint64)]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
 
     counts = sample.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= SAMPLE_COUNT)
@@ -87,11 +86,10 @@ def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = rare_last.value
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in chunks(texts):
+            for a, b, texts in text_chunks(batch.column(1)):
                 seen: set[int] = set()
                 nodes, sizes, signatures, found = [], [], [], []
-                for s in sets(texts[a:b], k):
+                for s in sets(texts, k):
                     node = node_of(s) if len(s) else None
                     nodes.append(node)
                     sizes.append(len(s))

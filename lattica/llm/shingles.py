@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bases of the polynomials over bytes and over words, odd, so that their powers can be undone modulo 2 ** 64.
 _BYTES, _WORDS = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
@@ -111,6 +113,17 @@ def chunks(texts: list[str | None], size: int = 3_500_000) -> Iterator[tuple[int
         yield first, len(texts)
 
 
+def text_chunks(texts: pa.Array, size: int = 3_500_000) -> Iterator[tuple[int, int, list[str | None]]]:
+    """(start, end, texts) of ranges of an Arrow column of about `size` bytes each, at least a text: only one range at a time is
+    held as Python strings."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < len(upto):
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + size)))
+        yield a, b, texts.slice(a, b - a).to_pylist()
+        a = b
+
+
 def sets(texts: list[str | None], k: int) -> list[np.ndarray]:
     """The distinct shingle hashes of each text, sorted."""
     h, n = Words(texts).shingles(k)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.common import documents, materialize
-from lattica.llm.shingles import Words, chunks, mix, powers
+from lattica.llm.shingles import Words, mix, powers, text_chunks
 
 #: Words of a seed, and k-mers of the window that chooses one: of WINDOW neighbours one is a seed.
 SEED, WINDOW = 4, 2
@@ -386,8 +386,8 @@ def window_keys(link: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _STEP = 0x9E3779B97F4A7C15
 _ROW = "kind int, part long, doc long, of long, n long, data binary"
 #: Kinds of rows. COPY: doc has the text of `of`, of n words. TEXT: doc is the first of its chunk with the text of hash `of`. SEEDS:
-#: a bucket's seeds. LINKS: shared seeds of the documents of a part. PAIR: the chains of doc with `of`. WINDOW: doc has a
-#: window of key `of` at n. SAME: doc has at n a window that the document `of` has at part.
+#: a bucket's seeds. LINKS: shared seeds of the documents of a part. PAIR: the chains of doc with `of`. WINDOW_KEY: doc has a
+#: window of key `of` at n, and at the places in data. SAME: doc has at n a window that the document `of` has at part.
 COPY, TEXT, SEEDS, LINKS, PAIR, WINDOW_KEY, SAME = range(7)
 
 
@@ -460,13 +460,12 @@ def shared_seeds(docs: DataFrame) -> DataFrame:
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, ids, keys = (batch.column(c) for c in range(3))
-            texts, ids, keys = texts.to_pylist(), ids.to_numpy(), keys.to_numpy()
-            for a, b in chunks(texts):
+            ids, keys = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            for a, b, texts in text_chunks(batch.column(0)):
                 order = a + np.lexsort((ids[a:b], keys[a:b]))  # of equal texts the least doc_id gives the seeds
                 new = np.r_[True, np.diff(keys[order]) != 0]
                 first = order[new]
-                entry, n_words = seeds([texts[i] for i in first], ids[first])
+                entry, n_words = seeds([texts[i - a] for i in first], ids[first])
                 text = np.cumsum(new) - 1
                 copy = ~new & (ids[order] != ids[first][text]) & (n_words[text] >= MIN_WORDS)
                 at = order[copy]
@@ -493,7 +492,7 @@ def shared_seeds(docs: DataFrame) -> DataFrame:
         pairs = list(_chained(link[link["doc"] != link["of"]], SEED))
         doc, of, data = zip(*pairs, strict=True) if pairs else ((), (), ())
         yield _rows(PAIR, len(pairs), doc=np.array(doc, np.int64), of=np.array(of, np.int64), data=list(data))
-        # Windows: each key's first document in the part goes on, the others are linked to it.
+        # Windows: each key's first document in the part goes on, in one row, the others are linked to it.
         at, key = window_keys(link)
         order = np.lexsort((at, key))  # at is in order of document and place
         at, key = at[order], key[order]
@@ -501,7 +500,10 @@ def shared_seeds(docs: DataFrame) -> DataFrame:
         mine = link[at]
         of = mine[new][np.cumsum(new) - 1]
         other = of["doc"] != mine["doc"]
-        yield _rows(WINDOW_KEY, int((~other).sum()), doc=mine["doc"][~other], of=key[~other].view(np.int64), n=mine["pos"][~other])
+        first, again = np.flatnonzero(new), mine["pos"][~other & ~new]
+        more = np.bincount((np.cumsum(new) - 1)[~other & ~new], minlength=len(first))
+        places = {int(k): again[e - n : e].tobytes() for k, e, n in zip(np.flatnonzero(more), np.cumsum(more)[more > 0], more[more > 0], strict=True)}
+        yield _rows(WINDOW_KEY, len(first), doc=mine["doc"][first], of=key[first].view(np.int64), n=mine["pos"][first], data=[places.get(k) for k in range(len(first))])
         yield _rows(SAME, int(other.sum()), doc=mine["doc"][other], n=mine["pos"][other], of=of["doc"][other], part=of["pos"][other])
 
     rows = docs.where("doc_id IS NOT NULL").select("text", F.col("doc_id").cast("long"), F.xxhash64("text"))
@@ -517,13 +519,18 @@ def _window_pairs(table: DataFrame) -> DataFrame:
         key, doc, pos = None, 0, 0  # of the first of the key so far
         for batch in batches:
             of, ids, at = (batch.column(c).to_numpy() for c in ("of", "doc", "n"))
+            data = batch.column("data")
             new = np.r_[key is None or of[0] != key, of[1:] != of[:-1]] if len(of) else np.zeros(0, bool)
             group = np.cumsum(new)  # 0: the key goes on from the batch before
             firsts, places = np.r_[doc, ids[new]], np.r_[pos, at[new]]
             if len(of):
                 key, doc, pos = of[-1], firsts[group[-1]], places[group[-1]]
             other = ids != firsts[group]
-            yield _rows(SAME, int(other.sum()), doc=ids[other], n=at[other], of=firsts[group][other], part=places[group][other])
+            row = np.flatnonzero(other & data.is_valid().to_numpy(zero_copy_only=False))
+            more = [np.frombuffer(data[int(i)].as_py(), np.int64) for i in row]
+            row = np.r_[np.flatnonzero(other), np.repeat(row, [len(x) for x in more])]
+            ids, group, at = ids[row], group[row], np.concatenate([at[other], *more])
+            yield _rows(SAME, len(row), doc=ids, n=at, of=firsts[group], part=places[group])
 
     def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = np.zeros(0, LINK)
@@ -540,7 +547,7 @@ def _window_pairs(table: DataFrame) -> DataFrame:
             doc, of, data = zip(*pairs, strict=True) if pairs else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(of, pa.int64()), pa.array(data, pa.binary())], ["doc", "of", "data"])
 
-    keys = table.where(f"kind = {WINDOW_KEY}").select("of", "doc", "n").repartition("of").sortWithinPartitions("of", "doc", "n")
+    keys = table.where(f"kind = {WINDOW_KEY}").select("of", "doc", "n", "data").repartition("of").sortWithinPartitions("of", "doc", "n")
     same = table.where(f"kind = {SAME}").union(keys.mapInArrow(to_first, _ROW)).select("doc", "n", "of", "part")
     return same.repartition("doc", "of").sortWithinPartitions("doc", "of", "n").mapInArrow(chained, "doc long, of long, data binary")
 
