@@ -34,6 +34,8 @@ SWITCH, OUTSIDE = 12.0, 25.0
 #: Least share of a language's words in a script that makes it a candidate there.
 LEAST_SHARE = 0.001
 UNKNOWN = "und"
+#: So many texts, or fewer, are decoded one by one.
+FEW = 8
 #: Tokens whose scores a task keeps, and that are scored at a time.
 MAX_CACHE, PIECE = 200_000, 20_000
 #: Words that are decoded at once, times languages, and the texts that are cut into words at a time, in characters. A longer
@@ -167,18 +169,35 @@ def fit(labelled: DataFrame, max_docs: int = MAX_TRAINING_DOCS, max_features: in
     return Model(langs, dict(zip(names, range(len(names)), strict=True)), logs, {s: x for s, x in scripts.items() if x.any()})
 
 
+def _alone(scores: list[list[float]], value: list[float], switch: float) -> tuple[list[int], int]:
+    """(labels, label before) of the rows of one text that go on from value."""
+    back = []
+    for s in scores:
+        best = value.index(max(value))
+        bound = value[best] - switch
+        back.append([k if v >= bound else best for k, v in enumerate(value)])
+        value = [(v if v >= bound else bound) + x for v, x in zip(value, s)]
+    at, label = value.index(max(value)), []
+    for came in reversed(back):
+        label.append(at)
+        at = came[at]
+    return label[::-1], at
+
+
 def viterbi(scores: np.ndarray, sizes: np.ndarray, switch: float) -> np.ndarray:
     """Labels of the rows of scores (words of texts of those sizes, one text after the other): best paths where each change
-    costs `switch`. All texts move on by one word at a step, the longest first, so that a step is one array operation."""
+    costs `switch`. All texts move on by one word at a step, the longest first, so that a step is one array operation; when
+    only FEW go on, each goes its way alone."""
     order = np.argsort(-sizes, kind="stable")
-    starts = (np.cumsum(sizes) - sizes)[order]
+    starts, ends = (np.cumsum(sizes) - sizes)[order], np.cumsum(sizes)[order]
     longest = int(sizes.max(initial=0))
     #: texts that have a word at each step
     active = np.searchsorted(-sizes[order], -np.arange(longest), side="left")
     stay = np.empty(scores.shape, bool)
     came = np.empty(len(scores), np.int16)
     value = np.zeros((len(order), scores.shape[1]), np.float32)
-    for t in range(longest):
+    together = int(np.searchsorted(-active, -FEW))
+    for t in range(together):
         n = active[t]
         rows, v = starts[:n] + t, value[:n]
         best = v.argmax(1)
@@ -188,7 +207,10 @@ def viterbi(scores: np.ndarray, sizes: np.ndarray, switch: float) -> np.ndarray:
         value[:n] = np.where(kept, v, bound) + scores[rows]
     label = np.empty(len(scores), np.int16)
     now = value.argmax(1)
-    for t in range(longest - 1, -1, -1):
+    for i in range(active[together] if together < longest else 0):
+        rows = slice(starts[i] + together, ends[i])
+        label[rows], now[i] = _alone(scores[rows].tolist(), value[i].tolist(), switch)
+    for t in range(together - 1, -1, -1):
         n = active[t]
         rows, at = starts[:n] + t, now[:n]
         label[rows] = at
