@@ -74,9 +74,11 @@ def matrix_of(window: np.ndarray) -> np.ndarray:
     return np.clip(x.T @ x, -1, 1).astype(np.float32)
 
 
-def chunked(returns: DataFrame, lookback: int, each, schema: str, chunk: int = 64, min_assets: int | None = None) -> DataFrame:
+def chunked(returns: DataFrame, lookback: int, each, schema: str, chunk: int | None = None, min_assets: int | None = None) -> DataFrame:
     """each(date, assets, matrix) -> rows, over the matrices of all dates, in chunks of dates with the rows before them. A
-    chunk is a task's group: (chunk + lookback) dates of all assets, however long the calendar."""
+    chunk is a task's group: (chunk + lookback) dates of all assets, however long the calendar. By default a chunk is as long as
+    the rows before it, so that a return is copied twice at most, or 64 dates."""
+    chunk = chunk or max(64, lookback)
     dates = calendar(returns)
     rows = returns.where("ret IS NOT NULL").join(F.broadcast(dates), "date")
     first, last = F.floor((F.col("ord") - 1) / chunk), F.floor((F.col("ord") + lookback - 1) / chunk)
@@ -110,7 +112,7 @@ def chunked(returns: DataFrame, lookback: int, each, schema: str, chunk: int = 6
     return both.groupBy("chunk").applyInPandas(solve, schema)
 
 
-def eigen(returns: DataFrame, lookback: int, chunk: int = 64, min_assets: int | None = None) -> DataFrame:
+def eigen(returns: DataFrame, lookback: int, chunk: int | None = None, min_assets: int | None = None) -> DataFrame:
     """(date, eig1, eig1_ratio): greatest eigenvalue of each date's matrix, and its share of their sum."""
 
     def each(date, assets: np.ndarray, rho: np.ndarray) -> list[tuple]:

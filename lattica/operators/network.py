@@ -148,7 +148,7 @@ def matrix_features(rho: np.ndarray, threshold: float, absolute: bool, keep_sign
     )
 
 
-def all_features(returns: DataFrame, lookback: int, thresholds: list[float], absolute: bool = True, keep_sign: bool = True, min_assets: int | None = None, chunk: int = 64) -> DataFrame:
+def all_features(returns: DataFrame, lookback: int, thresholds: list[float], absolute: bool = True, keep_sign: bool = True, min_assets: int | None = None, chunk: int | None = None) -> DataFrame:
     """(date, threshold, the sixteen features) by the chunk path, for every threshold: the pairs stay in numpy."""
 
     def each(date, assets: np.ndarray, rho: np.ndarray) -> list[tuple]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions.series import cumulative_return, lagged_change
 from lattica.operators import capm, correlation, labels, network, panel, walkforward
-from lattica.sources import cache
+from lattica.sources import cache, charts
 from lattica.sources.config import Config, registry
 from lattica.sources.tables import materialize, nan_to_null
 
@@ -99,11 +100,22 @@ class Study:
         edge = network.edges(pairs, self.config.threshold_grid[0] if threshold is None else threshold)
         return edge.join(F.broadcast(network.middle_date(pairs)), "date", "left_semi")
 
-    def walk(self, kind: str = "simple", outer: int | None = None, cache_root: str | None = None) -> walkforward.Result:
-        """Walk-forward results, kept under a key of all settings where a cache is given."""
+    def charts(self, folder: str | None = None) -> dict:
+        """Three line charts by name, saved as PNG files where a folder is given: the target to predict with the raw target, the
+        target to predict with the market's cumulative return, and that with the raw target."""
+        pairs = {"target_and_raw": ("target_to_predict", "raw"), "target_and_market": ("target_to_predict", "cumulative_return"), "market_and_raw": ("cumulative_return", "raw")}
+        return {name: charts.line_chart(self.aligned, y, y2, title=name.replace("_", " "), save_to=f"{folder}/{name}.png" if folder else None) for name, (y, y2) in pairs.items()}
+
+    def walk(self, kind: str = "simple", outer: int | None = None, cache_root: str | None = None, features: DataFrame | None = None, metric: str | Callable | None = None, label: str = "") -> walkforward.Result:
+        """Walk-forward results, kept under a key of all settings where a cache is given. features (date, threshold, numbers)
+        and metric, a name or a function of truth and predictions, take the place of the study's own; label then names them in
+        the key."""
         c = self.config
+        if cache_root and not label and (features is not None or callable(metric)):
+            raise ValueError("features or a metric of one's own need a label to be kept under")
         scheme = walkforward.Scheme(kind, c.lookback_corr, c.inner_train_size, c.inner_val_size, c.target_variable_rolling_window if kind != "nested_expanding" else 0, c.inner_step_size, outer)
         grid = walkforward.Grid(c.models(), list(c.threshold_grid))
         target = self.aligned.select("date", F.col("target_to_predict").alias("y"))
-        key = c.cache_key(scheme=repr(scheme), root=self.root, asset=self.asset, is_level=self.is_level)
-        return cache.cached(self.spark, cache_root, key, lambda: walkforward.run(self.network_returns, self.features, target, scheme, grid, c.scoring_metric), c.load_or_compute_cv == "load", c.save_cv)
+        own = ({"label": label} if label else {}) | ({"metric": metric} if isinstance(metric, str) else {})
+        key = c.cache_key(scheme=repr(scheme), root=self.root, asset=self.asset, is_level=self.is_level, **own)
+        return cache.cached(self.spark, cache_root, key, lambda: walkforward.run(self.network_returns, self.features if features is None else features, target, scheme, grid, metric or c.scoring_metric), c.load_or_compute_cv == "load", c.save_cv)

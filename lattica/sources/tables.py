@@ -20,22 +20,36 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floats})
 
 
+_made: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset and all runs in one process
-    (tests) a temporary folder is made and set."""
+    (tests) a temporary folder is made, one for an application."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='lattica-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        key = spark.sparkContext.applicationId
+        found = _made[key] = _made.get(key) or f"file://{tempfile.mkdtemp(prefix='lattica-')}"
     return found.rstrip("/")
 
 
+def working_dir(spark: SparkSession) -> str:
+    """The application's own folder within the shared one."""
+    return f"{shared_dir(spark)}/lattica/{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all that this application has materialized, once none of its results is read any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(working_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: lineage is cut, and a later loss of an
     executor costs a reread, not a recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lattica/{name}-{uuid.uuid4().hex}"
+    path = f"{working_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**{"compression": "zstd"} | options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -3,8 +3,10 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lattica.plans.study import Study
+from lattica.sources import charts, tables
 from lattica.sources.config import Config
 
 
@@ -43,3 +45,27 @@ def test_study_end_to_end(study, tmp_path):
         study.market
     with pytest.raises(AttributeError):
         study.table("absent")
+
+
+def test_charts_heads_and_own_features(study, tmp_path, monkeypatch):
+    drawn = []
+    monkeypatch.setattr(charts, "line_chart", lambda frame, y, y2, title, save_to: drawn.append((y, y2, save_to)) or frame.select("date", y, y2).count())
+    assert all(n > 0 for n in study.charts("out").values())
+    assert drawn[0] == ("target_to_predict", "raw", "out/target_and_raw.png") and len(drawn) == 3
+    assert [r.date for r in study.head(study.aligned, 3).collect()] == sorted(r.date for r in study.aligned.collect())[:3]
+    first = study.aligned.agg({"date": "min"}).first()[0]
+    assert study.network_returns.agg({"date": "min"}).first()[0] >= first
+    own = study.features.select("date", "threshold", F.lit(1.0).alias("constant"), "density")
+    brier = lambda y, p: -float(np.mean((y - p) ** 2))
+    result = study.walk("simple", features=own, metric=brier)
+    scores = [r.validation_score for r in result.predictions.collect() if r.validation_score is not None]
+    assert scores and all(-1 <= s <= 0 for s in scores)
+    with pytest.raises(ValueError):
+        study.walk("simple", cache_root=str(tmp_path), metric=brier)
+
+
+def test_release_removes_what_was_materialized(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "working_dir", lambda spark: f"file://{tmp_path}/application")
+    assert tables.materialize(spark.range(3), "kept").count() == 3 and list(tmp_path.rglob("*.parquet"))
+    tables.release(spark)
+    assert not list(tmp_path.rglob("*.parquet"))
