@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.sources.tables import materialize, shared_dir
+from lattica.sources.tables import materialize, working_dir
 
-__all__ = ["SPACE", "WORD", "crc_mod", "documents", "in_order", "materialize", "n_words", "shared_dir", "words"]
+__all__ = ["SPACE", "WORD", "crc_mod", "documents", "in_order", "materialize", "n_words", "words", "working_dir"]
 
 #: A word: a run of characters other than space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -329,6 +329,8 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.5, switch: f
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:
+    """Languages of all texts by a model of the documents that aren't held out. Nulls, repeated rows and empty tables: see
+    identify."""
     docs = documents(spark, sf_dir)
     found = identify(docs, fit(training(docs)))
     return found.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))

@@ -17,7 +17,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import crc_mod, documents, shared_dir
+from lattica.llm.common import crc_mod, documents, working_dir
 from lattica.llm.elias_fano import EliasFano
 from lattica.llm.shingles import Words, text_chunks
 
@@ -238,13 +238,13 @@ def _level(blocks: DataFrame, build, bounds: list[int], min_count: int) -> Level
 
     spark = blocks.sparkSession
     built = blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(shards, "shard long, n long, total long, blob binary")
-    path = f"{shared_dir(spark)}/lattica/trie-{uuid.uuid4().hex}"
+    path = f"{working_dir(spark)}/trie-{uuid.uuid4().hex}"
     # Plain pages hold each shard's bytes as they are, to be mapped.
     built.write.options(**{"compression": "none", "parquet.enable.dictionary": "false", "parquet.bloom.filter.enabled": "false"}).parquet(path)
     table = spark.read.schema(built.schema).parquet(path)
     rows = table.select("shard", "n", "total").collect()  # a row a shard
     files = sorted(table.inputFiles())
-    mounted = path.startswith("file:")
+    mounted = all(x.startswith("file:") for x in files)
     for file in files if not mounted else ():
         spark.sparkContext.addFile(file)
     level = Level(files if mounted else [x.rsplit("/", 1)[-1] for x in files], [(r["shard"], r["n"]) for r in rows], bounds)

@@ -389,4 +389,5 @@ def keep_one(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataF
 
 
 def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
+    """The class of every document. Nulls, repeated rows and empty tables: see jaccard_classes."""
     return similar_documents(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")

@@ -103,4 +103,5 @@ def digest(pieces: DataFrame) -> DataFrame:
 
 
 def op10_packing(spark, sf_dir: str) -> DataFrame:
+    """The pieces of all documents. Nulls, repeated rows and empty tables: see pack."""
     return digest(pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")))

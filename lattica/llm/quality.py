@@ -165,5 +165,6 @@ def judge(docs: DataFrame, min_words: int = 20, max_repeat_percent: int = 30, th
 
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """The verdict on every text. Nulls, repeated rows and empty tables: see judge."""
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality"]
     return judge(documents(spark, sf_dir).select("doc_id", "text")).select(*columns)

@@ -635,4 +635,5 @@ def without_passages(docs: DataFrame) -> DataFrame:
 
 
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
+    """The passages of all documents. Nulls, repeated rows and empty tables: see passages."""
     return passages(documents(spark, sf_dir).select("doc_id", "text"))

@@ -133,8 +133,8 @@ class Shard:
 
 
 def write_shards(docs: DataFrame, path: str, kind: str = "word", end_id: int = 2, shard_tokens: int = 1 << 20) -> DataFrame:
-    """Shards of docs (doc_id, text) in ascending doc_id, written: (pid, shard, at, n_tokens, blob); at: tokens before the
-    shard in its range partition. Texts are dealt by ranges of doc_id (and text, so that one id can't fill a partition)
+    """Shards of docs (doc_id, text) in ascending doc_id, written: (pid, shard, at, n_tokens, first_id, last_id, blob); at: tokens
+    before the shard in its range partition; first_id and last_id: its least and greatest doc_id, for random access. Texts are dealt by ranges of doc_id (and text, so that one id can't fill a partition)
     and sorted; a task cuts its range into shards of about shard_tokens ids."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,9 +147,11 @@ def write_shards(docs: DataFrame, path: str, kind: str = "word", end_id: int = 2
         def flush() -> pa.RecordBatch:
             sizes = np.array([len(x) // encoder.dtype.itemsize for x in ids], np.int64)
             blob = pack_shard(doc_ids, np.frombuffer(b"".join(ids), encoder.dtype), sizes, vocabulary)
-            return pa.RecordBatch.from_arrays([pa.array([pid], pa.int32()), pa.array([shard], pa.int32()), pa.array([at], pa.int64()), pa.array([n], pa.int64()), pa.array([blob], pa.binary())], names)
+            known = [x for x in doc_ids if x is not None] or [None]
+            longs = [pa.array([x], pa.int64()) for x in (at, n, known[0], known[-1])]
+            return pa.RecordBatch.from_arrays([pa.array([pid], pa.int32()), pa.array([shard], pa.int32()), *longs, pa.array([blob], pa.binary())], names)
 
-        names = ["pid", "shard", "at", "n_tokens", "blob"]
+        names = ["pid", "shard", "at", "n_tokens", "first_id", "last_id", "blob"]
         for batch in batches:
             for k in range(0, batch.num_rows, STEP):
                 part = batch.slice(k, STEP)
@@ -164,7 +166,7 @@ def write_shards(docs: DataFrame, path: str, kind: str = "word", end_id: int = 2
             yield flush()
 
     ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    return materialize(ranged.mapInArrow(encode, "pid int, shard int, at long, n_tokens long, blob binary"), "repair-shards")
+    return materialize(ranged.mapInArrow(encode, "pid int, shard int, at long, n_tokens long, first_id long, last_id long, blob binary"), "repair-shards")
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
@@ -188,6 +190,25 @@ def read_shards(shards: DataFrame) -> DataFrame:
     return with_base(shards, "n_tokens").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
 
 
+def read_documents(shards: DataFrame, doc_ids: list[int]) -> DataFrame:
+    """doc_id, n_tokens and ids of a few documents: only shards whose range holds one are read, and of those only the
+    documents' own symbols are expanded. Ids that aren't there give no row; repeated rows of one id a row each."""
+    wanted = sorted(set(doc_ids))
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column(0):
+                shard = Shard(blob.as_py())
+                at = [k for k, x in enumerate(shard.doc_ids) if x in keep]
+                raw = [shard.document(k).astype("<u4").tobytes() for k in at]
+                yield pa.RecordBatch.from_arrays([pa.array([shard.doc_ids[k] for k in at], pa.int64()), pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array(raw, pa.binary())], ["doc_id", "n_tokens", "ids"])
+
+    keep = set(wanted)
+    near = F.exists(F.array(*map(F.lit, wanted)).cast("array<bigint>"), lambda x: (x >= F.col("first_id")) & (x <= F.col("last_id")))
+    between = (F.col("last_id") >= min(wanted, default=0)) & (F.col("first_id") <= max(wanted, default=0))
+    return shards.where(between & near).select("blob").mapInArrow(decode, "doc_id long, n_tokens long, ids binary")
+
+
 def op8_token_output(spark, sf_dir: str) -> DataFrame:
     """Every document encoded, written as Re-Pair shards and read back.
 

@@ -1,7 +1,10 @@
 import math
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -120,6 +123,25 @@ def test_hashes_of_runs_of_words():
     assert len(Words([]).words()) == 0 and len(Words([None]).shingles(5)[0]) == 0
 
 
+def test_a_text_of_50_mb_takes_under_1_gb():
+    code = """
+import resource
+from lattica.llm.lm import tokens
+from lattica.llm.shingles import sets
+from lattica.llm.substring_dedup import seeds
+import numpy as np
+text = " ".join(f"word{i % 70000}" for i in range(5_500_000))
+assert len(text) > 50_000_000
+assert len(sets([text], 5)[0]) == 70_000 and len(tokens([text, "x " * 10])[0]) == 5_500_012
+assert len(seeds([text, "y"], np.array([1, 2]))[0]) > 3_000_000
+assert len(sets(["z" * 20_000_000 + " b", "b"], 5)[0]) == 1
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(__file__).resolve().parents[2], timeout=300)
+    assert out.returncode == 0, out.stderr
+    assert int(out.stdout) < 1024
+
+
 def test_passages_cover_repeats_and_spare_the_rest(spark):
     got = substring_dedup.passages(fixtures.documents(spark, extra=True)).collect()
     words = dict((i, lower_words(t)) for i, t in TEXTS)
@@ -377,6 +399,9 @@ def test_token_files_hold_all_documents_in_order(spark):
     assert Counter((r.doc_id, tuple(np.frombuffer(r.ids, "<u4").tolist())) for r in rows) == want
     assert [r.doc_id for r in rows] == sorted(r.doc_id for r in rows)
     assert np.cumsum([0, *(r.n_tokens for r in rows)]).tolist()[:-1] == [r.start for r in rows]
+    asked = token_output.read_documents(shards, [39, 20, 3, 999]).collect()
+    assert Counter((r.doc_id, tuple(np.frombuffer(r.ids, "<u4").tolist())) for r in asked) == Counter(x for x in want.elements() if x[0] in (39, 20, 3))
+    assert token_output.read_documents(shards, []).count() == 0
     for d in (fixtures.empty(spark), fixtures.with_null_id(spark)):
         assert token_output.read_shards(token_output.write_shards(d, public_tokenizers.path("word_bpe_49k.json"))).count() == d.count()
 
