@@ -140,6 +140,32 @@ def test_both_paths_agree_and_look_only_back(spark, matrix):
     assert all(changed[d] == chunks[d] for d in days(26)[8:])
 
 
+@pytest.mark.parametrize("chunk", [None, 7])
+@pytest.mark.parametrize("least", [None, 5])
+def test_eigenvalues_equal_numpy(spark, matrix, chunk, least):
+    got = {r.date: r for r in correlation.eigen(returns_of(spark, matrix), 8, chunk, least).collect()}
+    want = {}
+    for t in range(8, len(matrix)):
+        w = matrix[t - 8 : t]
+        ok = [a for a in range(w.shape[1]) if not np.isnan(w[:, a]).any() and w[:, a].max() != w[:, a].min()]
+        if len(ok) >= (least or 2):
+            values = np.linalg.eigvalsh(np.corrcoef(w[:, ok].T))
+            want[days(len(matrix))[t]] = (values[-1], values[-1] / len(ok))
+    assert set(got) == set(want) and (least is None or 0 < len(want) < 32)
+    assert all(abs(got[d].eig1 - a) < 1e-4 and abs(got[d].eig1_ratio - b) < 1e-4 for d, (a, b) in want.items())
+
+
+@pytest.mark.parametrize("least", [3, 6])
+def test_least_number_of_assets(spark, matrix, least):
+    pairs = brute_pairs(matrix, 8)
+    size = {}
+    for d, a, b in pairs:
+        size.setdefault(d, set()).update((a, b))
+    want = {k for k in pairs if len(size[k[0]]) >= least}
+    got = {(r.date, r.a1, r.a2) for r in correlation.rolling_pairs(returns_of(spark, matrix), 8, least).collect()}
+    assert got == want and want and (least == 3 or len(want) < len(pairs))
+
+
 def graph(spark, nodes, edges):
     node = spark.createDataFrame([(DAY, a) for a in nodes], "date date, asset bigint")
     edge = spark.createDataFrame([(DAY, a, b, w) for a, b, w in edges], "date date, a1 bigint, a2 bigint, weight float")
