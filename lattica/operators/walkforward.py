@@ -1,5 +1,5 @@
-"""Walk-forward validation: every (test date, model, threshold, parameters) is a group that a task fits and scores; the best
-combination is an aggregate; refits are groups again. No loop over dates."""
+"""Walk-forward validation: chunks of neighbouring folds are groups whose models a task fits and scores; the best combination
+is an aggregate; refits are groups of test dates again. No loop over dates on the driver."""
 
 from __future__ import annotations
 
@@ -19,6 +19,11 @@ from lattica.operators.panel import calendar
 from lattica.sources.tables import materialize
 
 
+#: Folds, or test dates, next to each other whose rows are sent to one group: a row is copied once a chunk that needs it,
+#: not once a fold.
+CHUNK = 8
+
+
 @dataclass(frozen=True)
 class Scheme:
     """Sizes in rows of the network's calendar. kind: simple (train, then validation, then `horizon` rows, then the test date),
@@ -95,6 +100,17 @@ class Result:
     metrics: DataFrame
 
 
+def _rows_of(spans: DataFrame, rows: DataFrame, start: str, end: str) -> DataFrame:
+    """The rows that each chunk of spans needs, once a chunk: rows with their chunk."""
+    reach = spans.groupBy("chunk").agg(F.min(start).alias("lo"), F.max(end).alias("hi"))
+    return reach.select(F.col("chunk").alias("part"), F.explode(F.sequence("lo", F.col("hi") - 1)).alias("i")).join(rows, "i")
+
+
+def _by_threshold(group: pd.DataFrame) -> dict[float, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """threshold -> (numbers, features, y) in order of number."""
+    return {t: (g["i"].to_numpy(), np.array(g["x"].tolist()), g["y"].to_numpy()) for t, g in group.sort_values("i").groupby("threshold")}
+
+
 def run(returns: DataFrame, feature: DataFrame, target: DataFrame, scheme: Scheme, grid: Grid, metric: str | Callable = "pr_auc", test_dates: DataFrame | None = None) -> Result:
     """Predictions of target (date, y) from feature (date, threshold, numbers) for the test dates of the calendar of returns, by
     default all that have the history.
@@ -117,24 +133,26 @@ def run(returns: DataFrame, feature: DataFrame, target: DataFrame, scheme: Schem
 
     fold = ready.select("date", "i", F.posexplode(scheme.folds()).alias("fold", "f")).select("date", "i", "fold", "f.*")
     own = ["train_start", "train_end", "val_end"]
-    spread = fold.select(*own).distinct().select(*own, F.explode(F.sequence("train_start", F.col("val_end") - 1)).alias("row"))
-    cells = spread.join(rows.withColumnRenamed("i", "row"), "row").withColumn("is_val", F.col("row") >= F.col("train_end"))
     plan = [(r["model"], r["kind"], r["threshold"], r["threshold_ord"], r["parameters"], r["theta"], r["theta_ord"]) for r in combos.collect()]  # the grid, a configuration
 
-    def scores(group: pd.DataFrame) -> pd.DataFrame:
-        x, y = np.array(group["x"].tolist()), group["y"].to_numpy()
-        val, t = group["is_val"].to_numpy(), group["threshold"].iloc[0]
-        order = np.argsort(group["row"].to_numpy(), kind="stable")
-        x, y, val = x[order], y[order], val[order]
+    def scores(_, fold: pd.DataFrame, group: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for model, kind, threshold, t_ord, parameters, theta, j in plan:
-            if threshold == t and val.any() and not val.all():
-                p = fit(kind, x[~val], y[~val], json.loads(parameters))(x[val])
-                s = score_of(y[val], p)
-                out.append((*(int(group[c].iloc[0]) for c in own), model, threshold, t_ord, theta, j, kind, parameters, s))
-        return pd.DataFrame(out, columns=[*own, "model", "threshold", "threshold_ord", "theta", "theta_ord", "kind", "parameters", "score"]).astype({"score": float})
-
-    scored = cells.groupBy(*own, "threshold").applyInPandas(scores, "train_start long, train_end long, val_end long, model string, threshold double, threshold_ord int, theta string, theta_ord int, kind string, parameters string, score double")
+        columns = [*own, "model", "threshold", "threshold_ord", "theta", "theta_ord", "kind", "parameters", "score"]
+        parts = _by_threshold(group)
+        for start, split, end in fold[own].itertuples(index=False):
+            for model, kind, threshold, t_ord, parameters, theta, j in plan:
+                if threshold not in parts:
+                    continue
+                row, x, y = parts[threshold]
+                a, b, c = np.searchsorted(row, [start, split, end])
+                if a < b < c:
+                    p = fit(kind, x[a:b], y[a:b], json.loads(parameters))(x[b:c])
+                    out.append((start, split, end, model, threshold, t_ord, theta, j, kind, parameters, score_of(y[b:c], p)))
+        return pd.DataFrame(out, columns=columns).astype({"score": float})
+
+    spans = fold.select(*own).distinct().withColumn("chunk", F.floor(F.col("train_start") / CHUNK))
+    near = _rows_of(spans, rows, "train_start", "val_end")
+    scored = spans.groupBy("chunk").cogroup(near.groupBy("part")).applyInPandas(scores, "train_start long, train_end long, val_end long, model string, threshold double, threshold_ord int, theta string, theta_ord int, kind string, parameters string, score double")
     scored = scored.withColumn("score", F.when(~F.isnan("score"), F.col("score")))
     scored = materialize(scored, "walk-scores")
     mean = fold.select("date", *own).join(scored, own).groupBy("date", "model", "threshold", "threshold_ord", "theta", "theta_ord", "kind", "parameters").agg(F.avg("score").alias("score"))
@@ -144,22 +162,27 @@ def run(returns: DataFrame, feature: DataFrame, target: DataFrame, scheme: Schem
     models = combos.select("model").distinct()
     span = ready.withColumns({"start": start, "end": end}).crossJoin(models).join(best, ["date", "model"], "left")
     fallback = grid.thresholds[0]
-    wide = span.withColumn("use", F.coalesce("threshold", F.lit(fallback))).select("date", "i", "model", "kind", "parameters", "use", F.explode(F.sequence("start", F.when(F.col("end") > F.col("i"), F.col("end")).otherwise(F.col("i")))).alias("row"), "end")
-    refit_rows = wide.join(rows.withColumnRenamed("i", "row").withColumnRenamed("threshold", "use"), ["row", "use"]).where((F.col("row") < F.col("end")) | (F.col("row") == F.col("i")))
-
-    def predict(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("row")
-        test = (group["row"] == group["i"]).to_numpy()
-        train = (group["row"] < group["end"]).to_numpy() & ~test
-        x, y = np.array(group["x"].tolist()), group["y"].to_numpy()
-        columns = ["date", "model", "y_true", "y_pred", "n_obs"]
-        if not test.any() or not train.any():
-            return pd.DataFrame([], columns=columns)
-        kind = group["kind"].iloc[0]
-        model = fit(kind, x[train], y[train], json.loads(group["parameters"].iloc[0])) if isinstance(kind, str) else dummy(y[train])
-        return pd.DataFrame([(group["date"].iloc[0], group["model"].iloc[0], int(y[test][0]), float(model(x[test])[0]), int(train.sum()))], columns=columns)
-
-    found = refit_rows.groupBy("date", "model").applyInPandas(predict, "date date, model string, y_true int, y_pred double, n_obs long")
+    span = span.withColumns({"use": F.coalesce("threshold", F.lit(fallback)), "last": F.greatest(F.col("end"), F.col("i") + 1), "chunk": F.floor(F.col("i") / CHUNK)})
+    span = span.select("chunk", "date", "i", "model", "kind", "parameters", "use", "start", "end", "last")
+
+    def predict(_, wanted: pd.DataFrame, group: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        parts = _by_threshold(group)
+        for r in wanted.itertuples(index=False):
+            if r.use not in parts:
+                continue
+            row, x, y = parts[r.use]
+            test = np.searchsorted(row, r.i)
+            train = np.arange(*np.searchsorted(row, [r.start, r.end]))
+            if test == len(row) or row[test] != r.i:
+                continue
+            train = train[train != test]
+            if len(train):
+                model = fit(r.kind, x[train], y[train], json.loads(r.parameters)) if isinstance(r.kind, str) else dummy(y[train])
+                out.append((r.date, r.model, int(y[test]), float(model(x[test : test + 1])[0]), len(train)))
+        return pd.DataFrame(out, columns=["date", "model", "y_true", "y_pred", "n_obs"])
+
+    found = span.groupBy("chunk").cogroup(_rows_of(span, rows, "start", "last").groupBy("part")).applyInPandas(predict, "date date, model string, y_true int, y_pred double, n_obs long")
     found = materialize(found.join(best.select("date", "model", "threshold", "theta", "score"), ["date", "model"], "left"), "walk-found")
     name = "validation_score" if scheme.kind == "simple" else "inner_cv_score"
     predictions = found.select(
