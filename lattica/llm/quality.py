@@ -111,12 +111,12 @@ def posterior_sql(v: str, p: str) -> str:
     return f"(1D / (1D + exp(least(700D, {bad} - {good}))))"
 
 
-def estimate(patterns: DataFrame, n_rules: int, rounds: int = ROUNDS) -> DataFrame:
+def estimate(patterns: DataFrame, n_rules: int, rounds: int = ROUNDS, floor: float = GOOD) -> DataFrame:
     """One row of estimates from (votes, n), a row for each pattern of votes (3 to the power of the rules at most):
     prior, and for each rule the probability that its vote is right on good and on bad text.
 
     A vote of -1 stays evidence against a text (right on bad oftener than wrong on good), so that the classes keep their
-    meaning. Without patterns the estimates are those at the start.
+    meaning; floor is the least that a rule is right of good text. Without patterns the estimates are those at the start.
     """
     start = f"named_struct('prior', {START['prior']}D, 'good', array_repeat({START['good']}D, {n_rules}), 'bad', array_repeat({START['bad']}D, {n_rules}))"
     weighted = "transform(patterns, x -> named_struct('v', x.votes, 'g', x.n * " + posterior_sql("x.votes", "p") + ", 'n', cast(x.n AS DOUBLE)))"
@@ -133,8 +133,8 @@ def estimate(patterns: DataFrame, n_rules: int, rounds: int = ROUNDS) -> DataFra
         "w",
         weighted,
         f"named_struct('prior', least({HIGH}D, greatest({LOW}D, {prior})),"
-        f" 'good', transform(sequence(1, {n_rules}), r -> least({HIGH}D, greatest({GOOD}D, {good}))),"
-        f" 'bad', transform(sequence(1, {n_rules}), r -> {_let('gd', f'least({HIGH}D, greatest({GOOD}D, {good}))', f'least({HIGH}D, greatest({LOW}D, 1D - gd + {LOW}D, {bad}))')}))",
+        f" 'good', transform(sequence(1, {n_rules}), r -> least({HIGH}D, greatest({floor}D, {good}))),"
+        f" 'bad', transform(sequence(1, {n_rules}), r -> {_let('gd', f'least({HIGH}D, greatest({floor}D, {good}))', f'least({HIGH}D, greatest({LOW}D, 1D - gd + {LOW}D, {bad}))')}))",
     )
     fit = f"aggregate(sequence(1, {rounds}), {start}, (p, _) -> {step})"
     rows = patterns.agg(F.sort_array(F.collect_list(F.struct("votes", "n"))).alias("patterns"))

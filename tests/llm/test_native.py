@@ -68,6 +68,19 @@ def test_estimates_equal_numpy(spark):
     assert np.allclose(sorted(r.q for r in got), sorted(post))
 
 
+def test_estimates_learn_accuracies_without_the_floor(spark):
+    rng = np.random.default_rng(6)
+    prior, good, bad, silent = 0.7, [0.95, 0.85, 0.9, 0.75, 0.8], [0.9, 0.7, 0.8, 0.6, 0.85], 0.2
+    counts = Counter()
+    for quality_of in rng.random(30_000) < prior:
+        right = rng.random(5) < (good if quality_of else bad)
+        vote = np.where(right == quality_of, 1, -1)
+        counts[tuple(np.where(rng.random(5) < silent, 0, vote).tolist())] += 1
+    df = spark.createDataFrame([(list(k), n) for k, n in counts.items()], "votes array<int>, n bigint")
+    p = quality.estimate(df, 5, 60, floor=0.5).first().p
+    assert abs(p.prior - prior) < 0.03 and np.abs(np.array(p.good) - good).max() < 0.03 and np.abs(np.array(p.bad) - bad).max() < 0.05
+
+
 def test_quality_follows_labels(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet")
