@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,10 +48,27 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of the Arrow batches that tasks exchange with Python workers while a table is written, and the setting for them: with
+#: the usual 10,000, rows of two texts hold some 100 MB a task outside the heap.
+BATCH_SETTING, BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 4000
+
+
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(BATCH_SETTING)
+    if not int(before) or int(before) > BATCH:
+        spark.conf.set(BATCH_SETTING, BATCH)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
+
+
 def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: lineage is cut, and a later loss of an
     executor costs a reread, not a recomputation."""
     spark = df.sparkSession
     path = f"{working_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**{"compression": "zstd"} | options).parquet(path)
+    with _small_batches(spark):
+        df.write.options(**{"compression": "zstd"} | options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
