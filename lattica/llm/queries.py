@@ -4,10 +4,13 @@ from lattica.llm.chat import op2_chat_formatting
 from lattica.llm.fingerprints import op6_fingerprints
 from lattica.llm.language import op9_language_id
 from lattica.llm.lm import op5_lm_scoring
+from lattica.llm.manifest import op12_merkle_manifest
 from lattica.llm.mixing import op3_source_mixing
 from lattica.llm.ngram_join import op1_ngram_jaccard_join
 from lattica.llm.packing import op10_packing
 from lattica.llm.quality import op4_quality_rules
+from lattica.llm.repair import op11_conversation_repair
+from lattica.llm.simhash import op13_simhash_dedup
 from lattica.llm.substring_dedup import op7_substring_dedup
 from lattica.llm.token_output import op8_token_output
 
@@ -22,6 +25,9 @@ QUERIES = {
     "op8_token_output": op8_token_output,
     "op9_language_id": op9_language_id,
     "op10_packing": op10_packing,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_simhash_dedup": op13_simhash_dedup,
 }
 
 #: Only op1 can be said whole: the others' rows hold hashes of this library, subword ids, or what models make.
