@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 from lattica.llm.common import crc_mod, documents, in_order, materialize
 
 FANOUT = 8
-#: Levels that one task makes of a block, and the leaves of a block: 4096 digests, a matrix of 256 KiB.
+#: Levels that one task makes of a block: 4096 leaves' digests, a matrix of 256 KiB.
 DEPTH = 4
-BLOCK = FANOUT**DEPTH
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _NODE = "tree string, rank long, size long, digest string"
@@ -76,27 +75,28 @@ def fold(digest: bytes, path: list[tuple[bytes, bytes]]) -> str:
     return digest.decode()
 
 
-def _block(rows: pa.Table) -> tuple[pa.Table, list[np.ndarray]]:
+def _block(rows: pa.Table, depth: int) -> tuple[pa.Table, list[np.ndarray]]:
     rows = rows.sort_by("rank")
-    return rows, levels(matrix(rows["digest"].to_pylist()), min(DEPTH, height(rows["size"][0].as_py())))
+    return rows, levels(matrix(rows["digest"].to_pylist()), min(depth, height(rows["size"][0].as_py())))
 
 
-def _root(rows: pa.Table) -> pa.Table:
-    rows, block = _block(rows)
+def _root(rows: pa.Table, depth: int) -> pa.Table:
+    rows, block = _block(rows, depth)
     tree, rank, size = (rows[c][0].as_py() for c in ("tree", "rank", "size"))
-    return pa.table([[tree], [rank // BLOCK], [-(-size // BLOCK)], [block[-1].tobytes().decode()]], schema=_arrow(_NODE))
+    n = FANOUT**depth
+    return pa.table([[tree], [rank // n], [-(-size // n)], [block[-1].tobytes().decode()]], schema=_arrow(_NODE))
 
 
-def _paths(rows: pa.Table, above: pa.Table) -> pa.Table:
-    rows, block = _block(rows)
+def _paths(rows: pa.Table, above: pa.Table, depth: int) -> pa.Table:
+    rows, block = _block(rows, depth)
     (top,) = above.to_pylist()
     n = len(rows)
     paths = [[{"l": a.decode(), "r": b.decode()} for a, b in siblings(block, i)] + top["path"] for i in range(n)]
     return pa.table([rows["tree"], rows["rank"], paths, [top["subroot"]] * n, [top["root"]] * n], schema=_arrow(_PATH))
 
 
-def _prove(rows: pa.Table, above: pa.Table) -> pa.Table:
-    rows, block = _block(rows)
+def _prove(rows: pa.Table, above: pa.Table, depth: int) -> pa.Table:
+    rows, block = _block(rows, depth)
     (top,) = above.to_pylist()
     upper = [(x["l"].encode(), x["r"].encode()) for x in top["path"]]
     proofs, folded = [], []
@@ -119,38 +119,46 @@ def ranked(df: DataFrame, *order: Column, name: str) -> DataFrame:
     return rows.join(parts, ["tree", "pid"]).withColumn("rank", F.col("idx") + F.col("shift")).drop("pid", "idx", "shift")
 
 
-def _by_block(nodes: DataFrame):
-    return nodes.withColumn("block", F.floor(F.col("rank") / BLOCK)).groupBy("tree", "block")
+def _by_block(nodes: DataFrame, depth: int):
+    return nodes.withColumn("block", F.floor(F.col("rank") / FANOUT**depth)).groupBy("tree", "block")
 
 
-def _up(nodes: DataFrame, name: str) -> list[DataFrame]:
-    """Nodes, and the roots of their blocks, and of theirs, until each tree has one: a round for each DEPTH levels."""
+def _up(nodes: DataFrame, depth: int, name: str) -> list[DataFrame]:
+    """Nodes, and the roots of their blocks, and of theirs, until each tree has one: a round for each `depth` levels."""
     found = [nodes]
+
+    def root(rows: pa.Table) -> pa.Table:
+        return _root(rows, depth)
+
     while (found[-1].agg(F.max("size")).first()[0] or 0) > 1:
         some = found[-1].where("size > 1").select("tree", "rank", "size", "digest")
-        found.append(materialize(_by_block(some).applyInArrow(_root, _NODE), name))
+        found.append(materialize(_by_block(some, depth).applyInArrow(root, _NODE), name))
     return found
 
 
-def _down(found: list[DataFrame], outer: DataFrame, last, schema: str) -> DataFrame:
-    """last(rows, above) for the blocks of the leaves, where above is the path from the block's root on. outer holds the path of each
-    tree's root (tree, path, subroot, root)."""
+def _down(found: list[DataFrame], outer: DataFrame, depth: int, last, schema: str) -> DataFrame:
+    """last(rows, above, depth) for the blocks of the leaves, where above is the path from the block's root on. outer holds the path
+    of each tree's root (tree, path, subroot, root)."""
     paths = None
     for k, nodes in reversed(list(enumerate(found))):
         above = nodes.where("size = 1").select("tree").join(outer, "tree").select("tree", F.lit(0).cast("long").alias("rank"), "path", "subroot", "root")
         above = above if paths is None else above.unionByName(paths)
-        each, kind = (last, schema) if k == 0 else (_paths, _PATH)
         above = above.select(F.col("tree").alias("of"), F.col("rank").alias("at"), "path", "subroot", "root")
-        paths = _by_block(nodes).cogroup(above.groupBy("of", "at")).applyInArrow(each, kind)
+        make, kind = (last, schema) if k == 0 else (_paths, _PATH)
+
+        def each(rows: pa.Table, above: pa.Table) -> pa.Table:
+            return make(rows, above, depth)
+
+        paths = _by_block(nodes, depth).cogroup(above.groupBy("of", "at")).applyInArrow(each, kind)
     return paths
 
 
-def manifest(leaves: DataFrame, tree: Column, order: list[Column]) -> DataFrame:
+def manifest(leaves: DataFrame, tree: Column, order: list[Column], depth: int = DEPTH) -> DataFrame:
     """doc_id, leaf, subroot, root, proof_sha256 and folded_root of leaves (doc_id, digest, tampered).
 
     Within a tree, leaves stand in the given order. While several nodes remain, every 8 consecutive ones become their digest, the
     last run of fewer too; a tree's last node is its subroot. Subroots, ordered by tree (null first), give the root likewise.
-    Aligned blocks of 4096 nodes are made by a task each; the blocks' roots are the next table of nodes. Siblings come down the same
+    Aligned blocks of 8 ** depth nodes are made by a task each; the blocks' roots are the next table of nodes. Siblings come down the same
     way, so a task holds one block and one path, however large the tree. proof_sha256 is the digest of a leaf's siblings, and
     folded_root is folded from tampered (where it isn't null, else digest) through them.
 
@@ -159,19 +167,19 @@ def manifest(leaves: DataFrame, tree: Column, order: list[Column]) -> DataFrame:
     """
     named = leaves.select(F.coalesce(F.concat(F.lit("="), tree), F.lit("-")).alias("tree"), "doc_id", "digest", "tampered")
     rows = materialize(ranked(named, *order, F.col("digest"), name="manifest-sorted"), "manifest-leaves")
-    own = _up(rows, "manifest-nodes")
+    own = _up(rows, depth, "manifest-nodes")
     subroots = own[0].where("size = 1").select("tree", "digest")
     for nodes in own[1:]:
         subroots = subroots.unionByName(nodes.where("size = 1").select("tree", "digest"))
     # "-" sorts before "=": the null tree is first, and the others are in order of their bytes.
     top = subroots.select(F.lit("").alias("tree"), F.col("tree").alias("of"), "digest")
     top = materialize(ranked(top, F.col("of"), name="manifest-sorted"), "manifest-subroots")
-    upper = _up(top, "manifest-nodes")
+    upper = _up(top, depth, "manifest-nodes")
     no_path = F.array().cast("array<struct<l:string,r:string>>")
     root = upper[-1].where("size = 1").select(F.lit("").alias("tree"), no_path.alias("path"), F.lit(None).cast("string").alias("subroot"), F.col("digest").alias("root"))
-    paths = _down(upper, root, _paths, _PATH).select("rank", "path", "root")
+    paths = _down(upper, root, depth, _paths, _PATH).select("rank", "path", "root")
     outer = materialize(top.join(paths, "rank").select(F.col("of").alias("tree"), "path", F.col("digest").alias("subroot"), "root"), "manifest-paths")
-    return _down(own, outer, _prove, _PROOF)
+    return _down(own, outer, depth, _prove, _PROOF)
 
 
 def op12_merkle_manifest(spark, sf_dir: str) -> DataFrame:

@@ -104,7 +104,7 @@ def _buckets(nodes: DataFrame, blocks: int, chosen: int, bits: int) -> DataFrame
     return nodes.select("fp", "pop", F.explode(F.array(*keys)).alias("bucket"))
 
 
-def _near(a: np.ndarray, b: np.ndarray | None, radius: int) -> list[tuple[int, int]]:
+def near(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS, tile: int = TILE) -> list[tuple[int, int]]:
     """Of the links between fingerprints a and b (None: within a), which are in order of population count, a spanning forest.
 
     Tiles meet one another; a pair of tiles whose counts differ beyond the radius has no link and is skipped. Of a pair of tiles that
@@ -120,20 +120,20 @@ def _near(a: np.ndarray, b: np.ndarray | None, radius: int) -> list[tuple[int, i
         return x
 
     label = parent.copy()
-    rows = range(0, len(a), TILE)
     out = []
-    for i in rows:
-        i2 = min(i + TILE, len(a))
-        for j in range(i, len(a), TILE) if b is None else range(len(a), len(both), TILE):
-            j2 = min(j + TILE, len(both))
+    for i in range(0, len(a), tile):
+        i2 = min(i + tile, len(a))
+        for j in range(i, len(a), tile) if b is None else range(len(a), len(both), tile):
+            # The tiles of a and of b end where those do.
+            j2 = min(j + tile, len(a) if b is None else len(both))
             if pops[j] - pops[i2 - 1] > radius:
                 break
             if pops[i] - pops[j2 - 1] > radius:
                 continue
-            near = np.bitwise_count(both[i:i2, None] ^ both[None, j:j2]) <= radius
-            near &= label[i:i2, None] != label[None, j:j2]
-            if near.any():
-                x, y = np.nonzero(near)
+            hit = np.bitwise_count(both[i:i2, None] ^ both[None, j:j2]) <= radius
+            hit &= label[i:i2, None] != label[None, j:j2]
+            if hit.any():
+                x, y = np.nonzero(hit)
                 pairs = np.column_stack([label[i + x], label[j + y]])
                 for k in np.unique(pairs, axis=0, return_index=True)[1].tolist():
                     u, v = int(i + x[k]), int(j + y[k])
@@ -148,7 +148,7 @@ def _near(a: np.ndarray, b: np.ndarray | None, radius: int) -> list[tuple[int, i
     return [(int(both[u].view(np.int64)), int(both[v].view(np.int64))) for u, v in out]
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, part: int = PART) -> DataFrame:
+def links(nodes: DataFrame, radius: int = RADIUS, part: int = PART, tile: int = TILE) -> DataFrame:
     """(a, b): links between distinct fingerprints (fp) that differ in 1 to radius bits, reduced to forests that connect all that
     the links connect.
 
@@ -177,7 +177,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, part: int = PART) -> DataFrame
         rows = rows.sort_by([("side", "ascending"), ("pop", "ascending"), ("fp", "ascending")])
         fp, side = rows["fp"].to_numpy().view(np.uint64), rows["side"].to_numpy()
         n = int((side == 0).sum())
-        found = _near(fp[:n], fp[n:] if n < len(fp) else None, radius)
+        found = near(fp[:n], fp[n:] if n < len(fp) else None, radius, tile)
         return pa.table([[a for a, _ in found], [b for _, b in found]], schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
     return groups.applyInArrow(compare, "a long, b long")

@@ -184,12 +184,11 @@ def many_rows(n=700):
 
 @pytest.mark.parametrize("depth", [1, 2, 4])
 def test_manifest_equals_brute_force(spark, monkeypatch, tmp_path, depth):
-    monkeypatch.setattr(manifest, "DEPTH", depth)
-    monkeypatch.setattr(manifest, "BLOCK", 8**depth)
+    whole = manifest.manifest
+    monkeypatch.setattr(manifest, "manifest", lambda *a: whole(*a, depth=depth))
     rows = many_rows()
     df = spark.createDataFrame(rows, fixtures.SCHEMA).withColumns({"tree": F.lit("x"), "rank": F.lit(1), "digest": F.lit("y"), "pid": F.lit(2), "size": F.lit(3)})
     df.repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
-    # Blocks of other depths go to the workers with the functions.
     got = sorted(map(tuple, queries.QUERIES["op12_merkle_manifest"](spark, str(tmp_path)).collect()), key=str)
     assert got == brute_manifest(rows) and {g[-1] for g in got} == {True, False}
 
@@ -262,14 +261,13 @@ def clustered(rng, n):
 
 
 @pytest.mark.parametrize("n,part,tile,hot", [(400, 4096, 256, False), (1500, 64, 8, False), (1500, 16, 4, False), (900, 16, 4, True), (600, 2, 1, False)])
-def test_links_connect_what_brute_force_connects(spark, monkeypatch, n, part, tile, hot):
+def test_links_connect_what_brute_force_connects(spark, n, part, tile, hot):
     rng = random.Random(n + part)
     fps = clustered(rng, n)
     if hot:  # most fingerprints agree in most of their bits: full buckets
         fps = sorted(set(fps[:100]) | {x & 0xFFFF for x in fps} | {x & 0xFFF << 40 for x in fps})
-    monkeypatch.setattr(simhash, "TILE", tile)
     nodes = spark.createDataFrame([(int(np.uint64(x).astype(np.int64)),) for x in fps], "fp bigint")
-    got = [(r.a, r.b) for r in simhash.links(nodes, part=part).collect()]
+    got = [(r.a, r.b) for r in simhash.links(nodes, part=part, tile=tile).collect()]
     assert all(((a ^ b) & (1 << 64) - 1).bit_count() <= 4 for a, b in got)
     parent = {int(np.uint64(x).astype(np.int64)): int(np.uint64(x).astype(np.int64)) for x in fps}
 
