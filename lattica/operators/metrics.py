@@ -7,17 +7,31 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.sources.tables import materialize
+
 
 def _by_score(scored: DataFrame, keys: list[str], y: str, p: str) -> DataFrame:
-    """Per group and distinct score: positives and negatives, those at higher scores, and the group's totals. Equal scores are
-    combined before anything is sorted."""
+    """Per group and distinct score: positives and negatives, those at this or higher scores, and the group's totals.
+
+    Equal scores are combined first. The distinct ones are sorted over all partitions, whatever their group; a first pass sums
+    up each sorted part of a group, a second one counts within the part, so that a group of very many scores is many tasks'
+    work."""
     rows = scored.where(F.col(y).isNotNull() & F.col(p).isNotNull())
     per = rows.groupBy(*keys, p).agg(F.sum((F.col(y) == 1).cast("bigint")).alias("pos"), F.sum((F.col(y) != 1).cast("bigint")).alias("neg"))
-    down = Window.partitionBy(*keys).orderBy(F.col(p).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
-    return per.withColumns(
-        {"cum_pos": F.sum("pos").over(down), "cum_neg": F.sum("neg").over(down), "all_pos": F.sum("pos").over(whole), "all_neg": F.sum("neg").over(whole)}
+    per = materialize(per.orderBy(*keys, F.col(p).desc()).withColumn("_part", F.spark_partition_id()), "ranking-steps")
+    names = [f"_{k}" for k in keys]
+    parts = per.groupBy(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), F.col("_part").alias("_at")).agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
+    before = Window.partitionBy(*names).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*names)
+    parts = parts.select(
+        *names, "_at", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("_pos", "_neg")), F.sum("_pos").over(whole).alias("all_pos"), F.sum("_neg").over(whole).alias("all_neg")
     )
+    same = F.col("_part") == F.col("_at")
+    for k, n in zip(keys, names, strict=True):
+        same &= F.col(k).eqNullSafe(F.col(n))
+    down = Window.partitionBy(*keys, "_part").orderBy(F.col(p).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    inside = per.withColumns({"_cum_pos": F.sum("pos").over(down), "_cum_neg": F.sum("neg").over(down)})
+    return inside.join(parts, same).select(*keys, p, "pos", "neg", (F.col("_cum_pos") + F.col("_pos_before")).alias("cum_pos"), (F.col("_cum_neg") + F.col("_neg_before")).alias("cum_neg"), "all_pos", "all_neg")
 
 
 def _two_classes() -> Column:

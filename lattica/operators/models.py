@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -15,17 +16,24 @@ def dummy(y: np.ndarray) -> Predictor:
     return lambda x: np.full(len(x), p)
 
 
-def logistic_regression(x: np.ndarray, y: np.ndarray, C: float = 1.0, class_weight: str | None = None, max_iter: int = 1000, tol: float = 1e-8, **_) -> Predictor:
-    """Least half squared norm of (weights, intercept), the intercept too, plus C times the weighted logistic loss; "balanced"
-    weighs each class by n over twice its size. Newton's method with halved steps."""
+def _weights(y: np.ndarray, class_weight: str | None) -> np.ndarray:
+    """A weight for each row: 1, or, "balanced", the number of rows over twice that of the row's class."""
+    if class_weight is None:
+        return np.ones(len(y))
+    if class_weight != "balanced":
+        raise ValueError(f"unknown class_weight {class_weight!r}")
+    n = max(int((y == 1).sum()), 1), max(int((y != 1).sum()), 1)
+    return np.where(y == 1, len(y) / (2 * n[0]), len(y) / (2 * n[1]))
+
+
+def logistic_regression(x: np.ndarray, y: np.ndarray, C: float = 1.0, class_weight: str | None = None, max_iter: int = 1000, tol: float = 1e-8, start: np.ndarray | None = None, **_) -> Predictor:
+    """Least half squared norm of (weights, intercept), the intercept too, plus C times the weighted logistic loss. Newton's method
+    with halved steps, from zero or from the weights of a fit nearby; the loss has one least point, so the start changes the way
+    to it alone. The predictor's `weights` are the fit's."""
     design = np.column_stack([x, np.ones(len(x))])
     sign = np.where(y == 1, 1.0, -1.0)
-    weight = np.ones(len(y))
-    if class_weight == "balanced":
-        for s in (-1.0, 1.0):
-            weight[sign == s] = len(y) / (2 * max((sign == s).sum(), 1))
-    weight = C * weight
-    w = np.zeros(design.shape[1])
+    weight = C * _weights(y, class_weight)
+    w = np.zeros(design.shape[1]) if start is None or len(start) != design.shape[1] else start.copy()
 
     def loss(w: np.ndarray) -> float:
         return 0.5 * w @ w + float(weight @ np.logaddexp(0, -sign * (design @ w)))
@@ -43,32 +51,48 @@ def logistic_regression(x: np.ndarray, y: np.ndarray, C: float = 1.0, class_weig
         w, before, now = w - scale * step, now, then
         if before - now <= 1e-15 * max(1, abs(before)):
             break
-    return lambda x: 1 / (1 + np.exp(-np.clip(np.column_stack([x, np.ones(len(x))]) @ w, -500, 500)))
+
+    def predict(x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(np.column_stack([x, np.ones(len(x))]) @ w, -500, 500)))
+
+    predict.weights = w
+    return predict
 
 
-class _Tree:
-    """A regression tree of squared error, with greedy splits."""
+class Tree:
+    """A binary tree of greedy splits on the weighted squared error of y, which for y of 0 and 1 is half the Gini impurity. A split
+    stands halfway between two neighbouring values; of equal gains the first column's, then the least value's, wins. Splits go
+    on to `depth` levels (None: until leaves are pure), leave `leaf` rows on either side, and need `split` rows to begin with.
+    Each split looks at n_features columns drawn by rng, or at all. A leaf's value is value(its rows), by default the weighted
+    mean of y."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int, leaf: int, rng: np.random.Generator | None, n_features: int):
-        self.value = float(y.mean())
+    def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, rows: np.ndarray, depth: int | None, leaf: int, split: int = 2, rng: np.random.Generator | None = None, n_features: int = 0, value: Callable | None = None):
+        own, w = y[rows], weight[rows]
+        self.value = float(own @ w / w.sum()) if value is None else float(value(rows))
         self.at: tuple | None = None
-        if depth == 0 or len(y) < 2 * leaf or y.min() == y.max():
+        if depth == 0 or len(rows) < max(2 * leaf, split) or own.min() == own.max():
             return
-        columns = range(x.shape[1]) if rng is None else rng.choice(x.shape[1], n_features, replace=False)
-        best = (0.0, -1, 0.0)
-        base = y.sum() ** 2 / len(y)
+        columns = range(x.shape[1]) if rng is None else rng.permutation(x.shape[1])
+        best, looked = (1e-12, -1, 0.0), 0
         for c in columns:
-            order = np.argsort(x[:, c], kind="stable")
-            v, s = x[order, c], np.cumsum(y[order])
-            n = np.arange(1, len(y))
-            gain = s[:-1] ** 2 / n + (s[-1] - s[:-1]) ** 2 / (len(y) - n) - base
-            gain[(v[1:] == v[:-1]) | (n < leaf) | (len(y) - n < leaf)] = 0
+            if rng is not None and looked >= n_features:
+                break
+            order = np.argsort(x[rows, c], kind="stable")
+            v = x[rows[order], c]
+            if v[0] == v[-1]:
+                continue  # a constant column isn't one of those looked at
+            looked += 1
+            mass, total = np.cumsum(w[order]), np.cumsum((own * w)[order])
+            n = np.arange(1, len(rows))
+            gain = total[:-1] ** 2 / mass[:-1] + (total[-1] - total[:-1]) ** 2 / np.maximum(mass[-1] - mass[:-1], 1e-300) - total[-1] ** 2 / mass[-1]
+            gain[(v[1:] == v[:-1]) | (n < leaf) | (len(rows) - n < leaf)] = 0
             k = int(np.argmax(gain))
             if gain[k] > best[0] + 1e-12:
                 best = (float(gain[k]), int(c), float((v[k] + v[k + 1]) / 2))
         if best[1] >= 0:
-            left = x[:, best[1]] <= best[2]
-            self.at = (best[1], best[2], *(_Tree(x[m], y[m], depth - 1, leaf, rng, n_features) for m in (left, ~left)))
+            left = x[rows, best[1]] <= best[2]
+            deeper = None if depth is None else depth - 1
+            self.at = (best[1], best[2], *(Tree(x, y, weight, rows[m], deeper, leaf, split, rng, n_features, value) for m in (left, ~left)))
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
         if self.at is None:
@@ -80,29 +104,42 @@ class _Tree:
         return out
 
 
-def random_forest(x: np.ndarray, y: np.ndarray, n_estimators: int = 50, max_depth: int | None = None, min_samples_leaf: int = 1, random_state: int = 0, **_) -> Predictor:
-    """Mean of trees on bootstrap samples, each split among the square root of the columns."""
+def random_forest(
+    x: np.ndarray, y: np.ndarray, n_estimators: int = 100, max_depth: int | None = None, min_samples_leaf: int = 1, min_samples_split: int = 2, max_features: str | int | float | None = "sqrt",
+    bootstrap: bool = True, class_weight: str | None = None, random_state: int = 0, **_,
+) -> Predictor:
+    """Mean over trees of the share of class 1 in a row's leaf. A tree's rows are drawn with repeats, as weights, and each split looks
+    at max_features columns: "sqrt", "log2", a number, a share, or None for all."""
     rng = np.random.default_rng(random_state)
-    target = (y == 1).astype(float)
+    d = x.shape[1]
+    named = {None: d, "sqrt": int(d**0.5), "log2": int(math.log2(d))}
+    n_features = max(1, named[max_features] if max_features in named else max_features if isinstance(max_features, int) else int(max_features * d))
+    target, weight = (y == 1).astype(float), _weights(y, class_weight)
     trees = []
     for _ in range(n_estimators):
-        rows = rng.integers(0, len(x), len(x))
-        trees.append(_Tree(x[rows], target[rows], max_depth or 32, min_samples_leaf, rng, max(1, int(x.shape[1] ** 0.5))))
+        drawn = np.bincount(rng.integers(0, len(x), len(x)), minlength=len(x)) if bootstrap else np.ones(len(x))
+        trees.append(Tree(x, target, weight * drawn, np.flatnonzero(drawn), max_depth, min_samples_leaf, min_samples_split, rng if n_features < d else None, n_features))
     return lambda x: np.mean([t(x) for t in trees], 0)
 
 
-def gradient_boosting(x: np.ndarray, y: np.ndarray, n_estimators: int = 50, learning_rate: float = 0.1, max_depth: int = 3, min_samples_leaf: int = 1, **_) -> Predictor:
-    """Boosted trees of the logistic loss."""
+def gradient_boosting(x: np.ndarray, y: np.ndarray, n_estimators: int = 100, learning_rate: float = 0.1, max_depth: int | None = 3, min_samples_leaf: int = 1, min_samples_split: int = 2, **_) -> Predictor:
+    """Boosted trees of the logistic loss: each is split on the residuals y - p, and a leaf's value is one Newton step of the loss over
+    its rows, the residuals' sum over that of p (1 - p); 0 where that is nothing."""
     target = (y == 1).astype(float)
-    rate = np.clip(target.mean(), 1e-6, 1 - 1e-6)
+    rate = np.clip(target.mean(), 1e-12, 1 - 1e-12)
     start = float(np.log(rate / (1 - rate)))
-    score, trees = np.full(len(x), start), []
+    score, trees, ones = np.full(len(x), start), [], np.ones(len(x))
     for _ in range(n_estimators):
         p = 1 / (1 + np.exp(-score))
-        tree = _Tree(x, (target - p) / max(float((p * (1 - p)).mean()), 1e-6), max_depth, min_samples_leaf, None, 0)
-        trees.append(tree)
-        score = score + learning_rate * np.clip(tree(x), -4, 4)
-    return lambda x: 1 / (1 + np.exp(-(start + learning_rate * np.sum([np.clip(t(x), -4, 4) for t in trees], 0))))
+        rest, curve = target - p, p * (1 - p)
+
+        def newton(rows: np.ndarray, rest=rest, curve=curve) -> float:
+            bend = curve[rows].sum()
+            return rest[rows].sum() / bend if bend > 1e-150 else 0.0
+
+        trees.append(Tree(x, rest, ones, np.arange(len(x)), max_depth, min_samples_leaf, min_samples_split, value=newton))
+        score = score + learning_rate * trees[-1](x)
+    return lambda x: 1 / (1 + np.exp(-(start + learning_rate * np.sum([t(x) for t in trees], 0))))
 
 
 #: Fitting functions by model name: (x, y, **parameters) -> probabilities of class 1.
@@ -113,10 +150,12 @@ REGISTRY: dict[str, Callable[..., Predictor]] = {
 }
 
 
-def fit(model: str, x: np.ndarray, y: np.ndarray, parameters: dict) -> Predictor:
-    """A fitted model; with one class in y, the dummy. An unknown name is a KeyError."""
+def fit(model: str, x: np.ndarray, y: np.ndarray, parameters: dict, near: np.ndarray | None = None) -> Predictor:
+    """A fitted model; with one class in y, the dummy. near: weights of a fit nearby, for models that begin with some. An unknown
+    name is a KeyError."""
     train = REGISTRY[model]
-    return dummy(y) if len(np.unique(y)) < 2 else train(x, y, **parameters)
+    more = {"start": near} if train is logistic_regression else {}
+    return dummy(y) if len(np.unique(y)) < 2 else train(x, y, **parameters, **more)
 
 
 def roc_auc(y: np.ndarray, p: np.ndarray) -> float | None:

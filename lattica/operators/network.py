@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.operators.components import components
 from lattica.operators.correlation import chunked, complete, rolling_pairs, summary
 from lattica.operators.panel import calendar
 from lattica.sources.tables import materialize
@@ -60,16 +60,27 @@ def edge_weights(node: DataFrame, edge: DataFrame) -> DataFrame:
     return node.select("date").distinct().join(per, "date", "left").select("date", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in names))
 
 
+def oriented(edge: DataFrame) -> DataFrame:
+    """(date, u, v, weight): each edge once, from the end of fewer edges to the other, by id between equals. No node has more than
+    the square root of twice the edges leaving it, so the pairs of edges that leave a node are m ** 1.5 at most, whatever hubs
+    the graph has."""
+    k = incident(edge).groupBy("date", "asset").agg(F.count(F.lit(1)).alias("k"))
+    end = lambda x: k.select("date", F.col("asset").alias(x), F.col("k").alias(f"k_{x}"))
+    both = edge.join(end("a1"), ["date", "a1"]).join(end("a2"), ["date", "a2"])
+    first = F.struct("k_a1", "a1") < F.struct("k_a2", "a2")
+    return both.select("date", F.when(first, F.col("a1")).otherwise(F.col("a2")).alias("u"), F.when(first, F.col("a2")).otherwise(F.col("a1")).alias("v"), "weight")
+
+
 def clustering(node: DataFrame, edge: DataFrame) -> DataFrame:
     """By date: mean over all nodes of the weighted clustering: twice the sum over a node's triangles of the cube roots of
-    the products of weights, over k (k - 1), weights relative to the date's greatest; 0 for fewer than two neighbours."""
+    the products of weights, over k (k - 1), weights relative to the date's greatest; 0 for fewer than two neighbours. Each
+    triangle is found once, from its node of fewest edges."""
     top = edge.groupBy("date").agg(F.max("weight").cast("double").alias("top"))
     scaled = edge.join(top, "date").select("date", "a1", "a2", F.try_divide(F.col("weight").cast("double"), F.col("top")).alias("weight"))
-    ab = scaled.select("date", F.col("a1").alias("u"), F.col("a2").alias("v"), F.col("weight").alias("w1"))
-    bc = scaled.select("date", F.col("a1").alias("v"), F.col("a2").alias("t"), F.col("weight").alias("w2"))
-    ac = scaled.select("date", F.col("a1").alias("u"), F.col("a2").alias("t"), F.col("weight").alias("w3"))
-    triangles = ab.join(bc, ["date", "v"]).join(ac, ["date", "u", "t"])
-    triangles = triangles.select("date", F.explode(F.array("u", "v", "t")).alias("asset"), F.cbrt(F.col("w1") * F.col("w2") * F.col("w3")).alias("part"))
+    out = oriented(scaled)
+    wedges = out.select("date", "u", F.col("v").alias("a1"), F.col("weight").alias("w1")).join(out.select("date", "u", F.col("v").alias("a2"), F.col("weight").alias("w2")), ["date", "u"]).where("a1 < a2")
+    triangles = wedges.join(scaled.select("date", F.least("a1", "a2").alias("a1"), F.greatest("a1", "a2").alias("a2"), F.col("weight").alias("w3")), ["date", "a1", "a2"])
+    triangles = triangles.select("date", F.explode(F.array("u", "a1", "a2")).alias("asset"), F.cbrt(F.col("w1") * F.col("w2") * F.col("w3")).alias("part"))
     per = triangles.groupBy("date", "asset").agg(F.sum("part").alias("sum"))
     k = incident(edge).groupBy("date", "asset").agg(F.count(F.lit(1)).alias("k"))
     c = F.coalesce(F.try_divide(2 * F.col("sum"), F.col("k") * (F.col("k") - 1)), F.lit(0.0))
@@ -77,7 +88,7 @@ def clustering(node: DataFrame, edge: DataFrame) -> DataFrame:
 
 
 def largest(n: int, one: np.ndarray, two: np.ndarray) -> int:
-    """Nodes of the largest component of a graph of n nodes."""
+    """Nodes of the largest component of one matrix's graph of n nodes."""
     parent = list(range(n))
 
     def root(x: int) -> int:
@@ -93,15 +104,9 @@ def largest(n: int, one: np.ndarray, two: np.ndarray) -> int:
 
 
 def lcc(node: DataFrame, edge: DataFrame) -> DataFrame:
-    """By date: share of nodes in the largest component; null without edges. A group is one date's graph, whose size the
-    universe bounds, not the length of the panel."""
-
-    def solve(group: pd.DataFrame) -> pd.DataFrame:
-        ids, at = np.unique(group[["a1", "a2"]].to_numpy().ravel(), return_inverse=True)
-        at = at.reshape(-1, 2)
-        return pd.DataFrame({"date": [group["date"].iloc[0]], "lcc": [largest(len(ids), at[:, 0], at[:, 1])]})
-
-    found = edge.select("date", "a1", "a2").groupBy("date").applyInPandas(solve, "date date, lcc long")
+    """By date: share of nodes in the largest component; null without edges."""
+    size = components(edge.select("date", F.col("a1").alias("u"), F.col("a2").alias("v")), ["date"]).groupBy("date", "component").agg(F.count(F.lit(1)).alias("n"))
+    found = size.groupBy("date").agg(F.max("n").alias("lcc"))
     n = node.groupBy("date").agg(F.count(F.lit(1)).alias("n"))
     return n.join(found, "date", "left").select("date", (F.col("lcc") / F.col("n")).alias("lcc_ratio"))
 

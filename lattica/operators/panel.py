@@ -49,6 +49,19 @@ def reindexed_panel(df: DataFrame, dates: DataFrame, assets: DataFrame) -> DataF
     return dates.select("date").crossJoin(assets.select("asset")).join(df, ["date", "asset"], "left")
 
 
+def dense(df: DataFrame, dates: DataFrame) -> DataFrame:
+    """A panel with a row of nulls on those of dates (date, ord from 1 on) where an asset has none; rows on other dates go. Each row
+    gives the missing dates up to the asset's next row, the first one those before it too, so no list of assets meets a list of
+    dates. An asset without a row on any of dates isn't there."""
+    numbered = df.join(F.broadcast(dates.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy()))), "date").drop("date")
+    line = Window.partitionBy("asset").orderBy("ord")
+    first = F.when(F.row_number().over(line) == 1, F.lit(1).cast("bigint")).otherwise(F.col("ord"))
+    spread = numbered.withColumns({"_from": first, "_to": F.coalesce(F.lead("ord").over(line) - 1, F.col("_n"))}).withColumn("_at", F.explode(F.sequence("_from", "_to")))
+    values = [c for c in df.columns if c not in ("date", "asset")]
+    own = spread.select(F.col("_at").alias("ord"), "asset", *(F.when(F.col("_at") == F.col("ord"), F.col(c)).alias(c) for c in values))
+    return own.join(F.broadcast(dates), "ord").select(*df.columns)
+
+
 def common_dates(*frames: DataFrame) -> DataFrame:
     """Dates that all frames have."""
     return reduce(lambda a, b: a.join(b, "date", "left_semi"), frames[1:], frames[0].select("date").distinct())

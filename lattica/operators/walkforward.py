@@ -4,17 +4,19 @@ is an aggregate; refits are groups of test dates again. No loop over dates on th
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.functions.series import by
 from lattica.operators.folds import best_combination, full_index
 from lattica.operators.metrics import oos_metrics, scoring
-from lattica.operators.models import SCORES, dummy, fit
+from lattica.operators.models import SCORES, fit
 from lattica.operators.panel import calendar
 from lattica.sources.tables import materialize
 
@@ -22,6 +24,9 @@ from lattica.sources.tables import materialize
 #: Folds, or test dates, next to each other whose rows are sent to one group: a row is copied once a chunk that needs it,
 #: not once a fold.
 CHUNK = 8
+#: Chunks of test dates of an expanding scheme at most. Each needs all rows before it, so rows are copied as often as there are
+#: chunks, on average half of them: what is shuffled grows as the calendar, not as its square.
+EXPANDING_CHUNKS = 64
 
 
 @dataclass(frozen=True)
@@ -111,14 +116,34 @@ def _by_threshold(group: pd.DataFrame) -> dict[float, tuple[np.ndarray, np.ndarr
     return {t: (g["i"].to_numpy(), np.array(g["x"].tolist()), g["y"].to_numpy()) for t, g in group.sort_values("i").groupby("threshold")}
 
 
+def refit_chunk(scheme: Scheme, n_dates: int) -> int:
+    """Test dates of a chunk of refits, on a calendar of so many dates."""
+    return max(CHUNK, math.ceil(n_dates / EXPANDING_CHUNKS)) if scheme.kind == "nested_expanding" else CHUNK
+
+
+def majority(spans: DataFrame, labels: DataFrame, dates: DataFrame) -> DataFrame:
+    """date, model, y_true, y_pred, n_obs of spans (date, i, model, start, end): the most frequent label of the calendar's numbers from
+    start to end, the lesser one of a tie, from counts up to either. Features play no part, neither on the test date nor before. Dates
+    without a label, and spans without one, have no row. labels is (date, y), a row a date at most."""
+    upto = by(order="i").rowsBetween(Window.unboundedPreceding, -1)
+    label = dates.join(labels.where("y IS NOT NULL"), "date", "left")
+    counts = label.select("i", "y", F.count("y").over(upto).alias("n"), F.coalesce(F.sum((F.col("y") == 1).cast("long")).over(upto), F.lit(0)).alias("pos"))
+    at = lambda name: counts.select(F.col("i").alias(name), F.col("n").alias(f"n_{name}"), F.col("pos").alias(f"pos_{name}"))
+    n, pos = F.col("n_end") - F.col("n_start"), F.col("pos_end") - F.col("pos_start")
+    own = counts.where("y IS NOT NULL").select("i", F.col("y").cast("int").alias("y_true"))
+    found = spans.join(own, "i").join(at("start"), "start").join(at("end"), "end").where(n > 0)
+    return found.select("date", "model", "y_true", (2 * pos > n).cast("double").alias("y_pred"), n.cast("long").alias("n_obs"))
+
+
 def run(returns: DataFrame, feature: DataFrame, target: DataFrame, scheme: Scheme, grid: Grid, metric: str | Callable = "pr_auc", test_dates: DataFrame | None = None) -> Result:
     """Predictions of target (date, y) from feature (date, threshold, numbers) for the test dates of the calendar of returns, by
     default all that have the history.
 
-    Rows with a null feature or y are left out, so dates of edgeless networks are. A test date without them is skipped; one
-    for which no combination has a score is predicted by the majority of its refit rows. The simple scheme gives every pair of
-    test date and model a row. Inner folds that several test dates share are fitted once, and each date takes the mean over its
-    own. metric is a name, or a function of (y, p), arrays of a fold's validation rows, where NaN is no score. Results are
+    Rows with a null feature or y are left out, so dates of edgeless networks are. A test date without them is skipped. One
+    for which no combination has a score is predicted by the majority of all labels of its refit range, whether or not it or
+    they have features. The simple scheme gives every pair of test date and model a row. Inner folds that several test dates
+    share are fitted once, and each date takes the mean over its own. Refits of neighbouring dates start from each other's
+    weights. metric is a name, or a function of (y, p), arrays of a fold's validation rows, where NaN is no score. Results are
     sorted by date and model.
     """
     score_of = SCORES[scoring(metric)] if isinstance(metric, str) else scoring(metric)
@@ -160,29 +185,34 @@ def run(returns: DataFrame, feature: DataFrame, target: DataFrame, scheme: Schem
 
     start, end = scheme.refit()
     models = combos.select("model").distinct()
-    span = ready.withColumns({"start": start, "end": end}).crossJoin(models).join(best, ["date", "model"], "left")
-    fallback = grid.thresholds[0]
-    span = span.withColumns({"use": F.coalesce("threshold", F.lit(fallback)), "last": F.greatest(F.col("end"), F.col("i") + 1), "chunk": F.floor(F.col("i") / CHUNK)})
-    span = span.select("chunk", "date", "i", "model", "kind", "parameters", "use", "start", "end", "last")
+    refits = ready.withColumns({"start": start, "end": end})
+    chunk = refit_chunk(scheme, dates.count())
+    span = refits.join(best, "date").withColumns({"last": F.greatest(F.col("end"), F.col("i") + 1), "chunk": F.floor(F.col("i") / chunk)})
+    span = span.select("chunk", "date", "i", "model", "kind", "parameters", "threshold", "start", "end", "last")
 
     def predict(_, wanted: pd.DataFrame, group: pd.DataFrame) -> pd.DataFrame:
         out = []
         parts = _by_threshold(group)
-        for r in wanted.itertuples(index=False):
-            if r.use not in parts:
+        near: dict[tuple, np.ndarray] = {}
+        for r in wanted.sort_values(["model", "i"]).itertuples(index=False):
+            if r.threshold not in parts:
                 continue
-            row, x, y = parts[r.use]
+            row, x, y = parts[r.threshold]
             test = np.searchsorted(row, r.i)
             train = np.arange(*np.searchsorted(row, [r.start, r.end]))
             if test == len(row) or row[test] != r.i:
                 continue
             train = train[train != test]
             if len(train):
-                model = fit(r.kind, x[train], y[train], json.loads(r.parameters)) if isinstance(r.kind, str) else dummy(y[train])
+                key = (r.kind, r.parameters, r.threshold)
+                model = fit(r.kind, x[train], y[train], json.loads(r.parameters), near.get(key))
+                near[key] = getattr(model, "weights", None)
                 out.append((r.date, r.model, int(y[test]), float(model(x[test : test + 1])[0]), len(train)))
         return pd.DataFrame(out, columns=["date", "model", "y_true", "y_pred", "n_obs"])
 
     found = span.groupBy("chunk").cogroup(_rows_of(span, rows, "start", "last").groupBy("part")).applyInPandas(predict, "date date, model string, y_true int, y_pred double, n_obs long")
+    unscored = refits.crossJoin(models).join(best.select("date", "model"), ["date", "model"], "left_anti")
+    found = found.unionByName(majority(unscored, target.select("date", "y"), dates))
     found = materialize(found.join(best.select("date", "model", "threshold", "theta", "score"), ["date", "model"], "left"), "walk-found")
     name = "validation_score" if scheme.kind == "simple" else "inner_cv_score"
     predictions = found.select(

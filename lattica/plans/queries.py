@@ -106,7 +106,8 @@ def bounded_ffill(spark, d):
 
 def rolling_beta(spark, d):
     excess = capm.excess_returns(_returns(spark, d), _known_market(spark, d), source.risk_free(spark, d), RF_LIMIT)
-    return _rounded(capm.rolling_beta(excess, LOOKBACK).select("date", "asset", "beta"))
+    found = capm.rolling_beta(excess, LOOKBACK).select("date", "asset", "beta")
+    return _rounded(panel.dense(found, panel.calendar(found)))
 
 
 def _idio(spark, d):

@@ -28,8 +28,8 @@ class Study:
     is_level: bool = True
 
     def table(self, stem: str | None) -> DataFrame:
-        """A configured file by its stem; an AttributeError if it isn't there."""
-        files = registry(list(self.config.filenames_to_load))
+        """A configured file by its stem; an AttributeError if it isn't there, or is one that the configuration skips."""
+        files = registry(list(self.config.filenames_to_load), tuple(x.rsplit("/", 1)[-1].rsplit(".", 1)[0] for x in self.config.filenames_to_skip))
         name = (stem or "").rsplit("/", 1)[-1].rsplit(".", 1)[0]
         if name not in files:
             raise AttributeError(f"no file {stem!r} is configured; there are {', '.join(files)}")
@@ -60,8 +60,9 @@ class Study:
 
     @cached_property
     def idiosyncratic(self) -> DataFrame:
+        """(date, asset, idio) of the panel's rows."""
         c = self.config
-        return capm.idiosyncratic(self.returns, self.market.select("date", "mkt_ret"), self.risk_free, c.lookback_corr, c.limit_ffill_betas, c.limit_ffill_rf)
+        return capm.idiosyncratic_rows(self.returns, self.market.select("date", "mkt_ret"), self.risk_free, c.lookback_corr, c.limit_ffill_betas, c.limit_ffill_rf)
 
     @cached_property
     def network_returns(self) -> DataFrame:

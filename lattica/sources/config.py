@@ -14,6 +14,7 @@ class Config:
     """A study's settings; keys of the JSON are these names in capitals. Null and absent ones keep the defaults."""
 
     filenames_to_load: tuple[str, ...] = ()
+    filenames_to_skip: tuple[str, ...] = ()
     dates_filename: str | None = None
     mkt_returns_filename: str | None = None
     rf_returns_filename: str | None = None

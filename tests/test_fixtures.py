@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattica.functions import series as S
-from lattica.operators import capm, correlation, folds, labels, metrics, models, network, panel, walkforward
+from lattica.operators import capm, components, correlation, folds, labels, metrics, models, network, panel, walkforward
 from lattica.plans import catalogue
 from lattica.sources import cache
 from lattica.sources.config import Config, key_of, registry
@@ -239,24 +239,36 @@ def test_logistic_regression_is_a_stationary_point():
         assert models.roc_auc(y, models.fit(kind, x, y, {"n_estimators": 20, "max_depth": 3})(x)) > 0.85
 
 
+def brute_majority(labels):
+    """The most frequent label, 0 on ties; None without one."""
+    known = [v for v in labels if v is not None]
+    return float(2 * sum(known) > len(known)) if known else None
+
+
 def brute_walk(dates, x, y, scheme, thetas, metric):
-    """Simple scheme by loops: {date: (y, p, C)}."""
+    """Simple scheme by loops: {date: (y, p, score, refit rows)}. Without a score, the majority of all labels of the refit range."""
     out = {}
     index = {d: i for i, d in enumerate(dates)}
     for d in dates[scheme.history :]:
         i = index[d]
-        rows = lambda a, b: [k for k in range(a, b) if dates[k] in x]  # noqa: B023,E731
+        rows = lambda a, b: [k for k in range(a, b) if dates[k] in x and y[dates[k]] is not None]  # noqa: B023,E731
         end = i - scheme.horizon
         train, val = rows(end - scheme.val - scheme.train, end - scheme.val), rows(end - scheme.val, end)
         best = None
         for theta in thetas:
             get = lambda r: (np.array([x[dates[k]] for k in r]), np.array([y[dates[k]] for k in r]))
+            if not train or not val:
+                continue
             s = models.SCORES[metric](get(val)[1], models.fit("LogisticRegression", *get(train), theta)(get(val)[0]))
             if s is not None and (best is None or s > best[0]):
                 best = (s, theta)
-        if best and d in x:
+        if best and d in x and y[d] is not None:
             xs, ys = get(rows(end - scheme.val - scheme.train, end))
-            out[d] = (y[d], float(models.fit("LogisticRegression", xs, ys, best[1])(np.array([x[d]]))[0]), best[0])
+            out[d] = (y[d], float(models.fit("LogisticRegression", xs, ys, best[1])(np.array([x[d]]))[0]), best[0], len(ys))
+        elif not best and y[d] is not None:
+            labels = [y[dates[k]] for k in range(end - scheme.val - scheme.train, end)]
+            if (p := brute_majority(labels)) is not None:
+                out[d] = (y[d], p, None, sum(v is not None for v in labels))
     return out
 
 
@@ -277,7 +289,8 @@ def test_simple_walk_equals_loops_and_caches(spark, tmp_path):
     assert len(rows) == 60
     for d, r in rows.items():
         if d in want:
-            assert r.y_true == want[d][0] and abs(r.y_pred - want[d][1]) < 1e-6 and abs(r.validation_score - want[d][2]) < 1e-9
+            assert r.y_true == want[d][0] and abs(r.y_pred - want[d][1]) < 1e-6
+            assert (r.validation_score is None) == (want[d][2] is None) and (want[d][2] is None or abs(r.validation_score - want[d][2]) < 1e-9)
         else:
             assert r.y_pred is None
     key = key_of({"a": 1})
@@ -287,14 +300,12 @@ def test_simple_walk_equals_loops_and_caches(spark, tmp_path):
 
 
 def brute_nested(dates, x, y, scheme, thetas, score):
-    """Nested schemes by loops: {date: (y, p, mean score)}."""
+    """Nested schemes by loops: {date: (y, p, mean score, refit rows)}."""
     out = {}
     for i in range(scheme.history, len(dates)):
-        if dates[i] not in x:
-            continue
         rolling = scheme.kind == "nested_rolling"
         begin, end = (i - scheme.outer, i - scheme.horizon) if rolling else (0, i)
-        rows = lambda a, b: [k for k in range(a, b) if dates[k] in x]
+        rows = lambda a, b: [k for k in range(a, b) if dates[k] in x and y[dates[k]] is not None]
         get = lambda r: (np.array([x[dates[k]] for k in r]), np.array([y[dates[k]] for k in r]))
         best = None
         for theta in thetas:
@@ -307,8 +318,13 @@ def brute_nested(dates, x, y, scheme, thetas, score):
             found = [v for v in found if v is not None]
             if found and (best is None or np.mean(found) > best[0] + 1e-12):
                 best = (np.mean(found), theta)
-        if best:
-            out[dates[i]] = (y[dates[i]], float(models.fit("LogisticRegression", *get(rows(i - scheme.outer if rolling else 0, i)), best[1])(np.array([x[dates[i]]]))[0]), best[0])
+        refit = range(i - scheme.outer if rolling else 0, i)
+        if best and dates[i] in x and y[dates[i]] is not None:
+            out[dates[i]] = (y[dates[i]], float(models.fit("LogisticRegression", *get(rows(refit[0], i)), best[1])(np.array([x[dates[i]]]))[0]), best[0], len(rows(refit[0], i)))
+        elif not best and y[dates[i]] is not None:
+            labels = [y[dates[k]] for k in refit]
+            if (p := brute_majority(labels)) is not None:
+                out[dates[i]] = (y[dates[i]], p, None, sum(v is not None for v in labels))
     return out
 
 
@@ -331,6 +347,219 @@ def test_nested_walks_equal_loops(spark, scheme, metric):
         assert r.y_true == want[r.date][0] and abs(r.y_pred - want[r.date][1]) < 1e-6 and abs(r.inner_cv_score - want[r.date][2]) < 1e-9
 
 
+SCHEMES = [
+    walkforward.Scheme("simple", 4, 8, 3, 1), walkforward.Scheme("nested_rolling", 4, 6, 3, 2, step=3, outer=14), walkforward.Scheme("nested_rolling", 4, 6, 3, outer=14),
+    walkforward.Scheme("nested_expanding", 4, 6, 3, step=3),
+]
+
+
+@pytest.mark.parametrize("scheme", SCHEMES)
+def test_walks_through_edgeless_dates_equal_loops(spark, scheme):
+    """Features on the first 14 of 40 dates and on four near the end; labels with gaps. Where no combination has a score, labels alone
+    decide, whether or not a date has features."""
+    rng = np.random.default_rng(12)
+    dates = days(40)
+    x = {d: rng.normal(size=2) for i, d in enumerate(dates) if 2 <= i < 14 or i in (25, 26, 36, 38)}
+    y = {d: None if i in (7, 20, 21, 33) else int(rng.random() < 0.55) for i, d in enumerate(dates)}
+    returns = spark.createDataFrame([(d, 1, 0.0) for d in dates], "date date, asset bigint, ret double")
+    feature = spark.createDataFrame([(d, 0.5, *map(float, v)) for d, v in x.items()], "date date, threshold double, f double, g double")
+    thetas = [{"C": 0.1}, {"C": 10.0}]
+    grid = walkforward.Grid({"m": ("LogisticRegression", {}, thetas)}, [0.5])
+    result = walkforward.run(returns, feature, spark.createDataFrame(list(y.items()), "date date, y int"), scheme, grid, "roc_auc")
+    want = brute_walk(dates, x, y, scheme, thetas, "roc_auc") if scheme.kind == "simple" else brute_nested(dates, x, y, scheme, thetas, models.SCORES["roc_auc"])
+    got = {r.date: r for r in result.predictions.where("y_pred IS NOT NULL").collect()}
+    picked = {r.date: r for r in result.selection.where("n_refit_obs IS NOT NULL").collect()}
+    assert set(got) == set(picked) == set(want)
+    for d, (truth, p, score, n) in want.items():
+        assert got[d].y_true == truth and abs(got[d].y_pred - p) < 1e-6 and picked[d].n_refit_obs == n
+        assert (got[d].best_threshold is None) == (score is None)
+    assert sum(w[2] is None for w in want.values()) >= (10 if scheme.kind == "simple" else 0) and len(want) > 3
+    assert scheme.kind != "simple" or any(d not in x for d in want)
+
+
+def test_majorities_need_no_features(spark):
+    dates = panel.calendar(spark.createDataFrame([(d,) for d in days(12)], "date date")).withColumn("i", F.col("ord") - 1).drop("ord")
+    label = [1, 1, 0, None, 0, 0, 1, None, None, 1, 1, 0]
+    labels = spark.createDataFrame(list(zip(days(12), label)), "date date, y int")
+    spans = [(i, a, b) for i in range(12) for a in range(i + 1) for b in range(a, i + 1)]
+    df = spark.createDataFrame(spans, "i bigint, start bigint, end bigint").join(dates, "i").withColumn("model", F.concat_ws("-", "start", "end"))
+    got = {(r.date, r.model): (r.y_true, r.y_pred, r.n_obs) for r in walkforward.majority(df, labels, dates).collect()}
+    want = {}
+    for i, a, b in spans:
+        known = [v for v in label[a:b] if v is not None]
+        if known and label[i] is not None:
+            want[days(12)[i], f"{a}-{b}"] = (label[i], brute_majority(known), len(known))
+    assert got == want
+
+
+def test_rows_of_expanding_refits_grow_with_the_calendar():
+    scheme = walkforward.Scheme("nested_expanding", 4, 6, 3)
+    copied = {}
+    for n in (1_000, 10_000, 100_000):
+        chunk = walkforward.refit_chunk(scheme, n)
+        copied[n] = sum(min(n, (k + 1) * chunk) for k in range(-(-n // chunk))) / n
+    assert copied[1_000] <= 33 and copied[100_000] < 33.5 and copied[100_000] < 1.1 * copied[1_000]
+    assert walkforward.refit_chunk(walkforward.Scheme("simple", 4, 6, 3), 10**6) == walkforward.CHUNK
+
+
+def test_a_start_nearby_changes_no_fit():
+    rng = np.random.default_rng(3)
+    x, near = rng.normal(size=(300, 4)), None
+    y = (x[:, 0] - x[:, 1] + rng.normal(size=300) > 0.5).astype(int)
+    for n in range(40, 300, 20):
+        cold = models.logistic_regression(x[:n], y[:n], C=3.0, class_weight="balanced")
+        warm = models.logistic_regression(x[:n], y[:n], C=3.0, class_weight="balanced", start=near)
+        assert np.abs(cold(x) - warm(x)).max() < 1e-7
+        near = warm.weights
+    assert np.abs(models.logistic_regression(x, y, start=np.full(5, 40.0))(x) - models.logistic_regression(x, y)(x)).max() < 1e-7
+
+
+def brute_tree(x, y, w, depth, leaf, value):
+    """A tree by trying every split of every column: nested tuples (column, bound, left, right) or a value."""
+    if depth == 0 or len(y) < 2 * leaf or len(set(y)) == 1:
+        return value(x, y, w)
+
+    def loss(m):
+        mean = (w[m] * y[m]).sum() / w[m].sum()
+        return float((w[m] * (y[m] - mean) ** 2).sum())
+
+    whole, best = loss(np.ones(len(y), bool)), None
+    for c in range(x.shape[1]):
+        at = sorted(set(x[:, c]))
+        for a, b in zip(at, at[1:]):
+            left = x[:, c] <= (a + b) / 2
+            if min(left.sum(), (~left).sum()) >= leaf:
+                gain = whole - loss(left) - loss(~left)
+                if gain > 1e-12 and (best is None or gain > best[0] + 1e-12):
+                    best = (gain, c, (a + b) / 2, left)
+    if best is None:
+        return value(x, y, w)
+    _, c, bound, left = best
+    return c, bound, *(brute_tree(x[m], y[m], w[m], depth - 1, leaf, value) for m in (left, ~left))
+
+
+def brute_value(tree, row):
+    while isinstance(tree, tuple):
+        tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
+    return tree
+
+
+@pytest.mark.parametrize("balanced", [None, "balanced"])
+def test_a_forest_of_one_tree_is_the_brute_force_tree(balanced):
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 12, (60, 3)).astype(float)
+    y = (x[:, 0] + x[:, 1] * (x[:, 2] > 5) + rng.normal(size=60) * 3 > 9).astype(int)
+    w = np.ones(60) if balanced is None else np.where(y == 1, 30 / y.sum(), 30 / (60 - y.sum()))
+    for depth, leaf in ((2, 1), (4, 3), (None, 1)):
+        tree = brute_tree(x, y, w, -1 if depth is None else depth, leaf, lambda x, y, w: float((y * w).sum() / w.sum()))
+        mine = models.random_forest(x, y, 1, depth, leaf, max_features=None, bootstrap=False, class_weight=balanced)
+        grid = rng.uniform(-1, 13, (200, 3))
+        assert np.allclose(mine(grid), [brute_value(tree, row) for row in grid])
+    forest = models.random_forest(x, y, 30, 4, random_state=2)
+    assert np.array_equal(forest(x), models.random_forest(x, y, 30, 4, random_state=2)(x)) and models.roc_auc(y, forest(x)) > 0.9
+    with pytest.raises(ValueError):
+        models.random_forest(x, y, 1, class_weight="odd")
+
+
+def test_boosting_equals_brute_force():
+    rng = np.random.default_rng(7)
+    x = rng.integers(0, 9, (50, 2)).astype(float)
+    y = (x[:, 0] * x[:, 1] + rng.normal(size=50) * 8 > 18).astype(int)
+    mine = models.gradient_boosting(x, y, n_estimators=6, learning_rate=0.3, max_depth=2, min_samples_leaf=2)
+    score = np.full(50, np.log(y.mean() / (1 - y.mean())))
+    grid = rng.uniform(0, 9, (100, 2))
+    on_grid = np.full(100, score[0])
+    for _ in range(6):
+        p = 1 / (1 + np.exp(-score))
+        by_rest = dict(zip(map(tuple, np.column_stack([x, y - p])), p * (1 - p)))
+        newton = lambda xs, rest, w: float(rest.sum() / sum(by_rest[(*a, b)] for a, b in zip(xs.tolist(), rest.tolist())))  # noqa: B023,E731
+        tree = brute_tree(x, y - p, np.ones(50), 2, 2, newton)
+        score = score + 0.3 * np.array([brute_value(tree, r) for r in x])
+        on_grid = on_grid + 0.3 * np.array([brute_value(tree, r) for r in grid])
+    assert np.allclose(mine(x), 1 / (1 + np.exp(-score))) and np.allclose(mine(grid), 1 / (1 + np.exp(-on_grid)))
+
+
+def test_components_of_many_graphs(spark):
+    rng = np.random.default_rng(4)
+    edges, want = [], {}
+    for g in range(6):
+        n = 40
+        own = [(i, i + 1) for i in range(30)] if g == 0 else [(0, i) for i in range(1, 25)] if g == 1 else [(int(a), int(b)) for a, b in rng.integers(0, n, (n // 2 + 4 * g, 2))]
+        order = rng.permutation(n)
+        own = [(int(order[a]), int(order[b])) for a, b in own]
+        edges += [(g, None if g == 2 else "k", a, b) for a, b in own]
+        parent = list(range(n))
+        for _ in range(n):
+            for a, b in own:
+                parent[a] = parent[b] = min(parent[a], parent[b])
+        want |= {(g, i): parent[i] for a in own for i in a if a[0] != a[1]}
+    df = spark.createDataFrame(edges, "g int, h string, u bigint, v bigint").withColumn("h", F.coalesce("h", F.lit("")))
+    got = {(r.g, r.node): r.component for r in components.components(df, ["g", "h"]).collect()}
+    assert set(got) == set(want)
+    pairs = {(k[0], got[k], want[k]) for k in want}
+    assert len(pairs) == len({(g, a) for g, a, _ in pairs}) == len({(g, b) for g, _, b in pairs})
+    assert components.components(df.where("u < 0"), ["g", "h"]).count() == 0
+
+
+def test_network_features_use_no_python_worker(spark):
+    pairs = spark.createDataFrame([(DAY, 1, 2, 0.9), (DAY, 1, 3, 0.8), (DAY, 2, 3, 0.2)], "date date, a1 bigint, a2 bigint, rho float")
+    edge = network.edges(pairs, 0.5)
+    node = spark.createDataFrame([(DAY, a) for a in (1, 2, 3, 4)], "date date, asset bigint")
+    for found in (network.lcc(node, edge), network.clustering(node, edge), network.degrees(node, edge)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_clustering_of_hubs_equals_numpy(spark):
+    """A graph of two hubs that see all others: wedges from the hubs would be the square of its size."""
+    rng = np.random.default_rng(11)
+    n = 60
+    w = np.zeros((n, n))
+    for a, b in {(0, k) for k in range(1, n)} | {(1, k) for k in range(2, n)} | {tuple(sorted(map(int, rng.integers(0, n, 2)))) for _ in range(50)}:
+        if a != b:
+            w[a, b] = w[b, a] = np.float32(rng.choice([-1, 1]) * rng.uniform(0.5, 1))
+    node, edge = graph(spark, range(n), [(a, b, float(w[a, b])) for a in range(n) for b in range(a + 1, n) if w[a, b]])
+    root = np.cbrt(w / w.max())
+    k = (w != 0).sum(1)
+    want = (np.where(k > 1, np.einsum("ij,jk,ki->i", root, root, root) / np.maximum(k * (k - 1), 1), 0)).mean()
+    assert abs(network.clustering(node, edge).first().clustering - want) < 1e-9
+    out = network.oriented(edge).groupBy("date", "u").count().agg(F.max("count")).first()[0]
+    assert network.oriented(edge).count() == edge.count() and out <= (2 * edge.count()) ** 0.5
+
+
+def test_rankings_are_split_over_tasks(spark):
+    rng = np.random.default_rng(13)
+    rows = [(m, int(rng.random() < 0.3), float(np.round(rng.random(), d))) for m, d, n in (("one", 6, 3000), ("two", 1, 500), (None, 3, 200)) for _ in range(n)] + [("three", 1, 0.5), ("two", None, 0.1), ("one", 1, None)]
+    df = spark.createDataFrame(rows, "model string, y_true int, y_pred double").repartition(7)
+    got = {r.model: r for r in metrics.ranking(df, ["model"]).collect()}
+    for m in ("one", "two", None):
+        y, p = (np.array([r[k] for r in rows if r[0] == m and None not in r[1:]]) for k in (1, 2))
+        assert abs(got[m].roc_auc - models.roc_auc(y, p)) < 1e-12 and abs(got[m].pr_auc - models.average_precision(y, p)) < 1e-12
+    assert got["three"].roc_auc is None
+    steps = metrics._by_score(df, ["model"], "y_true", "y_pred")
+    plan = steps._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(model" in plan and "_part" in plan and "SinglePartition" not in plan
+
+
+def test_dense_panels_equal_pandas(spark):
+    rng = np.random.default_rng(2)
+    dates = days(20)
+    rows = [(d, a, float(i)) for i, d in enumerate(dates) for a in (1, 2, 3) if rng.random() < 0.4] + [(dates[9], 4, 1.0)]
+    df = spark.createDataFrame(rows, "date date, asset bigint, v double")
+    got = {(r.date, r.asset): r.v for r in panel.dense(df, panel.calendar(spark.createDataFrame([(d,) for d in dates], "date date"))).collect()}
+    want = pd.DataFrame(rows, columns=["date", "asset", "v"]).pivot(index="date", columns="asset", values="v").reindex(dates)
+    assert len(got) == 20 * want.shape[1] and all((got[d, a] is None) == np.isnan(want.loc[d, a]) and got[d, a] in (None, want.loc[d, a]) for d, a in got)
+    plan = panel.dense(df, panel.calendar(df))._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_capm_has_no_cross_join(spark):
+    returns = spark.createDataFrame([(d, a, 0.1) for d in days(9) for a in (1, 2)], "date date, asset bigint, ret double")
+    series = lambda name: spark.createDataFrame([(d, 0.1) for d in days(9)], f"date date, {name} double")
+    plan = capm.idiosyncratic(returns, series("mkt_ret"), series("rf"), 4, 2, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
 def test_idiosyncratic_returns_equal_loops(spark):
     """Against pandas, with gaps of the risk-free rate and of betas within and beyond their limits."""
     rng = np.random.default_rng(4)

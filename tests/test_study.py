@@ -45,6 +45,10 @@ def test_study_end_to_end(study, tmp_path):
         study.market
     with pytest.raises(AttributeError):
         study.table("absent")
+    study.config = Config.from_json('{"FILENAMES_TO_LOAD": ["mkt.parquet", "data/unread.parquet"], "FILENAMES_TO_SKIP": ["data/unread.parquet"]}')
+    assert study.table("mkt").count() == 90
+    with pytest.raises(AttributeError, match="there are mkt$"):
+        study.table("unread")
 
 
 def test_charts_heads_and_own_features(study, tmp_path, monkeypatch):
