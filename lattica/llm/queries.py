@@ -1,5 +1,6 @@
 """The registered queries of the training-data operators, and SQL where SQL can express one over whole tables."""
 
+from lattica.llm import oracles
 from lattica.llm.chat import op2_chat_formatting
 from lattica.llm.fingerprints import op6_fingerprints
 from lattica.llm.language import op9_language_id
@@ -30,8 +31,10 @@ QUERIES = {
     "op13_simhash_dedup": op13_simhash_dedup,
 }
 
-#: Only op1 can be said whole: the others' rows hold hashes of this library, subword ids, or what models make.
+#: The others' rows hold hashes of this library, subword ids, or what models make.
 ORACLES: dict[str, str] = {
+    "op11_conversation_repair": oracles.OP11,
+    "op12_merkle_manifest": oracles.OP12,
     "op1_ngram_jaccard_join": r"""
 WITH RECURSIVE cut AS (
     SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents

@@ -122,7 +122,7 @@ def repaired(chats: DataFrame) -> DataFrame:
     rows = in_order(rows, F.col("conv_id"), F.col("turn").asc_nulls_first(), F.col("role"), F.col("text"), name="repair-sorted")
     rows = rows.withColumn("segment", F.floor(F.col("idx") / SEGMENT))
     earlier = Window.partitionBy("conv_id", "role", "text").orderBy("pid", "idx")
-    last = F.regexp_extract("text", r"([^\x20\x09-\x0D])[\x20\x09-\x0D]*$", 1)
+    last = F.regexp_extract("text", r"([^\x20\x09-\x0D])[\x20\x09-\x0D]*\z", 1)
     fault = F.when(last == "", "blank").when(F.row_number().over(earlier) > 1, "duplicate").when(~last.isin(".", "!", "?"), "truncated").otherwise("")
     rows = rows.withColumns({"fault": fault, "initial": F.substring("role", 1, 1)})
     inside = Window.partitionBy("conv_id", "pid", "segment").orderBy("idx")

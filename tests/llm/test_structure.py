@@ -101,7 +101,7 @@ def odd_chats(n=160):
     for c in range(n):
         for t in range(rng.randint(1, 9)):
             role = rng.choice(["user", "assistant", "user", "assistant", "system", "tool", "", None])
-            text = rng.choice(["Hello.", "what", "Yes!", "", " \t", None, "No?", f"say {t}.", "end. \n", "ünï"])
+            text = rng.choice(["Hello.", "what", "Yes!", "", " \t", None, "No?", f"say {t}.", "end. \n", "ünï", "Line.\u2028", "x\x85", "two\nlines. \x0b"])
             rows.append((c, rng.choice([t, t, t + 3, None]), role, text))
     return rows + rows[:7] + [(None, 1, "user", "Hi."), (None, 2, "assistant", "Ho."), (None, None, None, None)]
 
