@@ -3,8 +3,8 @@
 from lattica.plans import queries
 from lattica.plans.oracles import ORACLES
 
-#: Queries without SQL: numpy eigenvalues, and models fitted in tasks.
-WITHOUT_SQL = ("net_eigen", "net_features_all", "wf_simple", "wf_ensembles", "wf_nested_rolling", "wf_nested_expanding")
+#: Queries without SQL: models fitted in tasks.
+WITHOUT_SQL = ("wf_simple", "wf_ensembles", "wf_nested_rolling", "wf_nested_expanding")
 
 QUERIES = {name: getattr(queries, name) for name in (*ORACLES, *WITHOUT_SQL)}
 

@@ -14,6 +14,9 @@ def _full(x: str, n: int, agg: str, part: str = "") -> str:
     return f"CASE WHEN count({x}) {over} = {n} THEN {agg.format(x=x)} {over} END"
 
 
+#: Times that a matrix is squared for its greatest eigenvalue.
+SQUARINGS = 18
+
 PARTS = {
     "panel": "SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS date, CAST(substr(p_brand, 7) AS BIGINT) AS asset, avg(l_extendedprice / l_quantity) AS px FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2",
     "cal": "SELECT date, row_number() OVER (ORDER BY date) AS ord FROM (SELECT DISTINCT date FROM panel)",
@@ -76,6 +79,10 @@ PARTS |= {
     "reach": "SELECT date, asset AS root, asset FROM (SELECT DISTINCT date, asset FROM inc) UNION SELECT r.date, r.root, i.other FROM reach r JOIN inc i ON i.date = r.date AND i.asset = r.asset",
     "lcc": "SELECT n.date, m.most / count(*) AS lcc_ratio FROM nodes n LEFT JOIN (SELECT date, max(c) AS most FROM (SELECT date, root, count(*) AS c FROM reach GROUP BY 1, 2) GROUP BY 1) m USING (date) GROUP BY n.date, m.most",
     "summary": "SELECT date, avg(abs(CAST(rho AS DOUBLE))) AS avg_abs_corr, stddev_pop(abs(CAST(rho AS DOUBLE))) AS std_abs_corr FROM pairs GROUP BY 1",
+    "matrices": "SELECT date, a1 AS i, a2 AS j, CAST(rho AS DOUBLE) AS v FROM pairs UNION ALL SELECT date, a2, a1, CAST(rho AS DOUBLE) FROM pairs UNION ALL SELECT date, asset, asset, 1.0 FROM nodes",
+    # Matrices squared again and again, each over its trace: what is left is the projection on the greatest eigenvalue's vectors.
+    "squares": f"SELECT 0 AS k, date, i, j, v FROM matrices UNION ALL SELECT k, date, i, j, v / sum(CASE WHEN i = j THEN v END) OVER (PARTITION BY date) FROM (SELECT a.k + 1 AS k, a.date, a.i, b.j, sum(a.v * b.v) AS v FROM squares a JOIN squares b ON a.date = b.date AND a.j = b.i WHERE a.k < {SQUARINGS} GROUP BY 1, 2, 3, 4)",
+    "eigen": f"SELECT date, sum(m.v * s.v) / sum(CASE WHEN i = j THEN s.v END) AS eig1, sum(m.v * s.v) / sum(CASE WHEN i = j THEN s.v END) / sum(CASE WHEN i = j THEN m.v END) AS eig1_ratio FROM matrices m JOIN squares s USING (date, i, j) WHERE s.k = {SQUARINGS} GROUP BY 1",
     "folds": "SELECT CAST(s / 3 AS BIGINT) AS fold_id, s + 1 AS train_start, s + 24 AS train_end, s + 25 AS val_start, s + 30 AS val_end FROM (SELECT unnest(range(0, (SELECT count(*) FROM cal) - 29, 3)) AS s)",
     "scores": "SELECT source AS model, quality AS y_true, n_chars / (SELECT max(n_chars) FROM documents) AS y_pred, CASE WHEN n_chars / (SELECT max(n_chars) FROM documents) >= 0.05 THEN 1 ELSE 0 END AS y_pred_binary FROM documents JOIN labels USING (doc_id)",
     "auc": "SELECT p.model, sum(CASE WHEN p.y_pred > n.y_pred THEN 1 WHEN p.y_pred = n.y_pred THEN 0.5 ELSE 0 END) / count(*) AS roc_auc FROM scores p JOIN scores n ON n.model = p.model AND p.y_true = 1 AND n.y_true = 0 GROUP BY 1",
@@ -87,7 +94,7 @@ NEEDS = {
     "cal": "panel", "ret": "panel", "mkt0": "lvl", "mkt": "mkt0", "rates": "cal rf", "capmrates": "cal rf", "target": "mkt", "mktcum": "mkt", "aligned": "cal target mktcum", "cropped": "aligned",
     "grid": "cal mkt capmrates ret panel", "betas": "grid", "filled": "betas", "idio": "cal panel filled", "x": "ret cal", "ends": "x", "nodes": "ends cal", "pairs": "nodes x",
     "edges": "pairs", "inc": "edges", "per": "nodes inc", "degree": "per", "weight": "nodes edges", "tri": "inc", "clus": "per tri", "reach": "inc", "lcc": "nodes reach",
-    "summary": "pairs", "folds": "cal", "auc": "scores", "ap": "scores", "plain": "scores",
+    "summary": "pairs", "matrices": "pairs nodes", "squares": "matrices", "eigen": "matrices squares", "folds": "cal", "auc": "scores", "ap": "scores", "plain": "scores",
 }
 
 
@@ -104,7 +111,17 @@ def _sql(body: str, *parts: str) -> str:
     for p in parts:
         add(p)
     kept = "MATERIALIZED " if len(used) > 4 else ""
-    return f"WITH RECURSIVE {', '.join(f'{p} AS {"" if p == "reach" else kept}({PARTS[p]})' for p in used)} {body}" if used else body
+    return f"WITH RECURSIVE {', '.join(f'{p} AS {"" if p in ("reach", "squares") else kept}({PARTS[p]})' for p in used)} {body}" if used else body
+
+
+_SHARED = "density avg_degree std_degree avg_weighted_degree std_weighted_degree avg_edge_weight std_edge_weight max_edge_weight clustering lcc_ratio avg_abs_corr std_abs_corr".split()
+
+
+def _features(more: str = "", *parts: str) -> str:
+    """All features, or those and more from other parts."""
+    names = [*_SHARED, *more.replace(",", " ").split()]
+    joined = "".join(f" JOIN {x} USING (date)" for x in ("weight", "clus", "lcc", "summary", *parts))
+    return _sql(f"SELECT date, CAST({THRESHOLD} AS DOUBLE) AS threshold, n_nodes, n_edges, {', '.join(map(_r, names))} FROM degree{joined}", "degree", "weight", "clus", "lcc", "summary", *parts)
 
 
 ORACLES = {
@@ -144,11 +161,9 @@ ORACLES = {
     "net_edge_weight": _sql(f"SELECT date, {', '.join(map(_r, ('avg_edge_weight', 'std_edge_weight', 'max_edge_weight')))} FROM weight", "weight"),
     "net_clustering": _sql(f"SELECT date, {_r('clustering')} FROM clus", "clus"),
     "net_lcc": _sql(f"SELECT date, {_r('lcc_ratio')} FROM lcc", "lcc"),
-    "net_features": _sql(
-        f"SELECT date, CAST({THRESHOLD} AS DOUBLE) AS threshold, n_nodes, n_edges, {', '.join(map(_r, ('density', 'avg_degree', 'std_degree', 'avg_weighted_degree', 'std_weighted_degree', 'avg_edge_weight', 'std_edge_weight', 'max_edge_weight', 'clustering', 'lcc_ratio', 'avg_abs_corr', 'std_abs_corr')))}"
-        " FROM degree JOIN weight USING (date) JOIN clus USING (date) JOIN lcc USING (date) JOIN summary USING (date)",
-        "degree", "weight", "clus", "lcc", "summary",
-    ),
+    "net_eigen": _sql(f"SELECT date, {_r('eig1')}, {_r('eig1_ratio')} FROM eigen", "eigen"),
+    "net_features": _features(),
+    "net_features_all": _features(", eig1, eig1_ratio", "eigen"),
     "sample_graph": _sql(
         f"SELECT date, a1, a2, {_r('weight')} FROM edges WHERE date = (SELECT date FROM (SELECT date, row_number() OVER (ORDER BY date) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM pairs)) WHERE r = n // 2 + 1)",
         "edges",
