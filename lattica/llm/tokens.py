@@ -72,6 +72,7 @@ class Encoder:
 
     kind "byte": byte-level BPE. A word takes the space before it; a unit is a word with it, or a line end.
     kind "word": BPE with word ends, in lower case, that drops white space; a unit is a word.
+    A special token's string within a text becomes its id, as the library does by default.
     """
 
     def __init__(self, path: str, kind: str, limit: int = 800_000):
@@ -79,7 +80,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kind = Tokenizer.from_file(path), kind
+        # Units hold no special token as such: a text that does is encoded whole.
         self.tokenizer.encode_special_tokens = True
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.as_whole = lru_cache(maxsize=1)(lambda: Tokenizer.from_file(path))
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.cache = _Units(self.tokenizer, kind, self.dtype, limit)
 
@@ -87,6 +91,9 @@ class Encoder:
         """A null text counts as empty."""
         get, out = self.cache.__getitem__, []
         for text in texts:
+            if text and any(x in text for x in self.special):
+                out.append(np.array(self.as_whole().encode(text, add_special_tokens=False).ids, self.dtype).tobytes())
+                continue
             if self.kind == "word":
                 units = (text or "").encode().lower().split()
             elif not text:

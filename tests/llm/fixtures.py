@@ -36,6 +36,7 @@ def rows():
         (38, "12 34 ## 56", None, "s2", None),
         (39, prose(500, 9000), "en", "s2", None),
         (40, "Tab\tand\x0bfeed\x0c é ünï   wide\nline\nline\n\nline\n", None, "s2", None),
+        (41, "A text that names <|endoftext|> and <|startoftext|> itself, <|endoftext|>", "en", "s2", None),
         (20, out[20][1], "en", "s2", None),
     ]
     return out

@@ -360,12 +360,10 @@ def test_scores_equal_brute_force(spark):
 
 
 def encoder_of(name):
-    t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path(name))
 
 
-ODD = ["It's  two.\n\nx, y.. a.,b \t z", "ÉCOLE, straße. İstanbul <|endoftext|> ok", "12.5, 3,4", "\n a", "x.\ny", " lead", "trail ", "don't, we'll. I'm,", "ẞ ŉ ªº x².", "ab\x00cd", "Σας ΣΑΣ, слово.", "é, a b c", "\x1c \x85"]
+ODD = ["It's  two.\n\nx, y.. a.,b \t z", "ÉCOLE, straße. İstanbul <|endoftext|> ok", "12.5, 3,4", "\n a", "x.\ny", " lead", "trail ", "don't, we'll. I'm,", "ẞ ŉ ªº x².", "ab\x00cd", "Σας ΣΑΣ, слово.", "é, a b c", "\x1c \x85", "<|endoftext|>", "a<|endoftext|>b  <|startoftext|>\n c", "<|ENDOFTEXT|> <|endoftext>"]
 
 
 @pytest.mark.parametrize(("name", "kind"), [("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")])
