@@ -164,6 +164,7 @@ ORACLES = {
     "net_eigen": _sql(f"SELECT date, {_r('eig1')}, {_r('eig1_ratio')} FROM eigen", "eigen"),
     "net_features": _features(),
     "net_features_all": _features(", eig1, eig1_ratio", "eigen"),
+    "net_features_tiled": _features(", eig1, eig1_ratio", "eigen"),
     "sample_graph": _sql(
         f"SELECT date, a1, a2, {_r('weight')} FROM edges WHERE date = (SELECT date FROM (SELECT date, row_number() OVER (ORDER BY date) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM pairs)) WHERE r = n // 2 + 1)",
         "edges",

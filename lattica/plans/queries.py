@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.functions import series as S
-from lattica.operators import capm, correlation, folds, labels, metrics, network, panel, walkforward
+from lattica.operators import capm, correlation, folds, labels, metrics, network, panel, tiles, walkforward
 from lattica.sources import panel as source
 from lattica.sources.tables import table
 
@@ -218,6 +218,11 @@ def net_features_all(spark, d):
     return _rounded(network.all_features(_returns(spark, d), LOOKBACK, [THRESHOLD]))
 
 
+def net_features_tiled(spark, d):
+    """The sixteen features by tiles of eight brands."""
+    return _rounded(tiles.features(_returns(spark, d), LOOKBACK, [THRESHOLD], block=8))
+
+
 def sample_graph(spark, d):
     pairs = correlation.rolling_pairs(_returns(spark, d), LOOKBACK)
     return _rounded(network.edges(pairs, THRESHOLD).join(F.broadcast(network.middle_date(pairs)), "date", "left_semi"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattica.functions import series as S
-from lattica.operators import capm, components, correlation, folds, labels, metrics, models, network, panel, walkforward
+from lattica.operators import capm, components, correlation, folds, labels, metrics, models, network, panel, tiles, walkforward
 from lattica.plans import catalogue
 from lattica.sources import cache
 from lattica.sources.config import Config, key_of, registry
@@ -527,6 +527,41 @@ def test_clustering_of_hubs_equals_numpy(spark):
     assert network.oriented(edge).count() == edge.count() and out <= (2 * edge.count()) ** 0.5
 
 
+@pytest.mark.parametrize("block,absolute,keep_sign,least", [(5, True, True, None), (3, False, True, 4), (7, True, False, None), (100, True, True, None)])
+def test_tiles_equal_whole_matrices(spark, block, absolute, keep_sign, least):
+    rng = np.random.default_rng(block)
+    common = rng.normal(size=(2, 60))
+    data = np.array([common[a % 2] * (a % 3) + rng.normal(size=60) * 1.5 for a in range(17)]).T
+    data[10, 3], data[20:40, 5], data[:, 9], data[30, :], data[45:, 11:] = np.nan, np.nan, 1.0, np.nan, np.nan
+    returns = returns_of(spark, data)
+    sort = lambda df: df.orderBy("date", "threshold").collect()
+    want = sort(network.all_features(returns, 8, [0.3, 0.7, 0.99], absolute, keep_sign, least))
+    got = sort(tiles.features(returns, 8, [0.3, 0.7, 0.99], absolute, keep_sign, least, block=block, chunk=16))
+    assert len(got) == len(want) > 60
+    for a, b in zip(got, want):
+        for x, y in zip(a, b):
+            assert x == y or abs(x - y) < 2e-6, (a, b)
+    assert any(r.lcc_ratio is None for r in want) and any(r.clustering for r in want)
+
+
+def test_tiles_of_nothing(spark):
+    assert tiles.features(spark.createDataFrame([], "date date, asset bigint, ret double"), 8, [0.5]).count() == 0
+
+
+def test_forests_of_tiles_connect_what_their_edges_connect():
+    rng = np.random.default_rng(1)
+    for n, m in ((30, 10), (30, 60), (200, 190), (1, 0)):
+        a, b = rng.integers(0, n, (2, m))
+        forest = tiles.Forest(n)
+        for k in range(0, m, 25):
+            forest.add(a[k : k + 25], b[k : k + 25])
+        up = list(range(n))
+        for _ in range(n):
+            for x, y in zip(a, b):
+                up[x] = up[y] = min(up[x], up[y])
+        assert len(set(zip(up, forest.label.tolist()))) == len(set(up)) == len(set(forest.label.tolist())) and len(forest.edges) == n - len(set(up))
+
+
 def test_rankings_are_split_over_tasks(spark):
     rng = np.random.default_rng(13)
     rows = [(m, int(rng.random() < 0.3), float(np.round(rng.random(), d))) for m, d, n in (("one", 6, 3000), ("two", 1, 500), (None, 3, 200)) for _ in range(n)] + [("three", 1, 0.5), ("two", None, 0.1), ("one", 1, None)]
