@@ -26,7 +26,7 @@ def _weights(y: np.ndarray, class_weight: str | None) -> np.ndarray:
     return np.where(y == 1, len(y) / (2 * n[0]), len(y) / (2 * n[1]))
 
 
-def logistic_regression(x: np.ndarray, y: np.ndarray, C: float = 1.0, class_weight: str | None = None, max_iter: int = 1000, tol: float = 1e-8, start: np.ndarray | None = None, **_) -> Predictor:
+def logistic_regression(x: np.ndarray, y: np.ndarray, C: float = 1.0, class_weight: str | None = None, max_iter: int = 1000, tol: float = 1e-10, start: np.ndarray | None = None, **_) -> Predictor:
     """Least half squared norm of (weights, intercept), the intercept too, plus C times the weighted logistic loss. Newton's method
     with halved steps, from zero or from the weights of a fit nearby; the loss has one least point, so the start changes the way
     to it alone. The predictor's `weights` are the fit's."""
@@ -38,7 +38,7 @@ def logistic_regression(x: np.ndarray, y: np.ndarray, C: float = 1.0, class_weig
     def loss(w: np.ndarray) -> float:
         return 0.5 * w @ w + float(weight @ np.logaddexp(0, -sign * (design @ w)))
 
-    now = loss(w)
+    now, last = loss(w), False
     for _ in range(max_iter):
         p = 1 / (1 + np.exp(-np.clip(sign * (design @ w), -500, 500)))
         gradient = w - design.T @ (weight * sign * (1 - p))
@@ -46,11 +46,13 @@ def logistic_regression(x: np.ndarray, y: np.ndarray, C: float = 1.0, class_weig
             break
         hessian = np.eye(len(w)) + (design * (weight * p * (1 - p))[:, None]).T @ design
         step, scale = np.linalg.solve(hessian, gradient), 1.0
+        if last:  # the loss is as low as it can be told: one whole step more squares what is left of the error
+            w = w - step
+            break
         while (then := loss(w - scale * step)) > now and scale > 1e-10:
             scale /= 2
         w, before, now = w - scale * step, now, then
-        if before - now <= 1e-15 * max(1, abs(before)):
-            break
+        last = before - now <= 1e-15 * max(1, abs(before))
 
     def predict(x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(np.column_stack([x, np.ones(len(x))]) @ w, -500, 500)))

@@ -142,7 +142,8 @@ def run(returns: DataFrame, feature: DataFrame, target: DataFrame, scheme: Schem
     Rows with a null feature or y are left out, so dates of edgeless networks are. A test date without them is skipped. One
     for which no combination has a score is predicted by the majority of all labels of its refit range, whether or not it or
     they have features. The simple scheme gives every pair of test date and model a row. Inner folds that several test dates
-    share are fitted once, and each date takes the mean over its own. Refits of neighbouring dates start from each other's
+    share are fitted once, and each date takes the mean over its own, to twelve decimals, so that equal scores tie whatever
+    their order. Refits of neighbouring dates start from each other's
     weights. metric is a name, or a function of (y, p), arrays of a fold's validation rows, where NaN is no score. Results are
     sorted by date and model.
     """
@@ -180,7 +181,7 @@ def run(returns: DataFrame, feature: DataFrame, target: DataFrame, scheme: Schem
     scored = spans.groupBy("chunk").cogroup(near.groupBy("part")).applyInPandas(scores, "train_start long, train_end long, val_end long, model string, threshold double, threshold_ord int, theta string, theta_ord int, kind string, parameters string, score double")
     scored = scored.withColumn("score", F.when(~F.isnan("score"), F.col("score")))
     scored = materialize(scored, "walk-scores")
-    mean = fold.select("date", *own).join(scored, own).groupBy("date", "model", "threshold", "threshold_ord", "theta", "theta_ord", "kind", "parameters").agg(F.avg("score").alias("score"))
+    mean = fold.select("date", *own).join(scored, own).groupBy("date", "model", "threshold", "threshold_ord", "theta", "theta_ord", "kind", "parameters").agg(F.round(F.avg("score"), 12).alias("score"))
     best = materialize(best_combination(mean, ["date", "model"], ["threshold_ord", "theta_ord"]), "walk-best")
 
     start, end = scheme.refit()

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from lattica.plans.queries import ASSETS, DATE, HORIZON, LIMIT, LOOKBACK, QUANTILE, RF_LIMIT, THRESHOLD, WINDOW
+from lattica.operators.walkforward import Scheme
+from lattica.plans.queries import ASSETS, DATE, EXPANDING, HORIZON, LIMIT, LOOKBACK, QUANTILE, RF_LIMIT, ROLLING, SIMPLE, THRESHOLD, TWO_C, WALK_QUANTILE, WALK_THRESHOLDS, WINDOW
 
 
 def _r(x: str, name: str | None = None) -> str:
@@ -50,8 +51,8 @@ def _fwd_of(m: str, n: int = WINDOW) -> str:
     return f"SELECT date, CASE WHEN {whole} THEN least({falls}) END AS raw FROM (SELECT date, {leads} FROM {m})"
 
 
-def _labelled(feature: str) -> str:
-    bound = _full("raw", WINDOW, f"quantile_cont({{x}}, {QUANTILE})")
+def _labelled(feature: str, quantile: float = QUANTILE) -> str:
+    bound = _full("raw", WINDOW, f"quantile_cont({{x}}, {quantile})")
     return f"SELECT date, raw, CASE WHEN raw < q THEN 1 ELSE 0 END AS target FROM (SELECT date, raw, {bound} AS q FROM ({feature}))"
 
 
@@ -114,6 +115,64 @@ def _sql(body: str, *parts: str) -> str:
     return f"WITH RECURSIVE {', '.join(f'{p} AS {"" if p in ("reach", "squares") else kept}({PARTS[p]})' for p in used)} {body}" if used else body
 
 
+def _newton(name: str, rows: str, steps: int = 30) -> str:
+    """Common table expressions of penalised logistic fits by Newton's method, for rows (k, f1, f2, y, w): name has (k, b0, b1, b2). The
+    three equations of a step are solved by determinants."""
+    p = "(1 / (1 + exp(-(b0 + b1 * f1 + b2 * f2))))"
+    sums = ", ".join(
+        [f"any_value(b{j}) - sum(w * (y - {p}) * {x}) AS g{j}" for j, x in enumerate(("1", "f1", "f2"))]
+        + [f"{int(a == b)} + sum(w * {p} * (1 - {p}) * {x} * {z}) AS h{a}{b}" for a, x in enumerate(("1", "f1", "f2")) for b, z in enumerate(("1", "f1", "f2")) if a <= b]
+    )
+    h = [[f"h{min(a, b)}{max(a, b)}" for b in range(3)] for a in range(3)]
+
+    def det(m: list[list[str]]) -> str:
+        return " + ".join(f"{m[0][a]} * ({m[1][b]} * {m[2][c]} - {m[1][c]} * {m[2][b]})" for a, b, c in ((0, 1, 2), (1, 2, 0), (2, 0, 1)))
+
+    moved = ", ".join(f"b{j} - ({det([[f'g{a}' if b == j else h[a][b] for b in range(3)] for a in range(3)])}) / ({det(h)})" for j in range(3))
+    return (
+        f"{name}_steps AS (SELECT DISTINCT k, 0 AS turn, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2 FROM {rows} UNION ALL SELECT k, turn, {moved} FROM (SELECT k, turn + 1 AS turn, any_value(b0) AS b0, any_value(b1) AS b1, any_value(b2) AS b2, {sums}"
+        f" FROM {name}_steps JOIN {rows} USING (k) WHERE turn < {steps} GROUP BY k, turn)), {name} AS (SELECT k, b0, b1, b2 FROM {name}_steps WHERE turn = {steps})"
+    )
+
+
+def _walked(scheme: Scheme) -> str:
+    """Walk-forward validation on two features, from folds to predictions."""
+    begin, room = {
+        "simple": (f"i - {scheme.horizon + scheme.val + scheme.train}", "0"),
+        "nested_rolling": (f"i - {scheme.outer}", f"{scheme.outer or 0} - {scheme.horizon + scheme.train + scheme.val}"),
+        "nested_expanding": ("0", f"i - {scheme.train + scheme.val}"),
+    }[scheme.kind]
+    start, end = {"simple": (begin, f"i - {scheme.horizon}"), "nested_rolling": (begin, "i"), "nested_expanding": ("0", "i")}[scheme.kind]
+    weigh = "c * count(*) OVER (PARTITION BY k) / (2.0 * count(*) OVER (PARTITION BY k, y))"
+    score = "validation_score" if scheme.kind == "simple" else "inner_cv_score"
+    more = [
+        f"labels AS ({_labelled(_fwd_of('mkt'), WALK_QUANTILE)})",
+        "days AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i FROM (SELECT DISTINCT date FROM ret WHERE ret IS NOT NULL))",
+        f"cuts(threshold, t) AS (VALUES {', '.join(f'({x}::DOUBLE, {i})' for i, x in enumerate(WALK_THRESHOLDS))})",
+        f"grid_c(c, j) AS (VALUES {', '.join(f'({x}::DOUBLE, {j})' for j, x in enumerate(TWO_C))})",
+        "two AS MATERIALIZED (SELECT i, t, threshold, avg(CASE WHEN abs(rho) >= CAST(threshold AS FLOAT) THEN 1.0 ELSE 0.0 END) AS f1, avg(abs(CAST(rho AS DOUBLE))) AS f2, any_value(target) AS y FROM pairs CROSS JOIN cuts JOIN labels USING (date) JOIN days USING (date) GROUP BY 1, 2, 3)",
+        f"ready AS (SELECT date, i, {start} AS lo, {end} AS hi FROM days JOIN labels USING (date) WHERE i >= {scheme.history})",
+        f"own AS (SELECT date, i, unnest(range({begin}, {begin} + {room} + 1, {scheme.step or scheme.val})) AS s FROM ready WHERE {room} >= 0)",
+        # Inner fits: k is (start, threshold, parameter).
+        f"fitted AS MATERIALIZED (SELECT *, {weigh} AS w FROM (SELECT (s, t, j) AS k, c, f1, f2, y FROM (SELECT DISTINCT s FROM own) CROSS JOIN grid_c JOIN two ON i >= s AND i < s + {scheme.train}))",
+        _newton("inner_fit", "fitted"),
+        "classes AS (SELECT k, min(y) AS one, max(y) AS other FROM fitted GROUP BY k)",
+        f"valued AS (SELECT o.k, y, CASE WHEN one = other THEN CAST(one AS DOUBLE) ELSE 1 / (1 + exp(-(b0 + b1 * f1 + b2 * f2))) END AS p FROM classes o JOIN inner_fit USING (k) JOIN two ON two.t = o.k[2] AND i >= o.k[1] + {scheme.train} AND i < o.k[1] + {scheme.train + scheme.val})",
+        "scored AS (SELECT a.k, sum(CASE WHEN a.p > b.p THEN 1 WHEN a.p = b.p THEN 0.5 ELSE 0 END) / count(*) AS score FROM valued a JOIN valued b ON b.k = a.k AND a.y = 1 AND b.y = 0 GROUP BY 1)",
+        "means AS (SELECT date, i, k[2] AS t, k[3] AS j, round(avg(score), 12) AS score FROM own JOIN scored ON k[1] = s GROUP BY 1, 2, 3, 4)",
+        "chosen AS (SELECT * FROM means QUALIFY row_number() OVER (PARTITION BY date ORDER BY score DESC, t, j) = 1)",
+        f"refitted AS MATERIALIZED (SELECT *, {weigh} AS w FROM (SELECT h.i AS k, c, f1, f2, y FROM chosen h JOIN ready r USING (date) JOIN grid_c USING (j) JOIN two ON two.t = h.t AND two.i >= lo AND two.i < hi))",
+        _newton("outer_fit", "refitted"),
+        "outer_classes AS (SELECT k, min(y) AS one, max(y) AS other FROM refitted GROUP BY k)",
+        "found AS (SELECT date, y AS y_true, CASE WHEN one = other THEN CAST(one AS DOUBLE) ELSE 1 / (1 + exp(-(b0 + b1 * f1 + b2 * f2))) END AS y_pred, threshold AS best_threshold, score FROM chosen h JOIN outer_classes e ON e.k = h.i JOIN outer_fit USING (k) JOIN two ON two.i = h.i AND two.t = h.t"
+        " UNION ALL SELECT r.date, any_value(l.target), CASE WHEN 2 * sum(b.target) > count(*) THEN 1.0 ELSE 0.0 END, NULL, NULL FROM ready r JOIN labels l USING (date) JOIN days d ON d.i >= lo AND d.i < hi JOIN labels b ON b.date = d.date WHERE r.date NOT IN (SELECT date FROM chosen) GROUP BY r.date)",
+    ]
+    columns = f"y_true, {_r('y_pred')}, CASE WHEN y_pred >= 0.5 THEN 1 WHEN y_pred < 0.5 THEN 0 END AS y_pred_binary, {_r('best_threshold')}, {_r('score', score)}"
+    body = f"SELECT date, 'logistic' AS model, {columns} FROM days LEFT JOIN found USING (date)" if scheme.kind == "simple" else f"SELECT date, {columns} FROM found"
+    base = _sql("", "pairs", "mkt").rstrip()
+    return f"{base}, {', '.join(more)} {body}"
+
+
 _SHARED = "density avg_degree std_degree avg_weighted_degree std_weighted_degree avg_edge_weight std_edge_weight max_edge_weight clustering lcc_ratio avg_abs_corr std_abs_corr".split()
 
 
@@ -185,5 +244,8 @@ ORACLES = {
         "scores",
     ),
     "logistic_map": _sql(f"SELECT model, {_r('avg(1 / (1 + exp(-(y_pred * 4 - 1))))', 'p')} FROM scores GROUP BY 1", "scores"),
+    "wf_two_simple": _walked(SIMPLE),
+    "wf_two_nested_rolling": _walked(ROLLING),
+    "wf_two_nested_expanding": _walked(EXPANDING),
     "cache_key": "SELECT c_mktsegment, substr(sha256('{\"lookback\": 12, \"model\": \"' || c_mktsegment || '\"}'), 1, 16) AS cache_key FROM (SELECT DISTINCT c_mktsegment FROM customer)",
 }

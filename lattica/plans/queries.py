@@ -300,30 +300,52 @@ def cache_key(spark, d):
     return names.select("c_mktsegment", F.substring(F.sha2(text, 256), 1, 16).alias("cache_key"))
 
 
-LOGISTIC = {"logistic": ("LogisticRegression", {"class_weight": "balanced"}, [{"C": 0.1}, {"C": 1.0}])}
+#: The walks' grid of thresholds and of C, and the quantile of their labels.
+WALK_THRESHOLDS, WALK_C, WALK_QUANTILE = [0.4, THRESHOLD], [0.1, 1.0], 0.3
+LOGISTIC = {"logistic": ("LogisticRegression", {"class_weight": "balanced"}, [{"C": c} for c in WALK_C])}
+SIMPLE = walkforward.Scheme("simple", LOOKBACK, 24, 8, HORIZON)
+ROLLING = walkforward.Scheme("nested_rolling", LOOKBACK, 18, 6, HORIZON, step=6, outer=36)
+EXPANDING = walkforward.Scheme("nested_expanding", LOOKBACK, 24, 8, step=8)
 
 
-def _walk(spark, d, scheme: walkforward.Scheme, models: dict = LOGISTIC) -> DataFrame:
+def _walk(spark, d, scheme: walkforward.Scheme, models: dict = LOGISTIC, names: tuple[str, ...] = network.FEATURES) -> DataFrame:
     returns = _returns(spark, d).where("ret IS NOT NULL")
-    feature = network.all_features(returns, LOOKBACK, [0.4, THRESHOLD])
-    target = labels.target(_known_market(spark, d), "dummy_forward_max_drawdown", WINDOW, 0.3).select("date", F.col("target").alias("y"))
-    grid = walkforward.Grid(models, [0.4, THRESHOLD])
+    feature = network.all_features(returns, LOOKBACK, WALK_THRESHOLDS).select("date", "threshold", *names)
+    target = labels.target(_known_market(spark, d), "dummy_forward_max_drawdown", WINDOW, WALK_QUANTILE).select("date", F.col("target").alias("y"))
+    grid = walkforward.Grid(models, WALK_THRESHOLDS)
     return _rounded(walkforward.run(returns, feature, target, scheme, grid, "roc_auc").predictions)
 
 
 def wf_simple(spark, d):
-    return _walk(spark, d, walkforward.Scheme("simple", LOOKBACK, 24, 8, HORIZON))
+    return _walk(spark, d, SIMPLE)
 
 
 def wf_nested_rolling(spark, d):
-    return _walk(spark, d, walkforward.Scheme("nested_rolling", LOOKBACK, 18, 6, HORIZON, step=6, outer=36))
+    return _walk(spark, d, ROLLING)
 
 
 def wf_ensembles(spark, d):
     """The simple scheme with forests and boosted trees."""
     models = {"forest": ("RandomForestClassifier", {"n_estimators": 10, "max_depth": 3, "random_state": 1}, [{}]), "boosting": ("GradientBoostingClassifier", {"n_estimators": 10, "max_depth": 2, "random_state": 1}, [{}])}
-    return _walk(spark, d, walkforward.Scheme("simple", LOOKBACK, 24, 8, HORIZON), models)
+    return _walk(spark, d, SIMPLE, models)
 
 
 def wf_nested_expanding(spark, d):
-    return _walk(spark, d, walkforward.Scheme("nested_expanding", LOOKBACK, 24, 8, step=8))
+    return _walk(spark, d, EXPANDING)
+
+
+#: Walks on two of the features, which SQL can fit too; these vary little, so their weights are penalised less.
+TWO, TWO_C = ("density", "avg_abs_corr"), [10.0, 300.0]
+LOGISTIC_TWO = {"logistic": ("LogisticRegression", {"class_weight": "balanced"}, [{"C": c} for c in TWO_C])}
+
+
+def wf_two_simple(spark, d):
+    return _walk(spark, d, SIMPLE, LOGISTIC_TWO, TWO)
+
+
+def wf_two_nested_rolling(spark, d):
+    return _walk(spark, d, ROLLING, LOGISTIC_TWO, TWO)
+
+
+def wf_two_nested_expanding(spark, d):
+    return _walk(spark, d, EXPANDING, LOGISTIC_TWO, TWO)
