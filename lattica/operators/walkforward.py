@@ -7,6 +7,7 @@ import json
 import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from lattica.functions.series import by
 from lattica.operators.folds import best_combination, full_index
 from lattica.operators.metrics import oos_metrics, scoring
-from lattica.operators.models import SCORES, fit
+from lattica.operators.models import BINNED, SCORES, Bins, Predictor, fit
 from lattica.operators.panel import calendar
 from lattica.sources.tables import materialize
 
@@ -111,9 +112,22 @@ def _rows_of(spans: DataFrame, rows: DataFrame, start: str, end: str) -> DataFra
     return reach.select(F.col("chunk").alias("part"), F.explode(F.sequence("lo", F.col("hi") - 1)).alias("i")).join(rows, "i")
 
 
-def _by_threshold(group: pd.DataFrame) -> dict[float, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """threshold -> (numbers, features, y) in order of number."""
-    return {t: (g["i"].to_numpy(), np.array(g["x"].tolist()), g["y"].to_numpy()) for t, g in group.sort_values("i").groupby("threshold")}
+class Rows:
+    """A group's rows of one threshold, in order of number. Bins are made once, when a model first asks, for all folds of the group."""
+
+    def __init__(self, group: pd.DataFrame):
+        self.i, self.x, self.y = group["i"].to_numpy(), np.array(group["x"].tolist()), group["y"].to_numpy()
+
+    @cached_property
+    def bins(self) -> Bins:
+        return Bins.of(self.x)
+
+    def fit(self, kind: str, rows: np.ndarray | slice, parameters: dict, near: np.ndarray | None = None) -> Predictor:
+        return fit(kind, self.x[rows], self.y[rows], parameters, near, self.bins.take(rows) if kind in BINNED else None)
+
+
+def _by_threshold(group: pd.DataFrame) -> dict[float, Rows]:
+    return {t: Rows(g) for t, g in group.sort_values("i").groupby("threshold")}
 
 
 def refit_chunk(scheme: Scheme, n_dates: int) -> int:
@@ -169,11 +183,11 @@ def run(returns: DataFrame, feature: DataFrame, target: DataFrame, scheme: Schem
             for model, kind, threshold, t_ord, parameters, theta, j in plan:
                 if threshold not in parts:
                     continue
-                row, x, y = parts[threshold]
-                a, b, c = np.searchsorted(row, [start, split, end])
+                part = parts[threshold]
+                a, b, c = np.searchsorted(part.i, [start, split, end])
                 if a < b < c:
-                    p = fit(kind, x[a:b], y[a:b], json.loads(parameters))(x[b:c])
-                    out.append((start, split, end, model, threshold, t_ord, theta, j, kind, parameters, score_of(y[b:c], p)))
+                    p = part.fit(kind, slice(a, b), json.loads(parameters))(part.x[b:c])
+                    out.append((start, split, end, model, threshold, t_ord, theta, j, kind, parameters, score_of(part.y[b:c], p)))
         return pd.DataFrame(out, columns=columns).astype({"score": float})
 
     spans = fold.select(*own).distinct().withColumn("chunk", F.floor(F.col("train_start") / CHUNK))
@@ -198,17 +212,17 @@ def run(returns: DataFrame, feature: DataFrame, target: DataFrame, scheme: Schem
         for r in wanted.sort_values(["model", "i"]).itertuples(index=False):
             if r.threshold not in parts:
                 continue
-            row, x, y = parts[r.threshold]
-            test = np.searchsorted(row, r.i)
-            train = np.arange(*np.searchsorted(row, [r.start, r.end]))
-            if test == len(row) or row[test] != r.i:
+            part = parts[r.threshold]
+            test = np.searchsorted(part.i, r.i)
+            train = np.arange(*np.searchsorted(part.i, [r.start, r.end]))
+            if test == len(part.i) or part.i[test] != r.i:
                 continue
             train = train[train != test]
             if len(train):
                 key = (r.kind, r.parameters, r.threshold)
-                model = fit(r.kind, x[train], y[train], json.loads(r.parameters), near.get(key))
+                model = part.fit(r.kind, train, json.loads(r.parameters), near.get(key))
                 near[key] = getattr(model, "weights", None)
-                out.append((r.date, r.model, int(y[test]), float(model(x[test : test + 1])[0]), len(train)))
+                out.append((r.date, r.model, int(part.y[test]), float(model(part.x[test : test + 1])[0]), len(train)))
         return pd.DataFrame(out, columns=["date", "model", "y_true", "y_pred", "n_obs"])
 
     found = span.groupBy("chunk").cogroup(_rows_of(span, rows, "start", "last").groupBy("part")).applyInPandas(predict, "date date, model string, y_true int, y_pred double, n_obs long")

@@ -461,6 +461,18 @@ def test_a_forest_of_one_tree_is_the_brute_force_tree(balanced):
         models.random_forest(x, y, 1, class_weight="odd")
 
 
+@pytest.mark.parametrize("kind", models.BINNED)
+def test_bins_that_folds_share_change_no_model(kind):
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(90, 4)), 1)
+    y = (x[:, 0] + x[:, 2] + rng.normal(size=90) > 0.4).astype(int)
+    whole = models.Bins.of(x)
+    for a, b in ((0, 40), (13, 90)):
+        own = models.fit(kind, x[a:b], y[a:b], {"n_estimators": 5, "max_depth": 4})
+        shared = models.fit(kind, x[a:b], y[a:b], {"n_estimators": 5, "max_depth": 4}, bins=whole.take(slice(a, b)))
+        assert np.array_equal(own(x), shared(x))
+
+
 def test_boosting_equals_brute_force():
     rng = np.random.default_rng(7)
     x = rng.integers(0, 9, (50, 2)).astype(float)
