@@ -21,7 +21,7 @@ from lattica.llm.common import crc_mod, documents, working_dir
 from lattica.llm.elias_fano import EliasFano
 from lattica.llm.shingles import Words, text_chunks
 
-ORDER, MIN_COUNT, DISCOUNT = 3, 2, 0.75
+ORDER, MIN_COUNT, DISCOUNT = 3, 1, 0.75
 #: Hash of the end token; a word hashes to it once in 2 ** 64.
 END = np.uint64(0x0E0E0E0E0E0E0E0E)
 #: Entries of counts in a bucket, about, and characters of text that are taken at a time.
@@ -197,31 +197,52 @@ def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _blocks(keys: np.ndarray, counts: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
-    """Sorted counts in a block a bucket, byte by byte in turn, so that equal bytes lie together."""
+    """Sorted counts in a block a bucket: the first key and then differences, which are small, byte by byte in turn, so that equal
+    bytes lie together."""
     entry = np.empty(len(keys), ENTRY)
-    entry["key"], entry["n"] = keys, counts
     used, n = np.unique(bucket, return_counts=True)
     end = np.cumsum(n)
+    step = np.diff(keys, prepend=keys[:1])
+    step[end - n] = keys[end - n]
+    entry["key"], entry["n"] = step, counts
     data = [entry[e - z : e].view(np.uint8).reshape(-1, ENTRY.itemsize).T.tobytes() for e, z in zip(end, n, strict=True)]
     return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array(data, pa.binary())], ["bucket", "data"])
 
 
-def _merged(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and their total counts."""
-    entry = np.concatenate([np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(ENTRY.itemsize, -1).T).view(ENTRY).ravel() for x in data])
-    keys, back = np.unique(entry["key"], return_inverse=True)
-    return keys, np.bincount(back, entry["n"], len(keys)).astype(np.int64)
+class _Sums:
+    """Keys and their total counts, from blocks. Blocks are summed up whenever they hold as many entries as BUCKET, or as the sums so
+    far: what is held grows with the distinct keys, not with the blocks."""
+
+    def __init__(self):
+        self.keys, self.counts, self.held, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+
+    def add(self, data: bytes) -> None:
+        self.held.append(data)
+        self.n += len(data) // ENTRY.itemsize
+        if self.n > max(BUCKET, len(self.keys)):
+            self.total()
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.held:
+            entries = [np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(ENTRY.itemsize, -1).T).view(ENTRY).ravel() for x in self.held]
+            keys = np.concatenate([self.keys, *(np.cumsum(x["key"], dtype=np.uint64) for x in entries)])
+            counts = np.concatenate([self.counts, *(x["n"].astype(np.int64) for x in entries)])
+            self.held, self.n = [], 0
+            order = np.argsort(keys, kind="stable")  # runs that are sorted already are merged
+            keys, counts = keys[order], counts[order]
+            first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            self.keys, self.counts = keys[first], np.add.reduceat(counts, first)
+        return self.keys, self.counts
 
 
 def _level(blocks: DataFrame, build, bounds: list[int], min_count: int) -> Level:
     """Buckets of counts built into shards and written."""
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[bytes] = []
-        now = None
+        held, now = _Sums(), None
 
         def close() -> pa.RecordBatch:
-            keys, counts = _merged(held)
+            keys, counts = held.total()
             keep = counts >= min_count
             shard = build(now, keys[keep], counts[keep])
             return pa.RecordBatch.from_arrays([pa.array([now]), pa.array([int(keep.sum())]), pa.array([int(counts.sum())]), pa.array([shard.to_bytes()], pa.binary())], ["shard", "n", "total", "blob"])
@@ -229,11 +250,11 @@ def _level(blocks: DataFrame, build, bounds: list[int], min_count: int) -> Level
         for batch in batches:
             for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if bucket != now:
-                    if held:
+                    if now is not None:
                         yield close()
-                    held, now = [], bucket
-                held.append(data)
-        if held:
+                    held, now = _Sums(), bucket
+                held.add(data)
+        if now is not None:
             yield close()
 
     spark = blocks.sparkSession
@@ -253,7 +274,7 @@ def _level(blocks: DataFrame, build, bounds: list[int], min_count: int) -> Level
 
 
 def train(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, discount: float = DISCOUNT) -> Trie:
-    """A trie of docs (text) up to n-grams of `order` words: all words, and longer n-grams that occur min_count times.
+    """A trie of docs (text) up to n-grams of `order` words: all words, and longer n-grams that occur min_count times, by default all.
 
     Level by level, tasks count the n-grams of whole texts whose parts are in the level above (an n-gram is no more frequent than its
     parts), and buckets of contexts sum the counts and become shards. Probabilities are discounted counts

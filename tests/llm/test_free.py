@@ -1,3 +1,4 @@
+import glob
 import math
 import re
 import subprocess
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lattica.llm import components, language, lm, ngram_join, packing, substring_dedup, token_output
+from lattica.llm import components, language, lm, mixing, ngram_join, packing, substring_dedup, token_output
 from lattica.llm.elias_fano import EliasFano
 from lattica.llm.shingles import Words
 from lattica.llm.tokens import Encoder
@@ -308,14 +309,32 @@ def test_elias_fano(universe):
     assert (EliasFano.build(keys[:0], universe).find(probes) == -1).all()
 
 
-def brute_lm(train, texts, discount=lm.DISCOUNT):
+def test_sums_of_blocks_equal_counters(monkeypatch):
+    monkeypatch.setattr(lm, "BUCKET", 50)
+    rng = np.random.default_rng(6)
+    sums, want = {}, defaultdict(Counter)
+    for _ in range(40):
+        keys, counts = np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64) >> np.uint64(rng.integers(0, 56)), return_counts=True)
+        bucket = (keys >> np.uint64(61)).astype(np.int64)
+        block = lm._blocks(keys, counts, bucket)
+        for b, data in zip(*(c.to_pylist() for c in block.columns)):
+            sums.setdefault(b, lm._Sums()).add(data)
+        for b, k, c in zip(bucket.tolist(), keys.tolist(), counts.tolist()):
+            want[b][k] += c
+    for b, s in sums.items():
+        keys, counts = s.total()
+        assert dict(zip(keys.tolist(), counts.tolist())) == want[b] and (np.diff(keys.astype(object)) > 0).all()
+    assert set(sums) == set(want)
+
+
+def brute_lm(train, texts, least, discount=lm.DISCOUNT):
     seqs = {i: ["<s>", *lower_words(t), None] for i, t in texts}
     c1, c2, c3 = Counter(), Counter(), Counter()
     for i in train:
         s = seqs[i]
         c1.update(s[1:]), c2.update(zip(s, s[1:])), c3.update(zip(s, s[1:], s[2:]))
     n, v = sum(c1.values()), len(c1)
-    k2, k3 = ({g: c for g, c in x.items() if c >= 2} for x in (c2, c3))
+    k2, k3 = ({g: c for g, c in x.items() if c >= least} for x in (c2, c3))
     times = lambda a: len(train) if a == "<s>" else c1[a]
     kept2, kept3 = Counter(), Counter()
     for (a, _), c in k2.items():
@@ -344,12 +363,14 @@ def brute_lm(train, texts, discount=lm.DISCOUNT):
     return n, out
 
 
-def test_scores_equal_brute_force(spark):
+@pytest.mark.parametrize("least", [lm.MIN_COUNT, 2])
+def test_scores_equal_brute_force(spark, least):
+    """With all n-grams, as by default, and without those that occur once."""
     docs = fixtures.documents(spark, extra=True).where("doc_id != 20")
     texts = [(i, t) for i, t in TEXTS if i != 20]
     train = [i for i, _ in texts if i % 3]
-    got = lm.scored(docs, lm.train(docs.where("doc_id % 3 != 0"))).collect()
-    n, want = brute_lm(train, texts)
+    got = lm.scored(docs, lm.train(docs.where("doc_id % 3 != 0"), min_count=least)).collect()
+    n, want = brute_lm(train, texts, least)
     for r in got:
         tokens, known, base, score = want[r.doc_id]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (tokens, known, n)
@@ -432,6 +453,23 @@ def test_packing_cuts_one_line(spark, length):
     assert packing.pack(fixtures.empty(spark), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_packing_follows_the_files_as_they_were_written(spark, tmp_path):
+    """Files of very different sizes, which Spark deals out from the largest to the least."""
+    sizes = [3, 40, 1, 200, 7, 90, 2, 400, 5, 60]
+    texts = [(k, fixtures.prose(k, n * 20)) for k, n in enumerate(sizes) for _ in range(3)]
+    rows = [(i, t) for i, (_, t) in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("file", F.lit("clash"))
+    df.repartitionByRange(10, "doc_id").sortWithinPartitions("doc_id").write.parquet(f"{tmp_path}/docs")
+    found = packing.pack(spark.read.parquet(f"{tmp_path}/docs"), public_tokenizers.path("byte_bpe_50k.json"), length=64).orderBy("sequence_id", "offset").collect()
+    line = [(r.sequence_id * 64 + r.offset, r.doc_id) for r in found]
+    assert [i for _, i in line] == sorted(i for _, i in line) and {i for _, i in line} == set(range(30))
+    mixed = mixing.mixed_documents(fixtures.documents(spark))
+    mixed.write.parquet(f"{tmp_path}/mixed")
+    order = [(r.doc_id, r.text) for part in sorted(glob.glob(f"{tmp_path}/mixed/part-*")) for r in spark.read.parquet(part).collect()]
+    pieces = packing.pack(spark.read.parquet(f"{tmp_path}/mixed"), public_tokenizers.path("byte_bpe_50k.json")).where("start = 0").orderBy("sequence_id", "offset").collect()
+    assert [r.doc_id for r in pieces] == [i for i, _ in order]
+
+
 def test_viterbi_equals_brute_force():
     rng = np.random.default_rng(4)
     sizes = np.array([3, 0, 6, 1, 5])
