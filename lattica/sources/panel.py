@@ -13,9 +13,10 @@ def month(column: str) -> F.Column:
     return F.to_date(F.date_trunc("month", column))
 
 
-def price_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(date, asset, px): mean unit price by month and brand. Only the join key and the brand of part are read."""
-    items = table(spark, sf_dir, "lineitem").select("l_partkey", month("l_shipdate").alias("date"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("px"))
+def price_panel(spark: SparkSession, sf_dir: str, daily: bool = False) -> DataFrame:
+    """(date, asset, px): mean unit price by month, or day, and brand. Only the join key and the brand of part are read."""
+    date = F.to_date("l_shipdate") if daily else month("l_shipdate")
+    items = table(spark, sf_dir, "lineitem").select("l_partkey", date.alias("date"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("px"))
     parts = table(spark, sf_dir, "part").select("p_partkey", F.substring("p_brand", 7, 9).cast("bigint").alias("asset"))
     return items.join(parts, F.col("l_partkey") == F.col("p_partkey")).groupBy("date", "asset").agg(F.avg("px").alias("px"))
 
