@@ -1,8 +1,9 @@
 """Substring dedup by collinear chaining: shared k-mer seeds are joined, ordered matches chained with gap costs through a Fenwick
 tree, and chains aligned, so that fuzzy passages are found.
 
-Each shared seed of a document is linked to one holder: the first of the chunk of texts, and that to the first of all. Where
-a passage's seeds are on one diagonal of an earlier document, the chain with it gives the passage. Where they aren't (their
+Each shared seed of a document is linked to the first holder (that of the chunk of texts, and that to the first of all), and to
+the holder next before it where that is another: a fuzzy passage whose parts stand in several earlier documents is one
+chain with the document before that has it whole. Where a passage's seeds are on one diagonal of an earlier document, the chain with it gives the passage. Where they aren't (their
 first holders hold parts of it, or the document is the first itself), the windows of MIN_WORDS words there are keyed
 whole, and each key's documents are linked to its first. Followed from holder to holder, both ways end for all documents
 with one passage at the same window keys, so no document with an exact passage stays without a partner for it.
@@ -103,7 +104,7 @@ def unpacked(data: bytes, with_flags: bool = False) -> tuple[np.ndarray, np.ndar
     out["pos"], out["of"], out["h"] = found[1], out["doc"] - found[2], found[4].view(np.uint64)
     # five bytes of a difference of either sign
     out["of_pos"] = found[1] - ((found[3] << 24) >> 24)
-    return out, np.frombuffer(data, np.uint8, n, at).astype(bool) if with_flags else None
+    return out, np.frombuffer(data, np.uint8, n, at) if with_flags else None
 
 
 def firsts_and_followers(entry: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -119,6 +120,27 @@ def firsts_and_followers(entry: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return firsts, np.diff(np.r_[np.flatnonzero(begins), len(h)]) > 1, followers
 
 
+def lasts_and_neighbours(entry: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lasts, rows, neighbours): of each hash that several documents have the row of the last one's first entry; and the rows whose
+    hash an earlier document has that isn't the first, linked to the last such one."""
+    order = np.lexsort((entry["pos"], entry["doc"], entry["h"]))
+    h, doc = entry["h"][order], entry["doc"][order]
+    if not len(h):
+        return order, order, entry[:0]
+    of_hash, of_doc = np.r_[True, h[1:] != h[:-1]], np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]
+    at = np.flatnonzero(of_doc)  # a document's first entry of a hash
+    hash_of, first = np.cumsum(of_hash) - 1, np.flatnonzero(of_hash)
+    ends = np.r_[hash_of[at][1:] != hash_of[at][:-1], True]
+    lasts = order[at[ends & ~of_hash[at]]]
+    before = np.r_[-1, at[:-1]][np.cumsum(of_doc) - 1]  # the document's before this one
+    there = before >= first[hash_of] + 1
+    there &= doc[np.maximum(before, 0)] != doc[first[hash_of]]
+    out = entry[order[there]]
+    of = entry[order[before[there]]]
+    out["of"], out["of_pos"] = of["doc"], of["pos"]
+    return lasts, order[there], out
+
+
 def matches(entry: np.ndarray) -> np.ndarray:
     """The links of entries of several documents to other documents, of one chunk."""
     followers = firsts_and_followers(entry)[2]
@@ -389,6 +411,8 @@ _ROW = "kind int, part long, doc long, of long, n long, data binary"
 #: a bucket's seeds. LINKS: shared seeds of the documents of a part. PAIR: the chains of doc with `of`. WINDOW_KEY: doc has a
 #: window of key `of` at n, and at the places in data. SAME: doc has at n a window that the document `of` has at part.
 COPY, TEXT, SEEDS, LINKS, PAIR, WINDOW_KEY, SAME = range(7)
+#: Marks a bucket's entry of a chunk's last document with a seed, which others are linked to; 0 and 1 mark a first one, alone or followed.
+LAST = 2
 
 
 def _rows(kind: int, size: int, **columns) -> pa.RecordBatch:
@@ -458,6 +482,11 @@ def shared_seeds(docs: DataFrame) -> DataFrame:
     def part_of(x: np.ndarray) -> np.ndarray:
         return (mix(x.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
+    def _links(first: np.ndarray, near: np.ndarray) -> pa.RecordBatch:
+        """Links to first holders, and, marked, to those next before."""
+        both = np.concatenate([first, near])
+        return _by_part(LINKS, both, part_of(both["doc"]), np.repeat(np.uint8([0, 1]), [len(first), len(near)]))
+
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys = batch.column(1).to_numpy(), batch.column(2).to_numpy()
@@ -473,23 +502,28 @@ def shared_seeds(docs: DataFrame) -> DataFrame:
                 whole = n_words >= MIN_WORDS
                 yield _rows(TEXT, int(whole.sum()), part=ids[first][whole], doc=ids[first][whole], of=keys[first][whole], n=n_words[whole])
                 found, followed, followers = firsts_and_followers(entry)
+                lasts, _, near = lasts_and_neighbours(entry)
                 # Within its bucket an entry keeps 48 bits of its hash.
-                found = entry[found]
-                yield _by_part(SEEDS, found, part_of(found["h"]), followed)
-                yield _by_part(LINKS, followers, part_of(followers["doc"]))
+                found = entry[np.r_[found, lasts]]
+                yield _by_part(SEEDS, found, part_of(found["h"]), np.r_[followed.astype(np.uint8), np.full(len(lasts), LAST)])
+                yield _links(followers, near)
 
     def close_bucket(held: list[bytes]) -> Iterator[pa.RecordBatch]:
         both = [unpacked(x, True) for x in held]
-        entry, marks = np.concatenate([x for x, _ in both]), np.concatenate([x for _, x in both])
+        every, flag = np.concatenate([x for x, _ in both]), np.concatenate([x for _, x in both])
+        entry, marks = every[flag != LAST], flag[flag != LAST] > 0
         found, followed, followers = firsts_and_followers(entry)
+        # A chunk's first is next to the last of a chunk before, or to its first.
+        _, rows, near = lasts_and_neighbours(every)
         # A seed that one chunk alone has is shared if it was followed there.
-        link = np.concatenate([entry[found[followed | marks[found]]], followers])
-        yield _by_part(LINKS, link, part_of(link["doc"]))
+        yield _links(np.concatenate([entry[found[followed | marks[found]]], followers]), near[flag[rows] != LAST])
 
     def close_part(held: list[bytes]) -> Iterator[pa.RecordBatch]:
-        link = np.concatenate([unpacked(x)[0] for x in held])
+        both = [unpacked(x, True) for x in held]
+        link, flag = np.concatenate([x for x, _ in both]), np.concatenate([x for _, x in both])
+        near, link = link[flag > 0], link[flag == 0]
         link = through_first(link[np.lexsort((link["pos"], link["doc"]))])
-        pairs = list(_chained(link[link["doc"] != link["of"]], SEED))
+        pairs = list(_chained(np.concatenate([link[link["doc"] != link["of"]], near]), SEED))
         doc, of, data = zip(*pairs, strict=True) if pairs else ((), (), ())
         yield _rows(PAIR, len(pairs), doc=np.array(doc, np.int64), of=np.array(of, np.int64), data=list(data))
         # Windows: each key's first document in the part goes on, in one row, the others are linked to it.

@@ -1,5 +1,6 @@
 import glob
 import math
+import random
 import re
 import subprocess
 import sys
@@ -278,6 +279,63 @@ def test_two_blocks_whose_first_holders_have_one_each(spark):
         assert all(r.n_words >= 88 for r in got)
 
 
+def words_of(rng, n):
+    return ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 8))) for _ in range(n)]
+
+
+def altered(rng, words, share):
+    """Words of which a share is replaced, at random places, the ends excepted."""
+    out = list(words)
+    for k in rng.sample(range(1, len(words) - 1), round(share * len(words))):
+        out[k] = "x" + "".join(rng.choices("qwertz", k=7))
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 6])
+def test_fuzzy_passages_whose_parts_have_other_first_holders(spark, parts):
+    """A passage whose quarters stand in four earlier documents, and a copy of it with every tenth word changed."""
+    rng = random.Random(21)
+    rows, want = [], []
+    for k in range(20):
+        passage = words_of(rng, 120)
+        copy = [w if i % 10 != 5 else "changed" + str(i) for i, w in enumerate(passage)]
+        for q in range(4):
+            rows.append((1000 * k + q, " ".join(words_of(rng, 60) + passage[30 * q : 30 * q + 30] + words_of(rng, 60))))
+        rows.append((1000 * k + 100, " ".join(words_of(rng, 80) + passage + words_of(rng, 40))))
+        rows.append((1000 * k + 200, " ".join(words_of(rng, 50) + copy + words_of(rng, 70))))
+        want.append((1000 * k + 200, 1000 * k + 100))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(parts, "text")
+    found = defaultdict(int)
+    for r in substring_dedup.passages(docs).collect():
+        found[r.doc_id, r.of_doc_id] += r.n_words
+    hit = sum(found[w] >= 110 for w in want)
+    assert hit >= (20 if parts == 1 else 18), hit
+    assert not [k for k in found if k[1] // 1000 != k[0] // 1000]
+
+
+@pytest.mark.parametrize(("n", "share", "least"), [(60, 0.05, 0.95), (60, 0.1, 0.95), (100, 0.15, 0.9), (200, 0.18, 0.9)])
+def test_recall_of_fuzzy_passages_with_parts_in_other_documents(spark, n, share, least):
+    """By brute force, each copy is known to be within the identity of a document before it, while a third of the passages have parts
+    in two documents before both."""
+    rng = random.Random(n)
+    rows, want = [], {}
+    for k in range(40):
+        passage = words_of(rng, n)
+        if k % 3 == 0:
+            for q in range(2):
+                half = n // 2
+                rows.append((100 * k + q, " ".join(words_of(rng, 40) + passage[half * q : half * q + half] + words_of(rng, 40))))
+        rows.append((100 * k + 10, " ".join(words_of(rng, 60) + passage + words_of(rng, 60))))
+        rows.append((100 * k + 20, " ".join(words_of(rng, 60) + altered(rng, passage, share) + words_of(rng, 60))))
+        want[100 * k + 20] = set(range(60, 60 + n))
+    covered = defaultdict(set)
+    for r in substring_dedup.passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
+        covered[r.doc_id].update(range(r.start, r.start + r.n_words))
+    hit = sum(len(covered[i] & places) >= 0.8 * n for i, places in want.items())
+    print("recall", n, share, hit / len(want))
+    assert hit >= least * len(want)
+
+
 def test_least_of_equal_texts_gives_the_seeds_of_unsorted_rows(spark):
     p, copy = fixtures.prose(750, 60), fixtures.prose(751, 40)
     rows = [(10, copy + " " + p), (3, copy + " " + p), (5, p + " " + fixtures.prose(752, 40))]
