@@ -58,16 +58,36 @@ class Scheme:
         inner = self.lookback + self.train + self.val
         return {"simple": inner + self.horizon, "nested_rolling": max(self.lookback + (self.outer or 0), inner + self.horizon), "nested_expanding": inner}[self.kind]
 
-    def folds(self) -> F.Column:
-        """Of test row i (from 0): array of (train_start, train_end, val_start, val_end), ends not included."""
+    @property
+    def stride(self) -> int:
+        return self.step or self.val
+
+    @property
+    def reach(self) -> int | None:
+        """From the first to the last start of a test date's inner folds, negative if there is none; None: from the calendar's first
+        row on."""
+        if self.kind == "nested_expanding":
+            return None
+        room = 0 if self.kind == "simple" else self.outer - self.horizon - self.train - self.val
+        return room // self.stride * self.stride
+
+    def last(self) -> F.Column:
+        """Of test row i (from 0): where its last inner fold starts; null without one."""
         i = F.col("i")
-        if self.kind == "simple":
-            end = i - self.horizon
-            return F.array(_fold(end - self.val - self.train, self))
-        begin, end = (i - self.outer, i - self.horizon) if self.kind == "nested_rolling" else (F.lit(0).cast("bigint"), i)
-        room = end - begin - self.train - self.val
-        starts = F.when(room >= 0, F.sequence(begin, begin + F.greatest(room, F.lit(0)), F.lit(self.step or self.val).cast("bigint")))
-        return F.transform(starts, lambda s: _fold(s, self))
+        if self.kind == "nested_expanding":
+            room = i - self.train - self.val
+            return F.when(room >= 0, room - F.pmod(room, F.lit(self.stride)))
+        begin = i - self.horizon - self.val - self.train if self.kind == "simple" else i - self.outer
+        return begin + self.reach if self.reach >= 0 else F.lit(None).cast("bigint")
+
+    def spans(self, ready: DataFrame) -> DataFrame:
+        """(train_start, train_end, val_end): the distinct inner folds of the test rows; a row of the calendar starts one at most."""
+        last = ready.select(self.last().alias("last")).where("last IS NOT NULL")
+        if self.kind == "nested_expanding":
+            starts = last.agg(F.max("last").alias("last")).where("last IS NOT NULL").select(F.explode(F.sequence(F.lit(0).cast("bigint"), "last", F.lit(self.stride).cast("bigint"))).alias("s"))
+        else:
+            starts = last.select(F.explode(F.sequence(F.col("last") - self.reach, "last", F.lit(self.stride).cast("bigint"))).alias("s")).distinct()
+        return starts.select(F.col("s").alias("train_start"), (F.col("s") + self.train).alias("train_end"), (F.col("s") + self.train + self.val).alias("val_end"))
 
     def refit(self) -> tuple[F.Column, F.Column]:
         i = F.col("i")
@@ -77,11 +97,6 @@ class Scheme:
         return (i - self.outer if self.kind == "nested_rolling" else F.lit(0).cast("bigint")), end
 
 
-def _fold(s: F.Column, scheme: Scheme) -> F.Column:
-    a, b = s + scheme.train, s + scheme.train + scheme.val
-    return F.struct(s.alias("train_start"), a.alias("train_end"), a.alias("val_start"), b.alias("val_end"))
-
-
 @dataclass(frozen=True)
 class Grid:
     """Models by label: (registry name, fixed parameters, list of parameter sets)."""
@@ -169,9 +184,9 @@ def run(returns: DataFrame, feature: DataFrame, target: DataFrame, scheme: Schem
     rows = materialize(rows.select("i", "threshold", "y", F.array(*(F.col(c).cast("double") for c in names)).alias("x")), "walk-rows")
     tests = dates if test_dates is None else dates.join(test_dates.select("date"), "date", "left_semi")
     ready = tests.join(F.broadcast(returns.select("date").distinct()), "date", "left_semi").join(target.select("date"), "date", "left_semi").where(F.col("i") >= scheme.history)
+    ready = ready.where(scheme.last().isNotNull())  # without an inner fold there is neither a choice nor a fallback
     combos = grid.rows(spark)
 
-    fold = ready.select("date", "i", F.posexplode(scheme.folds()).alias("fold", "f")).select("date", "i", "fold", "f.*")
     own = ["train_start", "train_end", "val_end"]
     plan = [(r["model"], r["kind"], r["threshold"], r["threshold_ord"], r["parameters"], r["theta"], r["theta_ord"]) for r in combos.collect()]  # the grid, a configuration
 
@@ -190,12 +205,19 @@ def run(returns: DataFrame, feature: DataFrame, target: DataFrame, scheme: Schem
                     out.append((start, split, end, model, threshold, t_ord, theta, j, kind, parameters, score_of(part.y[b:c], p)))
         return pd.DataFrame(out, columns=columns).astype({"score": float})
 
-    spans = fold.select(*own).distinct().withColumn("chunk", F.floor(F.col("train_start") / CHUNK))
+    spans = materialize(scheme.spans(ready).withColumn("chunk", F.floor(F.col("train_start") / CHUNK)), "walk-spans")
     near = _rows_of(spans, rows, "train_start", "val_end")
     scored = spans.groupBy("chunk").cogroup(near.groupBy("part")).applyInPandas(scores, "train_start long, train_end long, val_end long, model string, threshold double, threshold_ord int, theta string, theta_ord int, kind string, parameters string, score double")
     scored = scored.withColumn("score", F.when(~F.isnan("score"), F.col("score")))
     scored = materialize(scored, "walk-scores")
-    mean = fold.select("date", *own).join(scored, own).groupBy("date", "model", "threshold", "threshold_ord", "theta", "theta_ord", "kind", "parameters").agg(F.round(F.avg("score"), 12).alias("score"))
+    # A test date's mean is that over a range of starts, one stride apart, up to its last one: a row for each start and combination
+    # holds it, so test dates don't meet all their folds.
+    combination = ["model", "threshold_ord", "theta_ord"]
+    every = spans.select("train_start").crossJoin(F.broadcast(combos)).join(scored.select("train_start", *combination, "score"), ["train_start", *combination], "left")
+    line = Window.partitionBy(*combination, F.col("train_start") % scheme.stride).orderBy("train_start")
+    over = line.rangeBetween(Window.unboundedPreceding if scheme.reach is None else -max(scheme.reach, 0), 0)
+    means = every.withColumn("score", F.round(F.avg("score").over(over), 12)).where("score IS NOT NULL")
+    mean = ready.select("date", scheme.last().alias("train_start")).join(means, "train_start").drop("train_start")
     best = materialize(best_combination(mean, ["date", "model"], ["threshold_ord", "theta_ord"]), "walk-best")
 
     start, end = scheme.refit()

@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.functions.series import cumulative_return, lagged_change
-from lattica.operators import capm, correlation, labels, network, panel, walkforward
+from lattica.operators import capm, correlation, labels, network, panel, tiles, walkforward
 from lattica.sources import cache, charts
 from lattica.sources.config import Config, registry
 from lattica.sources.tables import materialize, nan_to_null
 
+#: Assets from which a date's matrix (8 bytes a pair, some of them held at once) isn't made in one task.
+TILED_FROM = 3000
+
 
 @dataclass
 class Study:
@@ -92,8 +95,9 @@ class Study:
 
     @cached_property
     def features(self) -> DataFrame:
-        """The sixteen features by date and threshold, written once."""
-        return materialize(network.all_features(self.network_returns, self.config.lookback_corr, list(self.config.threshold_grid)), "study-features")
+        """The sixteen features by date and threshold, written once; by tiles where a matrix of all assets is large."""
+        make = tiles.features if self.network_returns.select("asset").distinct().count() > TILED_FROM else network.all_features
+        return materialize(make(self.network_returns, self.config.lookback_corr, list(self.config.threshold_grid)), "study-features")
 
     def sample_graph(self, threshold: float | None = None) -> DataFrame:
         """Edges of the date in the middle."""

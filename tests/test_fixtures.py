@@ -305,6 +305,8 @@ def brute_nested(dates, x, y, scheme, thetas, score):
     for i in range(scheme.history, len(dates)):
         rolling = scheme.kind == "nested_rolling"
         begin, end = (i - scheme.outer, i - scheme.horizon) if rolling else (0, i)
+        if begin + scheme.train + scheme.val > end:
+            continue
         rows = lambda a, b: [k for k in range(a, b) if dates[k] in x and y[dates[k]] is not None]
         get = lambda r: (np.array([x[dates[k]] for k in r]), np.array([y[dates[k]] for k in r]))
         best = None
@@ -349,7 +351,7 @@ def test_nested_walks_equal_loops(spark, scheme, metric):
 
 SCHEMES = [
     walkforward.Scheme("simple", 4, 8, 3, 1), walkforward.Scheme("nested_rolling", 4, 6, 3, 2, step=3, outer=14), walkforward.Scheme("nested_rolling", 4, 6, 3, outer=14),
-    walkforward.Scheme("nested_expanding", 4, 6, 3, step=3),
+    walkforward.Scheme("nested_expanding", 4, 6, 3, step=3), walkforward.Scheme("nested_expanding", 4, 6, 3, step=2), walkforward.Scheme("nested_rolling", 4, 6, 3, 2, step=1, outer=14),
 ]
 
 
@@ -377,6 +379,16 @@ def test_walks_through_edgeless_dates_equal_loops(spark, scheme):
     assert scheme.kind != "simple" or any(d not in x for d in want)
 
 
+def test_a_scheme_without_room_for_a_fold_predicts_nothing(spark):
+    dates = days(40)
+    returns = spark.createDataFrame([(d, 1, 0.0) for d in dates], "date date, asset bigint, ret double")
+    feature = spark.createDataFrame([(d, 0.5, float(i % 3)) for i, d in enumerate(dates)], "date date, threshold double, f double")
+    target = spark.createDataFrame([(d, i % 2) for i, d in enumerate(dates)], "date date, y int")
+    grid = walkforward.Grid({"m": ("LogisticRegression", {}, [{}])}, [0.5])
+    for scheme, n in ((walkforward.Scheme("nested_rolling", 4, 6, 3, 2, outer=10), 0), (walkforward.Scheme("nested_rolling", 4, 6, 3, 2, outer=11), 25)):
+        assert walkforward.run(returns, feature, target, scheme, grid, "roc_auc").predictions.count() == n
+
+
 def test_majorities_need_no_features(spark):
     dates = panel.calendar(spark.createDataFrame([(d,) for d in days(12)], "date date")).withColumn("i", F.col("ord") - 1).drop("ord")
     label = [1, 1, 0, None, 0, 0, 1, None, None, 1, 1, 0]

@@ -51,6 +51,17 @@ def test_study_end_to_end(study, tmp_path):
         study.table("unread")
 
 
+def test_features_of_large_universes_come_by_tiles(study, monkeypatch):
+    from lattica.plans import study as module
+
+    whole = study.features.orderBy("date").collect()
+    monkeypatch.setattr(module, "TILED_FROM", 5)
+    study.__dict__.pop("features")
+    tiled = study.features.orderBy("date").collect()
+    assert len(whole) == len(tiled) >= 50
+    assert all(x == y or abs(x - y) < 2e-6 for a, b in zip(whole, tiled) for x, y in zip(a, b))
+
+
 def test_charts_heads_and_own_features(study, tmp_path, monkeypatch):
     drawn = []
     monkeypatch.setattr(charts, "line_chart", lambda frame, y, y2, title, save_to: drawn.append((y, y2, save_to)) or frame.select("date", y, y2).count())
