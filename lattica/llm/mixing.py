@@ -144,11 +144,12 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
             concat(a, array(x))))"""
     plan = plan.withColumn(runs_of, F.expr(runs)).where(F.size(runs_of) > 0).drop("pieces")
     joined = rows.alias("d").join(plan.alias("p"), F.expr(f"d.doc_id <=> p.doc_id AND d.{number} = p.{number}")).select("d.*", f"p.{runs_of}")
-    joined = joined.withColumn(words_of, size).withColumn(run, F.explode(runs_of))
+    # A text is cut into words once, whatever the number of its runs.
     spaced = F.regexp_extract_all("text", F.lit(rf"({WORD}[\x20\x09-\x0D]*)"), F.lit(1))
-    part = F.array_join(F.slice(spaced, F.col(f"{run}.start") + 1, F.col(f"{run}.len")), "")
-    text = F.when(F.col(f"{run}.len") == F.col(words_of), F.col("text")).otherwise(part)
-    out = joined.withColumn("text", text)
+    part = lambda words, r: F.when(r["len"] == F.col(words_of), F.col("text")).otherwise(F.array_join(F.slice(words, r["start"] + 1, r["len"]), ""))
+    cut = F.transform(F.array(spaced), lambda words: F.transform(runs_of, lambda r: F.struct(r.alias("run"), part(words, r).alias("text"))))
+    joined = joined.withColumn(words_of, size).withColumn(run, F.explode(cut[0]))
+    out = joined.withColumn("text", F.col(f"{run}.text")).withColumn(run, F.col(f"{run}.run"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.orderBy(f"{run}.shard", f"{run}.place", "doc_id", f"{run}.epoch", f"{run}.start").select(*(f"`{c}`" for c in docs.columns))
