@@ -55,11 +55,11 @@ WITH RECURSIVE hit AS (
         unnest(CASE WHEN h = 3 THEN [0, 1] ELSE [0] END) AS copy
     FROM struck WHERE h <> 0
 ), placed AS (
-    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS seen,
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p,
         regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last, substr(role, 1, 1) AS initial
     FROM damaged
 ), rows_ AS (
-    SELECT conv_id, p, turn, role, text, initial, CASE WHEN last = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    SELECT conv_id, p, turn, role, text, initial, CASE WHEN last = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY p) > 1 THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
         lag(initial) OVER (PARTITION BY conv_id ORDER BY p) || initial AS pair
     FROM placed
 ), ways AS (
@@ -123,3 +123,32 @@ WITH RECURSIVE named AS (
 SELECT l.doc_id, l.leaf, s.digest AS subroot, t.digest AS root, coalesce(p.proof, sha256('')) AS proof_sha256, e.x AS folded_root, e.x = t.digest AS verified
 FROM leaves l JOIN subroots s USING (tree) JOIN ends e ON e.r = l.r LEFT JOIN proofs p ON p.r = l.r CROSS JOIN (SELECT digest FROM high WHERE n = 1) t
 """
+
+
+def _escaped(x: str) -> str:
+    return rf"replace(replace({x}, '\', '\\'), '<|', '<\|')"
+
+
+#: Windows of 512 tokens of four characters: turns that begin within the same 256 are new in one window; a later one repeats the
+#: system turn, and the turn before it if that has at most 128.
+OP2 = rf"""
+WITH chats AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '\### Assistant: </turn> ok'
+), formed AS (
+    SELECT *, '<|turn|>' || {_escaped("role")} || '<|says|>' || {_escaped("text")} || '<|end|>' AS form,
+        row_number() OVER (PARTITION BY conv_id ORDER BY floor(coalesce(turn, -1) / 256), turn NULLS FIRST, role, text) AS place
+    FROM chats
+), sized AS (
+    SELECT *, CAST(ceil(length(form) / 4.0) AS BIGINT) AS tokens, place = 1 AND role = 'system' AS is_system FROM formed
+), summed AS (
+    SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY place) AS upto, sum(tokens) OVER (PARTITION BY conv_id) AS total FROM sized
+), windowed AS (
+    SELECT *, (upto - tokens) // 256 AS own, upto // 256 > (upto - tokens) // 256 AND tokens <= 128 AND NOT is_system AND upto < total AS is_tail FROM summed
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(length(form)) + coalesce(sum(length(form)) FILTER (is_tail), 0) + coalesce(max(length(form)) FILTER (is_system), 0) * count(DISTINCT own) FILTER (own > 0) AS BIGINT) AS formatted_chars,
+    count(DISTINCT own) AS n_windows
+FROM windowed GROUP BY conv_id
+"""

@@ -33,6 +33,7 @@ QUERIES = {
 
 #: The others' rows hold hashes of this library, subword ids, or what models make.
 ORACLES: dict[str, str] = {
+    "op2_chat_formatting": oracles.OP2,
     "op11_conversation_repair": oracles.OP11,
     "op12_merkle_manifest": oracles.OP12,
     "op1_ngram_jaccard_join": r"""
