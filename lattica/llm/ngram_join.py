@@ -4,7 +4,8 @@ Sets of word shingles are joined exactly at a Jaccard threshold. Two similar set
 common order (the prefix); sets that share one meet in its group. Groups are joined twice: first each set with its group's hub, the
 set that shares the largest part of its prefix, which is what copies of a text were made from, if anything; then, in
 groups that still hold several components, a dual traversal of signature trees finds the other pairs that may be
-similar. All candidates are checked on whole texts.
+similar. A pair is compared in one group alone where one holds all sets that share its hashes. All candidates are checked
+on whole texts.
 """
 
 from __future__ import annotations
@@ -29,6 +30,9 @@ BUCKET = 1_000_000
 #: Bits of a signature for each element, at least, and in all.
 BITS, LEAST_BITS, MOST_BITS = 4, 256, 65_536
 LEAF = 8
+#: Groups of more sets than FINE_GROUP that still hold several components get finer bitmaps, which tell nearly similar sets from
+#: similar ones: bits for each element and in all, and larger leaves.
+FINE_GROUP, FINE_BITS, MOST_FINE_BITS, FINE_LEAF = 256, 32, 131_072, 32
 #: Larger groups are dealt to pairs of parts of so many sets, about.
 PART = 4096
 
@@ -40,9 +44,9 @@ def node_of(s: np.ndarray) -> int:
     return int((mix(s + np.uint64(len(s))).sum(dtype=np.uint64) ^ np.uint64(len(s))).view(np.int64))
 
 
-def signature(s: np.ndarray) -> bytes:
-    """A bitmap of a set, with at least BITS bits an element up to MOST_BITS."""
-    bits = min(max(1 << (BITS * len(s) - 1).bit_length(), LEAST_BITS), MOST_BITS)
+def signature(s: np.ndarray, each: int = BITS, most: int = MOST_BITS) -> bytes:
+    """A bitmap of a set, with at least `each` bits an element up to `most`."""
+    bits = min(max(1 << (each * len(s) - 1).bit_length(), LEAST_BITS), most)
     bitmap = np.zeros(bits, np.uint8)
     bitmap[(s & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(bitmap, bitorder="little").tobytes()
@@ -67,11 +71,13 @@ def frequent(docs: DataFrame, k: int) -> np.ndarray:
 def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """One written table of three kinds of rows. 0: a document, with its node (hash of the set, null if empty), size,
     and, once a chunk of a task and node, its signature. 1: nodes a < b that are a group, sharing a prefix hash. 2: hash
-    a of a group of three nodes or more, and its node b.
+    a of a group of three nodes or more, or a frequent one, and its node b.
 
-    Tasks send each chunk's prefix hashes as one block for each bucket of hashes, once for equal sets."""
+    Tasks send each chunk's prefix hashes as one block for each bucket of hashes, once for equal sets. Frequent hashes are in
+    buckets by node, so that no hash is one task's: any other has less than one in MAX_FREQUENT of all."""
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(64, int(chars / 5 * (100 - percent) / 100 / BUCKET))
+    node_buckets = max(8, buckets // 4)
     rare_last = docs.sparkSession.sparkContext.broadcast(frequent(docs, k))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     names = ["kind", "part", "doc_id", "text_key", "a", "b", "n", "data"]
@@ -88,7 +94,7 @@ def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
         for batch in batches:
             for a, b, texts in text_chunks(batch.column(1)):
                 seen: set[int] = set()
-                nodes, sizes, signatures, found = [], [], [], []
+                nodes, sizes, signatures, found, often = [], [], [], [], []
                 for s in sets(texts, k):
                     node = node_of(s) if len(s) else None
                     nodes.append(node)
@@ -99,17 +105,22 @@ def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     seen.add(node)
                     signatures.append(signature(s))
                     length = len(s) - -(-percent * len(s) // 100) + 1
+                    rare = len(s)
                     if len(last):
                         common = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
                         s = np.concatenate([s[~common], s[common]])
+                        rare -= int(common.sum())
                     token = np.empty(length, TOKEN)
                     token["h"], token["node"] = s[:length], node
                     found.append(token)
+                    often.append(np.arange(length) >= rare)
                 part = batch.slice(a, b - a)
                 yield rows(b - a, part.column(0).type, 0, part=np.arange(a, b), doc_id=part.column(0), text_key=part.column(2), a=nodes, n=sizes, data=signatures)
                 if found:
                     token = np.concatenate(found)
-                    bucket = (mix(token["h"]) % np.uint64(buckets)).astype(np.int64)
+                    by_hash = mix(token["h"]) % np.uint64(buckets)
+                    by_node = mix(token["node"].view(np.uint64)) % np.uint64(node_buckets) + np.uint64(buckets)
+                    bucket = np.where(np.concatenate(often), by_node, by_hash).astype(np.int64)
                     token = token[np.argsort(bucket, kind="stable")]
                     used, n = np.unique(bucket, return_counts=True)
                     cut = np.cumsum(n)
@@ -128,6 +139,9 @@ def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 h, node = h[keep], node[keep]
             ends = np.flatnonzero(np.r_[h[1:] != h[:-1], True]) if len(h) else np.zeros(0, np.int64)
             size = np.diff(ends, prepend=-1)
+            if now is not None and now >= buckets:  # frequent hashes, of which other buckets hold other nodes
+                yield rows(len(h), doc_type, 2, a=h.view(np.int64), b=node)
+                return
             last = ends[size == 2]
             pairs = np.unique(np.stack([node[last - 1], node[last]], 1), axis=0)
             yield rows(len(pairs), doc_type, 1, a=pairs[:, 0], b=pairs[:, 1])
@@ -153,31 +167,34 @@ def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 class Tree:
     """A signature tree over sets of one group: inner nodes hold the OR of their bitmaps, the range of sizes, the greatest
-    excess of a size over its bitmap's bits, and their component if they have but one."""
+    excess of a size over its bitmap's bits, and their component and home (see _open_groups) if they have but one."""
 
-    def __init__(self, bitmaps: np.ndarray, sizes: np.ndarray, comps: np.ndarray, rows: np.ndarray):
-        order = np.lexsort((sizes, comps))
-        self.bitmaps, self.sizes, self.comps, self.rows = bitmaps[order], sizes[order], comps[order], rows[order]
+    def __init__(self, bitmaps: np.ndarray, sizes: np.ndarray, comps: np.ndarray, homes: np.ndarray, rows: np.ndarray, leaf: int = LEAF):
+        order = np.lexsort((sizes, comps, homes))
+        self.bitmaps, self.sizes, self.comps, self.homes, self.rows = bitmaps[order], sizes[order], comps[order], homes[order], rows[order]
         self.bits = np.bitwise_count(self.bitmaps).sum(1, dtype=np.int64)
+        self.leaf = leaf
         self.root = self._build(0, len(rows))
 
     def _build(self, lo: int, hi: int) -> tuple:
         part = slice(lo, hi)
-        children = () if hi - lo <= LEAF else (self._build(lo, (lo + hi) // 2), self._build((lo + hi) // 2, hi))
+        children = () if hi - lo <= self.leaf else (self._build(lo, (lo + hi) // 2), self._build((lo + hi) // 2, hi))
         bitmap = np.bitwise_or.reduce(self.bitmaps[part]) if not children else children[0][2] | children[1][2]
-        comp = self.comps[lo] if self.comps[lo] == self.comps[hi - 1] else None
-        return lo, hi, bitmap, self.sizes[part].min(), self.sizes[part].max(), (self.sizes[part] - self.bits[part]).max(), comp, children
+        comps = self.comps[part]
+        comp = comps[0] if comps.min() == comps.max() else None
+        home = self.homes[lo] if self.homes[lo] == self.homes[hi - 1] >= 0 else None
+        return lo, hi, bitmap, self.sizes[part].min(), self.sizes[part].max(), (self.sizes[part] - self.bits[part]).max(), comp, children, home
 
 
 def dual(p: Tree, q: Tree, percent: int) -> list[np.ndarray]:
-    """Pairs of rows of p and q (the same tree or two) that may reach the threshold and are of different components. A pair of
-    nodes is left out if its sizes are too far apart, if the overlap that bitmaps and sizes allow is too small, or if both
-    are of one component."""
+    """Pairs of rows of p and q (the same tree or two) that may reach the threshold and are of different components and homes. A
+    pair of nodes is left out if its sizes are too far apart, if the overlap that bitmaps and sizes allow is too small, or if
+    both are of one component or home."""
     share = percent / (100 + percent)
     found, stack = [], [(p.root, q.root)]
     while stack:
         x, y = stack.pop()
-        if 100 * x[4] < percent * y[3] or 100 * y[4] < percent * x[3] or (x[6] is not None and x[6] == y[6]):
+        if 100 * x[4] < percent * y[3] or 100 * y[4] < percent * x[3] or (x[6] is not None and x[6] == y[6]) or (x[8] is not None and x[8] == y[8]):
             continue
         common = int(np.bitwise_count(x[2] & y[2]).sum())
         if min(x[4], y[4], x[5] + common, y[5] + common) < share * (x[3] + y[3]) - 1e-9:
@@ -192,7 +209,7 @@ def dual(p: Tree, q: Tree, percent: int) -> list[np.ndarray]:
         else:
             i, j = np.meshgrid(np.arange(x[0], x[1]), np.arange(y[0], y[1]), indexing="ij")
             i, j = i.ravel(), j.ravel()
-            keep = p.comps[i] != q.comps[j]
+            keep = (p.comps[i] != q.comps[j]) & ((p.homes[i] != q.homes[j]) | (p.homes[i] < 0))
             if p is q and x[0] == y[0]:
                 keep &= i < j
             i, j = i[keep], j[keep]
@@ -209,10 +226,12 @@ def fold(bitmap: bytes, n_bytes: int) -> np.ndarray:
     return np.bitwise_or.reduce(np.frombuffer(bitmap, np.uint64).reshape(-1, n_bytes // 8))
 
 
-def trees_pairs(nodes: np.ndarray, sizes: np.ndarray, comps: np.ndarray, data: list[bytes], sides: np.ndarray, percent: int) -> np.ndarray:
+def trees_pairs(nodes: np.ndarray, sizes: np.ndarray, comps: np.ndarray, data: list[bytes], sides: np.ndarray, percent: int, homes: np.ndarray | None = None, leaf: int = LEAF) -> np.ndarray:
     """Candidate pairs of nodes of one group: a tree for each width of bitmap; trees of equal and of neighbouring widths meet. sides
-    (0, 1 or 2) tells the parts of a large group: pairs of 1 and 2 only, or all pairs of 0."""
+    (0, 1 or 2) tells the parts of a large group: pairs of 1 and 2 only, or all pairs of 0. Nodes of one home, if that
+    isn't -1, meet in another group."""
     width = np.array([len(x) for x in data])
+    homes = np.full(len(nodes), -1) if homes is None else homes
     out = []
     widths = np.unique(width)
     for w in widths:
@@ -223,23 +242,28 @@ def trees_pairs(nodes: np.ndarray, sizes: np.ndarray, comps: np.ndarray, data: l
                 i, j = np.flatnonzero((width == w) & (sides == s)), np.flatnonzero((width == v) & (sides == t))
                 if not len(i) or not len(j):
                     continue
-                p = Tree(np.stack([fold(data[x], w) for x in i]), sizes[i], comps[i], nodes[i])
-                q = p if v == w and s == t else Tree(np.stack([fold(data[x], w) for x in j]), sizes[j], comps[j], nodes[j])
+                p = Tree(np.stack([fold(data[x], w) for x in i]), sizes[i], comps[i], homes[i], nodes[i], leaf)
+                q = p if v == w and s == t else Tree(np.stack([fold(data[x], w) for x in j]), sizes[j], comps[j], homes[j], nodes[j], leaf)
                 out += dual(p, q, percent)
     pairs = np.concatenate([*out, np.zeros((0, 2), np.int64)])
     return np.sort(pairs, 1)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, repeated: bool, nodes: DataFrame, k: int, percent: int, name: str) -> DataFrame:
-    """The links among candidate pairs (a, b) of nodes, checked on the whole texts of their representatives, written."""
+def _texts(docs: DataFrame, repeated: bool) -> DataFrame:
+    """docs' texts with their keys, a row for each that can be a node's representative."""
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    if repeated:  # a representative is one row
-        texts = texts.dropDuplicates(["doc_id", "text_key"])
+    return texts.dropDuplicates(["doc_id", "text_key"]) if repeated else texts
+
+
+def _with_text(rows: DataFrame, node: str, name: str, texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """rows with the text, called name, of the representative of the node in the column `node`."""
+    keyed = rows.join(nodes.select(F.col("node").alias(node), "rep"), node)
+    met = keyed.alias("r").join(texts.alias("t"), F.expr("r.rep.text_key = t.text_key AND r.rep.doc_id <=> t.doc_id"))
+    return met.select("r.*", F.col("t.text").alias(name)).drop("rep")
 
-    def with_text(rows: DataFrame, node: str, name: str) -> DataFrame:
-        keyed = rows.join(nodes.select(F.col("node").alias(node), "rep"), node)
-        met = keyed.alias("r").join(texts.alias("t"), F.expr("r.rep.text_key = t.text_key AND r.rep.doc_id <=> t.doc_id"))
-        return met.select("r.*", F.col("t.text").alias(name)).drop("rep")
+
+def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, k: int, percent: int, name: str) -> DataFrame:
+    """The links among candidate pairs (a, b) of nodes, checked on the whole texts of their representatives, written."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,7 +282,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, repeated: bool, nodes: DataFram
                     linked.append(100 * both >= percent * (len(known[a]) + len(known[b]) - both))
                 yield part.filter(pa.array(linked)).select(["a", "b"])
 
-    return materialize(with_text(with_text(pairs, "a", "x"), "b", "y").select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), name)
+    both = _with_text(_with_text(pairs, "a", "x", texts, nodes), "b", "y", texts, nodes)
+    return materialize(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), name)
 
 
 def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -293,20 +318,67 @@ def _hub_pairs(table: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
 
 
-def _second_round(table: DataFrame, nodes: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes of different components in groups of three nodes or more, by dual traversal."""
-    members = table.where("kind = 2").select(F.col("a").alias("h"), F.col("b").alias("node"))
+def _open_groups(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """h, node, comp, size, home of groups that hold several components, written.
+
+    A node's home is its largest open group. Two nodes of one home meet there and needn't elsewhere, so a group whose nodes
+    all have one other home is left out: texts with a long passage in common share many hashes, but one group compares them."""
     placed = members.join(comps, "node", "left").select("h", "node", F.coalesce("component", "node").alias("comp"))
     open_groups = placed.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo != hi").select("h", "size")
     rows = materialize(placed.join(open_groups, "h"), "jaccard-open")
-    rows = rows.join(nodes.select("node", "n", "data"), "node")
-    # A group in c parts: each node goes to the pairs of its part with itself and with every other.
-    parts = F.ceil(F.col("size") / PART).cast("int")
-    mine = F.pmod(F.xxhash64("node"), parts).cast("int")
-    rows = rows.withColumns({"parts": parts, "mine": mine})
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
-    rows = rows.select("h", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), side.alias("side"), "node", "comp", "n", "data")
+    homes = rows.groupBy("node").agg(F.max(F.struct("size", "h")).alias("home")).select("node", F.col("home.h").alias("home"))
+    rows = rows.join(homes, "node")
+    needed = rows.groupBy("h").agg(F.min("home").alias("lo"), F.max("home").alias("hi")).where("lo != hi OR lo = h").select("h")
+    return materialize(rows.join(needed, "h"), "jaccard-needed")
+
+
+def _in_parts(rows: DataFrame, percent: int) -> DataFrame:
+    """rows (h, node, comp, n and more) of large groups, each once for every pair of parts that it belongs to: parts i <= j, and side 0
+    (i = j), 1 (of i) or 2 (of j).
+
+    A part holds PART nodes of one band of sizes, about; parts whose bands aren't neighbours can't be similar. Components
+    of more than PART nodes have parts of their own, which don't meet each other; the others stay whole."""
+    large = rows.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > PART).select("h", "comp", F.col("comp").alias("owner"))
+    rows = rows.join(large, ["h", "comp"], "left").withColumn("band", F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("int"))
+    counts = rows.groupBy("h", "owner", "band").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts"))
+    same = F.expr("r.h = c.h AND r.owner <=> c.owner AND r.band = c.band")
+    dealt = F.pmod(F.xxhash64(F.when(F.col("r.owner").isNull(), F.col("r.comp")).otherwise(F.col("r.node"))), F.col("c.parts"))
+    rows = rows.alias("r").join(counts.alias("c"), same).select("r.*", F.struct(F.col("r.owner").alias("owner"), F.col("r.band").alias("band"), dealt.alias("number")).alias("mine"))
+    rows = rows.join(rows.groupBy("h").agg(F.array_sort(F.collect_set("mine")).alias("all")), "h")
+    meets = lambda x: (F.abs(x["band"] - F.col("mine.band")) <= 1) & (x["owner"].isNull() | F.col("mine.owner").isNull() | (x["owner"] != F.col("mine.owner")))
+    rows = rows.withColumn("other", F.explode(F.filter("all", meets)))
+    at, to = F.array_position("all", F.col("mine")), F.array_position("all", F.col("other"))
+    side = F.when(at == to, 0).when(at < to, 1).otherwise(2)
+    return rows.withColumns({"i": F.least(at, to), "j": F.greatest(at, to), "side": side}).drop("owner", "band", "mine", "all", "other")
+
+
+def _greatest(rows: DataFrame) -> int:
+    """The size of the largest group."""
+    return rows.agg(F.max("size")).first()[0] or 0
+
+
+def _second_round(table: DataFrame, nodes: DataFrame, texts: DataFrame, comps: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs of nodes of different components in groups of three nodes or more, by dual traversal."""
+    members = table.where("kind = 2").select(F.col("a").alias("h"), F.col("b").alias("node"))
+    rows = _open_groups(members, comps).join(nodes.select("node", "n"), "node")
+
+    def fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, part in text_chunks(batch.column(1)):
+                data = [signature(s, FINE_BITS, MOST_FINE_BITS) for s in sets(part, k)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(data, pa.binary())], ["node", "data"])
+
+    whole = rows.withColumns({"i": F.lit(1).cast("long"), "j": F.lit(1).cast("long"), "side": F.lit(0)})
+    small, large, parted = whole.where(F.col("size") <= FINE_GROUP), whole.where((F.col("size") > FINE_GROUP) & (F.col("size") <= PART)), rows.where(F.col("size") > PART)
+    rows = small.join(nodes.select("node", "data"), "node")
+    greatest = _greatest(whole)
+    if greatest > PART:
+        large = large.unionByName(_in_parts(parted, percent))
+    if greatest > FINE_GROUP:
+        wanted = _with_text(whole.where(F.col("size") > FINE_GROUP).select("node").distinct(), "node", "text", texts, nodes)
+        bitmaps = materialize(wanted.select("node", "text").mapInArrow(fine, "node long, data binary"), "jaccard-bitmaps")
+        rows = rows.unionByName(large.join(bitmaps, "node"))
+    rows = rows.select("h", "i", "j", "side", "node", "comp", "n", "data", F.when(F.col("home") != F.col("h"), F.col("home")).alias("home"), "size")
 
     def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -315,7 +387,9 @@ def _second_round(table: DataFrame, nodes: DataFrame, comps: DataFrame, percent:
         def close() -> None:
             if len(held) > 1:
                 node, comp, n, side = (np.array([x[c] for x in held], np.int64) for c in (0, 1, 2, 4))
-                out.append(trees_pairs(node, n, comp, [x[3] for x in held], side, percent))
+                number = {x: i for i, x in enumerate({x[5] for x in held} - {None})}
+                homes = np.array([number.get(x[5], -1) for x in held])
+                out.append(trees_pairs(node, n, comp, [x[3] for x in held], side, percent, homes, LEAF if held[0][6] <= FINE_GROUP else FINE_LEAF))
 
         def flush() -> pa.RecordBatch:
             pairs = np.unique(np.concatenate([*out, np.zeros((0, 2), np.int64)]), axis=0)
@@ -324,7 +398,7 @@ def _second_round(table: DataFrame, nodes: DataFrame, comps: DataFrame, percent:
 
         now = None
         for batch in batches:
-            columns = [batch.column(x).to_pylist() for x in ("h", "i", "j", "node", "comp", "n", "data", "side")]
+            columns = [batch.column(x).to_pylist() for x in ("h", "i", "j", "node", "comp", "n", "data", "side", "home", "size")]
             for h, i, j, *row in zip(*columns, strict=True):
                 if (h, i, j) != now:
                     close()
@@ -357,12 +431,13 @@ def jaccard_classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     pairs = table.where("kind = 1").select("a", "b").union(_hub_pairs(table, nodes, percent)).distinct()
     first = materialize(_bounded(pairs, nodes, percent), "jaccard-pairs")
     repeated = not members.groupBy("doc_id", "text_key").count().where("count > 1").isEmpty()
-    links = _verified(first, docs, repeated, nodes, k, percent, "jaccard-links")
+    texts = _texts(docs, repeated)
+    links = _verified(first, texts, nodes, k, percent, "jaccard-links")
     comps = materialize(components(links, "jaccard-stars"), "jaccard-components")
-    second = _second_round(table, nodes, comps, percent).distinct().join(first, ["a", "b"], "left_anti")
+    second = _second_round(table, nodes, texts, comps, k, percent).distinct().join(first, ["a", "b"], "left_anti")
     second = materialize(second, "jaccard-more-pairs")
     if second.limit(1).count():
-        links = links.union(_verified(second, docs, repeated, nodes, k, percent, "jaccard-more-links"))
+        links = links.union(_verified(second, texts, nodes, k, percent, "jaccard-more-links"))
         comps = materialize(components(links, "jaccard-stars"), "jaccard-components")
     whole = nodes.join(comps, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     least = whole.groupBy("component").agg(F.min("doc_id").alias("component_id"))

@@ -87,6 +87,37 @@ def test_join_of_a_family_whose_copies_are_only_like_their_original(spark):
         ngram_join.PART = small
 
 
+def test_join_of_nearly_similar_texts_in_one_open_group(spark, monkeypatch):
+    """Texts of several lengths around one passage, most of them just below the threshold, some above; finer bitmaps, parts by
+    size, parts of a large component, and a group that covers the others."""
+    passage, rows = fixtures.prose(2, 200).split(), []
+    for i in range(90):
+        n = (30, 45, 55, 75)[i % 4]
+        rows.append((i + 1, " ".join(passage + [f"w{i}n{j}" for j in range(n)])))
+    long = passage + fixtures.prose(3, 150).split()
+    rows += [(200 + i, " ".join(long[:-8] + [f"v{i}n{j}" for j in range(8 + i % 3)])) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = {i: c for i, (_, c) in classes(rows).items()}
+    assert 20 < len(set(want.values())) < 100
+    for fine, part in ((256, 4096), (4, 16)):
+        monkeypatch.setattr(ngram_join, "FINE_GROUP", fine)
+        monkeypatch.setattr(ngram_join, "PART", part)
+        assert {r.doc_id: r.component_id for r in ngram_join.similar_documents(docs).collect()} == want
+
+
+def test_an_open_group_that_covers_others_is_the_only_one(spark):
+    rows = [(h, node) for h in (1, 2, 3) for node in range(10)] + [(4, node) for node in range(5, 12)] + [(5, 10), (5, 11), (6, 20), (6, 21)]
+    members = spark.createDataFrame(rows, "h bigint, node bigint")
+    comps = spark.createDataFrame([(20, 20), (21, 20)], "node bigint, component bigint")
+    found = ngram_join._open_groups(members, comps).collect()
+    met = {}
+    for r in found:
+        met.setdefault(r.h, []).append(r)
+    assert set(met) == {3, 4}  # 1 and 2 are in 3; 5 is in 4; 6 is one component
+    pairs = {(x.node, y.node) for group in met.values() for x in group for y in group if x.node < y.node and (x.home != y.home or x.home == x.h)}
+    assert pairs == {(x, y) for _, x in rows[:39] for h, y in rows[:39] if x < y and any((g, x) in rows and (g, y) in rows for g in range(1, 6))}
+
+
 def test_trees_find_all_pairs_that_bitmaps_allow():
     rng = np.random.default_rng(5)
     sets = []
@@ -108,6 +139,10 @@ def test_trees_find_all_pairs_that_bitmaps_allow():
             sides = np.zeros(len(rows), int) if a == b else np.where(part[rows] == a, 1, 2)
             split |= {tuple(x) for x in ngram_join.trees_pairs(rows, sizes[rows], rows, [data[r] for r in rows], sides, 75).tolist()}
     assert want <= split
+    # Pairs of one home are another group's, those of none aren't.
+    homes = np.where(np.arange(n) % 4 == 0, -1, np.arange(n) % 2)
+    left = {tuple(x) for x in ngram_join.trees_pairs(np.arange(n), sizes, np.arange(n), data, np.zeros(n, int), 75, homes).tolist()}
+    assert left == {(i, j) for i, j in got if homes[i] != homes[j] or homes[i] < 0}
 
 
 def test_components_of_chains_and_stars(spark):
