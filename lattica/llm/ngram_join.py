@@ -30,9 +30,11 @@ BUCKET = 1_000_000
 #: Bits of a signature for each element, at least, and in all.
 BITS, LEAST_BITS, MOST_BITS = 4, 256, 65_536
 LEAF = 8
-#: Groups of more sets than FINE_GROUP that still hold several components get finer bitmaps, which tell nearly similar sets from
-#: similar ones: bits for each element and in all, and larger leaves.
-FINE_GROUP, FINE_BITS, MOST_FINE_BITS, FINE_LEAF = 256, 32, 131_072, 32
+#: Groups with more candidates a set than MANY get finer bitmaps, which tell nearly similar sets from similar ones: bits for each
+#: element and in all, and larger leaves.
+MANY, FINE_BITS, MOST_FINE_BITS, FINE_LEAF = 8, 32, 131_072, 32
+#: So many nodes, at most, are broadcast to their texts; more are joined by a shuffle.
+FEW = 200_000
 #: Larger groups are dealt to pairs of parts of so many sets, about.
 PART = 4096
 
@@ -255,9 +257,10 @@ def _texts(docs: DataFrame, repeated: bool) -> DataFrame:
     return texts.dropDuplicates(["doc_id", "text_key"]) if repeated else texts
 
 
-def _with_text(rows: DataFrame, node: str, name: str, texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """rows with the text, called name, of the representative of the node in the column `node`."""
+def _with_text(rows: DataFrame, node: str, name: str, texts: DataFrame, nodes: DataFrame, few: bool = False) -> DataFrame:
+    """rows with the text, called name, of the representative of the node in the column `node`; few: rows are FEW at most."""
     keyed = rows.join(nodes.select(F.col("node").alias(node), "rep"), node)
+    keyed = F.broadcast(keyed) if few else keyed
     met = keyed.alias("r").join(texts.alias("t"), F.expr("r.rep.text_key = t.text_key AND r.rep.doc_id <=> t.doc_id"))
     return met.select("r.*", F.col("t.text").alias(name)).drop("rep")
 
@@ -352,53 +355,37 @@ def _in_parts(rows: DataFrame, percent: int) -> DataFrame:
     return rows.withColumns({"i": F.least(at, to), "j": F.greatest(at, to), "side": side}).drop("owner", "band", "mine", "all", "other")
 
 
-def _greatest(rows: DataFrame) -> int:
-    """The size of the largest group."""
-    return rows.agg(F.max("size")).first()[0] or 0
-
-
-def _second_round(table: DataFrame, nodes: DataFrame, texts: DataFrame, comps: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs of nodes of different components in groups of three nodes or more, by dual traversal."""
-    members = table.where("kind = 2").select(F.col("a").alias("h"), F.col("b").alias("node"))
-    rows = _open_groups(members, comps).join(nodes.select("node", "n"), "node")
-
-    def fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, part in text_chunks(batch.column(1)):
-                data = [signature(s, FINE_BITS, MOST_FINE_BITS) for s in sets(part, k)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(data, pa.binary())], ["node", "data"])
-
-    whole = rows.withColumns({"i": F.lit(1).cast("long"), "j": F.lit(1).cast("long"), "side": F.lit(0)})
-    small, large, parted = whole.where(F.col("size") <= FINE_GROUP), whole.where((F.col("size") > FINE_GROUP) & (F.col("size") <= PART)), rows.where(F.col("size") > PART)
-    rows = small.join(nodes.select("node", "data"), "node")
-    greatest = _greatest(whole)
-    if greatest > PART:
-        large = large.unionByName(_in_parts(parted, percent))
-    if greatest > FINE_GROUP:
-        wanted = _with_text(whole.where(F.col("size") > FINE_GROUP).select("node").distinct(), "node", "text", texts, nodes)
-        bitmaps = materialize(wanted.select("node", "text").mapInArrow(fine, "node long, data binary"), "jaccard-bitmaps")
-        rows = rows.unionByName(large.join(bitmaps, "node"))
-    rows = rows.select("h", "i", "j", "side", "node", "comp", "n", "data", F.when(F.col("home") != F.col("h"), F.col("home")).alias("home"), "size")
+def _traversed(rows: DataFrame, percent: int, leaf: int, many: int | None) -> DataFrame:
+    """Candidate pairs a, b of rows (h, i, j, side, node, comp, n, data, home); of a group with more than `many` a set only
+    its h as a, with b null."""
+    rows = rows.select("h", "i", "j", "side", "node", "comp", "n", "data", F.when(F.col("home") != F.col("h"), F.col("home")).alias("home"))
 
     def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         out: list[np.ndarray] = []
+        marks: list[int] = []
 
         def close() -> None:
             if len(held) > 1:
                 node, comp, n, side = (np.array([x[c] for x in held], np.int64) for c in (0, 1, 2, 4))
                 number = {x: i for i, x in enumerate({x[5] for x in held} - {None})}
                 homes = np.array([number.get(x[5], -1) for x in held])
-                out.append(trees_pairs(node, n, comp, [x[3] for x in held], side, percent, homes, LEAF if held[0][6] <= FINE_GROUP else FINE_LEAF))
+                pairs = trees_pairs(node, n, comp, [x[3] for x in held], side, percent, homes, leaf)
+                out.append(pairs)
+                if many is not None and len(pairs) > many * len(held):
+                    out.pop()
+                    marks.append(now[0])
 
         def flush() -> pa.RecordBatch:
             pairs = np.unique(np.concatenate([*out, np.zeros((0, 2), np.int64)]), axis=0)
+            a, b = np.r_[pairs[:, 0], np.array(marks, np.int64)], pa.array(pairs[:, 1].tolist() + [None] * len(marks), pa.int64())
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            marks.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a), b], ["a", "b"])
 
         now = None
         for batch in batches:
-            columns = [batch.column(x).to_pylist() for x in ("h", "i", "j", "node", "comp", "n", "data", "side", "home", "size")]
+            columns = [batch.column(x).to_pylist() for x in ("h", "i", "j", "node", "comp", "n", "data", "side", "home")]
             for h, i, j, *row in zip(*columns, strict=True):
                 if (h, i, j) != now:
                     close()
@@ -411,6 +398,36 @@ def _second_round(table: DataFrame, nodes: DataFrame, texts: DataFrame, comps: D
     return rows.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(traverse, "a long, b long")
 
 
+def _greatest(rows: DataFrame) -> int:
+    """The size of the largest group."""
+    return rows.agg(F.max("size")).first()[0] or 0
+
+
+def _second_round(table: DataFrame, nodes: DataFrame, texts: DataFrame, comps: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs of nodes of different components in groups of three nodes or more, by dual traversal."""
+    members = table.where("kind = 2").select(F.col("a").alias("h"), F.col("b").alias("node"))
+    rows = _open_groups(members, comps).join(nodes.select("node", "n"), "node")
+
+    def fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, part in text_chunks(batch.column(1)):
+                data = [signature(s, FINE_BITS, MOST_FINE_BITS) for s in sets(part, k)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(data, pa.binary())], ["node", "data"])
+
+    whole = rows.where(F.col("size") <= PART).withColumns({"i": F.lit(1).cast("long"), "j": F.lit(1).cast("long"), "side": F.lit(0)})
+    if _greatest(rows) > PART:
+        whole = whole.unionByName(_in_parts(rows.where(F.col("size") > PART), percent))
+    coarse = materialize(_traversed(whole.join(nodes.select("node", "data"), "node"), percent, LEAF, MANY), "jaccard-coarse")
+    many = coarse.where("b IS NULL").select(F.col("a").alias("h")).distinct()
+    found = coarse.where("b IS NOT NULL")
+    if many.isEmpty():
+        return found
+    whole = whole.join(many, "h")
+    wanted = materialize(whole.select("node").distinct(), "jaccard-wanted")
+    bitmaps = _with_text(wanted, "node", "text", texts, nodes, wanted.count() <= FEW).select("node", "text").mapInArrow(fine, "node long, data binary")
+    return found.union(_traversed(whole.join(materialize(bitmaps, "jaccard-bitmaps"), "node"), percent, FINE_LEAF, None))
+
+
 def jaccard_classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, links, classes) of docs (doc_id, text) joined where 100 * intersection >= percent * union.
 

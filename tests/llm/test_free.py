@@ -99,8 +99,8 @@ def test_join_of_nearly_similar_texts_in_one_open_group(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     want = {i: c for i, (_, c) in classes(rows).items()}
     assert 20 < len(set(want.values())) < 100
-    for fine, part in ((256, 4096), (4, 16)):
-        monkeypatch.setattr(ngram_join, "FINE_GROUP", fine)
+    for many, part in ((8, 4096), (0, 16)):
+        monkeypatch.setattr(ngram_join, "MANY", many)
         monkeypatch.setattr(ngram_join, "PART", part)
         assert {r.doc_id: r.component_id for r in ngram_join.similar_documents(docs).collect()} == want
 
