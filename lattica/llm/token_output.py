@@ -24,6 +24,23 @@ MIN_COUNT, RULES_A_ROUND = 7, 4096
 STEP = 256
 
 
+def _buckets(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return (left * np.uint32(0x9E3779B1) ^ right * np.uint32(0x85EBCA6B)) >> np.uint32(12)
+
+
+def _places(chosen: np.ndarray, pair: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """Of each pair, with its bucket, its place in chosen; any place if it isn't there. Each bucket names one of its chosen pairs; the
+    few others are searched for."""
+    own = _buckets((chosen >> np.uint64(32)).astype(np.uint32), chosen.astype(np.uint32))
+    named = np.zeros(1 << 20, np.int32)
+    named[own] = np.arange(len(chosen))
+    which = named[bucket]
+    if len(others := np.flatnonzero(named[own] != np.arange(len(chosen)))):
+        missed = np.flatnonzero(chosen[which] != pair)
+        which[missed] = others[np.minimum(np.searchsorted(chosen[others], pair[missed]), len(others) - 1)]
+    return which
+
+
 def compress(ids: np.ndarray, last: np.ndarray, base: int, max_rules: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, last, rules) of ids, of which `last` marks documents' ends; no rule crosses one. Rule k replaces its pair
     of earlier symbols by symbol base + k.
@@ -35,8 +52,9 @@ def compress(ids: np.ndarray, last: np.ndarray, base: int, max_rules: int) -> tu
     seq, last, rules, n_rules = ids.astype(np.uint32), last.copy(), [], 0
     while len(seq) > 1 and (room := min(RULES_A_ROUND, max_rules - n_rules)) > 0:
         inner = ~last[:-1]
-        bucket = (seq[:-1] * np.uint32(0x9E3779B1) ^ seq[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(12)
-        counts = np.bincount(bucket[inner], minlength=1 << 20)
+        bucket = _buckets(seq[:-1], seq[1:])
+        counts = np.bincount(bucket, minlength=1 << 20)
+        np.subtract.at(counts, bucket[~inner], 1)
         full = counts[counts >= MIN_COUNT]
         floor = int(np.partition(full, -room)[-room]) if len(full) > room else MIN_COUNT
         at = np.flatnonzero((counts >= floor)[bucket] & inner)
@@ -48,7 +66,7 @@ def compress(ids: np.ndarray, last: np.ndarray, base: int, max_rules: int) -> tu
         chosen = np.sort(ordered[edge[often[np.argsort(-times[often], kind="stable")[:room]]]])
         if not len(chosen):
             break
-        which = np.minimum(np.searchsorted(chosen, pair), len(chosen) - 1)
+        which = _places(chosen, pair, bucket[at])
         hit = chosen[which] == pair
         at, symbol = at[hit], (which[hit] + base + n_rules).astype(np.uint32)
         nth = np.arange(len(at))
@@ -72,16 +90,16 @@ def pack_shard(doc_ids: list, ids: np.ndarray, sizes: np.ndarray, vocabulary: in
     last[np.cumsum(sizes) - 1] = True
     symbols, last, rules = compress(ids, last, vocabulary, (1 << 16) - vocabulary if vocabulary < 1 << 16 else 1 << 20)
     width = 2 if vocabulary + len(rules) <= 1 << 16 else 4
-    lengths = np.ones(vocabulary + len(rules), np.uint32)
-    for k, (a, b) in enumerate(rules):
-        lengths[vocabulary + k] = lengths[a] + lengths[b]
+    lengths = [1] * vocabulary
+    for a, b in rules.tolist():
+        lengths.append(lengths[a] + lengths[b])
     ends = np.flatnonzero(last) + 1
     known = [x is not None for x in doc_ids]
     return b"".join(
         [
             HEADER.pack(MAGIC, width, vocabulary, len(rules), len(doc_ids), len(symbols)),
             rules.astype("<u4").tobytes(),
-            lengths[vocabulary:].astype("<u4").tobytes(),
+            np.array(lengths[vocabulary:], "<u4").tobytes(),
             np.array([x or 0 for x in doc_ids], "<i8").tobytes(),
             np.array(known, np.uint8).tobytes(),
             sizes.astype("<u4").tobytes(),
@@ -114,7 +132,7 @@ class Shard:
         self.ends = np.cumsum(read("<u4", n_docs), dtype=np.int64)
         self.symbols = read(f"<u{width}", n_symbols)
 
-    def expand(self, symbols: np.ndarray) -> np.ndarray:
+    def _by_level(self, symbols: np.ndarray) -> np.ndarray:
         """The ids of symbols: nonterminals give way to their pairs, level by level."""
         seq = symbols.astype(np.uint32)
         while (at := np.flatnonzero(seq >= self.base)).size:
@@ -127,6 +145,18 @@ class Shard:
             seq = out
         return seq
 
+    def expand(self, symbols: np.ndarray) -> np.ndarray:
+        """The ids of symbols. Of more symbols than there are rules, each rule is expanded once, and symbols take their ids from there."""
+        if len(symbols) <= len(self.rules):
+            return self._by_level(symbols)
+        held = np.concatenate([np.arange(self.base, dtype=np.uint32), self._by_level(np.arange(self.base, self.base + len(self.rules)))])
+        length = np.concatenate([np.ones(self.base, np.int64), self.lengths])
+        n = length[symbols]
+        ends = np.cumsum(n)
+        at = np.repeat((np.cumsum(length) - length)[symbols] - (ends - n), n)
+        at += np.arange(len(at))
+        return held[at]
+
     def document(self, k: int) -> np.ndarray:
         """The ids of the k-th document, from its own symbols alone."""
         return self.expand(self.symbols[self.ends[k - 1] if k else 0 : self.ends[k]])

@@ -19,6 +19,10 @@ import numpy as np
 _OTHER = re.compile("[\x00-\x09\x0b-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Letters below stay letters, one each, when they are lower-cased.
 _LATIN_END = "İ"
+#: Units of Latin letters in lower case and printable ASCII, and the pieces that the word tokenizer cuts them into.
+_LETTERS = "a-zªµºß-öø-\u012f"
+_PLAIN = re.compile(f"[!-~{_LETTERS}]+").fullmatch
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+").findall
 
 
 def in_runs(text: str) -> bool:
@@ -50,11 +54,19 @@ class _Units(dict):
             return out
         text = unit.decode() if self.kind == "word" else unit
         word = text.removeprefix(" ")
-        if word[-1:] in (".", ",") and word[:-1].isalpha():
-            # A full stop or comma after a word is a piece of its own.
+        if word[-1:] in (".", ",") and word[:-1].isalpha() and (self.kind == "byte" or word[-2] < _LATIN_END or unicodedata.normalize("NFC", word).lower()[-2].isalpha()):
+            # A full stop or comma after a word is a piece of its own, if what the word ends with is a letter when it is normalised too.
             out = self[unit[:-1]] + self[unit[-1:]]
             self[unit] = out
             return out
+        if self.kind == "word" and not word.isalpha() and _PLAIN(lower := text.lower()):
+            pieces = _PIECES(lower)
+            if len(pieces) > 1:
+                out = b"".join([self[x.encode()] for x in pieces])
+            else:  # a piece without letters is ASCII, which stands for itself
+                out = array(self.code, [t.id for t in self.pieces(text)]).tobytes()
+            self[unit] = out
+            return out
         if word.isalpha() and max(word) < _LATIN_END:
             # A word of Latin letters is one piece: the model alone does, on its letters as bytes.
             if self.kind == "word":
@@ -95,8 +107,9 @@ class Encoder:
                 out.append(np.array(self.as_whole().encode(text, add_special_tokens=False).ids, self.dtype).tobytes())
                 continue
             if self.kind == "word":
-                units = (text or "").encode().lower().split()
-            elif not text:
+                out.append(b"".join(map(get, (text or "").encode().lower().split())))
+                continue
+            if not text:
                 units = []
             elif in_runs(text):
                 out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes())

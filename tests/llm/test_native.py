@@ -256,3 +256,57 @@ def test_edited_texts_and_neighbours(spark, tmp_path):
     (tmp_path / "none").mkdir()
     fixtures.empty(spark).write.parquet(f"{tmp_path}/none/documents.parquet")
     assert fingerprints.op6_fingerprints(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_word_units_of_letters_and_symbols_need_no_whole_encoding():
+    """Their pieces are the model's alone, and have the library's ids."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from lattica.llm.tokens import Encoder
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    made, whole = Encoder(path, "word"), Tokenizer.from_file(path)
+    texts = ["it's 'start ##'s '''ll I'M x'd'd a1b2 innttion&&& 3rd", "épa### ÀÉ!! µª-º «a» a²'s don't", "<|ENDOFTEXT|>"]
+    plain = [t for text in texts for t in text.split() if not set(t) & set("«»²")]
+
+    class Counted:
+        def __init__(self):
+            self.n = 0
+
+        def encode(self, *args, **options):
+            self.n += 1
+            return whole.encode(*args, **options)
+
+    made.cache.tokenizer = counted = Counted()
+    for t in plain:
+        assert np.frombuffer(made.encode([t])[0], made.dtype).tolist() == whole.encode(t, add_special_tokens=False).ids, t
+    assert not counted.n
+    for t in texts:
+        assert np.frombuffer(made.encode([t])[0], made.dtype).tolist() == whole.encode(t, add_special_tokens=False).ids, t
+
+
+def test_full_stop_after_a_letter_that_is_none_when_normalised():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from lattica.llm.tokens import Encoder
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    made, whole = Encoder(path, "word"), Tokenizer.from_file(path)
+    for t in ("TARİHİ. İ,", "क़.", "שׁ,", "ŉ."):
+        assert np.frombuffer(made.encode([t])[0], made.dtype).tolist() == whole.encode(t, add_special_tokens=False).ids, t
+
+
+def test_shard_expands_its_rules_once():
+    """Not all symbols anew at each level of the rules."""
+    from lattica.llm.token_output import Shard, pack_shard
+
+    rng = np.random.default_rng(5)
+    ids = rng.integers(0, 50, 128_000)
+    shard = Shard(pack_shard([1, 2], ids, np.array([64_000, 64_000]), 1000))
+    seen, levels = [], shard._by_level
+    shard._by_level = lambda symbols: seen.append(len(symbols)) or levels(symbols)
+    assert len(shard.rules) < len(shard.symbols) and (shard.expand(shard.symbols) == ids).all()
+    assert seen == [len(shard.rules)]
+    assert (shard.document(1) == ids[64_000:]).all()
