@@ -19,16 +19,20 @@ def _pack(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+#: By eight bits of a byte and three of k: place of the byte's k-th one.
+_IN_BYTE = np.array([([i for i in range(8) if byte >> i & 1] + [0] * 8)[k] for byte in range(256) for k in range(8)], np.uint8)
+
+
 def _in_word(word: np.ndarray, k: np.ndarray) -> np.ndarray:
     """Place of the k-th one (from 0) in 64-bit words."""
     place = np.zeros(len(word), np.uint64)
-    for half in (32, 16, 8, 4, 2, 1):
-        low = (word >> place) & np.uint64((1 << half) - 1)
-        ones = np.bitwise_count(low).astype(np.int64)
+    for half in (32, 16, 8):
+        ones = np.bitwise_count((word >> place) & np.uint64((1 << half) - 1))
         up = k >= ones
-        k = np.where(up, k - ones, k)
-        place = np.where(up, place + np.uint64(half), place)
-    return place.astype(np.int64)
+        k = k - ones * up
+        place += up * np.uint64(half)
+    byte = ((word >> place) & np.uint64(255)).astype(np.int64)
+    return place.astype(np.int64) + _IN_BYTE[byte << 3 | k & 7]
 
 
 class EliasFano:
@@ -66,7 +70,7 @@ class EliasFano:
         at = i.astype(np.uint64) * np.uint64(self.width)
         word, bit = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
         value = self.low[word] >> bit
-        value |= np.where(bit > 0, self.low[word + 1] << ((np.uint64(64) - bit) & np.uint64(63)), np.uint64(0))
+        value |= (self.low[word + 1] << _ONE) << (np.uint64(63) - bit)  # nothing where bit is 0
         return value & np.uint64((1 << self.width) - 1)
 
     def _between(self, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,11 +78,15 @@ class EliasFano:
         second zero is mostly in the first one's word."""
         k = np.maximum(top - 1, 0)
         word = np.searchsorted(self.zeros, k.astype(np.uint32), side="right") - 1
-        empty, nth = ~self.high[word], k - self.zeros[word]
-        lo = np.where(top > 0, word * 64 + _in_word(empty, nth) - k, 0)
-        nth += top - k
-        hi = word * 64 + _in_word(empty, nth) - top
-        far = np.flatnonzero(nth >= np.bitwise_count(empty))
+        empty = ~self.high[word]
+        place = _in_word(empty, k - self.zeros[word])
+        lo = word * 64 + place - k
+        # The zeros above the first one; where there is none before, that one is meant itself.
+        above = empty & (~np.uint64(1) << place.astype(np.uint64))
+        hi = word * 64 + np.bitwise_count(~above & (above - _ONE)) - top
+        none = np.flatnonzero(top == 0)
+        hi[none], lo[none] = lo[none], 0
+        far = np.flatnonzero((above == 0) & (top > 0))
         hi[far] = self._after_zero(top[far])
         return lo, hi
 

@@ -26,6 +26,8 @@ ORDER, MIN_COUNT, DISCOUNT = 3, 1, 0.75
 END = np.uint64(0x0E0E0E0E0E0E0E0E)
 #: Entries of counts in a bucket, about, and characters of text that are taken at a time.
 BUCKET, CHARS = 2_000_000, 3_500_000
+#: N-grams of a bucket that are searched for at a time.
+FOUND = 500_000
 #: Probabilities are kept as steps of log10, 255 of them over 10.
 STEPS = 25.5
 #: Marks a shard within the files that Spark writes; a random value.
@@ -228,6 +230,7 @@ class _Sums:
             keys = np.concatenate([self.keys, *(np.cumsum(x["key"], dtype=np.uint64) for x in entries)])
             counts = np.concatenate([self.counts, *(x["n"].astype(np.int64) for x in entries)])
             self.held, self.n = [], 0
+            del entries
             order = np.argsort(keys, kind="stable")  # runs that are sorted already are merged
             keys, counts = keys[order], counts[order]
             first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
@@ -243,9 +246,13 @@ def _level(blocks: DataFrame, build, bounds: list[int], min_count: int) -> Level
 
         def close() -> pa.RecordBatch:
             keys, counts = held.total()
-            keep = counts >= min_count
-            shard = build(now, keys[keep], counts[keep])
-            return pa.RecordBatch.from_arrays([pa.array([now]), pa.array([int(keep.sum())]), pa.array([int(counts.sum())]), pa.array([shard.to_bytes()], pa.binary())], ["shard", "n", "total", "blob"])
+            if min_count > 1:
+                total, keep = int(counts.sum()), counts >= min_count
+                keys, counts = keys[keep], counts[keep]
+            else:
+                total = int(counts.sum())
+            shard = build(now, keys, counts)
+            return pa.RecordBatch.from_arrays([pa.array([now]), pa.array([len(keys)]), pa.array([total]), pa.array([shard.to_bytes()], pa.binary())], ["shard", "n", "total", "blob"])
 
         for batch in batches:
             for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -339,9 +346,14 @@ def _longer(docs: DataFrame, trie: Trie, min_count: int, discount: float, n_buck
         total, below = _below(trie, context, word, first, last)
         kept = np.bincount(by, counts - discount, last - first)
         left = np.clip(1 - kept / np.maximum(total, 1), 1e-10, 1)
-        prob = np.clip((counts - discount) / total[by] + left[by] * below, 1e-10, 1)
+        prob = counts - discount
+        prob /= total[by]
+        below *= left[by]
+        prob += below
+        del context, word, by, below  # a bucket's arrays are what a task holds
+        prob = quantise(np.log10(np.clip(prob, 1e-10, 1, out=prob), out=prob))
         sequence = EliasFano.build(keys - np.uint64(first * n_words), (last - first) * n_words)
-        return Shard(k, first, last - first, n_words, sequence, quantise(np.log10(prob)), quantise(np.log10(left)), narrow(counts))
+        return Shard(k, first, last - first, n_words, sequence, prob, quantise(np.log10(left)), narrow(counts))
 
     level = _level(docs.mapInArrow(count, schema), shard, bounds, min_count)
     return Trie([*trie.levels, level], trie.train_tokens)
@@ -384,7 +396,9 @@ def _below(trie: Trie, context: np.ndarray, word: np.ndarray, first: int, last:
             last_word[mine] = keys_of(s.keys)[(distinct[mine] - np.uint64(before)).astype(np.int64)] % np.uint64(s.words)
     if len(trie.levels) > 2:
         raise ValueError("n-grams of up to three words")
-    _, prob, _ = trie.levels[1].find(last_word[back], word, trie.n_words)
+    prob = np.empty(len(word))
+    for a in range(0, len(word), FOUND):  # a search holds many times what it returns
+        prob[a : a + FOUND] = trie.levels[1].find(last_word[back[a : a + FOUND]], word[a : a + FOUND], trie.n_words)[1]
     return total, 10**prob
 
 

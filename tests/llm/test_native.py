@@ -310,3 +310,46 @@ def test_shard_expands_its_rules_once():
     assert len(shard.rules) < len(shard.symbols) and (shard.expand(shard.symbols) == ids).all()
     assert seen == [len(shard.rules)]
     assert (shard.document(1) == ids[64_000:]).all()
+
+
+def test_search_selects_a_zero_once():
+    """The zero behind a key's high bits is the next one of the word, mostly."""
+    from lattica.llm import elias_fano
+
+    rng = np.random.default_rng(6)
+    keys = np.unique(rng.integers(0, 1 << 30, 20_000).astype(np.uint64))
+    made = elias_fano.EliasFano.build(keys, 1 << 30)
+    asked = np.concatenate([keys, rng.integers(0, 1 << 30, 20_000).astype(np.uint64), np.arange(3, dtype=np.uint64)])
+    looked, select = [], elias_fano._in_word
+    elias_fano._in_word = lambda word, k: looked.append(len(word)) or select(word, k)
+    try:
+        found = made.find(asked)
+    finally:
+        elias_fano._in_word = select
+    want = np.searchsorted(keys, asked)
+    held = keys[np.minimum(want, len(keys) - 1)] == asked
+    assert (found == np.where(held, want, -1)).all()
+    assert sum(looked) < 1.5 * len(asked)
+
+
+def test_buckets_are_searched_in_parts(monkeypatch):
+    """A bucket's lower probabilities are looked up so many n-grams at a time, with equal results."""
+    from lattica.llm import lm
+
+    class Found:
+        sizes = []
+
+        def find(self, contexts, words, n):
+            self.sizes.append(len(words))
+            return None, -(contexts + words).astype(float) / 100, None
+
+        shards, before = {}, [0]
+
+    class Grams:
+        levels, n_words = [Found(), Found()], 50
+
+    word = np.arange(45, dtype=np.uint64)
+    monkeypatch.setattr(lm, "FOUND", 10)
+    Grams.levels[-1].n = 45
+    _, below = lm._below(Grams(), np.arange(45, dtype=np.uint64), word, 0, 45)
+    assert max(Found.sizes) <= 10 and np.allclose(below, 10.0 ** (-word.astype(float) / 100))
