@@ -11,9 +11,10 @@ from lattica.functions import series as S
 from lattica.operators import capm, components, correlation, folds, labels, metrics, models, network, panel, tiles, walkforward
 from lattica.plans import catalogue
 from lattica.sources import cache
+from lattica.sources import panel as source
 from lattica.sources.config import Config, key_of, registry
 from lattica.sources.tables import nan_to_null
-from tests.compare import SF
+from tests.compare import SF, TABLES, duck, key
 
 DAY = dt.date(2020, 1, 1)
 
@@ -683,3 +684,55 @@ def test_entry_has_a_row_a_date(spark):
     rows = __spark_entry__.entry(spark).collect()
     assert rows and len({r.date for r in rows}) == len(rows)
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.fixture
+def split_size(spark):
+    """Sets the bytes of a file that a task reads."""
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    yield lambda size: spark.conf.set(name, size)
+    spark.conf.set(name, before)
+
+
+def test_levels_are_added_up_in_the_order_of_the_rows(spark, tmp_path, split_size):
+    """In runs of a file's rows, whatever tasks read them; nulls are skipped, and a month of nulls has none."""
+    random, folder = np.random.default_rng(4), tmp_path / "orders.parquet"
+    folder.mkdir()
+    files = []
+    for i in range(2):
+        month = random.integers(1, 4, 60)
+        x = [None if m == 3 or random.random() < 0.1 else float(10.0 ** random.integers(0, 17) / 3) for m in month]
+        pd.DataFrame({"o_orderdate": np.array([f"2020-{m:02}-05" for m in month], "datetime64[us]"), "o_totalprice": x}).to_parquet(folder / f"{i}.parquet", row_group_size=7)
+        files.append(list(zip(month, x)))
+    split_size(500)
+    rows = spark.read.parquet(str(folder))
+    assert rows.rdd.getNumPartitions() > 8
+    for run in (60, 11):
+        want = []
+        for m in (1, 2):
+            total, n = 0.0, 0
+            for held in files:
+                for start in range(0, len(held), run):
+                    part = 0.0
+                    for _, x in [r for r in held[start : start + run] if r[0] == m and r[1] is not None]:
+                        part, n = part + x, n + 1
+                    total += part
+            want.append(total / n)
+        found = source.market_level(spark, str(tmp_path)) if run == 60 else source.mean_in_order(rows, source.month("o_orderdate"), F.col("o_totalprice"), "level", run)
+        assert column(found, "level") == [*want, None]
+
+
+@pytest.mark.parametrize("name", ["fwd_drawdown_dummy", "crop_first_valid"])
+def test_labels_of_many_tasks_equal_the_sql_in_one_thread(spark, tmp_path, split_size, name):
+    """DuckDB adds up means in the order of the rows if it has one thread; with more, labels of equal falls vary from run to run."""
+    orders = pd.concat([pd.read_parquet(f"{SF}/orders.parquet")] * 12, ignore_index=True)
+    orders["o_orderkey"] = np.arange(len(orders))
+    for t in TABLES:
+        (tmp_path / f"{t}.parquet").symlink_to(f"{SF}/{t}.parquet") if t != "orders" else orders.to_parquet(tmp_path / "orders.parquet", row_group_size=10_000)
+    split_size(100_000)
+    df = catalogue.QUERIES[name](spark, str(tmp_path))
+    con = duck(tmp_path)
+    con.sql("SET threads = 1")
+    theirs = con.sql(catalogue.ORACLES[name]).select(*[f'"{c}"' for c in sorted(df.columns)]).fetchall()
+    assert sorted(map(key, df.select(*sorted(df.columns)).collect())) == sorted(map(key, theirs))
