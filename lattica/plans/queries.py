@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lattica.functions import series as S
 from lattica.operators import capm, correlation, folds, labels, metrics, network, panel, tiles, walkforward
 from lattica.sources import panel as source
-from lattica.sources.tables import table
+from lattica.sources.tables import materialize, table
 
 #: Parameters of the study on these tables: correlation rows, label rows, quantile, threshold, horizon, fill limits. The
 #: risk-free series lacks three months of each year, which RF_LIMIT bridges.
@@ -312,6 +312,7 @@ def _walk(spark, d, scheme: walkforward.Scheme, models: dict = LOGISTIC, names:
     returns = _returns(spark, d).where("ret IS NOT NULL")
     feature = network.all_features(returns, LOOKBACK, WALK_THRESHOLDS).select("date", "threshold", *names)
     target = labels.target(_known_market(spark, d), "dummy_forward_max_drawdown", WINDOW, WALK_QUANTILE).select("date", F.col("target").alias("y"))
+    target = materialize(target, "walk-target")
     grid = walkforward.Grid(models, WALK_THRESHOLDS)
     return _rounded(walkforward.run(returns, feature, target, scheme, grid, "roc_auc").predictions)
 
