@@ -723,7 +723,7 @@ def test_levels_are_added_up_in_the_order_of_the_rows(spark, tmp_path, split_siz
         assert column(found, "level") == [*want, None]
 
 
-@pytest.mark.parametrize("name", ["fwd_drawdown_dummy", "crop_first_valid", "wf_two_nested_expanding"])
+@pytest.mark.parametrize("name", ["fwd_drawdown_dummy", "crop_first_valid", "wf_two_nested_expanding", "wf_two_nested_rolling"])
 def test_labels_of_many_tasks_equal_the_sql_in_one_thread(spark, tmp_path, split_size, name):
     """DuckDB adds up means in the order of the rows if it has one thread; with more, labels of equal falls vary from run to run."""
     orders = pd.concat([pd.read_parquet(f"{SF}/orders.parquet")] * 12, ignore_index=True)
